@@ -40,7 +40,7 @@ def test_rewrites():
 
 
 def test_camel_subwords():
-    assert text.camel_subwords("CrashLoopBackOff") == ["crash", "loop", "back", "off", "crashloop", "loopback", "crashloopback", "backoff"]
+    assert text.camel_subwords("CrashLoopBackOff") == ["crash", "loop", "back", "off", "crashloop", "loopback", "backoff", "crashloopback"]
     assert set(text.camel_subwords("SQLiteWAL")) >= {"sqlite", "wal"}
     assert text.camel_subwords("plain UPPER 123") == [] and text.camel_subwords(None) == []
 
