@@ -112,7 +112,7 @@ def fit(samples: list[tuple[str | None, int]], size: int = LEXICON_SIZE, excepti
     added to the exception phrases.  Without samples of both kinds there is an
     empty lexicon, and every score is the base rate.
     """
-    toxic, other, pairs_o = {}, {}, {}
+    toxic, other = {}, {}
     around: dict[str, set[tuple[str, str]]] = {}
     n_t = n_o = 0
     for text, label in dict.fromkeys(samples):  # copies count once
@@ -126,9 +126,6 @@ def fit(samples: list[tuple[str | None, int]], size: int = LEXICON_SIZE, excepti
             for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                 if len(seen := around.setdefault(w, set())) < SUPPORT:
                     seen.add((before, after))
-        else:
-            for p in set(zip(words, words[1:], strict=False)):
-                pairs_o[p] = pairs_o.get(p, 0) + 1
     base = (n_t + 0.5) / (n_t + n_o + 1)
     lex = Lexicon({}, (), (float(np.log(base / (1 - base))), 0.0, 0.0))
     if not n_t or not n_o:
@@ -144,8 +141,15 @@ def fit(samples: list[tuple[str | None, int]], size: int = LEXICON_SIZE, excepti
     ranked.sort(reverse=True)
     lex.weights = {w: odds for _, w, odds in ranked[:size]}
     folded = {fold(e.lower()) for e in exceptions}
+    pairs_o: dict[tuple[str, str], int] = {}
+    for text, label in dict.fromkeys(samples):  # pairs of the texts that hold an entry alone: a second, short pass
+        if not label and lex.hits(visible(text or "")):
+            words = [fold(w) for w in WORD.findall(visible(text))]
+            for p in set(zip(words, words[1:], strict=False)):
+                if p[0] in lex.weights or p[1] in lex.weights:
+                    pairs_o[p] = pairs_o.get(p, 0) + 1
     for (x, y), n in pairs_o.items():
-        if n >= 5 and (x in lex.weights or y in lex.weights):
+        if n >= 5:
             folded.add(f"{x} {y}")
     lex.exceptions = tuple(sorted(folded))
     lex._machine = None
