@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.markdown import names_heading, relative_path
 from marginalia.functions.scalar import STATUSES, TAG, valid_actor, valid_timestamp
 from marginalia.operators import graph
 
@@ -82,6 +83,22 @@ def dead_links(notes: DataFrame, links: DataFrame) -> DataFrame:
     return _each(rows, (F.lit(True), finding("LINK_DEAD", F.concat(F.lit("Dead link '"), "target_raw", F.lit("'")))))
 
 
+def missing_anchors(links: DataFrame, headings: DataFrame) -> DataFrame:
+    """links: rel_path, target_cid, anchor; headings: cid, headings.  One row a note on the right, so that hubs aren't multiplied by their headings."""
+    named = F.exists("headings", lambda h: names_heading(F.col("anchor"), h["title"]))
+    rows = links.where("anchor IS NOT NULL AND target_cid IS NOT NULL").dropDuplicates(["rel_path", "target_cid", "anchor"])
+    rows = rows.join(headings.withColumnRenamed("cid", "target_cid"), "target_cid").where(~named)
+    message = F.concat(F.lit("No heading '"), F.col("anchor"), F.lit("' in "), F.col("target_cid"))
+    return rows.select(finding("ANCHOR_MISSING", message, WARNING).alias("f")).select("f.*")
+
+
+def broken_raw_links(links: DataFrame, raw: DataFrame) -> DataFrame:
+    """links: rel_path, target_raw of relative links; raw: path.  Those into a raw folder that name no file."""
+    rows = links.withColumn("path", relative_path(F.col("rel_path"), F.col("target_raw"))).where(F.array_contains(F.split("path", "/"), "raw"))
+    rows = rows.dropDuplicates(["rel_path", "path"]).join(raw, "path", "left_anti")
+    return rows.select(finding("RAW_LINK_BROKEN", F.concat(F.lit("No raw file "), F.col("path"))).alias("f")).select("f.*")
+
+
 def missing_sources(notes: DataFrame, sources: DataFrame, required: list[str] | None = None) -> DataFrame:
     """Citations of files that aren't there, and notes without citations in the domains that require them."""
     rows = sources.where("resolved_path is null").select(F.col("source_cid").alias("cid"), "raw_path").join(parsed(notes).select("cid", "rel_path"), "cid")

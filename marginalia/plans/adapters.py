@@ -75,7 +75,24 @@ SELECT 'wiki/o' || o_orderkey || '.md' AS rel_path, CAST(o_orderkey AS double) A
 UNION ALL SELECT 'wiki/new' || o_orderkey || '.md', 0.5, CAST(7 AS bigint) FROM orders WHERE o_orderkey % 89 = 0
 """
 
-VIEWS = {"v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
+#: Notes as Markdown, with fences, inline code, math, sections and links of each kind.
+MD = """
+SELECT doc_id, cid, layer, stem, rel_path, CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END AS wanted,
+  '# Note ' || doc_id || chr(10) || 'See [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || '|next]], `[[code]]`, [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || ']].' || chr(10)
+  || '```' || chr(10) || '## Fenced' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) || '## Section ' || (doc_id % 3) || ' ##' || chr(10)
+  || 'A [file](../wiki/d' || (doc_id % 7) || '.md#Top), ![[chart.png]], [site](https://example.org/x.md) and $[[math]]$.' || chr(10) || '### Deep `x`' || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN 'Even [source](../raw/d' || (doc_id + 1) || '.txt).' ELSE 'Odd.' END || chr(10) || '## Last' || chr(10) || repeat('word ', CAST(doc_id % 50 AS int)) || chr(10) AS md
+FROM v_notes
+"""
+
+#: Notes' headers, one in five well formed, the others each with its own fault.
+HEADERS = """
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' ELSE '---' || chr(10) || 'title: "Note ' || doc_id || '" # comment' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10)
+  || CASE doc_id % 5 WHEN 1 THEN 'title: again' WHEN 2 THEN chr(9) || 'x: 1' WHEN 4 THEN 'x: [1, 2]' ELSE 'rank: ' || doc_id END || chr(10) || '---' || chr(10) END || 'Body ' || doc_id AS file
+FROM documents
+"""
+
+VIEWS = {"v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 
 

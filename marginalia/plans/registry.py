@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions import scalar, text
+from marginalia.functions import frontmatter, markdown, scalar, text
 from marginalia.operators import delta, graph, quality, resolve, search, status
 from marginalia.plans.adapters import Views, with_views
 
@@ -385,3 +385,86 @@ query("lint_counts", f"SELECT code, severity, count(*)::bigint AS n FROM ({_ALL}
 @query("scan_delta", "SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN o.rel_path IS NULL THEN 'insert' WHEN n.rel_path IS NULL THEN 'delete' WHEN abs(o.mtime - n.mtime) <= 1e-4 AND o.file_size = n.file_size THEN 'same' ELSE 'update' END AS change FROM v_old o FULL OUTER JOIN v_new n ON o.rel_path = n.rel_path")
 def scan_delta(v: Views) -> DataFrame:
     return delta.classify(v["v_old"], v["v_new"])
+
+
+# ------------------------------------------------------------------ Markdown and headers
+
+_CUTS = "SELECT *, instr(md, '## Section') AS a, instr(md, '## Last') AS b, length(md) AS n FROM v_md"
+
+
+@query(
+    "links_extract",
+    """SELECT doc_id, 'wiki' AS kind, 'd' || (doc_id + 1) || '#' || wanted AS target_raw, 'd' || (doc_id + 1) AS target, wanted AS anchor, 2::bigint AS occurrences FROM v_md
+    UNION ALL SELECT doc_id, 'markdown', '../wiki/d' || (doc_id % 7) || '.md#Top', '../wiki/d' || (doc_id % 7) || '.md', 'Top', 1 FROM v_md""",
+)
+def links_extract(v: Views) -> DataFrame:
+    edges = v["v_md"].select("doc_id", F.explode(markdown.edge_array("md")).alias("e")).select("doc_id", "e.kind", "e.target_raw", "e.target", "e.anchor")
+    return edges.groupBy("doc_id", "kind", "target_raw", "target", "anchor").agg(F.count("*").alias("occurrences"))
+
+
+@query("headings", "SELECT doc_id, unnest([0, 1, 2, 3])::int AS pos, unnest([1, 2, 3, 2])::int AS level, unnest(['Note ' || doc_id, 'Section ' || (doc_id % 3), 'Deep x', 'Last']) AS title FROM v_md")
+def headings(v: Views) -> DataFrame:
+    return v["v_md"].select("doc_id", F.posexplode(markdown.heading_array("md")).alias("pos", "h")).select("doc_id", "pos", "h.level", "h.title")
+
+
+@query("sections", f"SELECT doc_id, unnest([0, 1, 2])::int AS pos, unnest(['', 'Section ' || (doc_id % 3), 'Last']) AS heading, unnest([a - 1, b - a, n - b + 1])::int AS n_chars FROM ({_CUTS})")
+def sections(v: Views) -> DataFrame:
+    return v["v_md"].select("doc_id", F.posexplode(markdown.section_array("md")).alias("pos", "s")).select("doc_id", "pos", "s.heading", F.length("s.text").alias("n_chars"))
+
+
+@query("section_extract", f"SELECT doc_id, 'Section ' || (doc_id % 3) AS heading, sha256(substr(md, a, b - a)) AS h FROM ({_CUTS})")
+def section_extract(v: Views) -> DataFrame:
+    anchor = F.concat(F.lit("SECTION%20"), (F.col("doc_id") % 3).cast("string"))
+    return v["v_md"].select("doc_id", markdown.section_at("md", anchor).alias("s")).select("doc_id", "s.heading", F.sha2("s.text", 256).alias("h"))
+
+
+@query("anchor_match", "SELECT doc_id, doc_id % 4 <> 3 AS matched FROM v_md")
+def anchor_match(v: Views) -> DataFrame:
+    k = (F.col("doc_id") % 3).cast("string")
+    anchor = F.expr("element_at(array('Section ', 'section-', 'SECTION%20', 'none '), CAST(doc_id % 4 AS int) + 1)")
+    rows = v["v_md"].select("doc_id", F.concat(anchor, k).alias("anchor"), markdown.heading_array("md").alias("hs"))
+    return rows.select("doc_id", F.exists("hs", lambda h: markdown.names_heading(F.col("anchor"), h["title"])).alias("matched"))
+
+
+_WRITTEN = "element_at(array('../wiki/x.md#top', './y.md', '../../z.md', '/abs.md', 'a/../b%20c+d.md'), CAST(doc_id % 5 AS int) + 1)"
+
+
+@query("md_target", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'wiki/x.md' WHEN 1 THEN layer || '/y.md' WHEN 4 THEN layer || '/b c+d.md' END AS path FROM v_notes")
+def md_target(v: Views) -> DataFrame:
+    return v["v_notes"].select("doc_id", markdown.relative_path(F.concat("layer", F.lit("/n.md")), F.expr(_WRITTEN)).alias("path"))
+
+
+@query("budget_sections", f"SELECT doc_id, (CASE WHEN n <= 360 THEN 3 WHEN a - 1 > 360 THEN 0 WHEN b - 1 > 360 THEN 1 ELSE 2 END)::int AS kept, 3::int AS total, n > 360 AS cut FROM ({_CUTS})")
+def budget_sections(v: Views) -> DataFrame:
+    return v["v_md"].select("doc_id", "md", markdown.budgeted("md", F.lit(90)).alias("b")).select("doc_id", "b.kept", "b.total", (F.col("b.text") != F.col("md")).alias("cut"))
+
+
+@query("parse_errors", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'key title stands twice' WHEN 2 THEN 'tab in an indent' WHEN 3 THEN 'no header' ELSE 'unsupported value starting with [' END AS error, (CASE doc_id % 5 WHEN 3 THEN 1 ELSE 5 END)::int AS line FROM documents WHERE doc_id % 5 <> 0")
+def parse_errors(v: Views) -> DataFrame:
+    rows = v["v_headers"].select("doc_id", frontmatter.parsed_column("file").alias("p"))
+    return rows.where("p.error IS NOT NULL").select("doc_id", "p.error", "p.line")
+
+
+@query("header_fields", "SELECT doc_id, 'Note ' || doc_id AS title, lang AS tag, doc_id::bigint AS rank, 'Body ' || doc_id AS body FROM documents WHERE doc_id % 5 = 0")
+def header_fields(v: Views) -> DataFrame:
+    rows = v["v_headers"].select("doc_id", frontmatter.parsed_column("file").alias("p")).where("p.error IS NULL")
+    field = lambda path: F.get_json_object("p.fields", path)
+    return rows.select("doc_id", field("$.title").alias("title"), field("$.tags[0]").alias("tag"), field("$.rank").cast("long").alias("rank"), "p.body")
+
+
+@query("lint_anchor_missing", "SELECT 'ANCHOR_MISSING' AS code, 'warning' AS severity, s.rel_path, 'No heading ''Section 9'' in ' || t.cid AS message FROM v_md s JOIN v_md t ON t.doc_id = s.doc_id + 1 WHERE s.doc_id % 4 = 0")
+def lint_anchor_missing(v: Views) -> DataFrame:
+    md = v["v_md"]
+    edges = md.select("rel_path", F.explode(markdown.edge_array("md")).alias("e")).where("e.kind = 'wiki'").select("rel_path", F.col("e.target").alias("stem"), "e.anchor")
+    resolved = edges.join(md.select("stem", F.col("cid").alias("target_cid")), "stem")
+    return quality.missing_anchors(resolved, md.select("cid", markdown.heading_array("md").alias("headings")))
+
+
+_RAW_PATH = "CASE WHEN s.cid LIKE 'wiki/deep/%' THEN 'wiki/' ELSE '' END || 'raw/d' || (s.doc_id + 1) || '.txt'"
+
+
+@query("lint_raw_link", f"SELECT 'RAW_LINK_BROKEN' AS code, 'error' AS severity, s.rel_path, 'No raw file ' || {_RAW_PATH} AS message FROM v_md s LEFT JOIN v_md t ON t.rel_path = {_RAW_PATH} WHERE s.doc_id % 2 = 0 AND t.rel_path IS NULL")
+def lint_raw_link(v: Views) -> DataFrame:
+    md = v["v_md"]
+    links = md.select("rel_path", F.explode(markdown.link_array("md")).alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
+    return quality.broken_raw_links(links, md.where("layer = 'raw'").select(F.col("rel_path").alias("path")))
