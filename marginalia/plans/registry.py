@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter, markdown, scalar, text
-from marginalia.operators import delta, graph, quality, resolve, search, status
+from marginalia.operators import delta, graph, move, quality, resolve, search, status
 from marginalia.plans.adapters import Views, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,3 +468,28 @@ def lint_raw_link(v: Views) -> DataFrame:
     md = v["v_md"]
     links = md.select("rel_path", F.explode(markdown.link_array("md")).alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
     return quality.broken_raw_links(links, md.where("layer = 'raw'").select(F.col("rel_path").alias("path")))
+
+
+# ------------------------------------------------------------------ moves
+
+#: The resolver's index again, over the names after the move.
+_MOVED = "CASE WHEN cid LIKE 'wiki/%' AND cid LIKE '%5' THEN 'projects/moved-' || substr(cid, 6) ELSE cid END"
+_AFTER = f"""c2 AS (SELECT cid AS old, x AS cid, CASE WHEN x LIKE 'wiki/%' THEN 0 WHEN x LIKE 'archive/%' THEN 2 ELSE 1 END AS prio, string_split(x, '/') AS p FROM (SELECT DISTINCT cid, {_MOVED} AS x FROM v_names)),
+n2 AS (SELECT 'exact' AS kind, cid AS name, cid, prio FROM c2 UNION ALL SELECT 'exact', substr(cid, 6), cid, prio FROM c2 WHERE prio = 0
+  UNION ALL SELECT 'suffix', array_to_string(p[2:], '/'), cid, prio FROM c2 WHERE len(p) >= 3 UNION ALL SELECT 'stem', p[-1], cid, prio FROM c2),
+i2 AS (SELECT kind, name, cid FROM (SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY prio, cid) AS k FROM n2) x WHERE k = 1)"""
+_FOUND = "coalesce((SELECT cid FROM {i} WHERE kind = 'exact' AND name = q.name), (SELECT cid FROM {i} WHERE kind = 'suffix' AND name = q.name), CASE WHEN instr(q.name, '/') = 0 THEN (SELECT cid FROM {i} WHERE kind = 'stem' AND name = q.name) END)"
+
+
+@query(
+    "move_plan",
+    _INDEX
+    + f""", {_AFTER}, r AS (SELECT DISTINCT v.cid AS source, q.probe AS target_raw, {_FOUND.format(i="i")} AS was, {_FOUND.format(i="i2")} AS will FROM q JOIN v_names v ON v.doc_id = q.doc_id)
+    SELECT s.cid AS source_cid, target_raw, was, t.cid AS expected, will, CASE WHEN was IS NULL THEN 'newly_resolved' ELSE 'rewrite' END AS action
+    FROM r JOIN c2 s ON s.old = r.source LEFT JOIN c2 t ON t.old = r.was WHERE will IS DISTINCT FROM t.cid""",
+)
+def move_plan(v: Views) -> DataFrame:
+    n = v["v_names"]
+    cids = n.select("cid").distinct()
+    moves = cids.where("cid LIKE 'wiki/%' AND cid LIKE '%5'").select("cid", F.expr("'projects/moved-' || substr(cid, 6)").alias("new_cid"))
+    return move.plan(n.select(F.col("cid").alias("source_cid"), F.col("probe").alias("target_raw")), cids, moves)
