@@ -443,6 +443,25 @@ def test_neighbours_awkward(spark):
     assert many.where("query_id = 9").count() == 2
 
 
+@pytest.mark.parametrize("kind", ["unit", "unequal", "copies"])
+def test_neighbours_lose_no_row(kind):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if kind == "unequal":
+        v *= rng.lognormal(0, 1, size=len(v))[:, None]
+    if kind == "copies":
+        v[rng.permutation(len(v))[:1000]] = v[0]
+    asked = np.arange(0, len(v), 50)
+    forest = neighbours.Forest(v, float(np.linalg.norm(v, axis=1).max()))
+    found = forest.nearest(v[asked], 20, neighbours.SHARE, asked[:, None] == np.arange(len(v))[None])
+    for q, (rows, scores) in zip(asked, found, strict=True):
+        exact = (v * v[q]).sum(axis=1)
+        exact[q] = -np.inf
+        true = np.lexsort((np.arange(len(v)), -exact))[:20]
+        assert rows.tolist() == true.tolist() and np.allclose(scores, exact[true])
+
+
 # ------------------------------------------------------------------ op8
 
 
