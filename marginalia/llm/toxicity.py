@@ -31,7 +31,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid mista
 INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 SAMPLE_DOCS = 8000
 LEXICON_SIZE = 2000
-#: An entry must have been seen in so many toxic places with different neighbours.
+#: An entry must have been seen in so many toxic places with different neighbours, an exception in so many others.
 SUPPORT = 5
 
 
@@ -108,9 +108,12 @@ class Lexicon:
 def fit(samples: list[tuple[str | None, int]], size: int = LEXICON_SIZE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Weights are smoothed log odds of a word among toxic against other documents; kept where clearly apart from chance.
 
-    Word pairs that hold an entry, and are found in other documents alone, are
-    added to the exception phrases.  Without samples of both kinds there is an
-    empty lexicon, and every score is the base rate.
+    Word pairs that hold an entry, and are found in other documents alone or at
+    a rate clearly above that in toxic ones, are added to the exception phrases.
+    A pair counts once for each two words before and two after it, so near
+    copies count once.
+    Without samples of both kinds there is an empty lexicon, and every score is
+    the base rate.
     """
     toxic, other = {}, {}
     around: dict[str, set[tuple[str, str]]] = {}
@@ -141,15 +144,18 @@ def fit(samples: list[tuple[str | None, int]], size: int = LEXICON_SIZE, excepti
     ranked.sort(reverse=True)
     lex.weights = {w: odds for _, w, odds in ranked[:size]}
     folded = {fold(e.lower()) for e in exceptions}
-    pairs_o: dict[tuple[str, str], int] = {}
+    pairs: tuple[dict[tuple[str, str], set[tuple[str, ...]]], ...] = ({}, {})  # of other, of toxic texts: what stands about each
     for text, label in dict.fromkeys(samples):  # pairs of the texts that hold an entry alone: a second, short pass
-        if not label and lex.hits(visible(text or "")):
-            words = [fold(w) for w in WORD.findall(visible(text))]
-            for p in set(zip(words, words[1:], strict=False)):
-                if p[0] in lex.weights or p[1] in lex.weights:
-                    pairs_o[p] = pairs_o.get(p, 0) + 1
-    for (x, y), n in pairs_o.items():
-        if n >= 5:
+        if lex.hits(visible(text or "")):
+            words = ["", "", *(fold(w) for w in WORD.findall(visible(text))), "", ""]
+            for i, (x, y) in enumerate(zip(words[2:-2], words[3:-2], strict=False), 2):
+                if x in lex.weights or y in lex.weights:
+                    pairs[bool(label)].setdefault((x, y), set()).add((*words[i - 2 : i], *words[i + 2 : i + 4]))
+    for (x, y), about in pairs[0].items():
+        a, b = len(pairs[1].get((x, y), ())), len(about)
+        odds = np.log((a + 0.5) / (n_t + 1)) - np.log((b + 0.5) / (n_o + 1))
+        error = (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5
+        if b >= SUPPORT and (not a or (odds < -2 and odds / error < -3)):
             folded.add(f"{x} {y}")
     lex.exceptions = tuple(sorted(folded))
     lex._machine = None

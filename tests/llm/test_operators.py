@@ -82,6 +82,25 @@ def test_toxicity_folding_and_exceptions():
     assert lex.score("blockhead " + "fine " * 20) > lex.score("blockhead " + "fine " * 2000)
 
 
+def test_toxicity_exceptions_are_rare_in_toxic_texts():
+    words = [a + b for a in "one two three four five six".split() for b in "abcde"]
+    rng = random.Random(2)
+
+    def holding(*phrase):
+        return " ".join([*rng.sample(words, 5), *phrase, *rng.sample(words, 5)])
+
+    bad = [holding("you", "blockhead") for _ in range(250)] + [holding("blockhead", "brewery")]
+    good = [holding("you", "blockhead") for _ in range(8)] + [holding("blockhead", "museum") for _ in range(8)]
+    good += [f"{i} {' '.join(words[:5])} blockhead street {' '.join(words[5:9])}" for i in range(8)]  # near copies of one text
+    good += [holding("blockhead", "brewery") for _ in range(60)] + [holding() for _ in range(200)]
+    lex = toxicity.fit([(t, 1) for t in bad] + [(t, 0) for t in good])
+    own = set(lex.exceptions) - {toxicity.fold(e) for e in toxicity.EXCEPTIONS}
+    assert toxicity.fold("blockhead") in lex.weights
+    assert own == {toxicity.fold("blockhead museum"), toxicity.fold("blockhead brewery")}
+    assert len(lex.hits("my blockhead")) == 1 and not lex.hits("the blockhead museum")
+    assert lex.score(holding("you", "blockhead")) > 0.5 > lex.score(holding("blockhead", "museum"))
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
