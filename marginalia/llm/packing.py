@@ -64,61 +64,61 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Bin
     return list(open_.items())
 
 
-def fillings(left: dict[int, int], space: int, width: int) -> list[Bin]:
-    """Undominated fillings of `space`, the fullest first.
+def fillings(left: dict[int, int], space: int) -> Iterator[tuple[int, Bin]]:
+    """(room left, filling) of all undominated fillings of `space`, the fullest first; found one at a time.
 
     Depth first over lengths in falling order, so an item is never preceded by a
-    smaller one (no permutations), and a filling is kept only if no remaining
-    item fits in what it leaves: any other is dominated by one with that item
-    added.  `width` bounds how many are compared; a perfect one ends the search.
+    smaller one (no permutations).  A filling is dominated if a remaining item
+    fits in what it leaves, so items up to that room are all put in.  An exact
+    single item dominates every other filling.  An exact pair comes first.
     """
+    if space in left:
+        yield 0, ((space, 1),)
+        return
     lengths = sorted((x for x in left if x <= space), reverse=True)
-    if not lengths:
-        return [()]
-    found: list[tuple[int, Bin]] = []
-    smallest = lengths[-1]
-
-    def go(i: int, room: int, chosen: Bin) -> bool:
-        if room == 0 or room < smallest:
-            found.append((room, chosen))
-            return room == 0 or len(found) >= width
-        at = i
-        while at < len(lengths) and lengths[at] > room:
-            at += 1
-        if at == len(lengths):
-            # all that fit are used up by this filling or were passed over: dominated in the latter case
-            found.append((room, chosen))
-            return len(found) >= width
-        tried = 0
-        for j in range(at, len(lengths)):
+    pair = next((((x, 2),) if 2 * x == space else ((x, 1), (space - x, 1)) for x in lengths if space <= 2 * x and left.get(space - x, 0) > (2 * x == space)), None)
+    if pair:
+        yield 0, pair
+    limit = (1 << (space + 1)) - 1
+    cut_at, sums = -1, []
+
+    def go(i: int, room: int, chosen: Bin) -> Iterator[Bin]:
+        if not room:
+            yield chosen
+            return
+        for j in range(i, cut_at):
+            if not sums[j] >> room & 1:
+                return  # what follows holds less
             x = lengths[j]
-            most = min(left[x], room // x)
-            for times in range(most, 0, -1):
-                if go(j + 1, room - times * x, (*chosen, (x, times))):
-                    return True
-                tried += 1
-                if tried > 4:
-                    return len(found) >= width
-        return False
-
-    # an exact single or pair is looked up before the search
-    if space in left:
-        return [((space, 1),)]
-    for x in lengths:
-        y = space - x
-        if y > x:
-            continue
-        if y in left and (y != x or left[x] > 1):
-            return [((x, 2),) if x == y else ((x, 1), (y, 1))]
-        if x < space / 2:
-            break
-    go(0, space, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return [b for _, b in found]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, width: int = 64, budget: int = 5_000) -> list[tuple[Bin, int]]:
-    """(filling, sequences) using as few sequences as found; optimal whenever it meets the waste bound.
+            for times in range(min(left[x], room // x), 0, -1):
+                if sums[j + 1] >> (room - times * x) & 1:
+                    yield from go(j + 1, room - times * x, (*chosen, (x, times)))
+
+    for room in range(space + 1):
+        bigger = sum(x > room for x in lengths) if cut_at < 0 or (cut_at and lengths[cut_at - 1] <= room) else cut_at
+        if bigger != cut_at:
+            cut_at = bigger
+            sums = [1] * (cut_at + 1)  # bit s of the j-th: lengths[j:cut_at] have items of sum s
+            for j in range(cut_at - 1, -1, -1):
+                bits, n, some = sums[j + 1], min(left[lengths[j]], space // lengths[j]), 1
+                while n:
+                    some = min(some, n)
+                    bits |= bits << (some * lengths[j]) & limit
+                    n -= some
+                    some *= 2
+                sums[j] = bits
+        small = tuple((x, left[x]) for x in lengths[cut_at:])
+        rest = space - room - sum(x * n for x, n in small)
+        if rest < 0:
+            return
+        if sums[0] >> rest & 1:
+            for chosen in go(0, rest, ()):
+                if (*chosen, *small) != pair:
+                    yield room, (*chosen, *small)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, budget: int = 5_000) -> list[tuple[Bin, int]]:
+    """(filling, sequences) using as few sequences as found; optimal unless `budget` ends the search.
 
     `budget` bounds the nodes of the search, as packing is NP-hard; the incumbent
     is always a whole packing.
@@ -131,46 +131,58 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = 64, budge
     if most == floor:
         return best
     nodes = 0
-    # explicit stack: (left, plan so far, sequences, waste, fillings still to try)
-    stack: list[list] = [[dict(counts), None, 0, 0, None]]
+
+    def children(left: dict[int, int], waste: int, skip: int) -> Iterator[tuple[dict[int, int], int, int]]:
+        """(what a sequence holds, sequences, room in each): as often as can be, then once."""
+        top = max(left)
+        rest = dict(left)
+        rest[top] -= 1
+        if not rest[top]:
+            del rest[top]
+        for once in (False, True):
+            for room, fill in fillings(rest, capacity - top):
+                if waste + room > (most - 1) * capacity - total:
+                    break  # those after it leave as much or more
+                need = {top: 1}
+                for x, t in fill:
+                    need[x] = need.get(x, 0) + t
+                times = min(left[x] // t for x, t in need.items())
+                if once and times == 1:
+                    continue
+                if skip:
+                    skip -= 1
+                else:
+                    yield need, 1 if once else times, room
+
+    # explicit stack: (left, sequences, waste, children still to try, children tried)
+    stack: list[list] = [[dict(counts), 0, 0, None, 0]]
     trail: list[tuple[Bin, int]] = []
-    while stack:
+    while stack and most > floor and nodes <= budget:
         frame = stack[-1]
-        left, _, used, waste, todo = frame
-        if todo is None:
-            nodes += 1
-            if not left:
-                if used < most:
-                    most, best = used, list(trail)
-                todo = frame[4] = iter(())
-            elif nodes > budget or waste > (most - 1) * capacity - total:
-                todo = frame[4] = iter(())
-            else:
-                top = max(left)
-                rest = dict(left)
-                rest[top] -= 1
-                if not rest[top]:
-                    del rest[top]
-                todo = frame[4] = iter([(top, f) for f in fillings(rest, capacity - top, width)])
-        nxt = None if most == floor else next(todo, None)
+        left, used, waste, todo, tried = frame
+        nxt = None
+        if not left:
+            if used < most:
+                most, best = used, list(trail)
+        elif waste <= (most - 1) * capacity - total:
+            # the first descent keeps no search's tables; going back makes them anew
+            todo = todo or children(left, waste, tried)
+            nxt = next(todo, None)
+            frame[3], frame[4] = (todo if tried else None), tried + 1
         if nxt is None:
             stack.pop()
             if trail and stack:
                 trail.pop()
             continue
-        top, fill = nxt
-        need: dict[int, int] = {top: 1}
-        for x, t in fill:
-            need[x] = need.get(x, 0) + t
-        times = min(left[x] // t for x, t in need.items())
+        nodes += 1
+        need, times, room = nxt
         after = dict(left)
         for x, t in need.items():
             after[x] -= t * times
             if not after[x]:
                 del after[x]
-        size = sum(x * t for x, t in need.items())
         trail.append((tuple(sorted(need.items(), reverse=True)), times))
-        stack.append([after, None, used + times, waste + (capacity - size) * times, None])
+        stack.append([after, used + times, waste + room * times, None, 0])
     return best
 
 

@@ -227,6 +227,47 @@ def test_bin_completion_against_exhaustive():
         assert got == hist and sum(n for _, n in plan) <= least(items, capacity) + (len(items) > 6)
 
 
+def test_bin_completion_is_optimal():
+    def least(items, capacity):  # by which items are packed: fewest sequences, then least in the last
+        best = {0: (0, capacity)}
+        for held in range(1, 1 << len(items)):
+            last = []
+            for i, x in enumerate(items):
+                if held >> i & 1:
+                    n, full = best[held ^ 1 << i]
+                    last.append((n, full + x) if full + x <= capacity else (n + 1, x))
+            best[held] = min(last)
+        return best[(1 << len(items)) - 1][0]
+
+    known = [([25, 25, 25, 24, 23, 21, 18, 14, 12, 11], 50, 4), ([42, 40, 37, 36, 32, 31, 28, 24, 16, 13], 100, 3), ([24, 19, 19, 19, 16, 14, 12, 11, 6, 5, 5], 50, 3)]
+    for items, capacity, n in known:
+        assert least(items, capacity) == n == sum(t for _, t in packing.bin_completion({x: items.count(x) for x in items}, capacity))
+    rng = random.Random(6)
+    for _ in range(250):
+        capacity = rng.choice([20, 50, 100])
+        items = [rng.randint(capacity // 10, capacity // 2) for _ in range(rng.randint(6, 11))]
+        plan = packing.bin_completion({x: items.count(x) for x in items}, capacity)
+        assert sorted(x for b, n in plan for x, t in b for _ in range(t * n)) == sorted(items)
+        assert sum(n for _, n in plan) == least(items, capacity)
+
+
+def test_fillings_are_all_that_are_undominated():
+    rng = random.Random(7)
+    for _ in range(200):
+        left = {rng.randint(1, 15): rng.randint(1, 3) for _ in range(rng.randint(0, 6))}
+        space = rng.randint(0, 30)
+        want = {()}
+        for x in sorted(left, reverse=True):
+            want = {(*b, (x, t)) if t else b for b in want for t in range(left[x] + 1)}
+        room = {b: space - sum(x * t for x, t in b) for b in want}
+        want = {b for b in want if room[b] >= 0 and not any(x <= room[b] and left[x] > dict(b).get(x, 0) for x in left)}
+        if space in left:
+            want = {((space, 1),)}
+        got = list(packing.fillings(left, space))
+        assert len(got) == len(want) and {b for _, b in got} == want
+        assert [r for r, _ in got] == sorted(room[b] for b in want)
+
+
 # ------------------------------------------------------------------ op3
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
