@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.llm.common import materialize, table
 from marginalia.llm.components import connected
@@ -58,15 +59,20 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row; null and empty texts: 0."""
+def _prints(rows: DataFrame, words: int) -> DataFrame:
+    """Puts fp in place of text, which is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) for every row; null and empty texts: 0."""
+    return _prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -122,10 +128,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, once.
+    """Pipeline stage: of each group of near duplicates the row with the smallest doc_id stays, once.
 
-    A document without doc_id stays: it can't be told from others.
+    Rows are told apart by doc_id and text: different texts under one doc_id are
+    rows of their own, of which the first by the text's hash stays where they are
+    near duplicates.  A row without doc_id comes after those with one.
     """
-    keep = components(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    mark = F.sha2("text", 256)
+    prints = materialize(_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("_mark"), "text"), WORDS), "simhash-rows")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("first"))
+    found = connected(links(first.select("fp"), DISTANCE))
+    keep = first.join(found, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._mark").alias("_kept"))
+    marked = docs.withColumn("_mark", mark)
+    kept = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["_id"]) & marked["_mark"].eqNullSafe(keep["_kept"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)

@@ -465,6 +465,13 @@ def test_simhash_links_lose_no_component(spark):
     assert sorted(map(sorted, group.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_duplicates_by_row(spark):
+    one, two, three = ("the quick brown fox jumps over it", "an entirely different sentence of words", "nobody has ever written this before")
+    rows = [(7, one), (7, two), (8, two), (9, two), (None, one), (None, three), (None, three), (5, three + " or so they say"), (5, three + " or so they say")]
+    kept = simhash.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(7, one), (7, two), (None, three), rows[-1]]))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.fp: r.root for r in simhash.connected(edges).collect()}
