@@ -1,8 +1,9 @@
 """The header of a note: a strict, small subset of YAML between two lines of three hyphens.
 
 Keys hold scalars, lists of scalars, mappings of scalars, or lists of mappings of
-scalars.  Indents are 0, 2 and 4.  Tabs, flow values (other than [] and {}),
-anchors, tags, block scalars and repeated keys are errors that name their line.
+scalars.  Indents are 0, 2 and 4.  Bare `true`, `false` and `null` are what they
+say; every other bare value is a string.  Tabs, flow values, anchors, tags, block
+scalars, repeated keys and mixed lists are errors that name their line.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-KEY = re.compile(r"([A-Za-z_][A-Za-z0-9_\-]*):(?:\s+(.*))?\Z")
-INTEGER = re.compile(r"-?(?:0|[1-9][0-9]*)\Z")
-DECIMAL = re.compile(r"-?[0-9]+\.[0-9]+\Z")
-WORDS = {"": None, "null": None, "~": None, "true": True, "false": False}
+#: The words that aren't strings, the characters that a backslash gives in double quotes, and what opens no bare value.
+WORDS = {"null": None, "true": True, "false": False}
+ESCAPES = {"\\": "\\", '"': '"', "n": "\n", "t": "\t"}
+REFUSED = {"&": "anchors", "*": "anchors", "!": "tags", "|": "block scalars", ">": "block scalars"}
+_NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
 class HeaderError(ValueError):
@@ -28,112 +30,143 @@ class HeaderError(ValueError):
 
 
 def split(text: str | None) -> tuple[str | None, str]:
-    """(header, body); the header is None where the text has none."""
-    text = (text or "").removeprefix("﻿")
-    m = re.match(r"---[ \t]*\r?\n(.*?)(?:^---[ \t]*(?:\r?\n|\Z))", text, re.S | re.M)
-    return (m[1], text[m.end() :]) if m else (None, text)
-
-
-def _uncommented(text: str) -> str:
-    """Without a comment: a # at the start or after a space, outside quotes."""
-    quote = ""
-    i = 0
-    while i < len(text):
-        c = text[i]
-        if quote:
-            if c == "\\" and quote == '"':
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'" and (i == 0 or text[i - 1] in " \t"):
+    """(header, body); the header is None where the text has none.  HeaderError where it doesn't end, or holds a lone carriage return."""
+    text = (text or "").removeprefix("\ufeff")
+    first, feed, rest = text.partition("\n")
+    if first.removesuffix("\r") != "---" or not (feed or first == "---"):
+        return None, text
+    lines = rest.split("\n")
+    end = next((i for i, x in enumerate(lines) if x.strip() == "---"), None)
+    if end is None:
+        raise HeaderError(0, "the header doesn't end")
+    for i, x in enumerate(lines[: end + 1], 1):
+        if "\r" in x.removesuffix("\r"):
+            raise HeaderError(i, "carriage return within a line")
+    return "\n".join(x.removesuffix("\r") for x in lines[:end]), "\n".join(lines[end + 1 :])
+
+
+def _uncommented(line: str) -> str:
+    """Without a comment: a # at the start or after a space, outside quotes, which open only where a value starts."""
+    begins, quote, skip = re.match(r"( *)((?:- *)?)((?:[A-Za-z0-9_-]+: *)?)", line), "", False
+    opening = {begins.end(k) for k in (1, 2, 3)}
+    for i, c in enumerate(line):
+        if skip:
+            skip = False
+        elif quote:
+            skip = c == "\\" and quote == '"'
+            quote = "" if c == quote else quote
+        elif c in "\"'" and i in opening:
             quote = c
-        elif c == "#" and (i == 0 or text[i - 1] in " \t"):
-            return text[:i].rstrip()
-        i += 1
-    return text.rstrip()
-
-
-def scalar(written: str, line: int = 1) -> Any:
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i].rstrip()
+    return line.rstrip()
+
+
+def _unescaped(inner: str, line: int) -> str:
+    out, at = [], 0
+    while at < len(inner):
+        c = inner[at]
+        if c == '"':
+            raise HeaderError(line, "quote within a double-quoted value")
+        if c == "\\":
+            at += 1
+            if inner[at : at + 1] not in ESCAPES or at == len(inner):
+                raise HeaderError(line, "unknown escape in a double-quoted value")
+            c = ESCAPES[inner[at]]
+        out.append(c)
+        at += 1
+    return "".join(out)
+
+
+def scalar(written: str, line: int = 1) -> str | bool | None:
     text = written.strip()
-    if text.lower() in WORDS:
-        return WORDS[text.lower()]
-    if text in ("[]", "{}"):
-        return json.loads(text)
-    if text[0] == '"':
-        try:
-            value = json.loads(text)
-        except ValueError:
-            raise HeaderError(line, "malformed double-quoted value") from None
-        return value
-    if text[0] == "'":
-        if not re.fullmatch(r"'(?:[^']|'')*'", text):
-            raise HeaderError(line, "malformed single-quoted value")
+    if text[:1] in ('"', "'"):
+        if len(text) < 2 or text[-1] != text[0]:
+            raise HeaderError(line, "a quoted value doesn't end")
+        if text[0] == '"':
+            return _unescaped(text[1:-1], line)
+        if "'" in text[1:-1].replace("''", ""):
+            raise HeaderError(line, "quote within a single-quoted value")
         return text[1:-1].replace("''", "'")
-    if text[0] in "[{&*!|>%@`":
-        raise HeaderError(line, f"unsupported value starting with {text[0]}")
-    if INTEGER.match(text):
-        return int(text)
-    if DECIMAL.match(text):
-        return float(text)
-    return text
+    if text[:1] in REFUSED:
+        raise HeaderError(line, f"{REFUSED[text[0]]} aren't part of a header")
+    if any(c in text for c in "[]{}"):
+        raise HeaderError(line, "flow values aren't part of a header")
+    return WORDS.get(text, text)
+
+
+def _member(text: str) -> tuple[str, str] | None:
+    """(key, value) of a colon that ends the text or has a space after it."""
+    key, colon, value = text.partition(":")
+    return (key.strip(), value.strip()) if colon and value[:1] in ("", " ") else None
 
 
 def parse(header: str) -> dict[str, Any]:
-    """The header's mapping; HeaderError with a line (from 1) otherwise."""
+    """The header's mapping; HeaderError with a line (from 1) otherwise.  A key without a value or members isn't in it."""
     out: dict[str, Any] = {}
-    key, entry = "", None  # the open top-level key, and the open mapping of its list
+    seen: set[str] = set()
+    opened, entry = None, None  # the top-level key that waits for members, and the mapping that a list's last item began
 
-    def put(into: dict, name: str, value: Any, n: int) -> None:
-        if name in into:
-            raise HeaderError(n, f"key {name} stands twice")
-        into[name] = value
+    def named(member: tuple[str, str] | None, n: int) -> tuple[str, str]:
+        if member is None or not _NAME.fullmatch(member[0]):
+            raise HeaderError(n, "neither a key nor a list item")
+        return member
 
     for n, raw in enumerate(header.split("\n"), 1):
         line = _uncommented(raw.rstrip("\r"))
-        if not line.strip():
-            continue
+        if "\t" in raw:
+            raise HeaderError(n, "tab in a header")
         body = line.lstrip(" ")
-        indent = len(line) - len(body)
-        if "\t" in line[: len(line) - len(line.lstrip())]:
-            raise HeaderError(n, "tab in an indent")
-        if body.startswith("- ") or body == "-":
-            if indent not in (0, 2) or not key or not (out[key] is None or isinstance(out[key], list)):
-                raise HeaderError(n, "list item out of place")
-            out[key] = [] if out[key] is None else out[key]
-            rest = body[2:].strip()
-            m = KEY.match(rest) if rest[:1] not in ("'", '"') else None
-            entry = {m[1]: scalar(m[2] or "", n)} if m else None
-            out[key].append(entry if m else scalar(rest, n))
+        if not body:
             continue
-        m = KEY.match(body)
-        if not m:
-            raise HeaderError(n, "neither a key nor a list item")
+        indent = len(line) - len(body)
         if indent == 0:
-            key, entry = m[1], None
-            put(out, key, scalar(m[2] or "", n), n)
-        elif indent == 4 and entry is not None or indent == 2 and entry is not None and raw.startswith("  ") and isinstance(out[key], list):
-            put(entry, m[1], scalar(m[2] or "", n), n)
-        elif indent == 2 and key and (out[key] is None or isinstance(out[key], dict)):
-            out[key] = {} if out[key] is None else out[key]
-            put(out[key], m[1], scalar(m[2] or "", n), n)
-        else:
+            key, value = named(_member(body), n)
+            if key in seen:
+                raise HeaderError(n, f"key {key} stands twice")
+            seen.add(key)
+            opened, entry = (None if value else key), None
+            if value:
+                out[key] = scalar(value, n)
+        elif indent not in (2, 4) or opened is None:
             raise HeaderError(n, "indent out of place")
+        elif indent == 2 and (body == "-" or body.startswith("- ")):
+            item = body[1:].strip()
+            member = None if item[:1] in ('"', "'") else _member(item)
+            listed = out.setdefault(opened, [])
+            if item.startswith("-") or not isinstance(listed, list) or (listed and isinstance(listed[0], dict) != bool(member)):
+                raise HeaderError(n, "list item out of place")
+            entry = None
+            if member:
+                key, value = named(member, n)
+                entry = {key: scalar(value, n)}
+            listed.append(entry if member else scalar(item, n))
+        else:
+            into = entry if indent == 4 else out.setdefault(opened, {})
+            key, value = named(_member(body), n)
+            if not isinstance(into, dict) or not value:
+                raise HeaderError(n, "indent out of place" if value else "a mapping within a mapping")
+            if key in into:
+                raise HeaderError(n, f"key {key} stands twice")
+            into[key] = scalar(value, n)
     return out
 
 
 def written(value: Any) -> str:
-    """A scalar that `scalar` reads back as the same value."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, str):
-        try:
-            safe = value == value.strip() and "\n" not in value and _uncommented(value) == value and scalar(value) == value and ": " not in value and not value.endswith(":") and not value.startswith(("- ", "-")) and value.isprintable()
-        except (HeaderError, IndexError):
-            safe = False
-        return value if safe else json.dumps(value, ensure_ascii=False)
-    return json.dumps(value)
+    """A scalar that `scalar` reads back as the same value; numbers read back as their text."""
+    for word, meaning in WORDS.items():
+        if value is meaning:
+            return word
+    text = str(value)
+    if any(c != "\n" and c != "\t" and not c.isprintable() and not c.isspace() or c == "\r" for c in text):
+        raise ValueError("a header holds no control characters")
+    try:
+        bare = text not in WORDS and scalar(text) == text and _uncommented(text) == text and _uncommented(f"k: {text}") == f"k: {text}" and _member(text) is None
+    except HeaderError:
+        bare = False
+    if bare and text and text == text.strip() and text.isprintable() and text[0] != "-":
+        return text
+    return '"' + "".join("\\" + {v: k for k, v in ESCAPES.items()}[c] if c in ESCAPES.values() else c for c in text) + '"'
 
 
 def serialize(fields: dict[str, Any]) -> str:
@@ -142,6 +175,8 @@ def serialize(fields: dict[str, Any]) -> str:
     for key, value in fields.items():
         if isinstance(value, dict) and value:
             out += [f"{key}:", *(f"  {k}: {written(v)}" for k, v in value.items())]
+        elif isinstance(value, (dict, list)) and not value:
+            out.append(f"{key}:")
         elif isinstance(value, list) and value:
             out.append(f"{key}:")
             for item in value:
@@ -155,8 +190,11 @@ def serialize(fields: dict[str, Any]) -> str:
 
 
 def parsed(text: str | None) -> dict[str, Any]:
-    """fields (JSON), body, error and its line in the text (null: parsed)."""
-    header, body = split(text)
+    """fields (JSON), body, error and its line in the text (null: parsed).  A header that can't be split off leaves the whole text as body."""
+    try:
+        header, body = split(text)
+    except HeaderError as e:
+        return {"fields": None, "body": text, "error": e.reason, "line": e.line + 1}
     if header is None:
         return {"fields": None, "body": body, "error": "no header", "line": 1}
     try:

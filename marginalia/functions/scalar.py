@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed values.
 STATUSES = ("active", "evergreen", "draft", "completed", "deprecated", "abandoned")
 RETIRED = ("deprecated", "abandoned")
+MANIFEST = "AGENTS.md"
 IGNORED_FOLDERS = (".git", ".obsidian", ".venv", "venv", "node_modules", "__pycache__", "target", "dist", "build", ".pytest_cache")
 ACTOR = r"\A(human|agent|process):[A-Za-z0-9._\-/]+\z"
 TIMESTAMP = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z\z"
@@ -39,20 +40,31 @@ def path_of(cid: Column) -> Column:
     return F.when(whole, clean).otherwise(F.concat(clean, F.lit(".md")))
 
 
-def path_violation(path: Column) -> Column:
-    """The first reason why a path can't name a note, or null."""
-    parts = F.split(path, "/")
+def path_violation(path: Column, template: str | None = None, for_write: bool = False) -> Column:
+    """The first reason why a path can't name a note, or null.
+
+    template: the folder of templates, which holds none.  for_write adds that the
+    wiki is flat: a nested wiki note is read, but none is made.
+    """
+    clean = normal_path(path)
+    parts = F.split(clean, "/")
+    name = F.element_at(parts, -1)
     folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     hidden = F.exists(folders, lambda p: p.startswith(".") | p.isin(*IGNORED_FOLDERS))
-    return (
-        F.when(F.instr(path, "\\") > 0, "separator")
-        .when(F.exists(parts, lambda p: p.isin("", ".", "..")), "segment")
-        .when(F.size(parts) < 2, "root")
-        .when(parts[0].isin("raw", "log"), "reserved")
-        .when(hidden, "hidden")
-        .when(~path.endswith(".md"), "suffix")
-        .when(F.element_at(parts, -1).startswith("."), "dotfile")
-    )
+    found = F.when((path == "") | path.rlike(r"\A[/\\]"), "absolute").when((F.size(parts) < 2) | F.exists(parts, lambda p: p.isin("", ".", "..")), "root")
+    found = found.when(hidden, "hidden").when(parts[0].isin("raw", "log"), "reserved")
+    if template:
+        found = found.when(clean.startswith(template.replace("\\", "/").strip("/") + "/"), "template")
+    found = found.when(name == MANIFEST, "manifest").when(name.startswith(".") | ~name.endswith(".md"), "suffix")
+    return found.when((parts[0] == "wiki") & (F.size(parts) > 2), "nested") if for_write else found
+
+
+def source_violation(path: Column) -> Column:
+    """The first reason why a path can't name a raw file, or null."""
+    parts = F.split(path, "/")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    hidden = F.exists(inner, lambda p: p.startswith(".") | p.isin(*IGNORED_FOLDERS))
+    return F.when(F.instr(path, "\\") > 0, "separator").when((F.size(parts) < 2) | (parts[0] != "raw"), "folder").when(F.exists(parts, lambda p: p.isin("", ".", "..")), "segment").when(hidden, "hidden").when(F.element_at(parts, -1).startswith("."), "dotfile")
 
 
 def body_hash(body: Column) -> Column:
@@ -80,9 +92,22 @@ def valid_timestamp(at: Column) -> Column:
     return F.coalesce(at.rlike(TIMESTAMP) & F.try_to_date(date, "yyyy-MM-dd").isNotNull() & in_range, F.lit(False))
 
 
-def slug(title: Column) -> Column:
-    """A heading's or file's name in lower case, words joined by hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9_\- ]", ""), " ", "-")
+def file_stem(title: Column) -> Column:
+    """The name that a title gives a file: letters and digits in lower case, anything between them that is a space, hyphen or underscore as one hyphen."""
+    kept = F.lower(F.regexp_replace(title, r"(?U)[^\w\s\-]", ""))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(kept, r"(?U)[\-\s_]+", "-"), F.lit("-")), F.lit("")), F.lit("untitled"))
+
+
+def actor_name(actor: Column) -> Column:
+    """The part of an actor after its kind."""
+    return F.regexp_replace(actor, r"\A(human|agent|process):", "")
+
+
+def canonical_aliases(aliases: Column) -> Column:
+    """Without space around them, and without those that differ from an earlier one in case alone, or are empty."""
+    stripped = F.filter(F.transform(aliases, lambda a: F.regexp_replace(a, r"(?U)\A\s+|\s+\z", "")), lambda a: a != "")
+    first = F.transform(stripped, lambda a, i: F.struct(a.alias("a"), (F.array_position(F.transform(stripped, F.lower), F.lower(a)) == i + 1).alias("first")))
+    return F.transform(F.filter(first, lambda x: x["first"]), lambda x: x["a"])
 
 
 def trust_tier(verified: Column, current: Column) -> Column:

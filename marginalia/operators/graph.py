@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import folded
+from marginalia.sources.shared import shared_dir
+
 RESOLVED = "target_cid is not null"
 
 
@@ -22,6 +27,59 @@ def back(links: DataFrame, cid: str) -> DataFrame:
     return links.where(F.col("target_cid") == cid).groupBy("source_cid").agg(F.sum("occurrences").alias("occurrences"))
 
 
+#: What a neighbour is shown with, and how many of each kind.
+SHOWN = ("title", "type", "status", "trust_tier")
+NEIGHBOURS = 20
+
+
+def described(rows: DataFrame, notes: DataFrame, key: str = "cid") -> DataFrame:
+    """Rows (key) with the note's metadata; a note that isn't there shows nulls."""
+    known = notes.select(F.col("cid").alias(key), *SHOWN)
+    return rows.join(known, key, "left")
+
+
+def note_graph(notes: DataFrame, links: DataFrame, cid: str, limit: int = NEIGHBOURS, least: int = 1) -> DataFrame:
+    """kind, rank, cid, n, total and metadata of a note's surroundings, at most `limit` of each kind.
+
+    Kinds: forward and back (n: occurrences), forward_2 and back_2 (n: paths of two
+    links, not through the note and not to its neighbours), co_cited and coupled
+    (n: notes in common), all resolved.  Most first, then by cid; total counts the
+    whole kind.  A note without links gives no rows.
+    """
+    e = distinct_edges(links)
+    live = links.where(RESOLVED)
+    one = [("forward", forward(live, cid).select(F.col("target_cid").alias("cid"), F.col("occurrences").alias("n"))), ("back", back(live, cid).select(F.col("source_cid").alias("cid"), F.col("occurrences").alias("n")))]
+    for name, start, end in (("forward_2", "source_cid", "target_cid"), ("back_2", "target_cid", "source_cid")):
+        near = e.where((F.col(start) == cid) & (F.col(end) != cid)).select(F.col(end).alias("near"))
+        far = e.join(near, F.col(start) == F.col("near")).groupBy(F.col(end).alias("cid")).agg(F.count("*").alias("n")).where(F.col("cid") != cid)
+        one.append((name, far.join(near, F.col("cid") == F.col("near"), "left_anti")))
+    one += [("co_cited", co_citation(links, cid, least).select(F.col("b").alias("cid"), "n")), ("coupled", coupling(links, cid, least).select(F.col("b").alias("cid"), "n"))]
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "cid", "n") for k, df in one])
+    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "cid"))).where(F.col("rank") <= limit)
+    totals = every.groupBy("kind").agg(F.count("*").alias("total"))
+    return described(ranked.join(F.broadcast(totals), "kind"), notes).select("kind", "rank", "cid", "n", "total", *SHOWN)  # six rows of totals
+
+
+VIEWS = ("neighborhood", "hubs", "entry_points", "unfiled", "orphans")
+
+
+def view(notes: DataFrame, links: DataFrame, name: str, target: str | None = None, limit: int = NEIGHBOURS) -> DataFrame:
+    """A view of the graph by name; only a neighbourhood has a target, and it needs one."""
+    if name not in VIEWS:
+        raise ValueError(f"unknown view '{name}'; one of {', '.join(VIEWS)}")
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 0 < limit <= 1000:
+        raise ValueError("limit must be a whole number from 1 to 1000")
+    if (name == "neighborhood") != bool(target):
+        raise ValueError("a neighborhood needs a target" if not target else f"view '{name}' takes no target")
+    if name == "neighborhood":
+        return note_graph(notes, links, target, limit)
+    if name == "hubs":
+        return hub_overview(notes, links, limit)
+    if name == "entry_points":
+        return entry_points(notes).limit(limit)
+    return (unfiled if name == "unfiled" else orphans)(notes, links).orderBy("rel_path").limit(limit)
+
+
 def two_hop(links: DataFrame, cid: str, towards: bool = True) -> DataFrame:
     """(cid): two links away, and neither one link away nor the note itself."""
     start, end = ("source_cid", "target_cid") if towards else ("target_cid", "source_cid")
@@ -64,29 +122,60 @@ def hub_overlap(hubs: DataFrame, links: DataFrame) -> DataFrame:
     return with_a.join(size.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "shared", F.least("na", "nb").alias("smaller"))
 
 
+def hub_overview(notes: DataFrame, links: DataFrame, limit: int = NEIGHBOURS, least_ratio: float = 0.0) -> DataFrame:
+    """a, b, shared, smaller, ratio, total of pairs of hubs: most alike first, at most `limit`; total counts all of them."""
+    pairs = hub_overlap(hubs(notes), links).withColumn("ratio", F.col("shared") / F.col("smaller")).where(F.col("ratio") >= least_ratio)
+    total = pairs.agg(F.count("*").alias("total"))
+    return pairs.orderBy(F.desc("ratio"), F.desc("shared"), "a", "b").limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def resolve_cid(names: DataFrame, target: str) -> str:
+    """The cid that a target written by hand means: a path as it is, else the only one that differs in case, else a name by its last segment.
+
+    LookupError where nothing or more than one answers.
+    """
+    path = target.strip().removeprefix("[[").removesuffix("]]").split("|")[0].split("#")[0].replace("\\", "/").strip().removeprefix("./").strip("/").removesuffix(".md")
+    if not path:
+        raise LookupError("no target")
+    small = names.select("cid").where((F.lower("cid") == path.lower()) | F.lower("cid").endswith("/" + path.lower())).distinct()
+    found = [r.cid for r in small.orderBy("cid").limit(NEIGHBOURS).collect()]
+    for rule in (lambda c: c == path, lambda c: c.lower() == path.lower(), lambda c: c.endswith("/" + path) and not c.startswith("archive/"), lambda c: c.endswith("/" + path), lambda c: not c.startswith("archive/"), lambda c: True):
+        hits = [c for c in found if rule(c)]
+        if len(hits) == 1:
+            return hits[0]
+        if hits:
+            raise LookupError(f"'{target}' means several notes: {', '.join(hits)}")
+    raise LookupError(f"no note '{target}'")
+
+
+def suggestions(names: DataFrame, target: str) -> DataFrame:
+    """(cid): notes whose last segment is the target's, without regard to case or accents."""
+    last = target.replace("\\", "/").rstrip("/").removesuffix(".md").rpartition("/")[2]
+    return names.select("cid").distinct().where(folded(F.element_at(F.split("cid", "/"), -1)) == folded(F.lit(last))).orderBy("cid")
+
+
 def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
     """(cid): what forward links reach from `start` (cid), itself included, however far and through cycles.
 
-    Every round is written to the shared folder, so that plans stay short and
-    lost executors cost one round; only whether something new was found comes to
-    the driver.
+    Edges are written once, dealt out by source; every round writes what it
+    found new, and each note carries the round that found it, so lost executors
+    cost one round.  Only whether something new was found comes to the driver.
     """
     spark = links.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    edges = distinct_edges(links)
+    where = f"{shared_dir(spark)}/marginalia/reach-{uuid.uuid4().hex}"
 
-    def kept(df: DataFrame) -> DataFrame:
-        if not where:
-            return df.persist()
-        path = f"{where.rstrip('/')}/marginalia/reach-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
-    frontier = seen = kept(start.select("cid").distinct())
+    edges = kept(distinct_edges(links).where("source_cid != target_cid"), "edges")
+    frontier = seen = kept(start.select("cid").distinct(), "found/round=0")
+    n = 0
     while not frontier.isEmpty():
+        n += 1
         step = edges.join(frontier.withColumnRenamed("cid", "source_cid"), "source_cid", "left_semi").select(F.col("target_cid").alias("cid")).distinct()
-        frontier = kept(step.join(seen, "cid", "left_anti"))
-        seen = seen.unionByName(frontier)
+        frontier = kept(step.join(seen, "cid", "left_anti"), f"found/round={n}")
+        seen = spark.read.schema("cid string").parquet(f"{where}/found").select("cid")  # one scan, however many rounds
     return seen
 
 

@@ -57,9 +57,26 @@ def tags(notes: DataFrame) -> DataFrame:
     return _each(rows, (spaced, finding("TAG_MALFORMED", F.concat(F.lit("Tag with white space '"), "tag", F.lit("'")))), (~spaced & ~F.col("tag").rlike(TAG), finding("TAG_MALFORMED", F.concat(F.lit("Non-canonical tag '"), "tag", F.lit("'")), WARNING)))
 
 
+def aliases(notes: DataFrame) -> DataFrame:
+    """Over alias_list: an alias is text on one line."""
+    rows = parsed(notes).select("rel_path", F.explode("alias_list").alias("alias"))
+    bad = F.coalesce(F.col("alias").rlike(r"[\n\r\t]") | (F.trim("alias") == ""), F.lit(True))
+    return _each(rows, (bad, finding("ENUM_INVALID", F.concat(F.lit("Alias that isn't one line of text '"), F.regexp_replace(F.coalesce("alias", F.lit("")), r"\s+", " "), F.lit("'")))))
+
+
+def manifests(domains: DataFrame) -> DataFrame:
+    """domains: domain, manifest_path, manifest_error.  A manifest that can't be read leaves its domain open."""
+    return _each(domains.withColumn("rel_path", F.col("manifest_path")), (F.col("manifest_error").isNotNull(), finding("DOMAIN_MANIFEST_INVALID", F.col("manifest_error"))))
+
+
 def timestamps(notes: DataFrame) -> DataFrame:
-    rows = parsed(notes).select("rel_path", F.posexplode("verified").alias("i", "v"))
-    return _each(rows, (F.coalesce(F.col("v.at") != "", F.lit(False)) & ~valid_timestamp(F.col("v.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("verified["), F.col("i").cast("string"), F.lit("].at: '"), "v.at", F.lit("'")))))
+    """Over verified[].at, and generated.at where the notes have that column."""
+    bad = lambda at: F.coalesce(at != "", F.lit(False)) & ~valid_timestamp(at)
+    rows = parsed(notes)
+    found = _each(rows.select("rel_path", F.posexplode("verified").alias("i", "v")), (bad(F.col("v.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("verified["), F.col("i").cast("string"), F.lit("].at: '"), "v.at", F.lit("'")))))
+    if "generated" not in notes.columns:
+        return found
+    return found.unionByName(_each(rows, (bad(F.col("generated.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("generated.at: '"), "generated.at", F.lit("'"))))))
 
 
 def nesting(notes: DataFrame) -> DataFrame:
@@ -79,8 +96,14 @@ def verification(notes: DataFrame) -> DataFrame:
 
 
 def dead_links(notes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links that name no note, with the notes whose last segment they share, where there are any (three at most)."""
     rows = links.where("target_cid is null").select(F.col("source_cid").alias("cid"), "target_raw").join(parsed(notes).select("cid", "rel_path"), "cid")
-    return _each(rows, (F.lit(True), finding("LINK_DEAD", F.concat(F.lit("Dead link '"), "target_raw", F.lit("'")))))
+    last = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"[^/]*\z", 0), r"\.md\z", ""))
+    # of each name the first three notes, by a partial aggregate; only dead links look one up
+    names = parsed(notes).groupBy(last(F.col("cid")).alias("_last")).agg(F.slice(F.array_sort(F.collect_set("cid")), 1, 3).alias("_near"))
+    rows = rows.withColumn("_last", last(F.split_part(F.col("target_raw"), F.lit("#"), F.lit(1)))).join(names, "_last", "left")
+    hint = F.when(F.col("_near").isNotNull(), F.concat(F.lit("; did you mean "), F.array_join("_near", ", "), F.lit("?"))).otherwise(F.lit(""))
+    return _each(rows, (F.lit(True), finding("LINK_DEAD", F.concat(F.lit("Dead link '"), "target_raw", F.lit("'"), hint))))
 
 
 def missing_anchors(links: DataFrame, headings: DataFrame) -> DataFrame:
@@ -93,10 +116,14 @@ def missing_anchors(links: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def broken_raw_links(links: DataFrame, raw: DataFrame) -> DataFrame:
-    """links: rel_path, target_raw of relative links; raw: path.  Those into a raw folder that name no file."""
+    """links: rel_path, target_raw of relative links; raw: path.  Those into a raw folder that name no file, with the file that has that name, if there is one."""
     rows = links.withColumn("path", relative_path(F.col("rel_path"), F.col("target_raw"))).where(F.array_contains(F.split("path", "/"), "raw"))
     rows = rows.dropDuplicates(["rel_path", "path"]).join(raw, "path", "left_anti")
-    return rows.select(finding("RAW_LINK_BROKEN", F.concat(F.lit("No raw file "), F.col("path"))).alias("f")).select("f.*")
+    name = F.regexp_extract("path", r"[^/]*\z", 0)
+    only = raw.groupBy(name.alias("_name")).agg(F.count("*").alias("_n"), F.min("path").alias("_there")).where("_n = 1")
+    rows = rows.withColumn("_name", name).join(only, "_name", "left")
+    hint = F.when(F.col("_there").isNotNull(), F.concat(F.lit("; did you mean "), F.col("_there"), F.lit("?"))).otherwise(F.lit(""))
+    return rows.select(finding("RAW_LINK_BROKEN", F.concat(F.lit("No raw file "), F.col("path"), hint)).alias("f")).select("f.*")
 
 
 def missing_sources(notes: DataFrame, sources: DataFrame, required: list[str] | None = None) -> DataFrame:
@@ -113,10 +140,24 @@ def orphan(notes: DataFrame, links: DataFrame) -> DataFrame:
     return _each(graph.orphans(notes, links), (F.lit(True), finding("NOTE_ORPHAN", F.lit("No link to or from this note"), WARNING)))
 
 
-def lint(notes: DataFrame, links: DataFrame, sources: DataFrame, types: DataFrame | None = None, required: list[str] | None = None) -> DataFrame:
+def lint(notes: DataFrame, links: DataFrame, sources: DataFrame, types: DataFrame | None = None, required: list[str] | None = None, anchors: tuple[DataFrame, DataFrame] | None = None, raw_links: tuple[DataFrame, DataFrame] | None = None, domains: DataFrame | None = None) -> DataFrame:
+    """Findings of all gates; `ordered` sorts them.
+
+    anchors: what `missing_anchors` takes; raw_links: what `broken_raw_links`
+    takes; domains: what `manifests` takes.
+    """
     gates = [unparseable(notes), fields(notes), enums(notes, types), tags(notes), timestamps(notes), nesting(notes), dead_links(notes, links), missing_sources(notes, sources, required), orphan(notes, links), verification(notes)]
+    if "alias_list" in notes.columns:
+        gates.append(aliases(notes))
+    gates += [gate(*given) for gate, given in ((missing_anchors, anchors), (broken_raw_links, raw_links)) if given]
+    if domains is not None:
+        gates.append(manifests(domains))
     return reduce(DataFrame.unionByName, gates)
 
 
+def ordered(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("rel_path", "code", "message")
+
+
 def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("code", "severity").agg(F.count("*").alias("n"))

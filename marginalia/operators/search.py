@@ -1,20 +1,23 @@
-"""Trust-weighted full-text search.
+"""Trust-weighted full-text search over an inverted index.
 
-A query reads the notes twice and shuffles nothing but counters: occurrences of
-each leaf are counted in the token arrays of a row, one aggregate gives the
-corpus's numbers (one row, broadcast), and a top-k closes the plan.
+`build` writes four tables once: a dictionary of terms and their stems, postings
+(term, cid, column and places, sorted by term), a row of lengths for each note,
+and the notes themselves.  A query looks its stems up in the dictionary, reads
+the postings of those terms alone, and closes with a top-k; the corpus's numbers
+are one row.  Notes and raw files are corpora of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import canonical_tag
+from marginalia.functions.stemming import porter, stems
 from marginalia.functions.text import tokens
 from marginalia.plans import query_language as ql
 
@@ -58,21 +61,64 @@ def filter_only(notes: DataFrame, limit: int = 20, **by: str) -> DataFrame:
     return notes.where(filters(**by)).select("cid", "title", "type", "status", "trust_tier", multiplier().alias("score"), snippet.alias("snippet")).orderBy(F.desc("score"), "cid").limit(limit)
 
 
-def _count(words: Column, leaf: ql.Leaf) -> Column:
-    """How often a leaf stands in an array of tokens."""
-    *exact, last = leaf.words
+COLUMNS = tuple(WEIGHTS)
+#: So many terms of a query may be named in the scan of the postings; more are joined.
+NAMED = 1000
 
-    def hit(x: Column) -> Column:
-        return x.startswith(last) if leaf.prefix else x == last
 
-    if not exact:
-        return F.size(F.filter(words, hit))
-    # a phrase: places whose followers are the other words
-    def at(x: Column, i: Column) -> Column:
-        each = [F.get(words, i + k) == w for k, w in enumerate(exact)]
-        return reduce(lambda a, b: a & b, each) & F.coalesce(hit(F.get(words, i + len(exact))), F.lit(False))
+@dataclass(frozen=True)
+class Index:
+    """terms: term, stem.  postings: corpus, term, cid, column, places.  lengths: corpus, cid, dl.  notes: as given."""
 
-    return F.size(F.filter(words, at))
+    terms: DataFrame
+    postings: DataFrame
+    lengths: DataFrame
+    notes: DataFrame
+
+
+def _corpus() -> Column:
+    return F.when(F.col("layer") == "raw", "raw").otherwise("notes")
+
+
+def _tables(notes: DataFrame) -> dict[str, DataFrame]:
+    read = notes.where("parse_error IS NULL")
+    held = read.select("cid", _corpus().alias("corpus"), *[(tokens(F.col(c)) if c in notes.columns else F.array().cast("array<string>")).alias(c) for c in COLUMNS])
+    lengths = held.select("corpus", "cid", reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]).alias("dl"))
+
+    def placed(column: str) -> Column:
+        return F.transform(column, lambda x, i: F.struct(F.lit(column).alias("column"), x.alias("term"), i.alias("place")))
+
+    words = F.flatten(F.array(*[placed(c) for c in COLUMNS]))
+    # a note's words are grouped before the shuffle, so a common word is a row for each note and column, not for each place
+    postings = held.select("corpus", "cid", F.explode(words).alias("w")).groupBy("corpus", "w.term", "cid", "w.column").agg(F.sort_array(F.collect_list("w.place")).alias("places"))
+    return {"postings": postings, "lengths": lengths}
+
+
+def build(notes: DataFrame, where: str) -> Index:
+    """Writes the index under a folder.  Notes that don't parse have no words; columns that are missing are empty."""
+    made = _tables(notes)
+    notes.write.mode("overwrite").parquet(f"{where}/notes")
+    made["lengths"].write.mode("overwrite").parquet(f"{where}/lengths")
+    # by term and cid: a term that is everywhere spans files, and a file's statistics say which terms it holds
+    made["postings"].repartitionByRange("term", "cid").sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{where}/postings")
+    spark = notes.sparkSession
+    dictionary = spark.read.parquet(f"{where}/postings").select("term").distinct()
+    # stems run in Python, over the distinct terms alone
+    dictionary.select("term", stems(F.array("term"))[0].alias("stem")).write.mode("overwrite").parquet(f"{where}/terms")
+    return load(spark, where)
+
+
+def load(spark: SparkSession, where: str) -> Index:
+    return Index(*(spark.read.parquet(f"{where}/{t}") for t in ("terms", "postings", "lengths", "notes")))
+
+
+def integrity(index: Index) -> DataFrame:
+    """missing, extra, total: postings that the notes have and the index lacks, the other way round, and of the notes."""
+    want = _tables(index.notes)["postings"].withColumn("in_notes", F.lit(1))
+    have = index.postings.withColumn("in_index", F.lit(1))
+    both = want.join(have, ["corpus", "term", "cid", "column", "places"], "full_outer")
+    count = lambda c: F.count_if(c).alias
+    return both.agg(count(F.col("in_index").isNull())("missing"), count(F.col("in_notes").isNull())("extra"), count(F.col("in_notes").isNotNull())("total"))
 
 
 def _holds(tree: ql.Tree, at: dict[ql.Leaf, Column]) -> Column:
@@ -82,55 +128,86 @@ def _holds(tree: ql.Tree, at: dict[ql.Leaf, Column]) -> Column:
     return left & right if tree.op == "AND" else left | right if tree.op == "OR" else left & ~right
 
 
-def counted(notes: DataFrame, tree: ql.Tree) -> tuple[DataFrame, list[ql.Leaf]]:
-    """Notes that parse, with dl and, for each leaf i, its weighted count f_i, plain count n_i and floor hits c_i_<column>."""
-    leaves = ql.leaves(tree)
-    columns = [c for c in WEIGHTS if c in notes.columns]
-    held = notes.where(F.col("parse_error").isNull()).withColumns({f"_{c}": tokens(F.col(c)) for c in columns})
-    held = held.withColumn("dl", reduce(lambda a, b: a + b, [F.size(f"_{c}") for c in columns]))
-    each = {f"_{i}_{c}": _count(F.col(f"_{c}"), leaf) for i, leaf in enumerate(dict.fromkeys(leaves)) for c in columns}
-    return held.withColumns(each).drop(*(f"_{c}" for c in columns)), leaves
+def _slots(leaves: list[ql.Leaf]) -> dict[tuple[str, bool], int]:
+    """A number for each different (stem, whether a prefix) of a query's leaves."""
+    found: dict[tuple[str, bool], int] = {}
+    for leaf in leaves:
+        for k, word in enumerate(leaf.words):
+            found.setdefault((porter(word), leaf.prefix and k + 1 == len(leaf.words)), len(found))
+    return found
 
 
-def match(notes: DataFrame, query: str) -> DataFrame:
-    """cid and score (BM25 and floor, without multipliers) of the notes of one corpus that match a query.
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
 
-    The corpus's numbers range over all its notes, before any filter.
-    """
-    tree = ql.parse(ql.clean(query))
-    if tree is None:
-        return notes.select("cid", F.lit(0.0).alias("score")).limit(0)
-    return _scored(notes, tree).select("cid", "score")
 
+def _counted(index: Index, corpus: str, leaves: list[ql.Leaf]) -> DataFrame:
+    """cid and, for each different leaf i and column c, how often it stands there (n_i_c)."""
+    slots = _slots(leaves)
+    wanted = F.array_compact(F.array(*[F.when(F.col("stem").startswith(stem) if prefix else F.col("stem") == stem, F.lit(i)) for (stem, prefix), i in slots.items()]))
+    known = index.terms.withColumn("slots", wanted).where(F.size("slots") > 0).select("term", "slots")
+    some = [r.term for r in known.select("term").limit(NAMED + 1).collect()]
+    read = index.postings.where(F.col("corpus") == corpus)
+    if len(some) <= NAMED:  # these alone are read; the join says which word each stands for
+        read = read.where(F.col("term").isin(some))
+    hits = read.join(known, "term").select("cid", "column", F.explode("slots").alias("slot"), "places")
+    by_slot = hits.groupBy("cid", "column").agg(*[F.flatten(F.collect_list(F.when(F.col("slot") == i, F.col("places")))).alias(f"p_{i}") for i in slots.values()])
 
-def _scored(notes: DataFrame, tree: ql.Tree) -> DataFrame:
-    held, leaves = counted(notes, tree)
+    def times(leaf: ql.Leaf) -> Column:
+        at = [F.col(f"p_{slots[(porter(w), leaf.prefix and k + 1 == len(leaf.words))]}") for k, w in enumerate(leaf.words)]
+        if len(at) == 1:
+            return F.size(at[0])
+        # a phrase: places whose followers are the other words; the sets are met one by one
+        return F.size(reduce(F.array_intersect, [_shifted(p, k) for k, p in enumerate(at)]))
+
+    each = by_slot.select("cid", "column", *[times(leaf).alias(f"n_{i}") for i, leaf in enumerate(dict.fromkeys(leaves))])
+    n = len(dict.fromkeys(leaves))
+    return each.groupBy("cid").agg(*[F.sum(F.when(F.col("column") == c, F.col(f"n_{i}")).otherwise(0)).alias(f"n_{i}_{c}") for i in range(n) for c in COLUMNS])
+
+
+def _scored(index: Index, tree: ql.Tree, corpus: str) -> DataFrame:
+    """cid, score: BM25 and floor.  The corpus's numbers range over all its notes that parse, before any filter."""
+    leaves = ql.leaves(tree)
     names = list(dict.fromkeys(leaves))
-    columns = [c for c in WEIGHTS if c in notes.columns]
-    n = lambda i: reduce(lambda a, b: a + b, [F.col(f"_{i}_{c}") for c in columns])
-    stats = held.agg(F.count("*").alias("N"), F.sum("dl").alias("D"), *[F.count_if(n(i) > 0).alias(f"df_{i}") for i in range(len(names))])
-    rows = held.where(_holds(tree, {leaf: n(i) > 0 for i, leaf in enumerate(names)})).crossJoin(F.broadcast(stats))  # one row of counters
+    counted = _counted(index, corpus, leaves)
+    n = lambda i: reduce(lambda a, b: a + b, [F.col(f"n_{i}_{c}") for c in COLUMNS])
+    lengths = index.lengths.where(F.col("corpus") == corpus).select("cid", "dl")
+    size = lengths.agg(F.count("*").alias("N"), F.sum("dl").alias("D"))
+    df = counted.agg(*[F.count_if(n(i) > 0).alias(f"df_{i}") for i in range(len(names))])
+    stats = size.crossJoin(F.broadcast(df))  # one row of counters each
+    rows = counted.where(_holds(tree, {leaf: n(i) > 0 for i, leaf in enumerate(names)})).join(lengths, "cid").crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
     for leaf in leaves:
         i = names.index(leaf)
         idf = F.log((F.col("N") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        f = reduce(lambda a, b: a + b, [F.col(f"_{i}_{c}") * WEIGHTS[c] for c in columns])
+        f = reduce(lambda a, b: a + b, [F.col(f"n_{i}_{c}") * WEIGHTS[c] for c in COLUMNS])
         total += F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / (F.col("D") / F.col("N"))))
-    for c in columns:
-        any_hit = reduce(lambda a, b: a | b, [F.col(f"_{i}_{c}") > 0 for i in range(len(names))])
+    for c in COLUMNS:
+        any_hit = reduce(lambda a, b: a | b, [F.col(f"n_{i}_{c}") > 0 for i in range(len(names))])
         total += F.when(any_hit, FLOOR * WEIGHTS[c]).otherwise(0.0)
-    return rows.withColumn("score", total)
+    return rows.select("cid", total.alias("score"))
+
+
+def match(index: Index, query: str, corpus: str = "notes") -> DataFrame:
+    """cid and score (BM25 and floor, without multipliers) of the notes of one corpus that match a query."""
+    tree = ql.parse(ql.clean(query))
+    if tree is None:
+        return index.lengths.select("cid", F.lit(0.0).alias("score")).limit(0)
+    return _scored(index, tree, corpus)
 
 
-def top(notes: DataFrame, query: str | list[str], limit: int = 20, **by: str) -> DataFrame:
-    """The best matches: cid, title, type, status, trust_tier, score."""
+def top(index: Index, query: str | list[str], limit: int = 20, **by: str) -> DataFrame:
+    """The best matches: cid, title, type, status, trust_tier, score.  A query without a word that can be looked for matches nothing."""
     tree = ql.parse(ql.clean(query) if isinstance(query, str) else query)
-    corpus = notes.where((F.col("layer") == "raw") if by.get("domain") == "raw" else (F.col("layer") != "raw"))
-    rows = _scored(corpus, tree).where(filters(**by)).withColumn("score", F.col("score") * multiplier())
-    return rows.select("cid", "title", "type", "status", "trust_tier", "score").orderBy(F.desc("score"), "cid").limit(limit)
+    shown = ["cid", "title", "type", "status", "trust_tier"]
+    if tree is None:
+        return index.notes.select(*shown, F.lit(0.0).alias("score")).limit(0)
+    found = _scored(index, tree, "raw" if by.get("domain") == "raw" else "notes")
+    rows = index.notes.where(filters(**by)).join(found, "cid").withColumn("score", F.col("score") * multiplier())
+    return rows.select(*shown, "score").orderBy(F.desc("score"), "cid").limit(limit)
 
 
-def search(notes: DataFrame, query: str = "", limit: int = 20, **by: str) -> DataFrame:
+def search(index: Index, query: str = "", limit: int = 20, **by: str) -> DataFrame:
     """Matches of the query, then of its mixed-case words' parts, then of any of its words, each only to fill up to the limit.
 
     Adds `tier` (0, 1 or 2).  Without a query, or with filters and a query in
@@ -141,12 +218,40 @@ def search(notes: DataFrame, query: str = "", limit: int = 20, **by: str) -> Dat
     parts = ql.clean(query)
     if ql.parse(parts) is None:
         if query.strip() and not any(by.values()):
-            return top(notes, ["x"], 1).limit(0).withColumn("tier", F.lit(0))
-        return filter_only(notes, limit, **by).drop("snippet").withColumn("tier", F.lit(0))
-    tiers = [top(notes, p, limit, **by).withColumn("tier", F.lit(k)) for k, p in enumerate([parts, ql.split_camel(parts), ql.any_of(parts)]) if p]
-    every = reduce(DataFrame.unionByName, tiers)  # at most three times `limit` rows
-    first = F.row_number().over(W.partitionBy("cid").orderBy("tier"))
-    return every.withColumn("_first", first).where("_first = 1").drop("_first").orderBy("tier", F.desc("score"), "cid").limit(limit)
+            return top(index, [], 1).withColumn("tier", F.lit(0))
+        return filter_only(index.notes, limit, **by).drop("snippet").withColumn("tier", F.lit(0))
+    spark = index.notes.sparkSession
+    schema, rows = None, []
+    for tier, p in enumerate([parts, ql.split_camel(parts), ql.any_of(parts)]):
+        if p and len(rows) < limit:  # what is found is at most `limit` rows: a later tier runs only if it is needed
+            found = top(index, p, limit, **by).withColumn("tier", F.lit(tier))
+            schema, known = found.schema, {r.cid for r in rows}
+            rows += [r for r in found.collect() if r.cid not in known]
+    ranked = spark.createDataFrame([(*r, k) for k, r in enumerate(rows[:limit])], schema.add("_rank", "integer"))
+    return ranked.orderBy("_rank").drop("_rank")
+
+
+def snippets(found: DataFrame, notes: DataFrame, query: str, size: int = 15) -> DataFrame:
+    """Adds `snippet` to results (cid): of the body, `size` words with the most different words of the query, which stand in <b>.
+
+    Where words before or after are left out, three dots stand for them.  For the
+    few rows of a result: texts are read again for those alone.
+    """
+    tree = ql.parse(ql.clean(query))
+    wanted = sorted({(porter(w), leaf.prefix and k + 1 == len(leaf.words)) for leaf in (ql.leaves(tree) if tree else []) for k, w in enumerate(leaf.words)})
+    return found.join(notes.select("cid", "body"), "cid", "left").withColumn("snippet", _snippet(wanted, size)(F.col("body"))).drop("body")
+
+
+def _snippet(wanted: list[tuple[str, bool]], size: int):
+    import pandas as pd
+
+    from marginalia.functions.text import cut_at_words
+
+    @F.pandas_udf("string")
+    def make(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda body: cut_at_words(body or "", lambda word: next((i for i, (stem, prefix) in enumerate(wanted) if (porter(word).startswith(stem) if prefix else porter(word) == stem)), None), size))
+
+    return make
 
 
 def term_statistics(notes: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import latest_stale_actor
@@ -43,6 +46,55 @@ def raw_extensions(raw: DataFrame) -> DataFrame:
     return raw.groupBy(suffix.alias("extension")).agg(F.count("*").alias("n"))
 
 
+#: Fixed value: how many items of a worklist are listed.
+LISTED = 25
+
+
+def worklists(notes: DataFrame, links: DataFrame, sources: DataFrame, limit: int = LISTED) -> DataFrame:
+    """queue, rank, item, total: at most `limit` of each worklist by item, and how many there are."""
+    debt = verification_debt(notes)
+    parts = [("unfiled", graph.unfiled(notes, links), "cid"), ("raw", graph.unprocessed_raw(notes.where("layer = 'raw'"), sources), "rel_path"), ("human_owed", debt.where("human_owed"), "cid"), ("agent_payable", debt.where("not human_owed"), "cid")]
+    every = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("queue"), F.col(key).alias("item")) for name, df, key in parts])
+    totals = every.groupBy("queue").agg(F.count("*").alias("total"))
+    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("queue").orderBy("item"))).where(F.col("rank") <= limit)
+    return ranked.join(F.broadcast(totals), "queue").select("queue", "rank", "item", "total")  # a row for each queue
+
+
+def gap_report(notes: DataFrame, links: DataFrame, sources: DataFrame, limit: int = LISTED) -> DataFrame:
+    """part, pos, line of a report in Markdown: entry points, unfiled notes, raw files that nothing cites, and reviews that are due.
+
+    A part without items isn't there; one with more than `limit` says how many more.
+    """
+    entries = graph.entry_points(notes).select(F.lit("entry_points").alias("queue"), F.col("cid").alias("item"), "description")
+    total = entries.groupBy("queue").agg(F.count("*").alias("total"))
+    first = entries.withColumn("rank", F.row_number().over(W.partitionBy("queue").orderBy("item"))).where(F.col("rank") <= limit).join(F.broadcast(total), "queue")
+    rest = worklists(notes, links, sources, limit).withColumn("description", F.lit(None).cast("string"))
+    rows = first.select("queue", "rank", "item", "description", "total").unionByName(rest.select("queue", "rank", "item", "description", "total"))
+    titles = F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair])
+    cell = F.regexp_replace(F.replace(F.coalesce("description", F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " ")
+    link = F.when(F.col("queue") == "raw", F.concat(F.lit("`"), "item", F.lit("`"))).otherwise(F.concat(F.lit("[["), "item", F.lit("]]")))
+    item = F.struct((F.col("rank") + 1).alias("pos"), F.concat(F.lit("- "), link, F.when(cell != "", F.concat(F.lit(": "), cell)).otherwise(F.lit(""))).alias("line"))
+    head = F.when(F.col("rank") == 1, F.struct(F.lit(0).alias("pos"), F.concat(F.lit("## "), titles[F.col("queue")], F.lit(" ("), F.col("total").cast("string"), F.lit(")")).alias("line")))
+    more = F.when((F.col("rank") == limit) & (F.col("total") > limit), F.struct(F.lit(limit + 2).alias("pos"), F.concat(F.lit("- and "), (F.col("total") - limit).cast("string"), F.lit(" more")).alias("line")))
+    return rows.select(F.col("queue").alias("part"), F.explode(F.array_compact(F.array(head, item, more))).alias("x")).select("part", "x.pos", "x.line")
+
+
+def write_report(report: DataFrame, path: str) -> bool:
+    """Writes the report's lines (a few per part) to a file if they differ from what is there; whether they did."""
+    import pathlib
+
+    order = {name: k for k, name in enumerate(TITLES)}
+    lines = [r.line for r in sorted(report.collect(), key=lambda r: (order[r.part], r.pos))]
+    text, file = "\n".join([*lines, ""]) if lines else "", pathlib.Path(path)
+    if file.exists() and file.read_text("utf-8") == text:
+        return False
+    file.write_text(text, "utf-8")
+    return True
+
+
+TITLES = {"entry_points": "Entry points", "unfiled": "Unfiled notes", "raw": "Raw files without citations", "human_owed": "Reviews that a human owes", "agent_payable": "Reviews that an agent can do"}
+
+
 def queues(notes: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """queue, n of each worklist."""
     debt = verification_debt(notes)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import body_hash, trust_tier
+from marginalia.functions.text import camel_subwords
+from marginalia.operators.search import Index, build, load
+from marginalia.sources.shared import shared_dir
 
 NOTES = """
 SELECT doc_id, layer, stem, layer || '/' || CASE WHEN layer = 'wiki' AND doc_id % 31 = 0 THEN 'deep/' ELSE '' END || stem || CASE WHEN layer = 'raw' THEN '.txt' ELSE '' END AS cid,
@@ -16,6 +21,7 @@ SELECT doc_id, layer, stem, layer || '/' || CASE WHEN layer = 'wiki' AND doc_id
   CASE WHEN doc_id % 43 = 0 THEN 'bogus' WHEN doc_id % 7 = 0 THEN 'active' WHEN doc_id % 7 = 1 THEN 'evergreen' WHEN doc_id % 7 = 2 THEN 'draft' WHEN doc_id % 7 = 3 THEN 'completed' WHEN doc_id % 7 = 4 THEN 'deprecated' WHEN doc_id % 7 = 5 THEN 'abandoned' END AS status,
   lang || coalesce(' q' || quality, '') AS tags,
   CASE WHEN doc_id % 23 = 0 THEN 'Bad Tag' WHEN doc_id % 29 = 0 THEN 'Not_Canonical' ELSE lang END AS tag,
+  CASE doc_id % 6 WHEN 0 THEN 'CrashLoopBackOff' WHEN 1 THEN 'FP8TensorCore n' || doc_id WHEN 2 THEN 'crash loop back off' END AS alias,
   text AS body, CASE WHEN doc_id % 41 = 0 THEN 'line 1: no header' END AS parse_error,
   CASE WHEN quality IS NULL THEN NULL WHEN doc_id % 47 = 0 THEN 'nobody' WHEN quality = 1 THEN 'human:ann' ELSE 'agent:bot' END AS ver_by,
   toxic AS ver_stale, CASE WHEN doc_id % 19 = 0 THEN '2024-13-01T00:00:00Z' ELSE '2024-03-01T10:00:00Z' END AS ver_at
@@ -39,11 +45,11 @@ PART_LINKS = "SELECT source_cid, target_raw, target_cid, occurrences FROM v_link
 
 HUB_LINKS = "SELECT 'supplier/' || l_suppkey AS source_cid, 'part/' || l_partkey AS target_raw, 'part/' || l_partkey AS target_cid, count(*) AS occurrences FROM lineitem GROUP BY l_suppkey, l_partkey"
 
-#: Citations: what was returned in March 1995; every 13th cited path is misspelled.
+#: Citations: every line of an order cites its part; parts of one size are misspelled.
 SOURCES = """
-SELECT DISTINCT 'order/' || l_orderkey AS source_cid, CASE WHEN l_partkey % 13 = 0 THEN 'raw/lost-' || l_partkey ELSE 'raw/part-' || l_partkey END AS raw_path,
-  CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE 'raw/part-' || l_partkey END AS resolved_path
-FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1995-03-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-04-01 00:00:00'
+SELECT DISTINCT 'order/' || l_orderkey AS source_cid, CASE WHEN p_size = 13 THEN 'raw/lost-' || l_partkey ELSE 'raw/part-' || l_partkey END AS raw_path,
+  CASE WHEN p_size = 13 THEN NULL ELSE 'raw/part-' || l_partkey END AS resolved_path
+FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
 #: Parts as raw files.
@@ -52,8 +58,8 @@ RAW = "SELECT 'raw/part-' || p_partkey AS rel_path, p_partkey FROM part"
 #: Links between the notes made of documents, for gates and worklists: to a neighbour, to a stem, and to nothing.
 NOTE_LINKS = """
 SELECT a.cid AS source_cid, b.cid AS target_raw, CASE WHEN b.parse_error IS NULL THEN b.cid END AS target_cid, 1 AS occurrences
-  FROM v_notes a JOIN v_notes b ON b.doc_id = a.doc_id + 3 WHERE a.doc_id % 3 = 0
-UNION ALL SELECT cid, 'nowhere/' || stem, NULL, 1 FROM v_notes WHERE doc_id % 11 = 0
+  FROM v_notes a JOIN v_notes b ON b.doc_id = a.doc_id + 3 AND a.tags LIKE 'en%'
+UNION ALL SELECT cid, 'nowhere/' || stem, NULL, 1 FROM v_notes WHERE tags LIKE 'es%'
 UNION ALL SELECT a.cid, b.cid, CASE WHEN b.parse_error IS NULL THEN b.cid END, 1 FROM v_notes a JOIN v_notes b ON b.doc_id = a.doc_id * 2 WHERE a.type = 'moc'
 """
 
@@ -61,7 +67,7 @@ NOTE_SOURCES = """
 SELECT cid AS source_cid, CASE WHEN doc_id % 9 = 0 THEN 'raw/none-' || doc_id ELSE 'raw/d' || (doc_id - doc_id % 5 + 4) || '.txt' END AS raw_path,
   CASE WHEN doc_id % 9 <> 0 AND EXISTS_RAW THEN 'raw/d' || (doc_id - doc_id % 5 + 4) || '.txt' END AS resolved_path
 FROM (SELECT n.*, r.cid AS raw_cid FROM v_notes n LEFT JOIN v_notes r ON r.layer = 'raw' AND r.cid = 'raw/d' || (n.doc_id - n.doc_id % 5 + 4) || '.txt') x
-WHERE layer <> 'raw' AND doc_id % 2 = 0
+WHERE layer <> 'raw' AND tags NOT LIKE 'fr%'
 """.replace("EXISTS_RAW", "raw_cid IS NOT NULL")
 
 #: Names with several segments and many collisions of stems.
@@ -71,28 +77,40 @@ SELECT doc_id, layer || '/' || type || '/n' || (doc_id % 50) AS cid, CASE doc_id
 
 LISTING_OLD = "SELECT 'wiki/o' || o_orderkey || '.md' AS rel_path, CAST(o_orderkey AS double) AS mtime, CAST(length(o_orderpriority) AS bigint) AS file_size FROM orders"
 LISTING_NEW = """
-SELECT 'wiki/o' || o_orderkey || '.md' AS rel_path, CAST(o_orderkey AS double) AS mtime, CAST(length(o_orderpriority) + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS bigint) AS file_size FROM orders WHERE o_orderkey % 97 <> 0
-UNION ALL SELECT 'wiki/new' || o_orderkey || '.md', 0.5, CAST(7 AS bigint) FROM orders WHERE o_orderkey % 89 = 0
+SELECT 'wiki/o' || o_orderkey || '.md' AS rel_path, CAST(o_orderkey AS double) AS mtime, CAST(length(o_orderpriority) + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS bigint) AS file_size FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'wiki/new' || o_orderkey || '.md', 0.5, CAST(7 AS bigint) FROM orders WHERE o_orderstatus = 'P'
 """
 
-#: Notes as Markdown, with fences, inline code, math, sections and links of each kind.
+#: Notes as Markdown, with fences, inline code, math, sections and links of each kind, and the document's whole text in a last fence.
 MD = """
 SELECT doc_id, cid, layer, stem, rel_path, CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END AS wanted,
   '# Note ' || doc_id || chr(10) || 'See [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || '|next]], `[[code]]`, [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || ']].' || chr(10)
   || '```' || chr(10) || '## Fenced' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) || '## Section ' || (doc_id % 3) || ' ##' || chr(10)
   || 'A [file](../wiki/d' || (doc_id % 7) || '.md#Top), ![[chart.png]], [site](https://example.org/x.md) and $[[math]]$.' || chr(10) || '### Deep `x`' || chr(10)
-  || CASE WHEN doc_id % 2 = 0 THEN 'Even [source](../raw/d' || (doc_id + 1) || '.txt).' ELSE 'Odd.' END || chr(10) || '## Last' || chr(10) || repeat('word ', CAST(doc_id % 50 AS int)) || chr(10) AS md
+  || CASE WHEN doc_id % 2 = 0 THEN 'Even [source](../raw/d' || (doc_id + 1) || '.txt).' ELSE 'Odd.' END || chr(10) || '## Last' || chr(10) || repeat('word ', CAST(doc_id % 50 AS int)) || chr(10) || '~~~' || chr(10) || body || chr(10) AS md
 FROM v_notes
 """
 
-#: Notes' headers, one in five well formed, the others each with its own fault.
+#: Notes' headers before the documents' whole texts: one in five well formed, the others each with its own fault, on different lines.
 HEADERS = """
-SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' ELSE '---' || chr(10) || 'title: "Note ' || doc_id || '" # comment' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10)
-  || CASE doc_id % 5 WHEN 1 THEN 'title: again' WHEN 2 THEN chr(9) || 'x: 1' WHEN 4 THEN 'x: [1, 2]' ELSE 'rank: ' || doc_id END || chr(10) || '---' || chr(10) END || 'Body ' || doc_id AS file
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN '' ELSE '---' || chr(10) || repeat('# a comment' || chr(10), CAST(doc_id % 3 AS int)) || 'title: "Note ' || doc_id || '" # comment' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10)
+  || CASE doc_id % 5 WHEN 1 THEN 'title: again' WHEN 2 THEN chr(9) || 'x: 1' WHEN 4 THEN 'x: [1, 2]' ELSE 'rank: ' || doc_id || chr(10) || 'flag: ' || CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'True' WHEN 2 THEN '~' ELSE 'null' END END || chr(10) || '---' || chr(10) END || 'Body ' || doc_id || chr(10) || text AS file
 FROM documents
 """
 
-VIEWS = {"v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
+#: Notes as files with an attestation each, by a human or an agent.
+FILES = """
+SELECT doc_id, rel_path, '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'verified:' || chr(10) || '  - by: ' || CASE WHEN doc_id % 5 = 4 THEN 'agent:bot' ELSE 'human:ann' END || chr(10)
+  || '    at: 2024-03-01T10:00:00Z' || chr(10) || '---' || chr(10) || body AS text FROM v_notes WHERE layer <> 'raw'
+"""
+
+#: Who is blamed for the attestations' lines: the actor, another, nobody yet, no history; the second line of some is another's.
+BLAME = """
+SELECT rel_path, CAST(4 AS int) AS line, CASE WHEN doc_id % 7 = 2 THEN repeat('0', 40) ELSE 'c' || rel_path END AS commit, CASE WHEN doc_id % 7 = 1 THEN 'eve@x.org' ELSE 'ann@x.org' END AS email FROM v_files WHERE doc_id % 7 <> 3
+UNION ALL SELECT rel_path, CAST(5 AS int), 'd' || rel_path, CASE WHEN doc_id % 7 = 4 THEN 'eve@x.org' ELSE 'ann@x.org' END FROM v_files WHERE doc_id % 7 <> 3
+"""
+
+VIEWS = {"v_files": FILES, "v_blame": BLAME, "v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 
 
@@ -125,18 +143,64 @@ class Views:
             of = F.when(F.col("ver_stale") == 1, F.lit("sha256:old")).otherwise(F.col("body_hash"))
             entry = F.struct(F.col("ver_by").alias("by"), F.col("ver_at").alias("at"), of.alias("of"))
             rows = rows.withColumn("verified", F.when(F.col("ver_by").isNotNull(), F.array(entry)))
+            rows = rows.withColumns({"aliases": F.col("alias"), "subwords": F.array_join(camel_subwords(F.concat_ws(" ", "title", "description", "alias", "body")), " ")})
+            listed = F.when(F.col("doc_id") % 53 == 0, F.array(F.lit("two\nlines"))).when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array().cast("array<string>"))
+            rows = rows.withColumns({"alias_list": listed, "generated": F.struct(F.lit("process:import").alias("by"), F.expr("CASE WHEN doc_id % 59 = 0 THEN 'yesterday' ELSE '2024-02-29T00:00:00Z' END").alias("at"))})
             self.made["notes"] = rows.withColumns({"trust_tier": trust_tier(F.col("verified"), F.col("body_hash")), "tag_list": F.array("tag")})
         return self.made["notes"]
 
 
+    @property
+    def index(self) -> Index:
+        """The search index over `notes`, written once for what the tables' files are now, in the shared folder."""
+        files = [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select("path", "length", "modificationTime").collect()  # a table's files
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted((r.path, r.length, str(r.modificationTime)) for r in listed)))
+        if key not in _BUILT:
+            where = f"{shared_dir(self.spark)}/marginalia/index-{uuid.uuid4().hex}"
+            build(self.notes, where)
+            _BUILT[key] = where
+        return load(self.spark, _BUILT[key])
+
+
+_BUILT: dict[tuple, str] = {}
+
 TIER = "CASE WHEN ver_by IS NULL THEN 'unverified' WHEN ver_by = 'nobody' OR ver_stale = 1 THEN 'stale-verified' WHEN ver_by = 'human:ann' THEN 'human-reviewed' ELSE 'machine-confirmed' END"
 
 
+
+def _cut(where: str) -> str:
+    """SQL: the word w, cut before the characters for which a condition holds; c is one, b and a stand before it, d and e after it."""
+    for name, at in (("a", "i - 2"), ("b", "i - 1"), ("c", "i"), ("d", "i + 1"), ("e", "i + 2")):
+        where = where.replace(f"<{name}>", f"w[{at}]")
+    return f"string_split(array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND ({where}) THEN ' ' ELSE '' END || w[i]), ''), ' ')"
+
+
+_HUMP = "(<b> BETWEEN 'a' AND 'z' OR <b> BETWEEN '0' AND '9') AND <c> BETWEEN 'A' AND 'Z'"
+_SHORT = "<a> BETWEEN 'A' AND 'Z' AND <b> BETWEEN 'a' AND 'z' AND (<d> = '' OR (<d> BETWEEN 'A' AND 'Z' AND <e> BETWEEN 'a' AND 'z'))"
+_ROW = "<b> BETWEEN 'A' AND 'Z' AND <c> BETWEEN 'A' AND 'Z' AND <d> BETWEEN 'a' AND 'z'"
+_DIGITS = "((<b> BETWEEN 'a' AND 'z' OR <b> BETWEEN 'A' AND 'Z') AND <c> BETWEEN '0' AND '9') OR (<b> BETWEEN '0' AND '9' AND <c> BETWEEN 'a' AND 'z')"
+
+
+def subwords_sql(text: str) -> str:
+    """SQL for DuckDB: the sorted distinct subwords of a text."""
+    halves, parts = _cut(_HUMP), _cut(f"({_HUMP} AND NOT ({_SHORT})) OR ({_ROW}) OR {_DIGITS}")
+    many = lambda xs: f"CASE WHEN len({xs}) > 1 THEN {xs} ELSE [] END"
+    pairs = "list_transform(range(1, len(p)), lambda i: p[i] || p[i + 1])"
+    begins = "list_transform(range(3, len(p)), lambda i: array_to_string(p[1:i], ''))"
+    each = f"flatten(list_transform([{parts}], lambda p: list_concat({many('p')}, {pairs}, {begins})))"
+    words = f"list_filter(list_distinct(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9]+')), lambda w: regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]'))"
+    return f"list_sort(list_distinct(list_transform(flatten(list_transform({words}, lambda w: list_concat(flatten(list_transform([{halves}], lambda h: {many('h')})), {each}))), lambda s: lower(s))))"
+
+
+SUBWORDS = subwords_sql("concat_ws(' ', title, description, alias, body)")
+
+
 def with_views(sql: str) -> str:
-    """A statement for DuckDB with the views it needs in front; `notes` is v_notes with trust_tier."""
+    """A statement for DuckDB with the views it needs in front; `notes` is v_notes with trust_tier, aliases and subwords."""
     import re
 
-    views = VIEWS | {"notes": f"SELECT *, {TIER} AS trust_tier FROM v_notes"}
+    views = VIEWS | {"notes": f"SELECT *, {TIER} AS trust_tier, alias AS aliases, array_to_string({SUBWORDS}, ' ') AS subwords FROM v_notes"}
     needed: list[str] = []
 
     def need(text: str) -> None:

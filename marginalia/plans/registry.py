@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter, markdown, scalar, text
-from marginalia.operators import delta, graph, move, quality, resolve, search, status
-from marginalia.plans.adapters import Views, with_views
+from marginalia.operators import audit, delta, graph, move, quality, resolve, search, status
+from marginalia.sources import notes as ingest
+from marginalia.sources import vault
+from marginalia.plans.adapters import SUBWORDS, Views, subwords_sql, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,17 +45,27 @@ def path_algebra(v: Views) -> DataFrame:
     return v.notes.select("cid", "rel_path", scalar.cid_of(p).alias("cid_of"), scalar.layer_of(p).alias("layer_of"), scalar.stem_of(p).alias("stem_of"), scalar.path_of(F.col("cid")).alias("path_of"))
 
 
-_ODD = "CASE doc_id % 9 WHEN 0 THEN 'a.md' WHEN 1 THEN 'raw/x.md' WHEN 2 THEN 'wiki/.hid/x.md' WHEN 3 THEN 'wiki/../x.md' WHEN 4 THEN 'wiki/x.txt' WHEN 5 THEN 'wiki/.x.md' WHEN 6 THEN 'wiki//x.md' WHEN 7 THEN 'wiki\\x.md' ELSE 'wiki/x.md' END"
+#: Paths of every fault, with parts that vary.
+_ODD = "CASE doc_id % 13 WHEN 0 THEN stem || '.md' WHEN 1 THEN 'raw/' || stem || '.md' WHEN 2 THEN layer || '/.' || stem || '/x.md' WHEN 3 THEN layer || '/../' || stem || '.md' WHEN 4 THEN rel_path || '.txt' WHEN 5 THEN layer || '/.' || stem || '.md' WHEN 6 THEN layer || '//' || stem || '.md' WHEN 7 THEN layer || '~' || stem || '.md' WHEN 8 THEN '/' || rel_path WHEN 9 THEN layer || '/AGENTS.md' WHEN 10 THEN 'templates/' || stem || '.md' WHEN 11 THEN 'wiki/a/' || stem || '.md' ELSE rel_path END"
+_LAST = "regexp_extract(p, '[^/]*$')"
 
 
-@query("path_violation", f"SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'root' WHEN 1 THEN 'reserved' WHEN 2 THEN 'hidden' WHEN 3 THEN 'segment' WHEN 4 THEN 'suffix' WHEN 5 THEN 'dotfile' WHEN 6 THEN 'segment' WHEN 7 THEN 'separator' END AS violation FROM notes")
+@query(
+    "path_violation",
+    f"""SELECT doc_id, CASE WHEN p = '' OR starts_with(p, '/') THEN 'absolute' WHEN NOT contains(p, '/') OR len(list_filter(string_split(p, '/'), lambda x: x IN ('', '.', '..'))) > 0 THEN 'root'
+    WHEN regexp_matches(p, '(^|/)[.][^/]*/') THEN 'hidden' WHEN regexp_matches(p, '^(raw|log)/') THEN 'reserved' WHEN starts_with(p, 'templates/') THEN 'template' WHEN {_LAST} = 'AGENTS.md' THEN 'manifest'
+    WHEN starts_with({_LAST}, '.') OR NOT ends_with(p, '.md') THEN 'suffix' WHEN regexp_matches(p, '^wiki/.*/') THEN 'nested' END AS violation FROM (SELECT doc_id, replace({_ODD}, '~', '/') AS p FROM notes) x""",
+)
 def path_violation(v: Views) -> DataFrame:
-    return v.notes.select("doc_id", F.expr(_ODD.replace("\\", "\\\\")).alias("p")).select("doc_id", scalar.path_violation(F.col("p")).alias("violation"))
+    return v.notes.select("doc_id", F.replace(F.expr(_ODD), F.lit("~"), F.lit("\\")).alias("p")).select("doc_id", scalar.path_violation(F.col("p"), "templates", for_write=True).alias("violation"))
+
 
+_TAG = "concat(upper(substr(lang, 1, 1)), substr(lang, 2), CASE WHEN doc_id % 3 = 0 THEN '__' ELSE '_' END, source, CASE WHEN doc_id % 4 = 0 THEN '-' ELSE '' END)"
 
-@query("canonical_tags", "SELECT doc_id, array_to_string(CASE WHEN lang = 'q1' THEN ['q1'] ELSE [lang, 'q-1'] END, ' ') AS tags FROM documents")
+
+@query("canonical_tags", f"SELECT doc_id, array_to_string(list_filter([t, lang, CASE WHEN t2 NOT IN (t, lang) THEN t2 END], lambda x: x IS NOT NULL AND x <> ''), ' ') AS tags FROM (SELECT doc_id, lang, trim(regexp_replace(lower({_TAG}), '_+', '-', 'g'), '-') AS t, trim(regexp_replace(lower('_' || upper(source) || '__1'), '_+', '-', 'g'), '-') AS t2 FROM documents) x")
 def canonical_tags(v: Views) -> DataFrame:
-    raw = F.array(F.upper("lang"), F.lit("_Q__1-"), F.lit("--"), F.col("lang"))
+    raw = F.array(F.expr(_TAG), F.upper("lang"), F.lit("--"), F.concat(F.lit("_"), F.upper("source"), F.lit("__1")), F.col("lang"))
     return v["documents"].select("doc_id", F.array_join(scalar.canonical_tags(raw), " ").alias("tags"))
 
 
@@ -66,9 +79,13 @@ def timestamp_valid(v: Views) -> DataFrame:
     return v.notes.select("doc_id", scalar.valid_timestamp(F.col("ver_at")).alias("valid"))
 
 
-@query("slugify", "SELECT p_partkey, replace(regexp_replace(lower(trim(p_name || ' (' || p_brand || ')')), '[^a-z0-9_\\- ]', '', 'g'), ' ', '-') AS slug FROM part")
+_TITLE = "concat('  ', p_name, ' -- (', p_brand, ')_', CASE WHEN p_partkey % 7 = 0 THEN 'Größe é' ELSE '' END, ' - ')"
+
+
+@query("slugify", f"SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')), '[-\\s_]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '--- (!) ' ELSE {_TITLE} END AS t FROM part) x")
 def slugify(v: Views) -> DataFrame:
-    return v["part"].select("p_partkey", scalar.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+    title = F.when(F.col("p_partkey") % 11 == 0, F.lit("--- (!) ")).otherwise(F.expr(_TITLE))
+    return v["part"].select("p_partkey", scalar.file_stem(title).alias("slug"))
 
 
 @query("body_hash", r"SELECT doc_id, 'sha256:' || sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\r\f\v]+(\n|\z)', '\1', 'g'), '\A\n+|\n+\z', '', 'g')) AS body_hash FROM documents")
@@ -89,14 +106,16 @@ def epistemic_multiplier(v: Views) -> DataFrame:
 # ------------------------------------------------------------------ search
 
 TOKENS = "regexp_extract_all(lower(strip_accents(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}]+')"
-COLUMNS = {"title": 4.0, "description": 2.0, "body": 1.0, "tags": 1.5}
+COLUMNS = {"title": 4.0, "description": 2.0, "body": 1.0, "tags": 1.5, "aliases": 2.5, "subwords": 1.0}
+#: What the words of the queries below stem to, as patterns of the words that share the stem.
+THSH, THBLE, INEA, THE, OF, QUE, IN = "thshs?", "thble(s|ing)?", "inea(e|s|es|ed|ing|eds|ings)?", "the(s|ing)?", "of(s|e|es|ed|ing)?", "que(s|ing)?", "in(s|e|es|ed|ing)?"
 
 
 def match_sql(leaves: list[tuple[tuple[str, ...], bool]], holds: str, layer: str = "layer <> 'raw'") -> str:
-    """CTEs `scored` (columns of notes, score without multipliers) for leaves (words, prefix) and a condition over n_0, n_1, ..."""
+    """CTEs `scored` (columns of notes, score without multipliers) for leaves (patterns of words, prefix) and a condition over n_0, n_1, ..."""
 
     def count(column: str, words: tuple[str, ...], prefix: bool) -> str:
-        hit = lambda x, w, last: f"starts_with({x}, '{w}')" if last and prefix else f"{x} = '{w}'"
+        hit = lambda x, w, last: f"starts_with({x}, '{w}')" if last and prefix else f"regexp_full_match({x}, '{w}')"
         if len(words) == 1:
             return f"len(list_filter(t_{column}, lambda x: {hit('x', words[0], True)}))"
         each = " AND ".join(hit(f"t_{column}[i + {k}]", w, k == len(words) - 1) for k, w in enumerate(words))
@@ -120,6 +139,10 @@ hits AS (SELECT *, {', '.join(f'{x} > 0 AS n_{i}' for i, x in enumerate(n))} FRO
 scored AS (SELECT *, {' + '.join([*score, *floor])} AS score FROM hits, stats WHERE {holds})"""
 
 
+#: Mixed-case words of every shape, from a part's columns.
+_MIXED = "concat(replace(p_brand, '#', ''), 'SoA', substr(p_name, 1, 4), 'XMLHttp', p_size, 'Req ', p_type, 'FP', p_partkey, 'aBc')"
+
+
 def one(word: str) -> tuple[tuple[str, ...], bool]:
     return (word,), False
 
@@ -146,35 +169,57 @@ def term_df(v: Views) -> DataFrame:
 
 
 def _match(name: str, q: str, leaves: list, holds: str) -> None:
-    query(name, match_sql(leaves, holds) + " SELECT cid, round(score, 4) AS score FROM scored")(lambda v: rounded(search.match(v.notes.where("layer != 'raw'"), q), "score"))
+    query(name, match_sql(leaves, holds) + " SELECT cid, round(score, 4) AS score FROM scored")(lambda v: rounded(search.match(v.index, q), "score"))
 
 
-_match("match_and", "the thsh", [one("the"), one("thsh")], "n_0 AND n_1")
-_match("match_or", "thsh OR thble", [one("thsh"), one("thble")], "n_0 OR n_1")
-_match("match_not", "the AND NOT thsh", [one("the"), one("thsh")], "n_0 AND NOT n_1")
-_match("match_phrase", '"of the"', [(("of", "the"), False)], "n_0")
+_match("match_and", "the thsh", [one(THE), one(THSH)], "n_0 AND n_1")
+_match("match_or", "thsh OR thbleing", [one(THSH), one(THBLE)], "n_0 OR n_1")
+_match("match_not", "thes AND NOT thsh", [one(THE), one(THSH)], "n_0 AND NOT n_1")
+_match("match_phrase", '"of the"', [((OF, THE), False)], "n_0")
 _match("match_prefix", "thbl*", [(("thbl",), True)], "n_0")
-_match("match_mixed", "que OR in the NOT thsh", [one("que"), one("in"), one("the"), one("thsh")], "n_0 OR (n_1 AND (n_2 AND NOT n_3))")
+_match("match_mixed", "que OR ining the NOT thsh", [one(QUE), one(IN), one(THE), one(THSH)], "n_0 OR (n_1 AND (n_2 AND NOT n_3))")
+_match("match_subword", "crashloop", [one("crashloop")], "n_0")
 
 
-@query("bm25_topk", match_sql([one("thsh"), one("thble")], "n_0 OR n_1") + f" SELECT cid, title, type, status, trust_tier, round(score * {MULT}, 4) AS score FROM scored ORDER BY score * {MULT} DESC, cid LIMIT 20")
+@query("bm25_topk", match_sql([one(THSH), one(THBLE)], "n_0 OR n_1") + f" SELECT cid, title, type, status, trust_tier, round(score * {MULT}, 4) AS score FROM scored ORDER BY score * {MULT} DESC, cid LIMIT 20")
 def bm25_topk(v: Views) -> DataFrame:
-    return rounded(search.top(v.notes, "thsh OR thble", 20), "score")
+    return rounded(search.top(v.index, "thsh OR thble", 20), "score")
+
+
+def tiers_sql(*tiers: tuple[int, list, str], limit: int) -> str:
+    """The tiers (number, leaves, condition) one after the other, each note once."""
+    parts, rows = [], []
+    for k, leaves, holds in tiers:
+        part = match_sql(leaves, holds)[len("WITH ") :]
+        for name in ("toks", "stats", "hits", "scored", "tf"):
+            part = re.sub(rf"\b{name}\b", f"{name}_{k}", part)
+        parts.append(part)
+        rows.append(f"SELECT cid, score * {MULT} AS score, {k} AS tier FROM scored_{k}")
+    return f"""WITH {", ".join(parts)}, tiers AS ({" UNION ALL ".join(rows)}),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY tier) AS k FROM tiers)
+SELECT cid, round(score, 4) AS score, tier FROM firsts WHERE k = 1 ORDER BY tier, firsts.score DESC, cid LIMIT {limit}"""
 
 
-_T0 = match_sql([one("thsh"), one("inea")], "n_0 AND n_1").replace("toks", "toks_a").replace("tf AS", "tf_a AS").replace("FROM tf", "FROM tf_a").replace("stats AS", "stats_a AS").replace("hits, stats", "hits_a, stats_a").replace("hits AS", "hits_a AS").replace("scored AS", "scored_a AS")
-_T2 = match_sql([one("thsh"), one("inea")], "n_0 OR n_1")[len("WITH ") :]
+@query("search_tiered", tiers_sql((0, [one(THSH), one(INEA)], "n_0 AND n_1"), (2, [one(THSH), one(INEA)], "n_0 OR n_1"), limit=50))
+def search_tiered(v: Views) -> DataFrame:
+    return rounded(search.search(v.index, "thsh inea", 50), "score").select("cid", "score", "tier")
 
 
-@query(
-    "search_tiered",
-    f"""{_T0}, {_T2},
-tiers AS (SELECT cid, score * {MULT} AS score, 0 AS tier FROM scored_a UNION ALL SELECT cid, score * {MULT}, 2 FROM scored),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY tier) AS k FROM tiers)
-SELECT cid, round(score, 4) AS score, tier FROM firsts WHERE k = 1 ORDER BY tier, firsts.score DESC, cid LIMIT 50""",
-)
-def search_tiered(v: Views) -> DataFrame:
-    return rounded(search.search(v.notes, "thsh inea", 50), "score").select("cid", "score", "tier")
+#: More than all notes that hold the one word, so that the tier of its parts is needed.
+@query("search_camel", tiers_sql((0, [one("crashloopbackoff")], "n_0"), (1, [one(w) for w in ("crash", "loop", "back", "off")], "n_0 AND n_1 AND n_2 AND n_3"), limit=1_000_000))
+def search_camel(v: Views) -> DataFrame:
+    return rounded(search.search(v.index, "CrashLoopBackOff", 1_000_000), "score").select("cid", "score", "tier")
+
+
+@query("camel_subwords", f"SELECT cid, array_to_string({SUBWORDS}, ' ') AS subwords FROM notes UNION ALL SELECT p_partkey::varchar, array_to_string({subwords_sql(_MIXED)}, ' ') FROM part")
+def camel_subwords(v: Views) -> DataFrame:
+    joined = lambda t: F.array_join(F.array_sort(text.camel_subwords(t)), " ").alias("subwords")
+    return v.notes.select("cid", joined(F.concat_ws(" ", "title", "description", "alias", "body"))).unionByName(v["part"].select(F.col("p_partkey").cast("string").alias("cid"), joined(F.expr(_MIXED))))
+
+
+@query("index_integrity", f"SELECT 0::bigint AS missing, 0::bigint AS extra, count(*)::bigint AS total FROM (SELECT DISTINCT cid, c, term FROM ({' UNION ALL '.join(f'SELECT cid, {k} AS c, unnest({TOKENS.format(c)}) AS term FROM notes WHERE parse_error IS NULL' for k, c in enumerate(COLUMNS))}) x) y")
+def index_integrity(v: Views) -> DataFrame:
+    return search.integrity(v.index)
 
 
 # ------------------------------------------------------------------ graph
@@ -230,12 +275,36 @@ def moc_overlap(v: Views) -> DataFrame:
     return graph.hub_overlap(v["supplier"].select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("cid")), v["v_hub_links"])
 
 
-_REACH = "WITH RECURSIVE r(cid) AS (SELECT 'order/' || o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT target_cid FROM v_links JOIN r ON source_cid = r.cid WHERE target_cid IS NOT NULL) SELECT cid FROM r"
+_NEAR = f"""WITH e AS (SELECT DISTINCT source_cid AS s, target_cid AS t FROM v_links WHERE target_cid IS NOT NULL),
+f1 AS (SELECT t AS cid, (SELECT sum(occurrences) FROM v_links WHERE source_cid = '{PART}' AND target_cid = t) AS n FROM e WHERE s = '{PART}'),
+b1 AS (SELECT source_cid AS cid, sum(occurrences) AS n FROM v_links WHERE target_cid = '{PART}' GROUP BY 1),
+f2 AS (SELECT e.t AS cid, count(*) AS n FROM e JOIN f1 ON e.s = f1.cid WHERE e.t <> '{PART}' AND e.t NOT IN (SELECT cid FROM f1) GROUP BY 1),
+b2 AS (SELECT e.s AS cid, count(*) AS n FROM e JOIN b1 ON e.t = b1.cid WHERE e.s <> '{PART}' AND e.s NOT IN (SELECT cid FROM b1) GROUP BY 1),
+cc AS (SELECT y.t AS cid, count(*) AS n FROM e x JOIN e y ON x.s = y.s WHERE x.t = '{PART}' AND y.t <> '{PART}' GROUP BY 1),
+cp AS (SELECT y.s AS cid, count(*) AS n FROM e x JOIN e y ON x.t = y.t WHERE x.s = '{PART}' AND y.s <> '{PART}' GROUP BY 1),
+every AS (SELECT 'forward' AS kind, * FROM f1 UNION ALL SELECT 'back', * FROM b1 UNION ALL SELECT 'forward_2', * FROM f2 UNION ALL SELECT 'back_2', * FROM b2 UNION ALL SELECT 'co_cited', * FROM cc UNION ALL SELECT 'coupled', * FROM cp),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, cid)::int AS rank, count(*) OVER (PARTITION BY kind)::bigint AS total FROM every)
+SELECT kind, rank, cid, n::bigint AS n, total, p_name AS title, p_type AS type, NULL AS status, p_brand AS trust_tier FROM ranked LEFT JOIN part ON cid = 'part/' || p_partkey WHERE rank <= 20"""
+
+
+@query("note_graph", _NEAR)
+def note_graph(v: Views) -> DataFrame:
+    parts = v["part"].select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("cid"), F.col("p_name").alias("title"), F.col("p_type").alias("type"), F.lit(None).cast("string").alias("status"), F.col("p_brand").alias("trust_tier"))
+    return graph.view(parts, v["v_links"], "neighborhood", PART)
+
+
+@query("hub_overview", "WITH e AS (SELECT DISTINCT source_cid AS s, target_cid AS t FROM v_hub_links), z AS (SELECT s, count(*) AS n FROM e GROUP BY 1), pairs AS (SELECT x.s AS a, y.s AS b, count(*)::bigint AS shared, least(min(za.n), min(zb.n))::bigint AS smaller FROM e x JOIN e y ON x.t = y.t AND x.s < y.s JOIN z za ON za.s = x.s JOIN z zb ON zb.s = y.s GROUP BY 1, 2) SELECT *, shared / smaller AS ratio, count(*) OVER ()::bigint AS total FROM pairs ORDER BY ratio DESC, shared DESC, a, b LIMIT 20")
+def hub_overview(v: Views) -> DataFrame:
+    hubs = v["supplier"].select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("cid"), F.lit("wiki").alias("layer"), F.lit("moc").alias("type"), F.lit(None).cast("string").alias("parse_error"))
+    return graph.hub_overview(hubs, v["v_hub_links"])
+
+
+_REACH = "WITH RECURSIVE r(cid) AS (SELECT 'order/' || o_orderkey FROM orders UNION SELECT target_cid FROM v_links JOIN r ON source_cid = r.cid WHERE target_cid IS NOT NULL) SELECT cid FROM r"
 
 
 @query("reachable", _REACH)
 def reachable(v: Views) -> DataFrame:
-    start = v["orders"].where("o_orderkey % 97 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("cid"))
+    start = v["orders"].select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("cid"))
     return graph.reachable(start, v["v_links"])
 
 
@@ -329,6 +398,30 @@ def queues(v: Views) -> DataFrame:
     return status.queues(v.notes, v["v_note_links"], v["v_note_sources"])
 
 
+_LISTS = _UNFILED.replace(" SELECT cid, stem, rel_path FROM notes WHERE layer = 'wiki'", ", u AS (SELECT cid FROM notes WHERE layer = 'wiki'") + f"""), d AS ({_DEBT}),
+every AS (SELECT 'unfiled' AS queue, cid AS item, NULL AS description FROM u UNION ALL SELECT 'raw', rel_path, NULL FROM ({_TODO}) t UNION ALL SELECT 'human_owed', cid, NULL FROM d WHERE human_owed UNION ALL SELECT 'agent_payable', cid, NULL FROM d WHERE NOT human_owed),
+entries AS (SELECT 'entry_points' AS queue, cid AS item, description FROM notes WHERE layer <> 'archive' AND type = 'moc' AND parse_error IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY item)::int AS rank, count(*) OVER (PARTITION BY queue)::bigint AS total FROM (SELECT * FROM every UNION ALL SELECT * FROM entries) x)"""
+
+
+@query("worklists", _LISTS + " SELECT queue, rank, item, total FROM ranked WHERE rank <= 25 AND queue <> 'entry_points'")
+def worklists(v: Views) -> DataFrame:
+    return status.worklists(v.notes, v["v_note_links"], v["v_note_sources"])
+
+
+@query(
+    "gap_report",
+    _LISTS
+    + r""", titles AS (SELECT unnest(['entry_points', 'unfiled', 'raw', 'human_owed', 'agent_payable']) AS queue, unnest(['Entry points', 'Unfiled notes', 'Raw files without citations', 'Reviews that a human owes', 'Reviews that an agent can do']) AS title),
+    cells AS (SELECT ranked.*, title, regexp_replace(replace(coalesce(description, ''), '|', '\|'), '\s+', ' ', 'g') AS cell FROM ranked JOIN titles USING (queue) WHERE rank <= 25)
+    SELECT queue AS part, 0::int AS pos, '## ' || title || ' (' || total || ')' AS line FROM cells WHERE rank = 1
+    UNION ALL SELECT queue, rank + 1, '- ' || CASE WHEN queue = 'raw' THEN '`' || item || '`' ELSE '[[' || item || ']]' END || CASE WHEN cell <> '' THEN ': ' || cell ELSE '' END FROM cells
+    UNION ALL SELECT queue, 27, '- and ' || (total - 25) || ' more' FROM cells WHERE rank = 25 AND total > 25""",
+)
+def gap_report(v: Views) -> DataFrame:
+    return status.gap_report(v.notes, v["v_note_links"], v["v_note_sources"])
+
+
 @query("filename_only_raw", "SELECT lower(regexp_extract(rel_path, '([.][^./]+)$', 1)) AS extension, count(*)::bigint AS n FROM (SELECT rel_path || CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' ELSE '' END AS rel_path FROM v_raw) x GROUP BY 1")
 def filename_only_raw(v: Views) -> DataFrame:
     return status.raw_extensions(v["v_raw"].select(F.concat("rel_path", F.expr("CASE p_partkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' ELSE '' END")).alias("rel_path")))
@@ -336,15 +429,20 @@ def filename_only_raw(v: Views) -> DataFrame:
 
 # ------------------------------------------------------------------ quality
 
+_RAW_PATH = "CASE WHEN s.cid LIKE 'wiki/deep/%' THEN 'wiki/' ELSE '' END || 'raw/d' || (s.doc_id + 1) || '.txt'"
 _P = "notes WHERE parse_error IS NULL AND layer <> 'raw'"
 GATES = {
     "lint_unparseable": "SELECT 'FRONTMATTER_UNPARSEABLE' AS code, 'error' AS severity, rel_path, parse_error AS message FROM notes WHERE layer <> 'raw' AND parse_error IS NOT NULL",
     "lint_field_missing": " UNION ALL ".join(f"SELECT 'FIELD_MISSING' AS code, 'error' AS severity, rel_path, 'Missing required field ''{c}''' AS message FROM {_P} AND coalesce(trim({c}), '') = ''" for c in ("type", "title", "description", "status")),
     "lint_enum_invalid": f"SELECT 'ENUM_INVALID' AS code, 'error' AS severity, rel_path, 'Invalid status ''' || status || '''' AS message FROM {_P} AND status = 'bogus' UNION ALL SELECT 'ENUM_INVALID', 'error', rel_path, 'Invalid type ''' || type || '''' FROM {_P} AND layer = 'projects' AND type NOT IN ('moc', 'concept', 'guide')",
     "lint_tag": f"SELECT 'TAG_MALFORMED' AS code, CASE WHEN tag = 'Bad Tag' THEN 'error' ELSE 'warning' END AS severity, rel_path, CASE WHEN tag = 'Bad Tag' THEN 'Tag with white space ''' ELSE 'Non-canonical tag ''' END || tag || '''' AS message FROM {_P} AND tag IN ('Bad Tag', 'Not_Canonical')",
-    "lint_timestamp": f"SELECT 'TIMESTAMP_INVALID' AS code, 'error' AS severity, rel_path, 'verified[0].at: ''' || ver_at || '''' AS message FROM {_P} AND ver_by IS NOT NULL AND ver_at LIKE '2024-13%'",
+    "lint_alias": f"SELECT 'ENUM_INVALID' AS code, 'error' AS severity, rel_path, 'Alias that isn''t one line of text ''two lines''' AS message FROM {_P} AND doc_id % 53 = 0",
+    "lint_manifest": "SELECT 'DOMAIN_MANIFEST_INVALID' AS code, 'error' AS severity, n_name || '/AGENTS.md' AS rel_path, CASE n_nationkey % 3 WHEN 1 THEN 'require_sources is neither true nor false; domain ''x'' isn''t the folder ''' || n_name || '''' ELSE 'its header can''t be read: tab in a header' END AS message FROM nation WHERE n_nationkey % 3 > 0",
+    "lint_timestamp": f"SELECT 'TIMESTAMP_INVALID' AS code, 'error' AS severity, rel_path, 'generated.at: ''yesterday''' AS message FROM {_P} AND doc_id % 59 = 0 UNION ALL SELECT 'TIMESTAMP_INVALID' AS code, 'error' AS severity, rel_path, 'verified[0].at: ''' || ver_at || '''' AS message FROM {_P} AND ver_by IS NOT NULL AND ver_at LIKE '2024-13%'",
+    "lint_anchor_missing": "SELECT 'ANCHOR_MISSING' AS code, 'warning' AS severity, s.rel_path, 'No heading ''Section 9'' in ' || t.cid AS message FROM v_md s JOIN v_md t ON t.doc_id = s.doc_id + 1 WHERE s.doc_id % 4 = 0",
+    "lint_raw_link": f"SELECT 'RAW_LINK_BROKEN' AS code, 'error' AS severity, s.rel_path, 'No raw file ' || {_RAW_PATH} || CASE WHEN u.rel_path IS NULL THEN '' ELSE '; did you mean ' || u.rel_path || '?' END AS message FROM v_md s LEFT JOIN v_md t ON t.rel_path = {_RAW_PATH} LEFT JOIN v_md u ON u.layer = 'raw' AND u.doc_id = s.doc_id + 1 WHERE s.doc_id % 2 = 0 AND t.rel_path IS NULL",
     "lint_nesting": f"SELECT 'WIKI_NESTING_DISALLOWED' AS code, 'error' AS severity, rel_path, 'The wiki is flat' AS message FROM {_P} AND layer = 'wiki' AND rel_path LIKE 'wiki/deep/%'",
-    "lint_link_dead": f"SELECT 'LINK_DEAD' AS code, 'error' AS severity, rel_path, 'Dead link ''' || target_raw || '''' AS message FROM v_note_links JOIN (SELECT cid, rel_path FROM {_P}) x ON cid = source_cid WHERE target_cid IS NULL",
+    "lint_link_dead": f"SELECT 'LINK_DEAD' AS code, 'error' AS severity, rel_path, 'Dead link ''' || target_raw || '''' || CASE WHEN near IS NULL THEN '' ELSE '; did you mean ' || near || '?' END AS message FROM v_note_links JOIN (SELECT cid, rel_path FROM {_P}) x ON cid = source_cid LEFT JOIN (SELECT string_split(cid, '/')[-1] AS name, array_to_string(list(cid ORDER BY cid)[1:3], ', ') AS near FROM {_P} GROUP BY 1) y ON name = string_split(target_raw, '/')[-1] WHERE target_cid IS NULL",
     "lint_source_missing": f"SELECT 'SOURCE_MISSING' AS code, 'error' AS severity, rel_path, 'No raw file ''' || raw_path || '''' AS message FROM v_note_sources JOIN (SELECT cid, rel_path FROM {_P}) x ON cid = source_cid WHERE resolved_path IS NULL UNION ALL SELECT 'SOURCE_MISSING', 'error', rel_path, 'Domain ''customers'' requires sources' FROM {_P} AND layer = 'customers' AND cid NOT IN (SELECT source_cid FROM v_note_sources)",
     "lint_orphan": f"SELECT 'NOTE_ORPHAN' AS code, 'warning' AS severity, rel_path, 'No link to or from this note' AS message FROM ({_ORPHANS}) x",
     "lint_verification": f"SELECT 'ACTOR_MALFORMED' AS code, 'error' AS severity, rel_path, 'Malformed actor ''nobody''' AS message FROM {_P} AND ver_by = 'nobody' UNION ALL SELECT 'VERIFICATION_STALE', 'warning', rel_path, 'Entry by ''' || ver_by || ''' is stale' FROM {_P} AND ver_by <> 'nobody' AND ver_stale = 1",
@@ -355,11 +453,36 @@ def allowed_types(v: Views) -> DataFrame:
     return v.spark.createDataFrame([("projects", ["moc", "concept", "guide"])], "layer string, allowed array<string>")
 
 
+def manifests(v: Views) -> DataFrame:
+    """A domain for each nation, with manifests of which two in three are broken."""
+    faults = ("allowed_types:\n  - note\nrequire_sources: true", "domain: x\nrequire_sources: maybe", "a:\tb")
+    domains = [vault.domain(r.n_name, f"---\n{faults[r.n_nationkey % 3]}\n---\nAs {r.n_name} does.") for r in v["nation"].collect()]
+    return vault.domain_table(v.spark, domains)
+
+
+def anchored(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Resolved links with anchors, and headings by note."""
+    md = v["v_md"]
+    edges = md.select("rel_path", F.explode(markdown.edge_array("md")).alias("e")).where("e.kind = 'wiki'").select("rel_path", F.col("e.target").alias("stem"), "e.anchor")
+    return edges.join(md.select("stem", F.col("cid").alias("target_cid")), "stem"), md.select("cid", markdown.heading_array("md").alias("headings"))
+
+
+def into_raw(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Relative links, and raw files."""
+    md = v["v_md"]
+    links = md.select("rel_path", F.explode(markdown.link_array("md")).alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
+    return links, md.where("layer = 'raw'").select(F.col("rel_path").alias("path"))
+
+
 RUNS: dict[str, Callable[[Views], DataFrame]] = {
     "lint_unparseable": lambda v: quality.unparseable(v.notes),
     "lint_field_missing": lambda v: quality.fields(v.notes),
     "lint_enum_invalid": lambda v: quality.enums(v.notes, allowed_types(v)),
     "lint_tag": lambda v: quality.tags(v.notes),
+    "lint_alias": lambda v: quality.aliases(v.notes),
+    "lint_manifest": lambda v: quality.manifests(manifests(v)),
+    "lint_anchor_missing": lambda v: quality.missing_anchors(*anchored(v)),
+    "lint_raw_link": lambda v: quality.broken_raw_links(*into_raw(v)),
     "lint_timestamp": lambda v: quality.timestamps(v.notes),
     "lint_nesting": lambda v: quality.nesting(v.notes),
     "lint_link_dead": lambda v: quality.dead_links(v.notes, v["v_note_links"]),
@@ -373,7 +496,7 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM ({g}) g{i}" for i, g in enumerate(GATE
 
 
 def _lint(v: Views) -> DataFrame:
-    return quality.lint(v.notes, v["v_note_links"], v["v_note_sources"], allowed_types(v), ["customers"])
+    return quality.lint(v.notes, v["v_note_links"], v["v_note_sources"], allowed_types(v), ["customers"], anchored(v), into_raw(v), manifests(v))
 
 
 query("lint_all", _ALL)(_lint)
@@ -439,35 +562,17 @@ def budget_sections(v: Views) -> DataFrame:
     return v["v_md"].select("doc_id", "md", markdown.budgeted("md", F.lit(90)).alias("b")).select("doc_id", "b.kept", "b.total", (F.col("b.text") != F.col("md")).alias("cut"))
 
 
-@query("parse_errors", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'key title stands twice' WHEN 2 THEN 'tab in an indent' WHEN 3 THEN 'no header' ELSE 'unsupported value starting with [' END AS error, (CASE doc_id % 5 WHEN 3 THEN 1 ELSE 5 END)::int AS line FROM documents WHERE doc_id % 5 <> 0")
+@query("parse_errors", "SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'key title stands twice' WHEN 2 THEN 'tab in a header' WHEN 3 THEN 'no header' ELSE 'flow values aren''t part of a header' END AS error, (CASE doc_id % 5 WHEN 3 THEN 1 ELSE 5 + doc_id % 3 END)::int AS line FROM documents WHERE doc_id % 5 <> 0")
 def parse_errors(v: Views) -> DataFrame:
     rows = v["v_headers"].select("doc_id", frontmatter.parsed_column("file").alias("p"))
     return rows.where("p.error IS NOT NULL").select("doc_id", "p.error", "p.line")
 
 
-@query("header_fields", "SELECT doc_id, 'Note ' || doc_id AS title, lang AS tag, doc_id::bigint AS rank, 'Body ' || doc_id AS body FROM documents WHERE doc_id % 5 = 0")
+@query("header_fields", "SELECT doc_id, 'Note ' || doc_id AS title, lang AS tag, doc_id::varchar AS rank, (CASE doc_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'True' WHEN 2 THEN '~' END) AS flag, 'Body ' || doc_id || chr(10) || text AS body FROM documents WHERE doc_id % 5 = 0")
 def header_fields(v: Views) -> DataFrame:
     rows = v["v_headers"].select("doc_id", frontmatter.parsed_column("file").alias("p")).where("p.error IS NULL")
     field = lambda path: F.get_json_object("p.fields", path)
-    return rows.select("doc_id", field("$.title").alias("title"), field("$.tags[0]").alias("tag"), field("$.rank").cast("long").alias("rank"), "p.body")
-
-
-@query("lint_anchor_missing", "SELECT 'ANCHOR_MISSING' AS code, 'warning' AS severity, s.rel_path, 'No heading ''Section 9'' in ' || t.cid AS message FROM v_md s JOIN v_md t ON t.doc_id = s.doc_id + 1 WHERE s.doc_id % 4 = 0")
-def lint_anchor_missing(v: Views) -> DataFrame:
-    md = v["v_md"]
-    edges = md.select("rel_path", F.explode(markdown.edge_array("md")).alias("e")).where("e.kind = 'wiki'").select("rel_path", F.col("e.target").alias("stem"), "e.anchor")
-    resolved = edges.join(md.select("stem", F.col("cid").alias("target_cid")), "stem")
-    return quality.missing_anchors(resolved, md.select("cid", markdown.heading_array("md").alias("headings")))
-
-
-_RAW_PATH = "CASE WHEN s.cid LIKE 'wiki/deep/%' THEN 'wiki/' ELSE '' END || 'raw/d' || (s.doc_id + 1) || '.txt'"
-
-
-@query("lint_raw_link", f"SELECT 'RAW_LINK_BROKEN' AS code, 'error' AS severity, s.rel_path, 'No raw file ' || {_RAW_PATH} AS message FROM v_md s LEFT JOIN v_md t ON t.rel_path = {_RAW_PATH} WHERE s.doc_id % 2 = 0 AND t.rel_path IS NULL")
-def lint_raw_link(v: Views) -> DataFrame:
-    md = v["v_md"]
-    links = md.select("rel_path", F.explode(markdown.link_array("md")).alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
-    return quality.broken_raw_links(links, md.where("layer = 'raw'").select(F.col("rel_path").alias("path")))
+    return rows.select("doc_id", field("$.title").alias("title"), field("$.tags[0]").alias("tag"), field("$.rank").alias("rank"), field("$.flag").alias("flag"), "p.body")
 
 
 # ------------------------------------------------------------------ moves
@@ -493,3 +598,55 @@ def move_plan(v: Views) -> DataFrame:
     cids = n.select("cid").distinct()
     moves = cids.where("cid LIKE 'wiki/%' AND cid LIKE '%5'").select("cid", F.expr("'projects/moved-' || substr(cid, 6)").alias("new_cid"))
     return move.plan(n.select(F.col("cid").alias("source_cid"), F.col("probe").alias("target_raw")), cids, moves)
+
+
+_MADE = "SELECT DISTINCT 'wiki/n' || (doc_id % 50) AS cid FROM v_names"
+_NEW = _AFTER.split("n2 AS")[1].replace("c2", "c3").replace("i2 AS", "i3 AS").replace("FROM n2", "FROM n3")
+
+
+@query(
+    "scaffold_takeover",
+    _INDEX
+    + f""", c3 AS (SELECT cid, CASE WHEN cid LIKE 'wiki/%' THEN 0 WHEN cid LIKE 'archive/%' THEN 2 ELSE 1 END AS prio, string_split(cid, '/') AS p FROM (SELECT cid FROM v_names UNION {_MADE}) u),
+    n3 AS {_NEW}, r AS (SELECT DISTINCT q.probe AS target_raw, {_FOUND.format(i="i")} AS was, {_FOUND.format(i="i3")} AS will FROM q)
+    SELECT target_raw, was, will FROM r WHERE was IS NOT NULL AND will IS DISTINCT FROM was""",
+)
+def scaffold_takeover(v: Views) -> DataFrame:
+    n = v["v_names"]
+    created = n.select(F.concat(F.lit("wiki/n"), (F.col("doc_id") % 50).cast("string")).alias("cid")).distinct()
+    return move.takeovers(n.select(F.col("probe").alias("target_raw")), n.select("cid").distinct(), created)
+
+
+# ------------------------------------------------------------------ ingest and audit
+
+
+@query(
+    "audit_mismatch",
+    """WITH f AS (SELECT rel_path, CASE doc_id % 7 WHEN 3 THEN 4 WHEN 2 THEN 4 WHEN 1 THEN 4 WHEN 4 THEN 5 END AS line, doc_id % 7 AS k FROM v_files WHERE doc_id % 5 <> 4)
+    SELECT 'PROVENANCE_MISMATCH' AS code, f.rel_path, f.line::int AS line, 'human:ann' AS actor, coalesce(b.commit, '') AS commit,
+    CASE k WHEN 3 THEN '''human:ann'' attestation has no history; commit the file' WHEN 2 THEN '''human:ann'' attestation isn''t committed yet' WHEN 1 THEN 'author ''eve@x.org'' of the ''human:ann'' attestation isn''t one of the actor''s identities' ELSE 'author ''eve@x.org'' of the ''human:ann'' attestation (its line 5) isn''t one of the actor''s identities' END AS message
+    FROM f LEFT JOIN v_blame b ON b.rel_path = f.rel_path AND b.line = f.line WHERE k IN (1, 2, 3, 4)""",
+)
+def audit_mismatch(v: Views) -> DataFrame:
+    people = v.spark.createDataFrame([("human:ann", "ann@x.org")], "actor string, email string")
+    return audit.audit(audit.entries(v["v_files"].select("rel_path", "text")), v["v_blame"], people)
+
+
+@query(
+    "notes_ingest",
+    r"""SELECT left(n.rel_path, length(n.rel_path) - 3) AS cid, n.rel_path, n.layer, n.stem, CASE WHEN doc_id % 5 = 0 THEN 'Note ' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS tags, doc_id % 5 <> 0 AS broken, 'unverified' AS trust_tier,
+    'sha256:' || sha256(regexp_replace(regexp_replace(regexp_replace(CASE WHEN doc_id % 5 = 3 THEN file ELSE regexp_extract(file, '(?s)\n---\n(.*)$', 1) END, '\r\n?', chr(10), 'g'), '[ \t\r\f\v]+(\n|\z)', '\1', 'g'), '\A\n+|\n+\z', '', 'g')) AS body_hash
+    FROM v_headers JOIN v_notes n USING (doc_id) JOIN documents USING (doc_id) WHERE n.layer <> 'raw'""",
+)
+def notes_ingest(v: Views) -> DataFrame:
+    files = v["v_headers"].join(v["v_notes"].where("layer <> 'raw'").select("doc_id", "rel_path"), "doc_id").select("rel_path", F.col("file").alias("text"), F.lit(0).cast("long").alias("file_size"), F.lit(0.0).alias("mtime"))
+    return ingest.notes(files).select("cid", "rel_path", "layer", "stem", "title", "tags", F.col("parse_error").isNotNull().alias("broken"), "trust_tier", "body_hash")
+
+
+_RAW_FILE = "'raw/' || p_partkey || '/' || CASE p_partkey % 4 WHEN 0 THEN 'a.TXT' WHEN 1 THEN 'b.pdf' WHEN 2 THEN '.hidden.md' ELSE 'c.md' END"
+
+
+@query("raw_ingest", f"SELECT rel_path, rel_path AS cid, 'raw' AS layer, string_split(rel_path, '/')[-1] AS title, CASE WHEN rel_path LIKE '%.pdf' THEN '' ELSE p_name END AS body, sha256(p_name) AS file_hash FROM (SELECT p_name, {_RAW_FILE} AS rel_path FROM part) x WHERE rel_path NOT LIKE '%/.%'")
+def raw_ingest(v: Views) -> DataFrame:
+    files = v["part"].select(F.expr(_RAW_FILE).alias("rel_path"), F.col("p_name").cast("binary").alias("content"), F.length("p_name").cast("long").alias("file_size"), F.lit(0.0).alias("mtime"))
+    return ingest.raw(files, list(vault.TEXT_SUFFIXES)).select("rel_path", "cid", "layer", "title", "body", "file_hash")

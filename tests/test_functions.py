@@ -39,10 +39,13 @@ def test_rewrites():
     assert ql.any_of(["the", "Tree", "tree", "leaf"]) == ["Tree", "OR", "leaf"] and ql.any_of(["a"]) is None and ql.any_of(["the", "of"]) is None
 
 
-def test_camel_subwords():
-    assert text.camel_subwords("CrashLoopBackOff") == ["crash", "loop", "back", "off", "crashloop", "loopback", "backoff", "crashloopback"]
-    assert set(text.camel_subwords("SQLiteWAL")) >= {"sqlite", "wal"}
-    assert text.camel_subwords("plain UPPER 123") == [] and text.camel_subwords(None) == []
+def test_camel_subwords(spark):
+    rows = spark.createDataFrame([("CrashLoopBackOff",), ("SQLiteWAL",), ("FlashAttention3 FP8TensorCore SGLT2i SoAChunkAllocator",), ("plain UPPER 123",), (None,)], "t string")
+    got = [r[0] for r in rows.select(text.camel_subwords(F.col("t"))).collect()]
+    assert got[0] == ["crash", "loop", "back", "off", "crashloop", "loopback", "backoff", "crashloopback"]
+    assert set(got[1]) >= {"sqlite", "wal"} and got[3] == got[4] == []
+    assert set(got[2]) >= {"flash", "attention", "flashattention", "fp", "fp8", "tensor", "core", "tensorcore", "sglt", "sglt2", "soa", "soachunk", "chunk", "allocator"}
+    assert text.camel_parts("SoAChunkAllocator") == ["soa", "chunk", "allocator"] and text.camel_parts("plain") == []
 
 
 def test_scalars(spark):
