@@ -13,12 +13,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import canonical_tag
 from marginalia.functions.stemming import porter, stems
-from marginalia.functions.text import tokens
+from marginalia.functions.text import cut_at_words, tokens
 from marginalia.plans import query_language as ql
 
 #: Weights of the columns, the floor for a column that is hit, the multipliers, and BM25's constants.
@@ -243,10 +244,6 @@ def snippets(found: DataFrame, notes: DataFrame, query: str, size: int = 15) ->
 
 
 def _snippet(wanted: list[tuple[str, bool]], size: int):
-    import pandas as pd
-
-    from marginalia.functions.text import cut_at_words
-
     @F.pandas_udf("string")
     def make(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda body: cut_at_words(body or "", lambda word: next((i for i, (stem, prefix) in enumerate(wanted) if (porter(word).startswith(stem) if prefix else porter(word) == stem)), None), size))

@@ -71,24 +71,29 @@ def notes(spark):
     return spark.createDataFrame([make("wiki/a", "quartz lamp"), make("archive/a", "quartz lamp"), make("wiki/b", "quartz only", tier="human-reviewed"), make("wiki/c", "lamp stand", tags="x b-tree"), make("wiki/d", "crash loop seen"), make("wiki/e", "quartz lamp", error="bad"), make("raw/f.txt", "quartz " * 200), *[make(f"wiki/z{i}", "filler text") for i in range(20)]], NOTE)
 
 
-def test_search_tiers(notes):
-    got = [(r.cid, r.tier) for r in search.search(notes, "quartz lamp", 10).collect()]
+@pytest.fixture(scope="module")
+def index(notes, tmp_path_factory):
+    return search.build(notes, str(tmp_path_factory.mktemp("index")))
+
+
+def test_search_tiers(index):
+    got = [(r.cid, r.tier) for r in search.search(index, "quartz lamp", 10).collect()]
     assert got[:2] == [("wiki/a", 0), ("archive/a", 0)] and {c for c, t in got[2:]} == {"wiki/b", "wiki/c"} and all(t == 2 for _, t in got[2:])
-    assert [r.cid for r in search.search(notes, "CrashLoop").collect()] == ["wiki/d"]
-    assert search.search(notes, "--").count() == 0 and search.search(notes, "--", tag="B_Tree").count() == 1
-    assert [r.cid for r in search.search(notes, "quartz", domain="raw").collect()] == ["raw/f.txt"]
+    assert [r.cid for r in search.search(index, "CrashLoop").collect()] == ["wiki/d"]
+    assert search.search(index, "--").count() == 0 and search.search(index, "--", tag="B_Tree").count() == 1
+    assert [r.cid for r in search.search(index, "quartz", domain="raw").collect()] == ["raw/f.txt"]
     with pytest.raises(ValueError):
-        search.search(notes, "x", 0)
+        search.search(index, "x", 0)
 
 
-def test_archive_halves_a_score(notes):
-    s = {r.cid: r.score for r in search.top(notes, "quartz lamp").collect()}
+def test_archive_halves_a_score(index):
+    s = {r.cid: r.score for r in search.top(index, "quartz lamp").collect()}
     assert abs(s["wiki/a"] - 2 * s["archive/a"]) < 1e-9
 
 
-def test_raw_files_leave_scores_alone(notes):
-    one = {r.cid: r.score for r in search.top(notes, "quartz").collect()}
-    assert one == {r.cid: r.score for r in search.top(notes.where("layer != 'raw'"), "quartz").collect()}
+def test_raw_files_leave_scores_alone(notes, index, tmp_path):
+    one = {r.cid: r.score for r in search.top(index, "quartz").collect()}
+    assert one == {r.cid: r.score for r in search.top(search.build(notes.where("layer != 'raw'"), str(tmp_path)), "quartz").collect()}
 
 
 def test_six_nodes(spark):
