@@ -6,9 +6,11 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a single machine's Spark (master local) gets a temporary
+    one; on a cluster that would be many folders, so there it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         app = spark.sparkContext.applicationId
@@ -31,6 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that `column`'s texts in each make about `size` bytes at most (a longer text stands alone).
+
+    What an operator holds as Python objects is then bounded by bytes, not rows.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        share = (np.cumsum(lens) - 1) // size
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            yield batch.slice(a, b - a)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -66,76 +89,112 @@ _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordTokenizer:
-    """Exact ids of the tokenizers library, with a bounded memo of pre-tokens.
+    """Exact ids of the tokenizers library, with a bounded memo of words.
 
-    BPE never crosses a pre-token, so each distinct pre-token is encoded once by
-    the library and then looked up.  Texts with characters outside `_PLAIN`, or
+    A word is what stands between white space: one or more pre-tokens, which never
+    hold any.  BPE never crosses a pre-token, so each distinct word is encoded
+    once by the library and then looked up.  Texts with characters outside `_PLAIN`, or
     that may hold a special token's string, go to the library whole.  Other
     vocabularies than the lower-casing word BPE also go to the library whole.
+
+    The memo holds at most `MEMO` words of at most `LONGEST` characters; when
+    it is full, the `KEPT` most used stay.
     """
 
-    MEMO = 600_000
+    MEMO, KEPT, LONGEST = 300_000, 120_000, 200
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full = Tokenizer.from_str(spec)
+        self.library = Tokenizer.from_str(spec)
         parsed = json.loads(spec)
         split = ((parsed.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         kinds = [n.get("type") for n in (parsed.get("normalizer") or {}).get("normalizers", [])]
         self.fast = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == _SPLIT
         if self.fast:
-            parsed["normalizer"] = None
-            parsed["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
-            parsed["added_tokens"] = []
-            self.words = Tokenizer.from_str(json.dumps(parsed))
+            # one vocabulary in memory: the library's own steps and those for words that are split already take turns
+            self.own = (self.library.normalizer, self.library.pre_tokenizer)
+            self.spaced = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
             # every pre-token ends in exactly one id that carries the end-of-word suffix
             self.ends = np.zeros(max(parsed["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for w, i in parsed["model"]["vocab"].items() if w.endswith(parsed["model"]["end_of_word_suffix"])]] = True
-            self.special = re.compile("|".join(re.escape(t["content"]) for t in json.loads(spec)["added_tokens"]) or r"(?!)")
+            self.special = re.compile("|".join(re.escape(t["content"]) for t in parsed["added_tokens"]) or r"(?!)")
         self._reset()
 
+    def _library(self, texts: list[str], steps: tuple | None = None) -> list:
+        """The library's encodings of whole texts, or of words by `steps`."""
+        if self.fast:
+            self.library.normalizer, self.library.pre_tokenizer = steps or self.own
+        return self.library.encode_batch_fast(texts, add_special_tokens=False)
+
+    def library_ids(self, text: str) -> list[int]:
+        """What the library itself makes of a text."""
+        return self._library([text])[0].ids
+
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.offset = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _make_room(self) -> None:
+        """Keeps the most used entries."""
+        n = len(self.index)
+        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.KEPT])
+        words, uses = list(self.index), self.uses[kept] >> 1
+        ids, lens = self.ids_of(kept), self.length[kept]
+        self._reset()
+        self._store([words[i] for i in kept.tolist()], ids, lens)
+        self.uses[: len(kept)] = uses
+
+    def _store(self, part: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(part) > len(self.offset):
+            self.offset, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length, self.uses))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.offset[n : n + len(part)] = self.used + np.cumsum(lens) - lens
+        self.length[n : n + len(part)] = lens
+        self.used += len(flat)
+        self.index.update(zip(part, range(n, n + len(part)), strict=True))
+
     def _learn(self, words: list[str]) -> None:
+        """Adds words that aren't held, and the pre-tokens of those that have several, of which many are held."""
         for i in range(0, len(words), 5_000):
-            part = words[i : i + 5_000]
-            flat = np.asarray(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            lens = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
-            n = len(self.index)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.offset):
-                self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.offset[n : n + len(part)] = self.used + np.cumsum(lens) - lens
-            self.length[n : n + len(part)] = lens
-            self.used += len(flat)
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
+            split = [_PIECES.findall(w) for w in words[i : i + 5_000]]
+            fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.index]
+            if fresh:
+                flat = np.asarray(self._library([" ".join(fresh)], self.spaced)[0].ids, np.uint32)
+                self._store(fresh, flat, np.diff(np.flatnonzero(self.ends[flat]), prepend=-1))
+            several = [(w, s) for w, s in zip(words[i : i + 5_000], split, strict=True) if len(s) > 1]
+            if several:
+                sizes = np.fromiter((len(s) for _, s in several), np.int64, len(several))
+                rows = np.fromiter(map(self.index.__getitem__, chain.from_iterable(s for _, s in several)), np.int64, int(sizes.sum()))
+                self._store([w for w, _ in several], self.ids_of(rows), np.add.reduceat(self.length[rows], np.cumsum(sizes) - sizes))
 
     def pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None where only the library may split."""
+        """The words, or None where only the library may split."""
         if not self.fast or not _PLAIN.match(text) or ("<" in text and self.special.search(text)):
             return None
-        return _PIECES.findall(text.lower())
+        words = text.lower().split()
+        # a run without an end isn't kept in memory; the library takes such a text whole
+        return None if words and len(max(words, key=len)) > self.LONGEST else words
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Memo rows of pre-tokens (see `length`)."""
-        get = self.index.get
-        rows = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        """Memo rows of words (see `length`), valid until the next call."""
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         if (missing := np.flatnonzero(rows < 0)).size:
             if len(self.index) > self.MEMO:
-                self._reset()
-                self._learn(list(dict.fromkeys(words)))
-                return np.fromiter(map(self.index.get, words), np.int64, len(words))
+                self._make_room()
+                return self.rows(words)
             self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
             get = self.index.get
             rows[missing] = np.fromiter((get(words[i]) for i in missing.tolist()), np.int64, missing.size)
+        n = len(self.index)
+        self.uses[:n] += np.bincount(rows, minlength=n)
         return rows
 
     def ids_of(self, rows: np.ndarray) -> np.ndarray:
@@ -152,7 +211,7 @@ class WordTokenizer:
             counts: list[int] = []
             slow: list[str] = []
             chars = 0
-            while i < len(texts) and chars < 1_500_000:
+            while i < len(texts) and chars < 400_000:
                 text = texts[i] or ""
                 chars += len(text)
                 i += 1
@@ -165,7 +224,7 @@ class WordTokenizer:
             rows = self.rows(words)
             ids = self.ids_of(rows)
             ends = np.concatenate([[0], np.cumsum(self.length[rows])]).tolist()
-            others = iter(self.full.encode_batch_fast(slow, add_special_tokens=False) if slow else ())
+            others = iter(self._library(slow) if slow else ())
             at = 0
             for n in counts:
                 if n < 0:

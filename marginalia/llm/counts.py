@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WordTokenizer, table, tokenizer_of, vocab_json
+from marginalia.llm.common import WordTokenizer, slices, table, tokenizer_of, vocab_json
 
 #: A segment is cut at the first white space after so many characters.
 SEGMENT = 400
@@ -151,7 +151,7 @@ def count_tokens(tokens: WordTokenizer, texts: list[str]) -> list[int]:
     ends, slow = [], {}
     for k, t in enumerate(texts):
         if (p := tokens.pieces(t)) is None:
-            slow[k] = len(tokens.full.encode(t, add_special_tokens=False).ids)
+            slow[k] = len(tokens.library_ids(t))
         else:
             words += p
         ends.append(len(words))
@@ -181,34 +181,31 @@ def recount(docs: DataFrame, edits=revisions, vocab: str | None = None) -> DataF
 
     n_tokens counts the text's tokens without an end id; n_tokens_after those
     after edits(length), and n_chars_encoded what had to be encoded again for
-    them.  Null texts count as empty.  Repeated rows each give a row.
+    them.  Null texts count as empty, a null doc_id stays null, and repeated rows
+    each give a row.  An empty table gives no rows.  Only doc_id and text are
+    read, so other columns may have any name.
     """
     spec = docs.sparkSession.sparkContext.broadcast(vocab_json(vocab))
     names = ["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_chars_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_of(spec.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            parts = [segments(t) for t in texts]
+            counts = iter(count_tokens(tokens, [s for p in parts for s in p]))
             rows: list[tuple[int, int, int, int]] = []
-            at = 0
-            while at < len(texts):  # about a million characters are counted at a time
-                part, size = [], 0
-                while at < len(texts) and size < 1_000_000:
-                    part.append(segments(texts[at]))
-                    size += len(texts[at])
-                    at += 1
-                counts = iter(count_tokens(tokens, [s for p in part for s in p]))
-                for p, text in zip(part, texts[at - len(part) : at], strict=True):
-                    doc = Counted(text, tokens, [next(counts) for _ in p])
-                    before = doc.n_tokens
-                    for start, end, new in edits(len(text)):
-                        doc.edit(start, end, new)
-                    rows.append((before, doc.n_tokens, doc.n_chars, doc.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4))], names=names)
+            for p, text in zip(parts, texts, strict=True):
+                doc = Counted(text, tokens, [next(counts) for _ in p])
+                before = doc.n_tokens
+                for start, end, new in edits(len(text)):
+                    doc.edit(start, end, new)
+                rows.append((before, doc.n_tokens, doc.n_chars, doc.encoded))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, edited as `revisions` says.  See `recount` for nulls, repeated rows and empty tables."""
     return recount(table(spark, sf_dir, "documents"))
