@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, table, tokenizer_of, vocab_json
+from marginalia.llm.common import materialize, slices, table, tokenizer_of, vocab_json
 
 END_ID = 1
+#: Nodes of the search for fewer sequences.
+NODES = 5_000
+#: Frames of the search that keep their tables (two MB at most); those further up make them anew.
+TABLES = 16
 Bin = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
@@ -117,11 +121,11 @@ def fillings(left: dict[int, int], space: int) -> Iterator[tuple[int, Bin]]:
                     yield room, (*chosen, *small)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, budget: int = 5_000) -> list[tuple[Bin, int]]:
+def bin_completion(counts: dict[int, int], capacity: int, budget: int | None = NODES) -> list[tuple[Bin, int]]:
     """(filling, sequences) using as few sequences as found; optimal unless `budget` ends the search.
 
-    `budget` bounds the nodes of the search, as packing is NP-hard; the incumbent
-    is always a whole packing.
+    `budget` bounds the nodes of the search, as packing is NP-hard; None is the
+    exact mode, which has no bound.  The incumbent is always a whole packing.
     """
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
@@ -154,35 +158,39 @@ def bin_completion(counts: dict[int, int], capacity: int, budget: int = 5_000) -
                 else:
                     yield need, 1 if once else times, room
 
-    # explicit stack: (left, sequences, waste, children still to try, children tried)
-    stack: list[list] = [[dict(counts), 0, 0, None, 0]]
-    trail: list[tuple[Bin, int]] = []
-    while stack and most > floor and nodes <= budget:
+    # one table of what is left, changed on the way down and restored on the way up; a frame: sequences, waste, children still to try, tried
+    left = dict(counts)
+    stack: list[list] = [[0, 0, None, 0]]
+    trail: list[tuple[dict[int, int], int]] = []
+    while stack and most > floor and (budget is None or nodes <= budget):
         frame = stack[-1]
-        left, used, waste, todo, tried = frame
+        used, waste, todo, tried = frame
         nxt = None
         if not left:
             if used < most:
-                most, best = used, list(trail)
+                most, best = used, [(tuple(sorted(need.items(), reverse=True)), times) for need, times in trail]
         elif waste <= (most - 1) * capacity - total:
             # the first descent keeps no search's tables; going back makes them anew
             todo = todo or children(left, waste, tried)
             nxt = next(todo, None)
-            frame[3], frame[4] = (todo if tried else None), tried + 1
+            frame[2], frame[3] = (todo if tried else None), tried + 1
         if nxt is None:
             stack.pop()
             if trail and stack:
-                trail.pop()
+                need, times = trail.pop()
+                for x, t in need.items():
+                    left[x] = left.get(x, 0) + t * times
             continue
         nodes += 1
         need, times, room = nxt
-        after = dict(left)
         for x, t in need.items():
-            after[x] -= t * times
-            if not after[x]:
-                del after[x]
-        trail.append((tuple(sorted(need.items(), reverse=True)), times))
-        stack.append([after, used + times, waste + room * times, None, 0])
+            left[x] -= t * times
+            if not left[x]:
+                del left[x]
+        trail.append((need, times))
+        stack.append([used + times, waste + room * times, None, 0])
+        if len(stack) > TABLES:
+            stack[-TABLES - 1][2] = None
     return best
 
 
@@ -193,7 +201,7 @@ def cut(docs: DataFrame, capacity: int, vocab: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_of(spec.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids_of = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, ids in zip(ids_of, tokens.encode(batch.column(1).to_pylist()), strict=True):
@@ -207,7 +215,7 @@ def cut(docs: DataFrame, capacity: int, vocab: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(pieces: DataFrame, capacity: int, shards: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int, shards: int = 64, budget: int | None = NODES) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of at most `capacity`.
 
     Ranks are taken within (length, shard), so that a length that a third of all
@@ -218,7 +226,7 @@ def place(pieces: DataFrame, capacity: int, shards: int = 64) -> DataFrame:
     pieces = materialize(pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")), "pieces")
     counted = pieces.groupBy("length", "_shard").count().toPandas()
     per_length = counted.groupby("length")["count"].sum()
-    plan = bin_completion({int(k): int(v) for k, v in per_length.items()}, capacity)
+    plan = bin_completion({int(k): int(v) for k, v in per_length.items()}, capacity, budget)
     runs: dict[int, list[tuple[int, int, int]]] = {}  # length: (first sequence, times in each, offset)
     sizes: dict[int, list[int]] = {}
     sequence = 0
@@ -258,15 +266,16 @@ def place(pieces: DataFrame, capacity: int, shards: int = 64) -> DataFrame:
     return ranked.mapInArrow(run, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
-def pack(docs: DataFrame, capacity: int = 4096, vocab: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, vocab: str | None = None, budget: int | None = NODES) -> DataFrame:
     """Packs every document into sequences of at most `capacity` tokens.
 
     Null or empty texts have the end id alone.  A null doc_id stays null.
     Repeated rows are packed each.  Other columns than doc_id and text are not read.
     An empty table gives no rows.
     """
-    return place(cut(docs, capacity, vocab), capacity)
+    return place(cut(docs, capacity, vocab), capacity, budget=budget)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in sequences of 4,096.  See `pack` for nulls, repeated rows and empty tables."""
     return pack(table(spark, sf_dir, "documents"))
