@@ -1,18 +1,27 @@
 """Token ids as binary: an adaptive context-mixing range coder.
 
 Ids are cut into blocks of at most BLOCK ids, each coded on its own: models are
-reset, and the block carries its length, its alphabet and a checksum.  Three
-predictions of the next id are mixed: the id that last followed the two ids
-before (order 2), the id that last followed the one before (order 1), and the
-ids' frequencies so far (order 0).  The weights of orders 1 and 2 follow their
-own successes at the present confidence.  One range coder step codes an id under
-the mixture.
-
-Blocks are coded in lockstep, a lane for each, so that numpy works on hundreds
-of blocks at once; a block's bytes don't depend on its neighbours.
-
-A container (one row, or one file) holds documents: MAGIC, documents, blocks,
-then for each document its id and length, then the blocks.
+reset, and the block carries its length, its alphabet and a checksum of its ids
+and its bytes.  Three
+predictions of the next id are mixed into one distribution over the alphabet:
+
+- order 0: the ids' frequencies in the block so far, in SLOTS parts;
+- order 1: the id that last followed the one before;
+- order 2: the id that last followed the two before (by a hash of them).
+
+An id's share is its part of order 0 plus, where orders 1 or 2 predict it, their
+weights.  A weight is the odds with which predictions of that order and that
+confidence (how often in a row the context was right) have come true.  Contexts
+learn with every id; frequencies and weights are renewed at fixed places of a
+block (RENEWED).  One range coder step codes an id under the mixture.
+
+Blocks are coded in lockstep, a lane for each, so that numpy works on many
+blocks at once; a block's bytes don't depend on its neighbours.  To encode, the
+mixture at every place is computed ahead, as all ids are known.
+
+A container (one row, or one file) holds documents: MAGIC, documents, blocks, a
+checksum of these and of the list that follows, each document's id and length,
+then the blocks.
 """
 
 from __future__ import annotations
@@ -27,185 +36,264 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import shared_dir, table, tokenizer_of, vocab_json
-
-MAGIC = b"MTC1"
-BLOCK = 4096
-LEVELS = 12
-LANES = 1024
-STEP = 4  # what an id's frequency gains each time
-#: Row sums of what stands before each of 16 numbers.
-BELOW = np.triu(np.ones((16, 16), np.float32), 1)
+from marginalia.llm.common import shared_dir, slices, table, tokenizer_of, vocab_json
+
+MAGIC = b"MTC2"
+BLOCK = 4096  # at most 4096: a context's entry holds an id's place in the alphabet in 12 bits
+LANES = 2048
+AHEAD = 64  # lanes whose mixtures are computed ahead at a time: what fits in a cache
+SLOTS = 4096
+CONTEXTS = 12  # bits of an order 2 context
+HEAVIEST = 20_000  # SLOTS and two weights stay below 2^16
+#: Where in a block frequencies and weights are renewed.
+RENEWED = (0, 64, 128, 256, 512, 1024, 1536, 2048, 3072)
 NO_DOC = -(1 << 63)  # a null doc_id
+_BEFORE, _LAST = 40503, 30011  # of the context hash
 
 
-class Model:
-    """The three orders for `n` lanes; ids are places in the block's alphabet."""
+class Shares:
+    """Order 0 and the weights of orders 1 and 2 for a number of lanes, as of the last renewal."""
 
     def __init__(self, sizes: np.ndarray):
-        n = len(sizes)
-        self.size = BLOCK
-        self.base = np.arange(n, dtype=np.int64) * self.size
-        self.base2 = np.arange(n, dtype=np.int64) << LEVELS
-        self.base3 = np.arange(n, dtype=np.int64) * 8
-        # frequencies by 16, 16 and 16: a lookup reads three rows of 16 numbers (exact in float32)
-        leaf = (np.arange(self.size)[None] < sizes[:, None]).astype(np.float32)
-        self.leaf = leaf.reshape(n * 256, 16)
-        mid = leaf.reshape(n, 256, 16).sum(axis=2)
-        self.mid = mid.reshape(n * 16, 16)
-        self.top = mid.reshape(n, 16, 16).sum(axis=2)
-        self.lane = np.arange(n)
-        self.lane16, self.lane256 = self.lane * 16, self.lane * 256
-        self.total = sizes.astype(np.int64)
-        self.next1, self.sure1 = np.zeros(n * self.size, np.int16), np.zeros(n * self.size, np.int8)
-        self.next2, self.sure2 = np.zeros(n << LEVELS, np.int16), np.zeros(n << LEVELS, np.int8)
-        self.hit1, self.miss1, self.hit2, self.miss2 = (np.full(n * 8, v, np.float64) for v in (1, 4, 1, 4))
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: (order 2's id, order 1's id, their shares); -1 for none."""
-        self.at1 = self.base[:n] + self.last[:n]
-        self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + self.last[:n] * 30011) & (BLOCK - 1))
-        c1, c2 = self.next1[self.at1].astype(np.int64) - 1, self.next2[self.at2].astype(np.int64) - 1
-        self.s1, self.s2 = self.base3[:n] + self.sure1[self.at1], self.base3[:n] + self.sure2[self.at2]
-        total = self.total[:n]
-        b1 = np.minimum((total * (self.hit1[self.s1] / self.miss1[self.s1])).astype(np.int64) + 1, 20_000) * (c1 >= 0)
-        b2 = np.minimum((total * (self.hit2[self.s2] / self.miss2[self.s2])).astype(np.int64) + 1, 20_000) * (c2 >= 0)
-        same = np.flatnonzero(c1 == c2)
-        b2[same] = np.maximum(b1[same], b2[same])
-        b1[same] = 0
-        return c1, c2, b1, b2
-
-    def path(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0: what lies below an id, and its own frequency."""
-        n = len(sym)
-        lane = self.lane[:n]
-        high, middle, low = sym >> 8, (sym >> 4) & 15, sym & 15
-        last = self.leaf[self.lane256[:n] + (sym >> 4)]
-        below = (self.top[:n] @ BELOW)[lane, high] + (self.mid[self.lane16[:n] + high] @ BELOW)[lane, middle] + (last @ BELOW)[lane, low]
-        return below.astype(np.int64), last[lane, low].astype(np.int64)
-
-    def descend(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order 0's id at a frequency, what lies below it, and its own."""
-        n = len(v)
-        lane = self.lane[:n]
-        rest = v.astype(np.float32)
-        sums = self.top[:n] @ BELOW
-        high = (sums <= rest[:, None]).sum(axis=1) - 1
-        rest -= sums[lane, high]
-        sums = self.mid[self.lane16[:n] + high] @ BELOW
-        middle = (sums <= rest[:, None]).sum(axis=1) - 1
-        rest -= sums[lane, middle]
-        row = self.leaf[self.lane256[:n] + high * 16 + middle]
-        sums = row @ BELOW
-        low = (sums <= rest[:, None]).sum(axis=1) - 1
-        rest -= sums[lane, low]
-        return (high << 8) | (middle << 4) | low, v - rest.astype(np.int64), row[lane, low].astype(np.int64)
-
-    def learn(self, sym: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> None:
-        n = len(sym)
-        high, fine = sym >> 8, sym >> 4
-        self.top[self.lane[:n], high] += STEP
-        self.mid[self.lane16[:n] + high, fine & 15] += STEP
-        self.leaf[self.lane256[:n] + fine, sym & 15] += STEP
-        self.total[:n] += STEP
-        for c, at, s, nxt, sure, hit, miss in ((c1, self.at1, self.s1, self.next1, self.sure1, self.hit1, self.miss1), (c2, self.at2, self.s2, self.next2, self.sure2, self.hit2, self.miss2)):
-            right = c == sym
-            wrong = (c >= 0) & ~right
-            hit[s] += right
-            miss[s] += wrong
-            sure[at] = np.where(right, np.minimum(sure[at] + 1, 7), 0)
-            nxt[at] = sym + 1
-        self.before[:n] = self.last[:n]
-        self.last[:n] = sym
+        self.sizes = sizes
+        self.width = int(sizes.max()) + 1
+        self.counts = np.zeros((len(sizes), self.width), np.int32)
+        self.known = (np.arange(self.width) < sizes[:, None]).astype(np.int32)  # a slot each
+        # by order, lane and confidence
+        self.hits, self.misses = np.ones((2, len(sizes), 8), np.int64), np.full((2, len(sizes), 8), 3, np.int64)
+        self.renew()
+
+    def learn(self, syms: np.ndarray, entries: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> None:
+        """What was coded since: ids and both contexts' entries by lane and place; lengths: how many of each lane count."""
+        n, span = syms.shape
+        real = np.arange(span) < lengths[:, None] if (lengths < span).any() else None
+        lane = np.arange(n)[:, None]
+        place = lane * self.width + syms
+        self.counts[:n] += np.bincount((place if real is None else place[real]).ravel(), minlength=n * self.width).reshape(n, -1).astype(np.int32)
+        for k, e in enumerate(entries):
+            at = (lane * 8 + (e & 7)) * 2 + ((e >> 3) == syms)
+            seen = np.bincount((at if real is None else at[real]).ravel(), minlength=n * 16).reshape(n, 8, 2)
+            self.misses[k, :n] += seen[:, :, 0]
+            self.hits[k, :n] += seen[:, :, 1]
+
+    def renew(self) -> None:
+        free = (SLOTS - self.sizes) / np.maximum(self.counts.sum(axis=1), 1)
+        parts = (self.counts * free[:, None]).astype(np.int32) + self.known
+        self.below = np.zeros((len(parts), self.width + 1), np.int32)
+        np.cumsum(parts, axis=1, out=self.below[:, 1:])
+        self.total = self.below[:, -1].copy()
+        self.weights = np.minimum(SLOTS * self.hits // self.misses + 1, HEAVIEST).astype(np.int32)
+        self.weights[:, :, 0] = 0  # a context never seen
+
+
+def _entries(keys: np.ndarray, syms: np.ndarray) -> np.ndarray:
+    """What each context holds at each place before its id is learned: id * 8 + confidence, 0 where never seen.
+
+    An entry's confidence is 1 after a miss or the first id, and grows to 7 with hits in a row.
+    """
+    order = np.argsort(keys, axis=1, kind="stable")
+    order += np.arange(len(keys))[:, None] * keys.shape[1]
+    key, sym = keys.ravel().take(order), syms.ravel().take(order)
+    seen = np.zeros(key.shape, bool)
+    seen[:, 1:] = key[:, 1:] == key[:, :-1]
+    right = seen.copy()
+    right[:, 1:] &= sym[:, 1:] == sym[:, :-1]
+    place = np.arange(key.shape[1], dtype=np.uint16)
+    run = place - np.maximum.accumulate(np.where(right, np.uint16(0), place), axis=1)
+    run += 1
+    np.minimum(run, 7, out=run)
+    run += sym << 3
+    held = np.zeros(key.shape, np.uint16)
+    np.multiply(run[:, :-1], seen[:, 1:], out=held[:, 1:])
+    out = np.empty_like(held)
+    out.ravel()[order] = held
+    return out
+
+
+def _alphabet(block: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block's ids in order, and the place of each; places: a table for ids below its length, of any contents."""
+    top = int(block.max()) + 1
+    if top > len(places):
+        return np.unique(block, return_inverse=True)
+    there = np.zeros(top, bool)
+    there[block] = True
+    alphabet = np.flatnonzero(there)
+    places[alphabet] = np.arange(len(alphabet))
+    return alphabet, places[block]
+
+
+def _mixtures(syms: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(what lies below each id, its share, the sum of all shares) by place and lane."""
+    n, longest = syms.shape
+    out = tuple(np.empty((longest, n), np.uint16) for _ in range(3))
+    last = np.zeros((n, longest), np.uint16)
+    last[:, 1:] = syms[:, :-1]
+    pair = last * np.uint16(_LAST)  # modulo 2^16, of which the low bits are used
+    pair[:, 1:] += last[:, :-1] * np.uint16(_BEFORE)
+    pair &= (1 << CONTEXTS) - 1
+    both = (_entries(last, syms), _entries(pair, syms))
+    shares = Shares(sizes)
+    lane = np.arange(n)[:, None]
+    for a, b in zip(RENEWED, (*RENEWED[1:], BLOCK), strict=True):
+        if a >= longest:
+            break
+        sym, part = syms[:, a:b], tuple(e[:, a:b] for e in both)
+        at, below = lane * (shares.width + 1) + sym, shares.below.ravel()
+        low = below.take(at)
+        at += 1
+        own = below.take(at) - low
+        total = np.repeat(shares.total[:, None], sym.shape[1], axis=1)
+        for e, w in zip(part, shares.weights, strict=True):
+            weight = w.ravel().take(lane * 8 + (e & 7))
+            c = e >> 3
+            low += weight * (c < sym)
+            own += weight * (c == sym)
+            total += weight
+        for o, x in zip(out, (low, own, total), strict=True):
+            o[a:b] = x.astype(np.uint16).T
+        if b < longest:
+            shares.learn(sym.astype(np.int32), part, lengths - a)
+            shares.renew()
+    return out
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(alphabet, 16-bit words) of each block."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    alphabets, symbols = [], np.zeros((len(order), sizes[0]), np.int64)
-    for lane, i in enumerate(order):
-        a, inverse = np.unique(blocks[i], return_inverse=True)
-        alphabets.append(a)
-        symbols[lane, : len(inverse)] = inverse
-    model = Model(np.array([len(a) for a in alphabets]))
-    n_all = len(order)
-    low, span = np.zeros(n_all, np.int64), np.full(n_all, 1 << 32, np.int64)
-    out = np.zeros((n_all, sizes[0] + 3), np.int64)
-    count = np.zeros(n_all, np.int64)
-    columns = np.ascontiguousarray(symbols.T)
-    lengths = -np.sort(-sizes)
-    for t in range(sizes[0]):
-        n = int(np.searchsorted(-lengths, -t))  # lanes longer than t
-        sym = columns[t, :n]
-        c1, c2, b1, b2 = model.predict(n)
-        below, own = model.path(sym)
-        is2 = (sym == c2) & (b2 > 0)
-        is1 = (sym == c1) & (b1 > 0) & ~is2
-        start = np.where(is2, 0, np.where(is1, b2, b2 + b1 + below))
-        own = np.where(is2, b2, np.where(is1, b1, own))
-        unit = (span[:n] / (b2 + b1 + model.total[:n])).astype(np.int64)  # exact: both are whole and small
-        low[:n] += start * unit
-        span[:n] = own * unit
-        small = np.flatnonzero(span[:n] < 1 << 16)
+    lengths = np.array([len(blocks[i]) for i in order])
+    n_all, longest = len(order), int(lengths[0])
+    alphabets = []
+    below, own, total = (np.empty((longest, n_all), np.uint16) for _ in range(3))
+    places = np.zeros(1 << 17, np.int32)
+    for a in range(0, n_all, AHEAD):
+        some = order[a : a + AHEAD]
+        syms = np.zeros((len(some), longest), np.uint16)
+        sizes = []
+        for lane, i in enumerate(some):
+            alphabet, inverse = _alphabet(blocks[i], places)
+            alphabets.append(alphabet)
+            sizes.append(len(alphabet))
+            syms[lane, : len(inverse)] = inverse
+        for whole, part in zip((below, own, total), _mixtures(syms, np.array(sizes), lengths[a : a + AHEAD]), strict=True):
+            whole[:, a : a + AHEAD] = part
+    low, span = np.zeros(n_all), np.full(n_all, 2.0**32)  # whole numbers below 2^53: exact
+    out = np.zeros((n_all, longest + 3), np.int32)
+    flat = out.ravel()
+    at = np.arange(n_all) * out.shape[1]
+    active = np.searchsorted(-lengths, -np.arange(longest))  # lanes longer than t
+    for t, n in enumerate(active.tolist()):
+        s = span[:n]
+        unit = np.floor(s / total[t, :n])  # exact: a quotient of numbers this small isn't rounded up to a whole one
+        low[:n] += below[t, :n] * unit
+        np.multiply(unit, own[t, :n], out=s)
+        small = np.flatnonzero(s < 65536)
         if len(small):
-            out[small, count[small]] = low[small] >> 16
-            count[small] += 1
-            low[small] = (low[small] & 0xFFFF) << 16
-            span[small] <<= 16
-        model.learn(sym, c1, c2)
-    rows = np.arange(n_all)
-    out[rows, count] = low >> 16
-    out[rows, count + 1] = low & 0xFFFF
-    carry = np.zeros(n_all, np.int64)
-    for k in range(out.shape[1] - 1, -1, -1):
-        out[:, k] += carry
-        carry = out[:, k] >> 16
-        out[:, k] &= 0xFFFF
+            here, place = low[small], at[small]
+            word = np.floor(here * 2.0**-16)
+            flat[place] = word
+            at[small] = place + 1
+            low[small] = (here - word * 65536) * 65536
+            span[small] *= 65536
+    rest = low.astype(np.int64)
+    flat[at], flat[at + 1] = rest >> 16, rest & 0xFFFF
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
+        out[:, :-1] += carry[:, 1:]
+    ends = at + 2 - np.arange(n_all) * out.shape[1]
     result: list = [None] * len(blocks)
     for lane, i in enumerate(order):
-        result[i] = (alphabets[lane], out[lane, : count[lane] + 2].astype("<u2"))
+        result[i] = (alphabets[lane], out[lane, : ends[lane]].astype("<u2"))
     return result
 
 
 def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     lengths = np.array([sizes[i] for i in order])
-    n_all = len(order)
-    stream = np.zeros((n_all, max(len(words[i]) for i in order) + 2), np.int64)
+    n_all, longest = len(order), int(lengths[0])
+    stream = np.zeros((n_all, max(len(words[i]) for i in order) + 2), np.uint16)
     for lane, i in enumerate(order):
         stream[lane, : len(words[i])] = words[i]
-    model = Model(np.array([len(alphabets[i]) for i in order]))
-    rows = np.arange(n_all)
-    code = (stream[:, 0] << 16) | stream[:, 1]
-    at = np.full(n_all, 2, np.int64)
-    span = np.full(n_all, 1 << 32, np.int64)
-    out = np.zeros((lengths[0], n_all), np.int64)
-    for t in range(lengths[0]):
-        n = int(np.searchsorted(-lengths, -t))
-        c1, c2, b1, b2 = model.predict(n)
-        total = b2 + b1 + model.total[:n]
-        unit = (span[:n] / total).astype(np.int64)
-        v = np.minimum((code[:n] / unit).astype(np.int64), total - 1)
-        is2 = v < b2
-        is1 = ~is2 & (v < b2 + b1)
-        sym, below, own = model.descend(np.where(is2 | is1, 0, v - b2 - b1))
-        sym = np.where(is2, c2, np.where(is1, c1, sym))
-        start = np.where(is2, 0, np.where(is1, b2, b2 + b1 + below))
-        own = np.where(is2, b2, np.where(is1, b1, own))
-        code[:n] -= start * unit
-        span[:n] = own * unit
-        small = np.flatnonzero(span[:n] < 1 << 16)
-        if len(small):
-            code[small] = (code[small] << 16) | stream[small, at[small]]
-            at[small] += 1
-            span[small] <<= 16
-        out[t, :n] = sym
-        model.learn(sym, c1, c2)
+    at = np.arange(n_all) * stream.shape[1] + 2
+    code = stream[:, 0] * 65536.0 + stream[:, 1]  # whole numbers below 2^53: exact
+    stream = stream.ravel()
+    span = np.full(n_all, 2.0**32)
+    shares = Shares(np.array([len(alphabets[i]) for i in order]))
+    lane = np.arange(n_all)
+    # one table for both orders' contexts: by order and lane
+    after = np.zeros(n_all * (BLOCK + (1 << CONTEXTS)), np.uint16)
+    tables = np.stack([lane * BLOCK, n_all * BLOCK + (lane << CONTEXTS)])
+    context = np.zeros((2, n_all), np.int32)
+    by_weight = np.stack([lane * 8, (n_all + lane) * 8])
+    by_slot, by_below, by_part = lane * SLOTS, lane * (shares.width + 1), lane * shares.width
+    slots = np.zeros((n_all, SLOTS), np.uint16)
+    out = np.zeros((longest, n_all), np.uint16)
+    held = np.zeros((longest, 2, n_all), np.uint16)
+    active = np.searchsorted(-lengths, -np.arange(longest)).tolist()
+    ids = np.tile(np.arange(shares.width, dtype=np.uint16), n_all)
+    for a, b in zip(RENEWED, (*RENEWED[1:], BLOCK), strict=True):
+        if a >= longest:
+            break
+        n = active[a]
+        parts = np.diff(shares.below, axis=1)
+        spread = np.repeat(ids[: n * shares.width], parts[:n].ravel())
+        slots[:n][np.arange(SLOTS) < shares.total[:n, None]] = spread
+        flat_slots, below, parts, weights, totals = slots.ravel(), shares.below.ravel(), parts.ravel(), shares.weights.ravel(), shares.total
+        ends = below - 1  # at an id's place plus one: its last slot
+        for t in range(a, min(b, longest)):
+            n = active[t]
+            at_context = tables[:, :n] + context[:, :n]
+            entry = after.take(at_context)
+            held[t, :, :n] = entry
+            k, c = entry & 7, (entry >> 3).astype(np.int32)
+            w = weights.take(by_weight[:, :n] + k)
+            base = by_below[:n]
+            end = ends.take((base + 1) + c)
+            both = w[0] + w[1]
+            s, x = span[:n], code[:n]
+            unit = s / (both + totals[:n])
+            np.floor(unit, out=unit)
+            v = (x / unit).astype(np.int32)
+            # a weight's slots stand before the last slot of its id; the lower id's are taken out first
+            first = np.where(c[0] <= c[1], w[0], w[1])
+            for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
+                past = v - edge
+                np.maximum(past, 0, out=past)
+                np.minimum(past, room, out=past)
+                v -= past
+            sym16 = flat_slots.take(by_slot[:n] + v)
+            sym = sym16.astype(np.int32)
+            low, own = below.take(base + sym), parts.take(by_part[:n] + sym)
+            right = c == sym
+            more = w * right
+            own += more[0]
+            own += more[1]
+            np.multiply(w, c < sym, out=more)
+            low += more[0]
+            low += more[1]
+            x -= low * unit
+            np.multiply(unit, own, out=s)
+            small = np.flatnonzero(s < 65536)
+            if len(small):
+                place = at[small]
+                code[small] = code[small] * 65536 + stream.take(place)
+                at[small] = place + 1
+                span[small] *= 65536
+            out[t, :n] = sym16
+            np.minimum(k, 6, out=k)
+            k *= right
+            k += (sym16 << 3) + np.uint16(1)
+            after[at_context] = k
+            hashed = context[0, :n] * _BEFORE
+            hashed += sym * _LAST
+            np.bitwise_and(hashed, (1 << CONTEXTS) - 1, out=context[1, :n])
+            context[0, :n] = sym
+        if b < longest:
+            n = active[a]
+            shares.learn(out[a:b, :n].T.astype(np.int32), tuple(held[a:b, k, :n].T.astype(np.int32) for k in range(2)), lengths[:n] - a)
+            shares.renew()
     result: list = [None] * n_all
-    for lane, i in enumerate(order):
-        result[i] = alphabets[i][out[: sizes[i], lane]].astype("<u4")
+    for lane_, i in enumerate(order):
+        result[i] = alphabets[i][out[: sizes[i], lane_]].astype("<u4")
     return result
 
 
@@ -215,58 +303,78 @@ def _groups(blocks: list) -> list[list]:
     return [blocks[len(blocks) * i // n : len(blocks) * (i + 1) // n] for i in range(n) if blocks]
 
 
+def _head(n_docs: int, n_blocks: int, table_: bytes) -> bytes:
+    counts = struct.pack("<II", n_docs, n_blocks)
+    return MAGIC + counts + struct.pack("<I", zlib.crc32(table_, zlib.crc32(counts)))
+
+
 def encode_container(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """Documents (id, ids) as one container."""
     flat = np.concatenate([np.zeros(0, np.uint32), *(ids for _, ids in docs)]).astype("<u4")
     blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-    out = [MAGIC, struct.pack("<II", len(docs), len(blocks))]
-    out.append(np.array([NO_DOC if d is None else d for d, _ in docs], "<i8").tobytes())
-    out.append(np.array([len(ids) for _, ids in docs], "<i8").tobytes())
+    listed = np.array([NO_DOC if d is None else d for d, _ in docs], "<i8").tobytes() + np.array([len(ids) for _, ids in docs], "<i8").tobytes()
+    out = [_head(len(docs), len(blocks), listed), listed]
     for part in _groups(blocks):
         for block, (alphabet, words) in zip(part, _encode_lanes(part), strict=True):
             # the alphabet as gaps: 7 bits a byte, the high bit says that more follow
             gaps = np.diff(alphabet.astype(np.int64), prepend=-1) - 1
-            packed = bytearray()
-            for g in gaps.tolist():
-                while g > 127:
-                    packed.append(g & 127 | 128)
-                    g >>= 7
-                packed.append(g)
-            out.append(struct.pack("<IIIII", len(block), len(alphabet), len(packed), len(words), zlib.crc32(block)))
-            out += [bytes(packed), words.tobytes()]
+            sevens = np.stack([gaps >> 7 * k for k in range(5)], axis=1)
+            used = sevens > 0
+            used[:, 0] = True
+            more = np.zeros_like(used)
+            more[:, :-1] = used[:, 1:]
+            packed = ((sevens & 127) | more * 128)[used].astype(np.uint8).tobytes()
+            body = struct.pack("<IIII", len(block), len(alphabet), len(packed), len(words)) + packed + words.tobytes()
+            out += [struct.pack("<I", zlib.crc32(body, zlib.crc32(block))), body]  # of what is coded and of its code
     return b"".join(out)
 
 
 def decode_container(raw: bytes) -> list[tuple[int | None, np.ndarray]]:
     """What was encoded; ValueError where a checksum or the format doesn't hold."""
+    try:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return _decoded(raw)
+    except (struct.error, IndexError, FloatingPointError, ZeroDivisionError) as e:
+        raise ValueError("not a whole container of token ids") from e
+
+
+def _decoded(raw: bytes) -> list[tuple[int | None, np.ndarray]]:
     if raw[:4] != MAGIC:
         raise ValueError("not a container of token ids")
     n_docs, n_blocks = struct.unpack_from("<II", raw, 4)
-    at = 12
+    at = 16
+    if len(raw) < at + 16 * n_docs or raw[:at] != _head(n_docs, n_blocks, raw[at : at + 16 * n_docs]):
+        raise ValueError("the list of documents fails its checksum")
     ids = np.frombuffer(raw, "<i8", n_docs, at)
     lens = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
     at += 16 * n_docs
-    heads, alphabets, words = [], [], []
-    for _ in range(n_blocks):
-        head = struct.unpack_from("<IIIII", raw, at)
+    heads, alphabets, words, sums, bodies = [], [], [], [], []
+    for k in range(n_blocks):
+        sums.append(struct.unpack_from("<I", raw, at)[0])
+        head = struct.unpack_from("<IIII", raw, at + 4)
+        bodies.append((at + 4, at + 20 + head[2] + 2 * head[3]))
         at += 20
         gaps = np.frombuffer(raw, np.uint8, head[2], at).astype(np.int64)
         last = np.flatnonzero(gaps < 128)
         first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-        shift = np.arange(len(gaps)) - np.repeat(first, last - first + 1)
+        shift = np.arange(head[2]) - np.repeat(first, last - first + 1) if len(last) else np.zeros(head[2], np.int64)
         values = np.add.reduceat((gaps & 127) << (7 * shift), first) if len(first) else first
-        alphabets.append(np.cumsum(values + 1) - 1)
         at += head[2]
+        if not 0 < head[1] == len(values) <= head[0] <= BLOCK:
+            raise ValueError(f"block {k} has a broken alphabet")
+        alphabets.append(np.cumsum(values + 1) - 1)
         words.append(np.frombuffer(raw, "<u2", head[3], at))
         at += 2 * head[3]
         heads.append(head)
     flat = []
     for part in _groups(list(zip(heads, alphabets, words, strict=True))):
         flat += _decode_lanes([h[0] for h, _, _ in part], [a for _, a, _ in part], [w for _, _, w in part])
-    for k, (block, head) in enumerate(zip(flat, heads, strict=True)):
-        if zlib.crc32(block) != head[4]:
+    for k, (block, (a, b)) in enumerate(zip(flat, bodies, strict=True)):
+        if zlib.crc32(raw[a:b], zlib.crc32(block)) != sums[k]:
             raise ValueError(f"block {k} fails its checksum")
     whole = np.concatenate([np.zeros(0, "<u4"), *flat])
+    if len(whole) != lens.sum():
+        raise ValueError("documents and blocks differ in length")
     ends = np.cumsum(lens)
     return [(None if d == NO_DOC else int(d), whole[e - n : e]) for d, n, e in zip(ids.tolist(), lens.tolist(), ends.tolist(), strict=True)]
 
@@ -290,7 +398,7 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1)
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([encode_container(held)], pa.binary())], names=["shard", "part", "n_tokens", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 held.append((doc, np.append(ids, np.uint32(end_id))))
                 size += len(ids) + 1
