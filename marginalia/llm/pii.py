@@ -1,16 +1,16 @@
 """Personal data: rules, and a character BiLSTM with CRF transitions trained in numpy.
 
-The rules give the base spans.  The network reads windows around every place
-that could belong to one of its kinds (all of them hold a digit, an at sign or a
-bracketed "at"), overlapping; each character takes its tag from the window in
-which it lies furthest from an edge, and spans are read off the tags of the
-whole text.  What the network finds is kept where no base span is and where it
-passes its kind's check: parts of addresses, digit counts, Luhn.
+The rules give the base spans.  The network reads every text whole, in windows
+that overlap: each character takes its tag from the window in which it lies
+furthest from an edge, and spans are read off the tags of the whole text, so a
+span may run over any number of windows.  What the network finds is added where
+it touches no base span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,9 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_sample_ids, table
+from marginalia.llm.common import bounded_sample_ids, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -31,7 +32,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({]\x20?at\x20?[\])}]")
+#: Where training windows are drawn besides random places; detection reads every place.
+HINT = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +67,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start."""
     found: list[Span] = []
+    if not HINT.search(text):  # every kind holds a digit or an at sign
+        return found
     if "@" in text:
         found += [("email", a, b) for a, b in emails(text)]
     found += [("ip", *m.span()) for m in IP.finditer(text) if ip_parts(m[0])]
@@ -78,25 +82,18 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def passes(kind: str, text: str) -> bool:
-    """The check that a span of the network must pass."""
-    digits = "".join(c for c in text if c in "0123456789")
-    if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\x20?(?:@|[\[({]\x20?at\x20?[\])}])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[A-Za-z0-9-]+)+", text))
-    if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\x20?(?:\.|[\[({]\x20?(?:dot|\.)\x20?[\])}])\x20?[0-9]{1,3}){3}", text)) and ip_parts(".".join(re.findall("[0-9]+", text)))
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and bool(re.fullmatch(r"[0-9][0-9 .\-]*[0-9]", text)) and luhn(digits)
-    return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"(?:\+|00)?[(0-9][\x20().0-9/-]+[0-9]", text)) and bool(re.search(r"[0-9][\x20()./-]+[0-9]", text))
-
-
 # ---------------------------------------------------------------- network
 
-WINDOW, OVERLAP = 96, 40
-EMBED, HIDDEN = 12, 16
+#: Characters of a window, and how many two neighbours share; TRAINED is a training window's length.
+WINDOW, OVERLAP, TRAINED = 384, 48, 96
+PADDED = 32
+#: Windows that are tagged at a time.
+BATCH = 512
+EMBED, HIDDEN = 12, 12
 TAGS = 1 + 2 * len(KINDS)  # 0 outside; 1 + 2k begins kind k, 2 + 2k continues it
 SYMBOLS = 100
-SAMPLE_DOCS = 3000
+#: At most so many documents, and places of each, are drawn from for training; steps of training.
+SAMPLE_DOCS, SAMPLE_PLACES, STEPS = 2000, 2, 450
 
 
 def _codes() -> np.ndarray:
@@ -117,62 +114,86 @@ def encode(text: str) -> np.ndarray:
     return np.where(points < 256, _CODES[np.minimum(points, 255)], 99).astype(np.uint8)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _soft(z: np.ndarray) -> np.ndarray:
+    """z / (1 + |z|) in place: the network's bounded function, a few times quicker than tanh."""
+    d = np.abs(z)
+    d += 1
+    z /= d
+    return z
 
 
 @dataclass
 class Tagger:
+    """Rows of `wx`, `wh` and `bias` are the gates input, forget, output, new; a gate opens by (1 + soft(z)) / 2."""
+
     p: dict[str, np.ndarray]
 
     def emissions(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x: windows, places.  Scores by place, window, tag; what training needs is put in `keep`."""
+        """x: windows, places.  Scores by place, tag, window; what training needs is put in `keep`."""
         p, (n, length) = self.p, x.shape
         h = HIDDEN
-        outs = []
-        for side in ("f", "b"):
-            gates = p["emb"] @ p[f"wx{side}"] + p[f"bias{side}"]  # by symbol: the input's part is a table row
-            seen = x if side == "f" else x[:, ::-1]
-            hidden, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            out = np.empty((length, n, h), np.float32)
+        both = np.empty((length, 2 * h, n), np.float32)
+        inputs = np.ascontiguousarray(p["emb"].take(x.T, axis=0).transpose(0, 2, 1))  # place, unit, window
+        for k, side in enumerate("fb"):
+            # what a step reads: the last output, the character, and a one for the bias
+            weights = np.concatenate([p[f"wh{side}"], p[f"wx{side}"], p[f"bias{side}"][:, None]], axis=1)
+            state = np.zeros((h + EMBED + 1, n), np.float32)
+            state[-1] = 1
+            hidden, cell = state[:h], np.zeros((h, n), np.float32)
             trace = []
-            for t in range(length):
-                z = gates[seen[:, t]] + hidden @ p[f"wh{side}"]
-                s = _sigmoid(z[:, : 3 * h])
-                g = np.tanh(z[:, 3 * h :])
-                before, last = cell, hidden
-                cell = s[:, h : 2 * h] * cell + s[:, :h] * g
-                tc = np.tanh(cell)
-                hidden = s[:, 2 * h :] * tc
-                out[t] = hidden
+            for t in range(length) if side == "f" else range(length - 1, -1, -1):
+                state[h : h + EMBED] = inputs[t]
+                z = _soft(weights @ state)
+                open_, new = z[: 3 * h], z[3 * h :]
+                if keep is not None:
+                    trace.append((z.copy(), cell, hidden.copy()))
+                open_ += 1
+                cell = cell * open_[h : 2 * h]
+                new *= open_[:h]
+                cell += new
+                cell *= 0.5
+                np.multiply(_soft(cell.copy()), open_[2 * h :], out=hidden)
+                both[t, k * h : (k + 1) * h] = hidden
                 if keep is not None:
-                    trace.append((s, g, before, tc, last))
-            outs.append(out if side == "f" else out[::-1])
+                    trace[-1] += (cell,)
             if keep is not None:
                 keep.append(trace)
-        both = np.concatenate(outs, axis=2)
         if keep is not None:
             keep.append(both)
-        return both @ p["out"] + p["ob"]
+        return np.matmul(np.ascontiguousarray(p["out"].T), both) + p["ob"][:, None]
 
     def tags(self, x: np.ndarray) -> np.ndarray:
         """Viterbi paths, by window and place."""
         e, trans = self.emissions(x), self.p["trans"] + FORBIDDEN
-        score = e[0] + START
-        back = np.empty((len(e), x.shape[0], TAGS), np.int8)
-        for t in range(1, len(e)):
-            all_ = score[:, :, None] + trans
-            back[t] = all_.argmax(axis=1)
-            score = all_.max(axis=1) + e[t]
-        path = np.empty(x.shape, np.int8)
-        path[:, -1] = score.argmax(axis=1)
-        rows = np.arange(x.shape[0])
-        for t in range(len(e) - 1, 0, -1):
-            path[:, t - 1] = back[t][rows, path[:, t]]
+        length, _, n = e.shape
+        first, later = FIRST_TAGS, FIRST_TAGS[1:] + 1
+        into = trans[:, first, None]  # what may stand before these: any tag
+        begun, went_on = trans[later - 1, later, None], trans[later, later, None]  # before a continuing tag: its own kind's two
+        score = np.empty_like(e)
+        score[0] = e[0] + START[:, None]
+        outside = score[0, 0].copy()
+        for t in range(1, length):
+            was, now = score[t - 1], score[t]
+            now[first] = (was[:, None] + into).max(axis=0)
+            now[later] = np.maximum(was[later - 1] + begun, was[later] + went_on)
+            now += e[t]
+            outside += trans[0, 0]
+            outside += e[t, 0]
+        path = np.zeros(x.shape, np.int8)
+        # the same sums in the same order: equal where staying outside is a best path
+        some = np.flatnonzero(score[-1].max(axis=0) > outside)
+        if len(some):
+            score = np.ascontiguousarray(score[:, :, some].transpose(0, 2, 1))
+            best, step = np.empty((len(some), length), np.int8), trans.T
+            best[:, -1] = score[-1].argmax(axis=1)
+            for t in range(length - 1, 0, -1):
+                best[:, t - 1] = (score[t - 1] + step[best[:, t]]).argmax(axis=1)
+            path[some] = best
         return path
 
 
 #: A kind continues only after it began.
+FIRST_TAGS = np.array([0, *range(1, TAGS, 2)])
 FORBIDDEN = np.zeros((TAGS, TAGS), np.float32)
 START = np.zeros(TAGS, np.float32)
 for _k in range(len(KINDS)):
@@ -191,7 +212,7 @@ def _gradients(model: Tagger, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndar
     """Of the mean negative log likelihood of the tag paths."""
     p, h, (n, length) = model.p, HIDDEN, x.shape
     kept: list = []
-    e = model.emissions(x, kept)
+    e = model.emissions(x, kept).transpose(0, 2, 1)
     trans = p["trans"] + FORBIDDEN
     alpha, beta = np.empty_like(e), np.zeros_like(e)
     alpha[0] = e[0] + START
@@ -207,49 +228,52 @@ def _gradients(model: Tagger, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndar
     np.subtract.at(dtrans, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     de[np.arange(length)[:, None], np.arange(n)[None], y.T] -= 1
     de /= n
-    both = kept[2]
-    g = {"trans": dtrans / n, "out": np.einsum("tnh,tnk->hk", both, de), "ob": de.sum(axis=(0, 1)), "emb": np.zeros_like(p["emb"])}
-    dboth = de @ p["out"].T
-    for side, trace in (("f", kept[0]), ("b", kept[1])):
-        seen = x if side == "f" else x[:, ::-1]
-        dout = dboth[:, :, :h] if side == "f" else dboth[::-1, :, h:]
-        dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        dgates = np.zeros((SYMBOLS, 4 * h), np.float32)
-        dwh = np.zeros_like(p[f"wh{side}"])
-        for t in range(length - 1, -1, -1):
-            s, gg, before, tc, last = trace[t]
-            i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-            dh = dh + dout[t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1)
-            np.add.at(dgates, seen[:, t], dz)
-            dwh += last.T @ dz
-            dh = dz @ p[f"wh{side}"].T
+    both = kept[2]  # place, unit, window
+    de = np.ascontiguousarray(de.transpose(0, 2, 1))  # place, tag, window
+    g = {"trans": dtrans / n, "out": np.matmul(both, de.transpose(0, 2, 1)).sum(axis=0), "ob": de.sum(axis=(0, 2)), "emb": np.zeros_like(p["emb"])}
+    dboth = np.matmul(p["out"], de)
+    for k, side in enumerate("fb"):
+        trace = kept[k]
+        order = list(range(length) if side == "f" else range(length - 1, -1, -1))
+        dh, dc = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        dz, lasts = np.empty((length, 4 * h, n), np.float32), np.empty((length, h, n), np.float32)
+        for (z, before, last, cell), t in zip(reversed(trace), reversed(order), strict=True):
+            lasts[t] = last
+            slope = (1 - np.abs(z)) ** 2
+            i, f, o, new = 1 + z[:h], 1 + z[h : 2 * h], 1 + z[2 * h : 3 * h], z[3 * h :]
+            bounded = cell / (1 + np.abs(cell))
+            dh = dh + dboth[t, k * h : (k + 1) * h]
+            dc = (dc + dh * o * (1 - np.abs(bounded)) ** 2) * 0.5
+            dz[t, :h], dz[t, h : 2 * h], dz[t, 2 * h : 3 * h], dz[t, 3 * h :] = dc * new, dc * before, dh * bounded, dc * i
+            dz[t] *= slope
+            dh = p[f"wh{side}"].T @ dz[t]
             dc = dc * f
-        g[f"wh{side}"] = dwh
-        g[f"wx{side}"] = p["emb"].T @ dgates
-        g[f"bias{side}"] = dgates.sum(axis=0)
-        g["emb"] += dgates @ p[f"wx{side}"].T
+        by_place = dz.transpose(1, 0, 2).reshape(4 * h, -1)
+        g[f"wh{side}"] = by_place @ lasts.transpose(1, 0, 2).reshape(h, -1).T
+        dgates = by_place @ np.eye(SYMBOLS, dtype=np.float32)[x.T.ravel()]
+        g[f"wx{side}"] = dgates @ p["emb"]
+        g[f"bias{side}"] = dgates.sum(axis=1)
+        g["emb"] += dgates.T @ p[f"wx{side}"]
     return g
 
 
-def train(windows: list[tuple[str, list[Span]]], steps: int = 150, size: int = 64, seed: int = 5, rate: float = 0.015) -> Tagger:
+def train(windows: list[tuple[str, list[Span]]], steps: int = STEPS, size: int = 64, seed: int = 5, rate: float = 0.03) -> Tagger:
     """Adam over windows with labelled spans."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
     p = {"emb": rng.normal(0, 0.3, (SYMBOLS, EMBED)), "out": rng.normal(0, 0.2, (2 * h, TAGS)), "ob": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
     for side in "fb":
-        p[f"wx{side}"] = rng.normal(0, 0.3, (EMBED, 4 * h))
-        p[f"wh{side}"] = rng.normal(0, 0.2, (h, 4 * h))
-        p[f"bias{side}"] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
+        p[f"wx{side}"] = rng.normal(0, 0.3, (4 * h, EMBED))
+        p[f"wh{side}"] = rng.normal(0, 0.2, (4 * h, h))
+        p[f"bias{side}"] = np.concatenate([np.zeros(h), np.full(h, 3.0), np.zeros(2 * h)])
     model = Tagger({k: v.astype(np.float32) for k, v in p.items()})
-    x = np.zeros((len(windows), WINDOW), np.uint8)
-    y = np.zeros((len(windows), WINDOW), np.int8)
+    x = np.zeros((len(windows), TRAINED), np.uint8)
+    y = np.zeros((len(windows), TRAINED), np.int8)
     for k, (text, spans) in enumerate(windows):
-        codes = encode(text[:WINDOW])
+        codes = encode(text[:TRAINED])
         x[k, : len(codes)] = codes
         for kind, a, b in spans:
-            if a < WINDOW:
+            if a < TRAINED:
                 y[k, a:b] = 2 + 2 * KINDS.index(kind)
                 y[k, a] = 1 + 2 * KINDS.index(kind)
     p = model.p
@@ -266,152 +290,163 @@ def train(windows: list[tuple[str, list[Span]]], steps: int = 150, size: int = 6
     return model
 
 
-def examples(texts: list[str], n: int = 3000, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Labelled windows: base spans where they stand in `texts`, and written spans of all kinds put into their words.
+def drawn(text: str, seed: int, places: int = SAMPLE_PLACES) -> list[tuple[str, list[Span]]]:
+    """Training windows from anywhere in a whole text, with the base spans in them: around digits and signs, and anywhere."""
+    rng = np.random.default_rng(seed)
+    hints = [m.start() for m in HINT.finditer(text)]
+    starts = [max(0, hints[i] - int(rng.integers(5, 60))) for i in rng.integers(0, len(hints), places)] if hints else []
+    starts += rng.integers(0, max(1, len(text) - TRAINED + 1), places).tolist()
+    base = base_spans(text) if hints else []
+    out = []
+    for a in dict.fromkeys(starts):
+        b = min(a + TRAINED, len(text))
+        if not any(s < a < e for _, s, e in base):
+            out.append((text[a:b], [(k, s - a, min(e, b) - a) for k, s, e in base if a <= s < b]))
+    return out
+
 
-    The written ones cover spellings that the rules miss: bracketed signs, numbers without a plus, other separators.
+def examples(found: list[tuple[str, list[Span]]], n: int = 4000, seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """Labelled windows: a part of `found` as it is, and written spans of all kinds put into the words of others.
+
+    The written ones cover spellings that the rules miss (bracketed signs,
+    numbers without a plus, other separators), and numbers that are none of the
+    kinds: dates, times, prices, versions, sums, page ranges, hashes, orders.
     """
     rng = np.random.default_rng(seed)
 
     def digits(k: int) -> str:
         return "".join(map(str, rng.integers(0, 10, k)))
 
+    def one(*choices: str) -> str:
+        return choices[rng.integers(len(choices))]
+
     def card() -> str:
-        s = digits(15)
+        s = one("4", "5", "37", "6011") + digits(15)
+        s = s[:15]
         s += next(c for c in "0123456789" if luhn(s + c))
-        sep = ("", " ", "-", ".")[rng.integers(4)]
-        return sep.join(s[i : i + 4] for i in range(0, 16, 4))
+        return one("", " ", "-", ".").join(s[i : i + 4] for i in range(0, 16, 4))
 
-    def word() -> str:
-        return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    def word(least: int = 2, most: int = 9) -> str:
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(least, most)))
 
     def email() -> str:
-        at, dot = ((" [at] ", " [dot] "), ("@", "."), ("(at)", "(dot)"), ("[at]", "."), ("@", "."))[rng.integers(5)]
-        return f"{word()}{('', '.' + word(), digits(2))[rng.integers(3)]}{at}{word()}{digits(1) if rng.random() < 0.3 else ''}{dot}{('com', 'org', 'net', 'example')[rng.integers(4)]}"
+        at, dot = ((" [at] ", " [dot] "), ("@", "."), ("(at)", "(dot)"), ("[at]", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("@", "."))[rng.integers(7)]
+        name = word() + one("", "." + word(), digits(2), "_" + word(), "+" + word(2, 5))
+        return f"{name}{at}{word()}{one('', digits(1), '-' + word())}{dot}{one('com', 'org', 'net', 'example', 'de', 'fr', 'es', 'io', 'edu')}"
 
     def ip() -> str:
-        return (".", ".", "[.]", " . ")[rng.integers(4)].join(str(k) for k in rng.integers(0, 256, 4))
+        return one(".", ".", "[.]", " . ", "(.)").join(str(k) for k in rng.integers(0, 256, 4))
 
     def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return (f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{rng.integers(1, 99)} {a} {b} {c}", f"+{rng.integers(1, 99)} {a} {b} {c}")[rng.integers(5)]
+        a, b, c, d = digits(3), digits(3), digits(4), str(rng.integers(1, 99))
+        return one(f"+{d} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{d} {a} {b} {c}", f"+{d} {a} {b} {c}", f"+{d}-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d}{a}{b}{c}")
 
-    def noise() -> str:
-        return (digits(int(rng.integers(1, 13))), hashlib.sha1(digits(8).encode()).hexdigest(), f"{digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.", f"v{digits(1)}.{digits(1)}.{digits(1)}")[rng.integers(6)]
+    def other() -> str:
+        y, m, d = one("19", "20") + digits(2), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"
+        return one(
+            digits(int(rng.integers(1, 8))), f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{rng.integers(0, 24):02}:{digits(2)}", f"{y}-{m}-{d}T{digits(2)}:{digits(2)}:{digits(2)}Z", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)}.{digits(2)}",
+            hashlib.sha1(digits(8).encode()).hexdigest(), hashlib.sha1(digits(8).encode()).hexdigest()[:12], f"{digits(1)},{digits(3)},{digits(3)}", f"${digits(2)}.{digits(2)}", f"{digits(2)}%", f"pp. {digits(3)}-{digits(3)}", f"#{digits(6)}", f"@{word()}", f"{word()}@{word()}", f"at {word()} dot", f"AKIA{digits(4)}XY{digits(6)}QRST{digits(2)}", f"{word()}{digits(2)}", f"({y})", f"{y}-{str(int(y) + 1)[2:]}", f"ISBN {digits(3)}-{digits(1)}-{digits(4)}", f"{word()}.{word(2, 4)}", f"{digits(9)}", f"{digits(4)} {digits(4)}", "-" * int(rng.integers(3, 30)), "=" * int(rng.integers(3, 30)), f"{digits(1)} + {digits(1)} = {digits(2)}",
+        )
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
-    out: list[tuple[str, list[Span]]] = []
-    plain = [t for t in texts if len(t) > 40] or ["some words stand here, and others there. " * 4]
-    for text in texts:
-        for m in list(TRIGGER.finditer(text[:200_000]))[:2]:
-            a = max(0, m.start() - int(rng.integers(5, 60)))
-            part = text[a : a + WINDOW]
-            whole = [(k, s, e) for k, s, e in base_spans(text[max(0, a - 64) : a + WINDOW + 64])]
-            shift = a - max(0, a - 64)
-            spans = [(k, s - shift, min(e - shift, len(part))) for k, s, e in whole if s >= shift and s - shift < len(part)]
-            if not any(s < shift < e for _, s, e in whole):
-                out.append((part, spans))
-    out = [out[i] for i in rng.permutation(len(out))[: n // 3]]
+    bare = [t for t, spans in found if not spans and len(t) > 40] or ["some words stand here, and others there. " * 3]
+    out = [found[i] for i in rng.permutation(len(found))[: n // 3]]
     while len(out) < n:
-        t = plain[rng.integers(len(plain))]
-        a = int(rng.integers(0, max(1, len(t) - WINDOW)))
-        left, right = t[a : a + int(rng.integers(0, 45))], t[a + 45 : a + 100]
-        if TRIGGER.search(left + right):
-            left, right = "and so it was ", " that they were there, as before"
-        gap = (" ", " ", ": ", ", ", "\n")[rng.integers(5)]
-        if rng.random() < 0.3:
-            out.append((f"{left}{gap}{noise()} {right}"[:WINDOW], []))
-            continue
-        kind = KINDS[rng.integers(4)]
-        what = make[kind]()
-        at = len(left) + len(gap)
-        if at + len(what) <= WINDOW:
-            end = ("", ".", ",", "!!", ")")[rng.integers(5)]
-            out.append((f"{left}{gap}{what}{end} {right}"[:WINDOW], [(kind, at, at + len(what))]))
+        t, more = bare[rng.integers(len(bare))], bare[rng.integers(len(bare))]
+        cut = int(rng.integers(0, 60))
+        text, spans = t[max(0, len(t) - cut) :], []
+        for _ in range(int(rng.integers(1, 4))):
+            text += one(" ", " ", ": ", ", ", "\n", " (", "; ", ". ")
+            if rng.random() < 0.45:
+                text += other()
+            else:
+                kind = KINDS[rng.integers(4)]
+                what = make[kind]()
+                if len(text) + len(what) > TRAINED:
+                    break
+                spans.append((kind, len(text), len(text) + len(what)))
+                text += what
+            text += one("", "", ".", ",", "!!", ")", ";") + " " + more[: int(rng.integers(0, 40))]
+        out.append(((text + " " + more)[:TRAINED], spans))
     return out
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Tagger:
-    """Trains on labelled spans in and around at most `sample_docs` texts, chosen by hash of doc_id."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> Tagger:
+    """Trains on labelled spans in and around places of at most `sample_docs` texts, chosen by hash of doc_id.
+
+    Executors draw the places from whole texts; only those windows come to the
+    driver, of repeated rows once.
+    """
     ids = bounded_sample_ids(docs, "doc_id", sample_docs)
-    # windows for training come from the first 20,000 characters of a sampled text; detection reads whole texts
-    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, 20_000).alias("text")).where(F.col("text").isNotNull()).collect()
-    return train(examples([r.text for r in sorted(found, key=lambda r: (r.doc_id, r.text))]))
-
-
-def _places(text: str, triggers: list[int]) -> list[int]:
-    """Starts of windows that cover 32 characters on either side of every trigger, overlapping."""
-    starts, covered = [], -1
-    for t in triggers:
-        if t + 24 <= covered:
-            continue
-        at = max(0, t - 32) if t - 32 > covered - OVERLAP else max(0, covered - OVERLAP)
-        while True:
-            starts.append(at)
-            covered = at + WINDOW
-            if t + 32 <= covered or covered >= len(text):
-                break
-            at += WINDOW - OVERLAP
-    return starts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            out: list[tuple[int, str, str]] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += [(doc, part, json.dumps(spans)) for part, spans in drawn(text or "", doc & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "part", "spans"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select(F.col("doc_id").cast("long").alias("doc_id"))), "doc_id")
+    windows = chosen.mapInArrow(run, "doc_id long, part string, spans string").distinct()
+    # texts that differ under one doc_id: the first windows by hash, as many as one text gives
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("part"), "part", "spans"))
+    kept = windows.withColumn("_rank", rank).where(F.col("_rank") <= 2 * SAMPLE_PLACES).drop("_rank").collect()
+    return train(examples([(r.part, [tuple(x) for x in json.loads(r.spans)]) for r in sorted(kept)]), steps)
+
+
+def starts_of(size: int) -> np.ndarray:
+    """Where the windows of a text of `size` characters start: every place lies in one, and neighbours share OVERLAP."""
+    return np.arange(0, max(size - OVERLAP, 1), WINDOW - OVERLAP)
+
+
+def spans_of(tags: np.ndarray) -> list[Span]:
+    """Spans of a whole text's tags: a kind's tags in a row; a beginning tag opens another."""
+    kind = np.where(tags > 0, (tags + 1) >> 1, 0)
+    begin = np.flatnonzero((kind > 0) & ((tags & 1 == 1) | (np.diff(kind, prepend=0) != 0)))
+    edges = np.flatnonzero(np.diff(kind, append=0) != 0) + 1
+    ends = edges[np.searchsorted(edges, begin, side="right")] if len(begin) else begin
+    ends = np.minimum(ends, np.append(begin[1:], len(tags))) if len(begin) else ends
+    return [(KINDS[int(kind[a]) - 1], a, b) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
 
 def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans of each text from globally reconciled window tags."""
-    where: list[tuple[int, int]] = []
-    for k, text in enumerate(texts):
-        where += [(k, s) for s in _places(text, [m.start() for m in TRIGGER.finditer(text)])]
-    tags: dict[int, dict[int, tuple[int, int]]] = {}
-    for i in range(0, len(where), 512):
-        part = where[i : i + 512]
-        x = np.zeros((len(part), WINDOW), np.uint8)
-        for j, (k, s) in enumerate(part):
-            codes = encode(texts[k][s : s + WINDOW])
-            x[j, : len(codes)] = codes
-        path = model.tags(x)
-        for j in np.flatnonzero(path.any(axis=1)).tolist():
-            k, s = part[j]
-            size = len(texts[k])
-            for c in range(min(WINDOW, size - s)):
-                # how far from an edge that isn't the text's own
-                depth = min(c if s else WINDOW, WINDOW - 1 - c if s + WINDOW < size else WINDOW)
-                now = tags.setdefault(k, {}).get(s + c)
-                if now is None or depth > now[0]:
-                    tags[k][s + c] = (depth, int(path[j, c]))
-        for j in np.flatnonzero(~path.any(axis=1)).tolist():  # windows without a span count against overlapping ones
-            k, s = part[j]
-            size = len(texts[k])
-            for c in range(min(WINDOW, size - s)):
-                depth = min(c if s else WINDOW, WINDOW - 1 - c if s + WINDOW < size else WINDOW)
-                now = tags.setdefault(k, {}).get(s + c)
-                if now is None or depth > now[0]:
-                    tags[k][s + c] = (depth, 0)
-    out: list[list[Span]] = [[] for _ in texts]
-    for k, marks in tags.items():
-        start = kind = None
-        last = -2
-        for c in [*sorted(marks), 1 << 60]:
-            tag = marks[c][1] if c in marks else 0
-            if start is not None and (c != last + 1 or tag == 0 or tag % 2 or (tag - 1) // 2 != kind):
-                out[k].append((KINDS[kind], start, last + 1))
-                start = None
-            if tag % 2:
-                start, kind = c, (tag - 1) // 2
-            last = c
-    return out
+    """Spans of each whole text, from the tags of its windows put together.
+
+    A text's last window is filled up to the next multiple of PADDED, so its tags
+    depend on the text alone, not on what is tagged along with it.
+    """
+    codes = [encode(t) for t in texts]
+    by_size: dict[int, list[tuple[int, int]]] = {}
+    for k, c in enumerate(codes):
+        for s in starts_of(len(c)).tolist() if len(c) else []:
+            by_size.setdefault(-(-min(WINDOW, len(c) - s) // PADDED) * PADDED, []).append((k, s))
+    whole: dict[int, np.ndarray] = {}
+    for size, where in by_size.items():
+        for i in range(0, len(where), BATCH):
+            part = where[i : i + BATCH]
+            x = np.zeros((len(part), size), np.uint8)
+            for j, (k, s) in enumerate(part):
+                row = codes[k][s : s + size]
+                x[j, : len(row)] = row
+            path = model.tags(x)
+            for j in np.flatnonzero(path.any(axis=1)).tolist():
+                k, s = part[j]
+                tags = whole.setdefault(k, np.zeros(len(codes[k]), np.int8))
+                a = s + OVERLAP // 2 if s else 0  # before it, the window on the left has the place further inside
+                b = s + WINDOW - OVERLAP // 2 if s + WINDOW < len(tags) else len(tags)
+                tags[a:b] = path[j, a - s : b - s]
+    return [spans_of(whole[k]) if k in whole else [] for k in range(len(texts))]
 
 
 def find(model: Tagger | None, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) spans of each text, by kind as listed, then start; null texts have none."""
     held = [t or "" for t in texts]
-    hot = [i for i, t in enumerate(held) if TRIGGER.search(t)]
-    result: list[tuple[list[Span], list[Span]]] = [([], [])] * len(held)
-    for i in range(0, len(hot), 64):
-        part = hot[i : i + 64]
-        more = model_spans(model, [held[k] for k in part]) if model else [[]] * len(part)
-        for k, extra in zip(part, more, strict=True):
-            base = base_spans(held[k])
-            added = [s for s in extra if passes(s[0], held[k][s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
-            result[k] = (base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1])))
+    found = model_spans(model, held) if model else [[]] * len(held)
+    result = []
+    for text, extra in zip(held, found, strict=True):
+        base = base_spans(text)
+        added = [s for s in extra if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        result.append((base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))))
     return result
 
 
@@ -420,12 +455,18 @@ def joined(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, model: Tagger | None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row; null texts count as empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
+
+    Null texts count as empty; texts without a span have zeros and an empty list.
+    A null doc_id stays null, and repeated rows each give a row.  An empty table
+    gives no rows.  Only doc_id and text are read, so other columns may have any
+    name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = find(shared.value, batch.column(1).to_pylist())
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(a) for _, a in found], pa.string())], names=names)
@@ -444,18 +485,22 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by what `learn` draws from them.  See `detect` for nulls, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     return detect(docs, learn(docs.select("doc_id", "text")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data in text is replaced by its kind; n_chars follows where it is a column."""
+    """Pipeline stage: personal data in text is replaced by its kind; n_chars follows where it is a column.
+
+    Every row stays, null and empty texts as they are; an empty table gives no rows.
+    """
     names, schema = docs.columns, docs.schema
     shared = spark.sparkContext.broadcast(learn(docs.select("doc_id", "text")))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             new = [t if t is None or not s else mask(t, s) for t, (_, s) in zip(texts, find(shared.value, texts), strict=True)]
             columns = list(batch.columns)
