@@ -17,17 +17,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_sample_ids, table
+from marginalia.llm.common import slices, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: At most so many labelled documents, chosen by hash, and so many windows of each are learned from.
-SAMPLE_DOCS = 4000
+#: At most so many labelled documents of each language, chosen by hash, and so many windows of each are learned from.
+SAMPLE_DOCS = 1000
 SAMPLE_WINDOWS = 2
+BUCKETS = 64
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,6 +52,7 @@ class ByteConv:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    plain: dict[str, np.ndarray]  # the trained weights that the tables come from
 
     SCALE = 512
 
@@ -71,20 +74,18 @@ class ByteConv:
 
 
 def train(samples: list[tuple[bytes, str]], epochs: int = 3, seed: int = 7, rate: float = 4e-3) -> ByteConv | None:
-    """Adam on the cross entropy of windows; None without samples."""
+    """Adam on the cross entropy of windows (bytes, language), each of which counts to WINDOW bytes; None without samples."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     rows, labels = [], []
     for raw, lang in samples:
-        cut = windows_of(raw)
-        for k in rng.permutation(len(cut))[:SAMPLE_WINDOWS]:
-            row = cut[k].copy()
-            if rng.random() < 0.3:  # short texts too
-                row[int(rng.integers(8, WINDOW)) :] = 0
-            rows.append(row)
-            labels.append(langs.index(lang))
+        row = windows_of(raw)[0]
+        if rng.random() < 0.3:  # short texts too
+            row[int(rng.integers(8, WINDOW)) :] = 0
+        rows.append(row)
+        labels.append(langs.index(lang))
     x, y = np.array(rows), np.array(labels)
     p = {"emb": rng.normal(0, 0.3, (256, EMBED)).astype(np.float32), "out": np.zeros((FILTERS * len(WIDTHS), len(langs)), np.float32), "ob": np.zeros(len(langs), np.float32), "b": np.zeros(FILTERS * len(WIDTHS), np.float32)}
     p["emb"][0] = 0
@@ -141,7 +142,7 @@ def train(samples: list[tuple[bytes, str]], epochs: int = 3, seed: int = 7, rate
     def whole(t: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(t * ByteConv.SCALE), -16000, 16000).astype(np.int16)
 
-    return ByteConv(langs, whole(np.concatenate([two(2, 0), two(3, 0), two(4, 0)], axis=1)), whole(one(3, 2)), whole(two(4, 2)), p["b"], p["out"], p["ob"])
+    return ByteConv(langs, whole(np.concatenate([two(2, 0), two(3, 0), two(4, 0)], axis=1)), whole(one(3, 2)), whole(two(4, 2)), p["b"], p["out"], p["ob"], p)
 
 
 def predict(model: ByteConv | None, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -182,26 +183,40 @@ def fold_of(key: str, folds: int) -> F.Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteConv | None:
-    """Trains on at most `sample_docs` documents with text and lang, outside the held-out fold, chosen by hash of doc_id."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & (fold_of("doc_id", 4) != 2))
-    ids = bounded_sample_ids(docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2)), "doc_id", sample_docs)
-    # a training text needs no more than the windows drawn from it; scoring always reads whole texts
-    part = F.substring("text", 1, 64 * WINDOW)
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", part.alias("text"), "lang").collect()
-    found.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([(r.text.encode("utf-8", "replace"), r.lang) for r in found])
+    """Trains on at most `sample_docs` documents of each lang with text and lang, outside the held-out fold, chosen by hash of doc_id.
+
+    Of each, SAMPLE_WINDOWS windows from places anywhere in its whole text,
+    chosen by hash, come to the driver.  `sample_docs` is a bound for each lang,
+    so that a rare one is learned too.
+    """
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold_of("doc_id", 4) != 2))
+    # the first of each lang are among the first of its buckets, so no task reads more than BUCKETS * sample_docs rows
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = named.groupBy("lang", "doc_id").agg(F.lit(1)).select("lang", "doc_id").withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BUCKETS)))
+    known = known.withColumn("_k", F.row_number().over(W.partitionBy("lang", "_b").orderBy(*first))).where(F.col("_k") <= sample_docs)
+    ids = known.withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy(*first))).where(F.col("_k") <= sample_docs).select("lang", "doc_id")
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    places = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), room) for k in range(SAMPLE_WINDOWS)])
+    rows = named.join(F.broadcast(ids), ["lang", "doc_id"]).where(F.col("text").rlike(r"\p{L}"))
+    cut = rows.withColumn("_place", F.explode(places)).select("doc_id", "lang", F.col("text").substr((F.col("_place") + 1).cast("int"), F.lit(WINDOW)).alias("part"))
+    # of texts that differ under one doc_id, as many windows as of one text
+    few = F.row_number().over(W.partitionBy("lang", "doc_id").orderBy(F.xxhash64("part"), "part"))
+    found = cut.distinct().withColumn("_k", few).where(F.col("_k") <= SAMPLE_WINDOWS).select("doc_id", "lang", "part").collect()
+    return train([(r.part.encode("utf-8", "replace"), r.lang) for r in sorted(found)])
 
 
 def identify(docs: DataFrame, model: ByteConv | None) -> DataFrame:
     """doc_id, lang_pred, score for every row.
 
-    Null texts, empty texts and texts without a letter: `und`, score 0.  Repeated
-    rows each give a row.  Only doc_id and text are read.
+    Null texts, empty texts and texts without a letter: `und`, score 0.  Equal
+    probabilities: the first language by name.  Repeated rows each give a row, a
+    null doc_id stays null, and an empty table gives no rows.  Only doc_id and
+    text are read, so other columns may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = predict(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -209,6 +224,7 @@ def identify(docs: DataFrame, model: ByteConv | None) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by what `learn` draws from them.  See `identify` for nulls, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs)).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
@@ -218,7 +234,10 @@ MIN_SCORE = 0.4
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents of no learned language; the others keep all columns of documents."""
+    """Pipeline stage: rejects documents of no learned language; the others keep all columns of documents.
+
+    Null and empty texts are rejected; an empty table gives no rows.
+    """
     names = docs.columns
     model = learn(docs)
     shared = spark.sparkContext.broadcast(model)
@@ -226,7 +245,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             found = predict(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= MIN_SCORE for lang, score in found], pa.bool_()))
 
