@@ -15,7 +15,8 @@ def connected(edges: DataFrame) -> DataFrame:
     the larger neighbours; small star: itself and the smaller ones) until
     nothing changes; rounds grow with the logarithm of a component's size.  Each
     round is a table in the shared folder.  Only the number of changes comes to
-    the driver.
+    the driver.  Rows with a null end, and links of a node to itself, are left
+    out; without links there are no rows.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 

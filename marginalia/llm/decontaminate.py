@@ -9,7 +9,8 @@ in blocks), and each hit is extended word by word on both sides.  Items shorter
 than WINDOW words are one window, matched by the hash of all their words.
 
 The benchmark's fingerprints are broadcast in blocks of bounded size, one pass
-over the documents for each block; a small benchmark is one block.
+over the documents for each block, one block held at a time; a small benchmark
+is one block.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, table
+from marginalia.llm.common import materialize, slices, table
 
 WINDOW, K = 10, 5
 #: Characters of benchmark text in a broadcast block.
@@ -43,15 +45,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = []
+#: Bytes whose words are hashed at a time (a longer word makes a longer stretch).
+STRETCH = 1 << 18
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.cumprod(np.full(n, x, np.uint64)) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+    return up, down
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.full(size, x, np.uint64)) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of an odd number and of its inverse modulo 2^64; only the table for STRETCH bytes is kept."""
+    if n > STRETCH + 1:
+        return _power_table(n)
+    if not _POWERS:
+        _POWERS.append(_power_table(STRETCH + 1))
+    up, down = _POWERS[0]
+    return up[:n], down[:n]
 
 
 @dataclass
@@ -74,10 +87,18 @@ def words_of(text: str | None) -> Words:
     inside[1:-1] = _WORD_BYTE[b]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    up, down = _powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE_HASH[b] * up[: len(b)], out=sums[1:])
-    return Words(raw, start, end, _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+    hashes = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):  # whole words that end within a stretch, one at least
+        at = int(start[first])
+        last = max(first + 1, int(np.searchsorted(end, at + STRETCH, side="right")))
+        part, s, e = b[at : end[last - 1]], start[first:last] - at, end[first:last] - at
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_HASH[part] * up[: len(part)], out=sums[1:])
+        hashes[first:last] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        first = last
+    return Words(raw, start, end, hashes)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -188,23 +209,28 @@ def _blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> tuple[int, Iterator[l
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row.
 
-    Null and empty texts have no words.  Items without words or item_id have no
-    window.  Repeated items count once, as item_id.  Repeated rows each give a row.
+    Null and empty texts have no words.  Items without words have no window; a
+    null item_id is one item, whose id is empty.  Repeated items count once, as
+    item_id.  Repeated rows each give a row, and a null doc_id stays null.  Empty
+    documents give no rows; an empty benchmark hits nothing.  Only doc_id and
+    text, item_id and text are read, so other columns may have any name.
     """
     n, blocks = _blocks(_items(benchmark), block_chars)
     if n == 1:
-        found = _pass(docs, next(blocks))
+        found, _ = _pass(docs, next(blocks))
     else:  # a row of a document is known by its place in a written table
         rows = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "decontaminate")
         every = None
         for block in blocks:
-            part = _pass(rows, block, "_row")
+            part, shared = _pass(rows, block, "_row")
+            part = materialize(part.where("n_hit > 0") if every is not None else part, "decontaminate-part")
+            shared.destroy()
             every = part if every is None else every.unionByName(part)
         found = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("_row")
         merged = F.aggregate(F.array_sort("runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(r["start"], s["end"]))).alias("n"), F.greatest(s["end"], r["end"]).alias("end")))["n"]
@@ -212,13 +238,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], key: str | None = None) -> DataFrame:
+def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], key: str | None = None) -> tuple[DataFrame, Broadcast]:
+    """What one block of items hits, and the block as the executors hold it."""
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), *([("_row", pa.int64())] if key else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index.of(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(1).to_pylist():
                 doc = words_of(text)
@@ -233,25 +260,50 @@ def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], key: str | None =
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     names = [F.col("doc_id").cast("long"), F.col("text"), *([F.col(key)] if key else [])]
-    return docs.select(*names).mapInArrow(run, "doc_id long, n_words long, n_hit long, runs array<struct<start: long, end: long>>, items array<string>" + (", _row long" if key else ""))
+    return docs.select(*names).mapInArrow(run, "doc_id long, n_words long, n_hit long, runs array<struct<start: long, end: long>>, items array<string>" + (", _row long" if key else "")), shared
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item.  See `contamination`."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAM = {n: " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER w" for k in range(1, n))]) for n in range(1, WINDOW + 1)}
+#: The same over the tables documents and benchmark, for DuckDB.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_, doc_id, coalesce({_WORDS.format("text")}, []) AS words FROM documents),
+i AS (SELECT coalesce(item_id::varchar, '') AS item_id, {_WORDS.format("text")} AS words FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, least(len(words), {WINDOW}) AS size, unnest(list_transform(range(1, len(words) - least(len(words), {WINDOW}) + 2), lambda p: array_to_string(words[p:p + {WINDOW - 1}], ' '))) AS gram FROM i WHERE len(words) > 0),
+placed AS (SELECT row_, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+grams AS ({" UNION ALL ".join(f"SELECT row_, p, {n} AS size, {_GRAM[n]} AS gram FROM placed WHERE {n} IN (SELECT size FROM windows) WINDOW w AS (PARTITION BY row_ ORDER BY p)" for n in _GRAM)}),
+hits AS (SELECT row_, p, size, item_id FROM grams JOIN windows USING (size, gram)),
+counted AS (SELECT row_, count(DISTINCT place) AS n_hit FROM (SELECT row_, unnest(range(p, p + size)) AS place FROM hits) x GROUP BY row_),
+named AS (SELECT row_, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row_, item_id FROM hits) x GROUP BY row_)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (row_) LEFT JOIN named USING (row_)
+"""
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that share a window with an item go; the others keep all columns."""
-    _, blocks = _blocks(_items(table(spark, sf_dir, "benchmark")))
+    """Pipeline stage: documents that share a window with an item go; the others keep all columns.
+
+    Null and empty texts stay; an empty benchmark takes nothing.
+    """
+    n, blocks = _blocks(_items(table(spark, sf_dir, "benchmark")))
     at = docs.columns.index("text")
     kept = docs
-    for rows in blocks:
+    for k, rows in enumerate(blocks):
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index.of(shared.value)
-            for batch in batches:
+            for batch in slices(batches, at):
                 yield batch.filter(pa.array([not index.hits(words_of(t))[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
+        if k + 1 < n:
+            kept = materialize(kept, "decontaminate-kept")
+            shared.destroy()
     return kept

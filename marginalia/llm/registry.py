@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage.  None of them can be expressed in SQL as a whole (models, coders, tokenizers, hashes); tests hold each against brute force."""
+"""Registered queries of this subpackage, and SQL where it can say the same; models, coders, tokenizers and hashes it can't: tests hold those against brute force."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm import decontaminate, secrets
 from marginalia.llm.counts import op8
 from marginalia.llm.decontaminate import op4
 from marginalia.llm.language import op10
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL}

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import materialize, table
+from marginalia.llm.common import materialize, slices, table
 from marginalia.llm.components import connected
 
 SEED = 42
 WORDS = 3
 DISTANCE = 2
 SMALL = 8
+#: A fingerprint with more than one in so many of all rows is joined by broadcast: there are no more than HOT of them.
+HOT = 100
 PAIRS = list(combinations(range(4), 2))
 
 
@@ -61,9 +63,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _prints(rows: DataFrame, words: int) -> DataFrame:
     """Puts fp in place of text, which is the last column."""
+    at = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             fps = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
 
@@ -111,19 +114,25 @@ def components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) ->
 
     Null and empty texts share fingerprint zero.  Rows without doc_id are kept
     and can link others; a component of such rows alone has a null id.  Repeated
-    rows each give a row.  Only doc_id and text are read.
+    rows each give a row.  An empty table gives no rows.  Only doc_id and text
+    are read, so other columns may have any name.
     """
     prints = materialize(fingerprints(docs, words), "simhash")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     found = connected(links(reps.select("fp"), distance))  # fp, root: those with links only
     linked = materialize(reps.join(found, "fp").select("fp", "root", "low"), "simhash-linked")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    # rows of a fingerprint: a third may share one, so the small side is joined to it and split by AQE
-    of_fp = reps.join(linked.join(lowest, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = materialize(reps.join(linked.join(lowest, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n"), "simhash-groups")
+    # fingerprints of more than a hundredth of all rows, of which there are a hundred at most, meet their rows without a shuffle
+    rows = of_fp.agg(F.sum("n").alias("n")).first().n or 0
+    hot = F.broadcast(of_fp.where(F.col("n") > rows / HOT).drop("n"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(of_fp.where(F.col("n") <= rows / HOT).drop("n"), "fp")
+    every = prints.join(hot, "fp").unionByName(rest)
+    return every.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document.  See `components` for nulls, repeated rows and empty tables."""
     return components(table(spark, sf_dir, "documents"))
 
 
@@ -132,7 +141,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by doc_id and text: different texts under one doc_id are
     rows of their own, of which the first by the text's hash stays where they are
-    near duplicates.  A row without doc_id comes after those with one.
+    near duplicates.  A row without doc_id comes after those with one.  Null and
+    empty texts are near duplicates of one another.  An empty table gives no rows.
     """
     mark = F.sha2("text", 256)
     prints = materialize(_prints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("_mark"), "text"), WORDS), "simhash-rows")

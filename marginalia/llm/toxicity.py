@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bounded_sample_ids, table
+from marginalia.llm.common import bounded_sample_ids, slices, table
 from marginalia.llm.language import fold_of
 
 #: Letters of other scripts that look like Latin ones.
@@ -28,7 +28,8 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h",
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l", "+": "t"}
 #: Phrases in which an entry isn't meant as an insult.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid mistake of mine", "disgusting weather")
-INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+#: What isn't seen, and marks over letters, which a letter written in parts has apart.
+INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)))
 SAMPLE_DOCS = 8000
 LEXICON_SIZE = 2000
 #: An entry must have been seen in so many toxic places with different neighbours, an exception in so many others.
@@ -37,9 +38,11 @@ SUPPORT = 5
 
 def _table() -> dict[int, str]:
     fold: dict[int, str] = {}
-    for code in [*range(0x20, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F), *range(0x370, 0x530)]:
+    # Latin, Greek and Cyrillic; letters in circles, of mathematics and of full width; and whatever is listed above
+    blocks = [range(0x20, 0x250), range(0x1E00, 0x1F00), range(0x370, 0x530), range(0x2100, 0x2150), range(0x24B6, 0x24EA), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800)]
+    for code in [*(code for block in blocks for code in block), *map(ord, (*HOMOGLYPHS, *SUBSTITUTES))]:
         c = chr(code).lower()
-        c = unicodedata.normalize("NFKD", c)[0] if len(c) == 1 else c[0]
+        c = unicodedata.normalize("NFKD", c)[0].lower() if len(c) == 1 else c[0]
         c = HOMOGLYPHS.get(c, SUBSTITUTES.get(c, c))
         fold[code] = "i" if c in "lj" else c  # l, i, j and 1 are written for one another
     return fold
@@ -184,12 +187,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, score, n_hits for every row; null and empty texts get the score of no hit.  Repeated rows each give a row."""
+    """doc_id, score for every row.
+
+    Null and empty texts get the score of no hit; a null doc_id stays null, and
+    repeated rows each give a row.  An empty table gives no rows.  Only doc_id and
+    text are read, so other columns may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [visible(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lex.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
 
@@ -197,6 +205,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by what the labels teach.  See `learn` and `score` for nulls, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
