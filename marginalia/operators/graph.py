@@ -157,9 +157,10 @@ def suggestions(names: DataFrame, target: str) -> DataFrame:
 def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
     """(cid): what forward links reach from `start` (cid), itself included, however far and through cycles.
 
-    Edges are written once, dealt out by source; every round writes what it
-    found new, and each note carries the round that found it, so lost executors
-    cost one round.  Only whether something new was found comes to the driver.
+    Edges are written once.  Every round goes HOPS links on and writes what it
+    found new, each note once, with the hop that found it; the next starts from
+    what its last hop found.  So plans stay short, lost executors cost one round,
+    and only whether there is a next round comes to the driver.
     """
     spark = links.sparkSession
     where = f"{shared_dir(spark)}/marginalia/reach-{uuid.uuid4().hex}"
@@ -169,14 +170,22 @@ def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
     edges = kept(distinct_edges(links).where("source_cid != target_cid"), "edges")
-    frontier = seen = kept(start.select("cid").distinct(), "found/round=0")
+    frontier = seen = kept(start.select("cid").distinct().withColumn("hop", F.lit(HOPS)), "found/round=0")
     n = 0
     while not frontier.isEmpty():
         n += 1
-        step = edges.join(frontier.withColumnRenamed("cid", "source_cid"), "source_cid", "left_semi").select(F.col("target_cid").alias("cid")).distinct()
-        frontier = kept(step.join(seen, "cid", "left_anti"), f"found/round={n}")
+        at, hops = frontier.select("cid"), []
+        for hop in range(1, HOPS + 1):
+            at = edges.join(at.withColumnRenamed("cid", "source_cid"), "source_cid", "left_semi").select(F.col("target_cid").alias("cid")).distinct()
+            hops.append(at.withColumn("hop", F.lit(hop)))
+        first = reduce(DataFrame.unionByName, hops).groupBy("cid").agg(F.min("hop").alias("hop"))
+        frontier = kept(first.join(seen, "cid", "left_anti"), f"found/round={n}").where(F.col("hop") == HOPS)
         seen = spark.read.schema("cid string").parquet(f"{where}/found").select("cid")  # one scan, however many rounds
-    return seen
+    return seen.select("cid")
+
+
+#: Links that a round of `reachable` goes.
+HOPS = 4
 
 
 def hubs(notes: DataFrame) -> DataFrame:
