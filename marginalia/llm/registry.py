@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontaminate, secrets
+from marginalia.llm import decontaminate, merkle, secrets
 from marginalia.llm.counts import op8
 from marginalia.llm.decontaminate import op4
 from marginalia.llm.language import op10
+from marginalia.llm.merkle import op11
 from marginalia.llm.neighbours import op7
 from marginalia.llm.packing import op9
 from marginalia.llm.pii import op5
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8,
         "op9_packing": op9,
         "op10_language": op10,
+        "op11_merkle": op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL}
+    return {"op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL, "op11_merkle": merkle.SQL}
