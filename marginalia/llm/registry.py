@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontaminate, merkle, secrets
+from marginalia.llm import decontaminate, merkle, secrets, topk
 from marginalia.llm.counts import op8
 from marginalia.llm.decontaminate import op4
 from marginalia.llm.language import op10
@@ -17,6 +17,7 @@ from marginalia.llm.pii import op5
 from marginalia.llm.rangecoder import op2
 from marginalia.llm.secrets import op3
 from marginalia.llm.simhash import op6
+from marginalia.llm.topk import op13
 from marginalia.llm.toxicity import op1
 
 
@@ -33,8 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9,
         "op10_language": op10,
         "op11_merkle": op11,
+        "op13_topk": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL, "op11_merkle": merkle.SQL}
+    return {"op3_secrets": secrets.SQL, "op4_decontamination": decontaminate.SQL, "op11_merkle": merkle.SQL, "op13_topk": topk.SQL}
