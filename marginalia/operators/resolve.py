@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.markdown import relative_path
 from marginalia.functions.scalar import normal_path
 
 
@@ -27,6 +28,55 @@ def index(cids: DataFrame) -> DataFrame:
     return names(cids).groupBy("kind", "name").agg(best.alias("best")).select("kind", "name", F.col("best.cid").alias("cid"))
 
 
+def probes(links: DataFrame) -> DataFrame:
+    """Adds `by` and `name` to links (source_cid, kind, target): a wiki link asks for a note by name, a Markdown link by the path that it leads to.
+
+    A link that can't lead to a note asks for nothing: `by` is null.
+    """
+    written = F.regexp_replace(normal_path(F.col("target")), r"\.md\z", "")
+    led = relative_path(F.concat(F.col("source_cid"), F.lit(".md")), F.col("target"))
+    path = F.when(F.lower(led).endswith(".md"), F.regexp_replace(led, r"(?i)\.md\z", ""))
+    name = F.when(F.col("kind") == "wiki", written).when(F.col("kind") == "markdown", path)
+    return links.withColumn("name", F.when(name != "", name)).withColumn("by", F.when(F.col("name").isNotNull(), F.col("kind")))
+
+
+def lookup(asked: DataFrame, cids: DataFrame, unparseable: DataFrame | None = None) -> DataFrame:
+    """asked (by, name), distinct, with cid: names by exact name, path suffix, then bare stem; paths by the exact cid.
+
+    Only names that are asked for are ranked.  What means an unparseable note has no cid, and never another.
+    """
+    some = names(cids).join(asked.select("name").distinct(), "name", "left_semi")
+    best = some.groupBy("name", "kind").agg(F.min(F.struct("prio", "cid")).alias("best"))
+    one = best.groupBy("name").agg(*[F.max(F.when(F.col("kind") == k, F.col("best.cid"))).alias(k) for k in ("exact", "suffix", "stem")])
+    at = asked.join(one, "name", "left")
+    path = F.when(F.col("exact") == F.col("name"), F.col("exact"))
+    wiki = F.coalesce("exact", "suffix", F.when(F.instr("name", "/") == 0, F.col("stem")))
+    found = at.select("by", "name", F.when(F.col("by") == "markdown", path).otherwise(wiki).alias("cid"))
+    if unparseable is None:
+        return found
+    bad = unparseable.select("cid", F.lit(True).alias("_bad")).distinct()
+    return found.join(bad, "cid", "left").select("by", "name", F.when(F.col("_bad").isNull(), F.col("cid")).alias("cid"))
+
+
+def edges(links: DataFrame, cids: DataFrame, unparseable: DataFrame | None = None) -> DataFrame:
+    """Adds target_cid to links (source_cid, kind, target) of either kind, in one plan; each name is looked up once."""
+    asked = probes(links)
+    found = lookup(asked.where("by IS NOT NULL").select("by", "name").distinct(), cids, unparseable)
+    return asked.join(found.withColumnRenamed("cid", "target_cid"), ["by", "name"], "left").drop("by", "name")
+
+
+def lookup_again(found: DataFrame, asked: DataFrame, changed: DataFrame, cids: DataFrame, unparseable: DataFrame | None = None) -> DataFrame:
+    """`lookup` of asked (by, name), from what an earlier one found and the notes (cid) that came, went or changed since.
+
+    Only names that a changed note answers to, and names that weren't asked for before, are looked up; the rest is kept.
+    """
+    touched = names(changed.select("cid").distinct()).select("name").distinct()
+    known = asked.join(found.withColumn("_known", F.lit(True)), ["by", "name"], "left").join(touched.withColumn("_touched", F.lit(True)), "name", "left")
+    stays = F.col("_known").isNotNull() & F.col("_touched").isNull()
+    kept = known.where(stays).select("by", "name", "cid")
+    return kept.unionByName(lookup(known.where(~stays).select("by", "name"), cids, unparseable))
+
+
 def resolve(links: DataFrame, cids: DataFrame, unparseable: DataFrame | None = None) -> DataFrame:
     """Adds target_cid to links (source_cid, target_raw): exact name, else path suffix, else bare stem.
 

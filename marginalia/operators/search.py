@@ -69,12 +69,16 @@ NAMED = 1000
 
 @dataclass(frozen=True)
 class Index:
-    """terms: term, stem.  postings: corpus, term, cid, column, places.  lengths: corpus, cid, dl.  notes: as given."""
+    """terms: term, stem.  postings: corpus, term, cid, column, places.  lengths: corpus, cid, dl.  notes: as given.
+
+    sums: notes and words of each corpus, where they are kept; else they are counted.
+    """
 
     terms: DataFrame
     postings: DataFrame
     lengths: DataFrame
     notes: DataFrame
+    sums: Mapping[str, tuple[int, int]] | None = None
 
 
 def _corpus() -> Column:
@@ -103,12 +107,15 @@ def build(notes: DataFrame, where: str) -> Index:
     # by term and cid: a term that is everywhere spans files, and a file's statistics say which terms it holds
     made["postings"].repartitionByRange("term", "cid").sortWithinPartitions("term", "cid").write.mode("overwrite").parquet(f"{where}/postings")
     spark = notes.sparkSession
-    dictionary = spark.read.parquet(f"{where}/postings").select("term").distinct()
-    # stems run in Python, over the distinct terms alone
-    dictionary.select("term", stems(F.array("term"))[0].alias("stem")).write.mode("overwrite").parquet(f"{where}/terms")
+    dictionary(spark.read.parquet(f"{where}/postings").select("term").distinct()).write.mode("overwrite").parquet(f"{where}/terms")
     return load(spark, where)
 
 
+def dictionary(words: DataFrame) -> DataFrame:
+    """term, stem of distinct terms: stems run in Python, over these alone."""
+    return words.select("term", stems(F.array("term"))[0].alias("stem"))
+
+
 def load(spark: SparkSession, where: str) -> Index:
     return Index(*(spark.read.parquet(f"{where}/{t}") for t in ("terms", "postings", "lengths", "notes")))
 
@@ -173,16 +180,19 @@ def _scored(index: Index, tree: ql.Tree, corpus: str) -> DataFrame:
     counted = _counted(index, corpus, leaves)
     n = lambda i: reduce(lambda a, b: a + b, [F.col(f"n_{i}_{c}") for c in COLUMNS])
     lengths = index.lengths.where(F.col("corpus") == corpus).select("cid", "dl")
-    size = lengths.agg(F.count("*").alias("N"), F.sum("dl").alias("D"))
     df = counted.agg(*[F.count_if(n(i) > 0).alias(f"df_{i}") for i in range(len(names))])
-    stats = size.crossJoin(F.broadcast(df))  # one row of counters each
+    if index.sums is None:
+        stats = lengths.agg(F.count("*").alias("N"), F.sum("dl").alias("D")).crossJoin(F.broadcast(df))  # one row of counters each
+    else:
+        stats = df.withColumns({name: F.lit(x).cast("long") for name, x in zip("ND", index.sums.get(corpus, (0, 0)), strict=True)})
     rows = counted.where(_holds(tree, {leaf: n(i) > 0 for i, leaf in enumerate(names)})).join(lengths, "cid").crossJoin(F.broadcast(stats))
+    relative = F.coalesce(F.try_divide("dl", F.try_divide("D", "N")), F.lit(0.0))
     total = F.lit(0.0)
     for leaf in leaves:
         i = names.index(leaf)
         idf = F.log((F.col("N") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
         f = reduce(lambda a, b: a + b, [F.col(f"n_{i}_{c}") * WEIGHTS[c] for c in COLUMNS])
-        total += F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / (F.col("D") / F.col("N"))))
+        total += F.when(idf <= 0, LEAST_IDF).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * relative))
     for c in COLUMNS:
         any_hit = reduce(lambda a, b: a | b, [F.col(f"n_{i}_{c}") > 0 for i in range(len(names))])
         total += F.when(any_hit, FLOOR * WEIGHTS[c]).otherwise(0.0)
