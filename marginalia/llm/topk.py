@@ -81,8 +81,11 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield whole()
 
 
-def _written(rows: DataFrame, name: str, size: int) -> DataFrame:
-    """d, part, longest, ids, vectors, basis: parts of bounded size, in the order of `rows` within its partitions."""
+def _written(rows: DataFrame, name: str, size: int, turned: bool = True) -> DataFrame:
+    """d, part, longest, ids, vectors, basis: parts of bounded size, in the order of `rows` within its partitions.
+
+    The basis is empty where it isn't asked for, or would be larger than a quarter of the vectors.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,7 +93,7 @@ def _written(rows: DataFrame, name: str, size: int) -> DataFrame:
         base = TaskContext.get().partitionId() << 32
         for i, (d, ids, v) in enumerate(_parts(batches, size)):
             x = v.astype(np.float64)
-            basis = np.linalg.eigh(x.T @ x)[1][:, ::-1] if d else np.zeros((0, 0))
+            basis = np.linalg.eigh(x.T @ x)[1][:, ::-1] if turned and 0 < 4 * d <= len(x) else np.zeros((0, 0))
             longest = float(np.sqrt((x**2).sum(axis=1).max()))
             yield pa.RecordBatch.from_pydict({"d": [d], "part": [base + i], "longest": [longest], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "basis": [np.ascontiguousarray(basis).tobytes()]}, schema)
 
@@ -105,7 +108,7 @@ class Shard:
         self.ids, self.whole = ids, vectors
         self.x = vectors.astype(np.float64)
         self.basis = basis
-        turned = self.x @ basis
+        turned = self.turned(self.x)
         power = (turned**2).sum(axis=0)
         self.leading = int(np.searchsorted(np.cumsum(power), LEADING * power.sum())) + 1
         self.front = turned[:, : self.leading]
@@ -113,6 +116,9 @@ class Shard:
         self.length = np.sqrt((self.x**2).sum(axis=1))
         self.most = float(np.abs(self.x).max(initial=0))
 
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.basis if self.basis.size else x
+
     def products(self, q: np.ndarray, rows: slice | np.ndarray, paired: bool) -> np.ndarray:
         """Exact inner products of integer vectors, of each with each or paired row by row."""
         v = self.x[rows]
@@ -130,7 +136,7 @@ class Shard:
         """
         x = q.astype(np.float64)
         length = np.sqrt((x**2).sum(axis=1))
-        turned = x @ self.basis
+        turned = self.turned(x)
         front, rest = turned[:, : self.leading], np.sqrt((turned[:, self.leading :] ** 2).sum(axis=1))
         who, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step, out = 0, 64, 0
@@ -167,7 +173,7 @@ BATCH = 512
 def _meet(row, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A pair's (query's place in its block, id, score), with `least` raised."""
     ids, qids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.qids, np.int64)
-    shard = Shard(ids, np.frombuffer(row.vectors, np.int64).reshape(len(ids), row.d), np.frombuffer(row.basis).reshape(row.d, row.d))
+    shard = Shard(ids, np.frombuffer(row.vectors, np.int64).reshape(len(ids), row.d), np.frombuffer(row.basis).reshape(-1, max(row.d, 1)))
     q = np.frombuffer(row.queries, np.int64).reshape(len(qids), row.d)
     found = [(np.zeros(0, np.int64),) * 3]
     for i in range(0, len(qids), BATCH):
@@ -199,7 +205,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_bytes: int =
     shards = _written(told.select("id", "v"), "topk-shards", shard_bytes)
     asked = queries.select("id", "v").dropDuplicates()
     asked = asked.repartition(many(queries, block_bytes), "id", "v").sortWithinPartitions(F.size("v"), "id")
-    blocks = _written(asked, "topk-blocks", block_bytes).select("d", F.col("part").alias("block"), F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
+    blocks = _written(asked, "topk-blocks", block_bytes, turned=False).select("d", F.col("part").alias("block"), F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
