@@ -34,9 +34,9 @@ from marginalia.llm.common import materialize, slices, table
 
 LEAST, LONGEST, TOP, SHARE, SCALE = 10, 3, 2000, 50, 1_000_000
 #: A shard ends after so many words; what a task holds for all languages together is bounded by twice that.
-SHARD = 1 << 20
+SHARD = 1 << 18
 #: First words are taken in batches of about so many blocks.
-BATCH = 1 << 18
+BATCH = 1 << 17
 FILTER_BITS = 1 << 26
 UNKNOWN = "und"
 
