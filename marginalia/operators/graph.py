@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import folded
+from marginalia.operators import samples
+from marginalia.operators.resolve import candidates
 from marginalia.sources.shared import shared_dir
 
 RESOLVED = "target_cid is not null"
@@ -129,23 +131,41 @@ def hub_overview(notes: DataFrame, links: DataFrame, limit: int = NEIGHBOURS, le
     return pairs.orderBy(F.desc("ratio"), F.desc("shared"), "a", "b").limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
-def resolve_cid(names: DataFrame, target: str) -> str:
-    """The cid that a target written by hand means: a path as it is, else the only one that differs in case, else a name by its last segment.
+def resolve_targets(asked: DataFrame, cids: DataFrame) -> DataFrame:
+    """target, cid, error, candidates, total of targets written by hand (target), all at once and by joins.
 
-    LookupError where nothing or more than one answers.
+    A target is a path as it is, else the only path that differs from it in case, else a name as a
+    wiki link has it, active notes before archived ones.  error: invalid (empty, absolute or with steps
+    that climb), not_found, or ambiguous; then candidates are the first of all `total` notes that it could mean.
     """
-    path = target.strip().removeprefix("[[").removesuffix("]]").split("|")[0].split("#")[0].replace("\\", "/").strip().removeprefix("./").strip("/").removesuffix(".md")
-    if not path:
-        raise LookupError("no target")
-    small = names.select("cid").where((F.lower("cid") == path.lower()) | F.lower("cid").endswith("/" + path.lower())).distinct()
-    found = [r.cid for r in small.orderBy("cid").limit(NEIGHBOURS).collect()]
-    for rule in (lambda c: c == path, lambda c: c.lower() == path.lower(), lambda c: c.endswith("/" + path) and not c.startswith("archive/"), lambda c: c.endswith("/" + path), lambda c: not c.startswith("archive/"), lambda c: True):
-        hits = [c for c in found if rule(c)]
-        if len(hits) == 1:
-            return hits[0]
-        if hits:
-            raise LookupError(f"'{target}' means several notes: {', '.join(hits)}")
-    raise LookupError(f"no note '{target}'")
+    cids = cids.select("cid").distinct()
+    text = F.trim(F.replace("target", F.lit("\\"), F.lit("/")))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\A(\./)+", ""), r"/+\z", ""), r"(?i)\.md\z", "")
+    bad = path.startswith("/") | F.exists(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
+    inner = F.trim(F.regexp_replace(F.regexp_replace(path, r"\A\[\[|\]\]\z", ""), r"[|#].*\z", ""))
+    rows = asked.select("target").distinct().withColumns({"_path": path, "_bad": F.coalesce(bad, F.lit(True)), "_name": F.regexp_replace(inner, r"(?i)\.md\z", "")})
+    fine = rows.where("NOT _bad")
+    exact = fine.join(cids, F.col("_path") == F.col("cid")).select("target", "cid", F.lit(0).alias("rule"))
+    other = fine.join(cids.withColumn("_low", F.lower("cid")), F.lower("_path") == F.col("_low")).select("target", "cid", F.lit(1).alias("rule"))
+    named = fine.where("_name <> ''").join(candidates(fine.select(F.col("_name").alias("name")), cids).withColumnRenamed("name", "_name"), "_name").select("target", "cid", F.lit(2).alias("rule"))
+    hits = exact.unionByName(other).unionByName(named)
+    # the first rule that answers decides
+    best = hits.join(hits.groupBy("target").agg(F.min("rule").alias("rule")), ["target", "rule"])
+    found = samples.least(best, ["target"], "cid", NEIGHBOURS)
+    error = F.when(F.col("_bad"), "invalid").when(F.col("total") == 0, "not_found").when(F.col("total") > 1, "ambiguous")
+    out = rows.join(found, "target", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    return out.select("target", F.when(F.col("total") == 1, F.col("first")[0]).alias("cid"), error.alias("error"), F.when(F.col("total") > 1, F.col("first")).alias("candidates"), "total")
+
+
+def resolve_cid(cids: DataFrame, target: str) -> str:
+    """The cid that one target means (see `resolve_targets`); LookupError where nothing or more than one answers."""
+    row = resolve_targets(cids.sparkSession.createDataFrame([(target,)], "target string"), cids).first()
+    if row.error == "ambiguous":
+        more = f" and {row.total - len(row.candidates)} more" if row.total > len(row.candidates) else ""
+        raise LookupError(f"'{target}' means several notes: {', '.join(row.candidates)}{more}")
+    if row.error:
+        raise LookupError(f"no note '{target}'" if row.error == "not_found" else f"'{target}' is no path within the collection")
+    return row.cid
 
 
 def suggestions(names: DataFrame, target: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.markdown import names_heading, relative_path
 from marginalia.functions.scalar import STATUSES, TAG, valid_actor, valid_timestamp
-from marginalia.operators import graph
+from marginalia.operators import graph, samples
 
 ERROR, WARNING = "error", "warning"
 REQUIRED = ("type", "title", "description", "status")
@@ -99,8 +99,8 @@ def dead_links(notes: DataFrame, links: DataFrame) -> DataFrame:
     """Links that name no note, with the notes whose last segment they share, where there are any (three at most)."""
     rows = links.where("target_cid is null").select(F.col("source_cid").alias("cid"), "target_raw").join(parsed(notes).select("cid", "rel_path"), "cid")
     last = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"[^/]*\z", 0), r"\.md\z", ""))
-    # of each name the first three notes, by a partial aggregate; only dead links look one up
-    names = parsed(notes).groupBy(last(F.col("cid")).alias("_last")).agg(F.slice(F.array_sort(F.collect_set("cid")), 1, 3).alias("_near"))
+    # of each name the first three notes; only dead links look one up
+    names = samples.least(parsed(notes).select(last(F.col("cid")).alias("_last"), "cid"), ["_last"], "cid", 3).withColumnRenamed("first", "_near").drop("total")
     rows = rows.withColumn("_last", last(F.split_part(F.col("target_raw"), F.lit("#"), F.lit(1)))).join(names, "_last", "left")
     hint = F.when(F.col("_near").isNotNull(), F.concat(F.lit("; did you mean "), F.array_join("_near", ", "), F.lit("?"))).otherwise(F.lit(""))
     return _each(rows, (F.lit(True), finding("LINK_DEAD", F.concat(F.lit("Dead link '"), "target_raw", F.lit("'"), hint))))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.markdown import relative_path
@@ -102,6 +101,6 @@ def candidates(probes: DataFrame, cids: DataFrame) -> DataFrame:
     rest = probes.select("name").distinct().join(exact.select("name"), "name", "left_anti")
     kind = F.when(F.instr("name", "/") > 0, "suffix").otherwise("stem")
     other = rest.withColumn("kind", kind).join(every.select("kind", "name", "cid").distinct(), ["kind", "name"])
-    live = F.max(F.when(F.col("cid").startswith("archive/"), 0).otherwise(1)).over(W.partitionBy("name"))
-    other = other.withColumn("_live", live).where((F.col("_live") == 0) | ~F.col("cid").startswith("archive/"))
+    live = other.where(~F.col("cid").startswith("archive/")).select("name", F.lit(True).alias("_live")).distinct()
+    other = other.join(live, "name", "left").where(F.col("_live").isNull() | ~F.col("cid").startswith("archive/"))
     return hit.unionByName(other.select("name", "cid"))

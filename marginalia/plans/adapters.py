@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.scalar import body_hash, trust_tier
 from marginalia.functions.text import camel_subwords
+from marginalia.operators import incremental
 from marginalia.operators.search import Index, build, load
 from marginalia.sources.shared import shared_dir
+from marginalia.sources.snapshots import Snapshots
 
 NOTES = """
 SELECT doc_id, layer, stem, layer || '/' || CASE WHEN layer = 'wiki' AND doc_id % 31 = 0 THEN 'deep/' ELSE '' END || stem || CASE WHEN layer = 'raw' THEN '.txt' ELSE '' END AS cid,
@@ -110,7 +113,21 @@ SELECT rel_path, CAST(4 AS int) AS line, CASE WHEN doc_id % 7 = 2 THEN repeat('0
 UNION ALL SELECT rel_path, CAST(5 AS int), 'd' || rel_path, CASE WHEN doc_id % 7 = 4 THEN 'eve@x.org' ELSE 'ann@x.org' END FROM v_files WHERE doc_id % 7 <> 3
 """
 
-VIEWS = {"v_files": FILES, "v_blame": BLAME, "v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
+#: A collection before and after changes: notes that go, that are written anew, that break, that are read under other settings, and new ones made of parts.
+BEFORE = """
+SELECT doc_id AS n, rel_path, cid, layer, title, description, body, tags, alias AS aliases, '' AS subwords, type, status, parse_error, CAST(1 AS double) AS mtime, CAST(length(body) AS bigint) AS file_size, 'a' AS settings,
+  CASE doc_id % 5 WHEN 0 THEN 'd' || (doc_id + 1) WHEN 1 THEN 'deep/d' || (doc_id + 30) WHEN 2 THEN 'p' || doc_id WHEN 3 THEN layer || '/d' || (doc_id + 5) ELSE 'none/d' || doc_id END AS by_name,
+  CASE WHEN doc_id % 2 = 0 THEN '../' || layer || '/d' || (doc_id + 2) || '.md' ELSE '../projects/p' || doc_id || '.md' END AS by_path
+FROM v_notes
+"""
+AFTER = """
+SELECT n, rel_path, cid, layer, CASE WHEN status = 'draft' THEN title || ' thsh' ELSE title END AS title, description, body, tags, aliases, subwords, type, status, CASE WHEN status = 'completed' AND type = 'concept' THEN 'line 2' ELSE parse_error END AS parse_error,
+  CASE WHEN status = 'draft' OR (status = 'completed' AND type = 'concept') THEN CAST(2 AS double) ELSE mtime END AS mtime, file_size, CASE WHEN type = 'guide' THEN 'b' ELSE settings END AS settings, by_name, by_path
+FROM v_before WHERE coalesce(status, '') <> 'abandoned'
+UNION ALL SELECT p_partkey, 'projects/p' || p_partkey || '.md', 'projects/p' || p_partkey, 'projects', p_name, NULL, p_type, p_brand, NULL, '', 'guide', 'active', NULL, CAST(1 AS double), CAST(7 AS bigint), 'a', 'd' || p_partkey, '../wiki/d' || p_partkey || '.md' FROM part
+"""
+
+VIEWS = {"v_before": BEFORE, "v_after": AFTER, "v_files": FILES, "v_blame": BLAME, "v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 
 
@@ -150,17 +167,36 @@ class Views:
         return self.made["notes"]
 
 
-    @property
-    def index(self) -> Index:
-        """The search index over `notes`, written once for what the tables' files are now, in the shared folder."""
-        files = [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+    def _once(self, kind: str, tables: tuple[str, ...], make: Callable[[str], object]) -> str:
+        """A folder of the shared one, made once for what the tables' files are now."""
+        files = [f"{self.sf_dir}/{t}.parquet" for t in tables]
         listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select("path", "length", "modificationTime").collect()  # a table's files
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted((r.path, r.length, str(r.modificationTime)) for r in listed)))
+        key = (kind, self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted((r.path, r.length, str(r.modificationTime)) for r in listed)))
         if key not in _BUILT:
-            where = f"{shared_dir(self.spark)}/marginalia/index-{uuid.uuid4().hex}"
-            build(self.notes, where)
+            where = f"{shared_dir(self.spark)}/marginalia/{kind}-{uuid.uuid4().hex}"
+            make(where)
             _BUILT[key] = where
-        return load(self.spark, _BUILT[key])
+        return _BUILT[key]
+
+    @property
+    def index(self) -> Index:
+        """The search index over `notes`."""
+        return load(self.spark, self._once("index", ("documents", "labels"), lambda where: build(self.notes, where)))
+
+    @property
+    def followed(self) -> Snapshots:
+        """A store that was scanned with `v_before`, and again with `v_after`."""
+
+        def links(notes: DataFrame) -> DataFrame:
+            both = F.array(F.struct(F.lit("wiki").alias("kind"), F.col("by_name").alias("target")), F.struct(F.lit("markdown").alias("kind"), F.col("by_path").alias("target")))
+            return notes.where("parse_error IS NULL AND layer <> 'raw'").select(F.col("cid").alias("source_cid"), F.inline(both))
+
+        def make(where: str) -> None:
+            store = Snapshots(self.spark, where)
+            for name in ("v_before", "v_after"):
+                incremental.scan(store, self[name], lambda paths, name=name: self[name].join(paths, "rel_path", "left_semi").drop("mtime", "file_size", "settings"), links)
+
+        return Snapshots(self.spark, self._once("followed", ("documents", "labels", "part"), make))
 
 
 _BUILT: dict[tuple, str] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import frontmatter, markdown, scalar, text
-from marginalia.operators import audit, delta, graph, move, quality, resolve, search, status
+from marginalia.operators import audit, delta, graph, incremental, move, quality, resolve, search, status
 from marginalia.sources import notes as ingest
 from marginalia.sources import vault
 from marginalia.plans.adapters import SUBWORDS, Views, subwords_sql, with_views
@@ -217,7 +217,10 @@ def camel_subwords(v: Views) -> DataFrame:
     return v.notes.select("cid", joined(F.concat_ws(" ", "title", "description", "alias", "body"))).unionByName(v["part"].select(F.col("p_partkey").cast("string").alias("cid"), joined(F.expr(_MIXED))))
 
 
-@query("index_integrity", f"SELECT 0::bigint AS missing, 0::bigint AS extra, count(*)::bigint AS total FROM (SELECT DISTINCT cid, c, term FROM ({' UNION ALL '.join(f'SELECT cid, {k} AS c, unnest({TOKENS.format(c)}) AS term FROM notes WHERE parse_error IS NULL' for k, c in enumerate(COLUMNS))}) x) y")
+SQL_INTEGRITY = f"SELECT 0::bigint AS missing, 0::bigint AS extra, count(*)::bigint AS total FROM (SELECT DISTINCT cid, c, term FROM ({' UNION ALL '.join(f'SELECT cid, {k} AS c, unnest({TOKENS.format(c)}) AS term FROM notes WHERE parse_error IS NULL' for k, c in enumerate(COLUMNS))}) x) y"
+
+
+@query("index_integrity", SQL_INTEGRITY)
 def index_integrity(v: Views) -> DataFrame:
     return search.integrity(v.index)
 
@@ -510,6 +513,51 @@ def scan_delta(v: Views) -> DataFrame:
     return delta.classify(v["v_old"], v["v_new"])
 
 
+@query("pending_changes", "SELECT CASE WHEN b.rel_path IS NULL THEN 'insert' WHEN a.rel_path IS NULL THEN 'delete' WHEN a.mtime = b.mtime AND a.file_size = b.file_size AND a.settings = b.settings THEN 'same' ELSE 'update' END AS change, count(*)::bigint AS n FROM v_before b FULL OUTER JOIN v_after a ON a.rel_path = b.rel_path GROUP BY 1")
+def pending_changes(v: Views) -> DataFrame:
+    return delta.pending(v["v_before"], v["v_after"])
+
+
+@query("snapshot_files", "SELECT a.rel_path, a.mtime, a.file_size, a.settings, a.parse_error IS NULL AS fine, CASE WHEN a.mtime = b.mtime AND a.file_size = b.file_size AND a.settings = b.settings THEN 1 ELSE 2 END::bigint AS segment FROM v_after a LEFT JOIN v_before b ON a.rel_path = b.rel_path")
+def snapshot_files(v: Views) -> DataFrame:
+    """The next snapshot, and which scan read each file."""
+    store = v.followed
+    return store.read(store.latest(), "files").select("rel_path", "mtime", "file_size", "settings", "fine", "segment")
+
+
+_INTO_AFTER = _INDEX.split("q AS (")[0].replace("v_names", "v_after WHERE layer <> 'raw'")
+_ASKED = r"""q AS (
+  SELECT cid AS source_cid, layer, 'wiki' AS kind, by_name AS target, by_name AS name FROM v_after WHERE parse_error IS NULL AND layer <> 'raw'
+  UNION ALL SELECT cid, layer, 'markdown', by_path, CASE WHEN starts_with(cid, 'wiki/deep/') THEN 'wiki/' ELSE '' END || regexp_extract(by_path, '^\.\./(.*)\.md$', 1) FROM v_after WHERE parse_error IS NULL AND layer <> 'raw'
+), found AS (
+  SELECT q.*, CASE WHEN q.kind = 'markdown' THEN p.cid ELSE coalesce(e.cid, s.cid, CASE WHEN instr(q.name, '/') = 0 THEN t.cid END) END AS hit
+  FROM q LEFT JOIN i e ON e.kind = 'exact' AND e.name = q.name LEFT JOIN i s ON s.kind = 'suffix' AND s.name = q.name LEFT JOIN i t ON t.kind = 'stem' AND t.name = q.name LEFT JOIN c p ON p.cid = q.name
+) SELECT source_cid, kind, target, CASE WHEN a.parse_error IS NULL THEN hit END AS target_cid FROM found LEFT JOIN v_after a ON a.cid = hit"""
+
+
+@query("incremental_links", _INTO_AFTER + _ASKED)
+def incremental_links(v: Views) -> DataFrame:
+    """Both kinds of links after the changes, of which only names that changed notes answer to were looked up again."""
+    store = v.followed
+    return incremental.links(store, store.latest()).select("source_cid", "kind", "target", "target_cid")
+
+
+def _after(sql: str) -> str:
+    return sql.replace("FROM notes", "FROM v_after")
+
+
+@query("incremental_search", _after(match_sql([one(THSH), one(THBLE), one(THE)], "n_0 OR (n_1 AND n_2)")) + " SELECT cid, round(score, 4) AS score FROM scored")
+def incremental_search(v: Views) -> DataFrame:
+    store = v.followed
+    return rounded(search.match(incremental.index(store, store.latest()), "thsh OR thble AND the"), "score")
+
+
+@query("incremental_integrity", _after(SQL_INTEGRITY))
+def incremental_integrity(v: Views) -> DataFrame:
+    store = v.followed
+    return search.integrity(incremental.index(store, store.latest()))
+
+
 # ------------------------------------------------------------------ Markdown and headers
 
 _CUTS = "SELECT *, instr(md, '## Section') AS a, instr(md, '## Last') AS b, length(md) AS n FROM v_md"
@@ -590,7 +638,7 @@ _FOUND = "coalesce((SELECT cid FROM {i} WHERE kind = 'exact' AND name = q.name),
     "move_plan",
     _INDEX
     + f""", {_AFTER}, r AS (SELECT DISTINCT v.cid AS source, q.probe AS target_raw, {_FOUND.format(i="i")} AS was, {_FOUND.format(i="i2")} AS will FROM q JOIN v_names v ON v.doc_id = q.doc_id)
-    SELECT s.cid AS source_cid, target_raw, was, t.cid AS expected, will, CASE WHEN was IS NULL THEN 'newly_resolved' ELSE 'rewrite' END AS action
+    SELECT s.cid AS source_cid, target_raw, was, t.cid AS expected, will, CASE WHEN was IS NULL THEN 'newly_resolved' WHEN was <> t.cid THEN 'rewrite' ELSE 'blocked' END AS action
     FROM r JOIN c2 s ON s.old = r.source LEFT JOIN c2 t ON t.old = r.was WHERE will IS DISTINCT FROM t.cid""",
 )
 def move_plan(v: Views) -> DataFrame:
@@ -600,6 +648,74 @@ def move_plan(v: Views) -> DataFrame:
     return move.plan(n.select(F.col("cid").alias("source_cid"), F.col("probe").alias("target_raw")), cids, moves)
 
 
+#: Notes of the wiki go into a folder; archived ones take names that links to others use.
+_GOES = "CASE WHEN cid LIKE 'wiki/%' AND n % 3 = 0 THEN 'projects/moved/d' || n WHEN cid LIKE 'archive/%' AND n % 4 = 0 THEN 'wiki/d' || (n + 1) END"
+_FOLDER = "string_split(regexp_replace({}, '/[^/]*$', ''), '/')"
+_MOVES_SQL = (
+    _INDEX.split("q AS (")[0].replace("v_names", "v_before WHERE layer <> 'raw'")
+    + _AFTER.replace(f"SELECT DISTINCT cid, {_MOVED} AS x FROM v_names", f"SELECT DISTINCT cid, coalesce({_GOES}, cid) AS x FROM v_before WHERE layer <> 'raw'")
+    + f""", q AS (
+  SELECT b.cid AS source, s.cid AS goes_to, 0 AS start, 10 AS "end", 'wiki' AS kind, by_name AS target FROM v_before b JOIN c2 s ON s.old = b.cid
+  UNION ALL SELECT b.cid, s.cid, 20, 40, 'markdown', by_path FROM v_before b JOIN c2 s ON s.old = b.cid
+  UNION ALL SELECT b.cid, s.cid, 24, 30, 'wiki', 'd' || (n + 2) FROM v_before b JOIN c2 s ON s.old = b.cid
+), w0 AS (SELECT q.*, q.target AS name, {_FOUND.format(i='i')} AS was, {_FOUND.format(i='i2')} AS will FROM (SELECT *, target AS name FROM q) q WHERE kind = 'wiki'),
+w AS (SELECT w0.* EXCLUDE (name), t.cid AS expected, regexp_replace(t.cid, '^wiki/', '') AS plain FROM w0 LEFT JOIN c2 t ON t.old = was),
+wiki AS (SELECT source, start, "end", kind, target, was, expected, will, CASE WHEN will IS DISTINCT FROM expected THEN CASE WHEN was IS NULL THEN 'newly_resolved' WHEN was <> expected THEN CASE WHEN (SELECT cid FROM i2 WHERE i2.kind = 'exact' AND name = plain) IS NOT DISTINCT FROM expected THEN 'rewrite' ELSE 'blocked' END ELSE 'blocked' END
+  WHEN was <> expected AND target IN (was, regexp_replace(was, '^wiki/', '')) AND target NOT IN (expected, plain) THEN 'fragile' END AS action, CASE WHEN will IS DISTINCT FROM expected AND was <> expected THEN plain END AS text FROM w),
+p0 AS (SELECT *, array_to_string({_FOLDER.format('source')}[:-2], '/') AS up, array_to_string({_FOLDER.format('goes_to')}[:-2], '/') AS up2, {_FOLDER.format('goes_to')} AS f FROM q WHERE kind <> 'wiki'),
+p1 AS (SELECT *, CASE WHEN up = '' THEN '' ELSE up || '/' END || target[4:] AS was, CASE WHEN up2 = '' THEN '' ELSE up2 || '/' END || target[4:] AS will FROM p0),
+p2 AS (SELECT p1.*, coalesce(t.cid || '.md', was) AS expected, t.cid IS NOT NULL AS there, EXISTS (SELECT 1 FROM c2 x WHERE x.old <> x.cid AND x.cid || '.md' = was) AS comes FROM p1 LEFT JOIN c2 t ON t.old || '.md' = was),
+p3 AS (SELECT *, string_split(expected, '/') AS st FROM p2),
+p4 AS (SELECT *, len(list_filter(range(1, least(len(f), len(st) - 1) + 1), lambda k: f[1:k] = st[1:k])) AS common FROM p3),
+paths AS (SELECT source, start, "end", kind, target, was, expected, will, CASE WHEN CASE WHEN goes_to <> source THEN will <> expected ELSE expected <> was END THEN 'rewrite' WHEN goes_to = source AND NOT there AND comes THEN 'newly_resolved' END AS action, repeat('../', len(f) - common) || array_to_string(st[common + 1:], '/') AS text FROM p4),
+planned AS (SELECT * FROM wiki WHERE action IS NOT NULL AND NOT (start = 24 AND text IS NOT NULL AND source IN (SELECT source FROM paths WHERE action = 'rewrite')) UNION ALL SELECT * REPLACE (CASE WHEN action = 'rewrite' THEN text END AS text) FROM paths WHERE action IS NOT NULL)"""
+)
+
+
+def planned(v: Views) -> DataFrame:
+    """A plan over the links of `v_before`: one by name, and a path with a name inside its text."""
+    notes = v["v_before"].where("layer <> 'raw'")
+    span = lambda a, b, kind, target: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(kind).alias("kind"), target.alias("target"))
+    each = F.array(span(0, 10, "wiki", F.col("by_name")), span(20, 40, "markdown", F.col("by_path")), span(24, 30, "wiki", F.concat(F.lit("d"), (F.col("n") + 2).cast("string"))))
+    spans = notes.select(F.col("cid").alias("source_cid"), F.inline(each)).withColumns({"embed": F.lit(False), "angle": F.lit(False)})
+    moves = notes.select("cid", F.expr(_GOES).alias("new_cid")).where("new_cid IS NOT NULL")
+    return move.plan_spans(spans, notes.select("cid"), moves)
+
+
+@query("move_spans", _MOVES_SQL + ' SELECT source AS source_cid, start, "end", kind, target, was, expected, will, action, text FROM planned')
+def move_spans(v: Views) -> DataFrame:
+    return planned(v)
+
+
+@query("move_warnings", _MOVES_SQL + """, links AS (SELECT DISTINCT expected AS cid, source || '.md: [[' || target || ']]' AS link FROM planned WHERE action = 'fragile') SELECT cid, array_to_string(list_sort(list(link))[:3], '; ') AS first, count(*)::bigint AS total FROM links GROUP BY 1""")
+def move_warnings(v: Views) -> DataFrame:
+    return move.fragile_warnings(planned(v)).withColumn("first", F.array_join("first", "; "))
+
+
+_ASK = "CASE doc_id % 7 WHEN 0 THEN '/abs/' || stem WHEN 1 THEN upper(rel_path) WHEN 2 THEN '[[' || stem || '|shown]]' WHEN 3 THEN lang || '-note#part' WHEN 4 THEN './' || rel_path WHEN 5 THEN '[[none/' || stem || ']]' ELSE layer || chr(92) || stem END"
+_KNOWN = "CASE WHEN doc_id % 2 = 0 THEN cid ELSE layer || '/' || stem || '/' || lang || '-note' END"
+_TARGETS_SQL = rf"""WITH asked AS (SELECT DISTINCT {_ASK} AS target FROM v_notes JOIN documents USING (doc_id) WHERE layer <> 'raw'),
+c AS (SELECT DISTINCT {_KNOWN} AS cid FROM v_notes JOIN documents USING (doc_id) WHERE layer <> 'raw'),
+a AS (SELECT target, starts_with(target, '/') AS bad, regexp_replace(regexp_replace(replace(target, chr(92), '/'), '^[.]/', ''), '[.][mM][dD]$', '') AS path FROM asked),
+b AS (SELECT *, regexp_replace(regexp_replace(path, '^\[\[|\]\]$', '', 'g'), '[|#].*$', '') AS name FROM a),
+n AS (SELECT cid, cid AS name, 0 AS pri FROM c UNION ALL SELECT cid, substr(cid, 6), 0 FROM c WHERE cid LIKE 'wiki/%'),
+e AS (SELECT name, min(cid) AS cid FROM (SELECT n.*, CASE WHEN cid LIKE 'wiki/%' THEN 0 WHEN cid LIKE 'archive/%' THEN 2 ELSE 1 END AS k FROM n) x WHERE (name, k) IN (SELECT (name, min(CASE WHEN cid LIKE 'wiki/%' THEN 0 WHEN cid LIKE 'archive/%' THEN 2 ELSE 1 END)) FROM n GROUP BY name) GROUP BY name),
+o AS (SELECT target, b.name, c.cid FROM b JOIN c ON CASE WHEN contains(b.name, '/') THEN ends_with(c.cid, '/' || b.name) ELSE string_split(c.cid, '/')[-1] = b.name END WHERE NOT bad AND b.name NOT IN (SELECT name FROM e)),
+hits AS (SELECT target, cid, 0 AS rule FROM b JOIN c ON path = cid WHERE NOT bad UNION SELECT target, cid, 1 FROM b JOIN c ON lower(path) = lower(cid) WHERE NOT bad
+  UNION SELECT target, e.cid, 2 FROM b JOIN e USING (name) WHERE NOT bad UNION SELECT target, cid, 2 FROM o WHERE cid NOT LIKE 'archive/%' OR name NOT IN (SELECT name FROM o WHERE cid NOT LIKE 'archive/%')),
+best AS (SELECT * FROM hits WHERE (target, rule) IN (SELECT (target, min(rule)) FROM hits GROUP BY target)),
+g AS (SELECT target, list_sort(list(cid)) AS cids, count(*) AS total FROM best GROUP BY target)
+SELECT target, CASE WHEN total = 1 THEN cids[1] END AS cid, CASE WHEN bad THEN 'invalid' WHEN total IS NULL THEN 'not_found' WHEN total > 1 THEN 'ambiguous' END AS error, CASE WHEN total > 1 THEN array_to_string(cids[:20], ' ') END AS candidates, coalesce(total, 0)::bigint AS total FROM b LEFT JOIN g USING (target)"""
+
+
+@query("targets_resolve", _TARGETS_SQL)
+def targets_resolve(v: Views) -> DataFrame:
+    """Targets of every fault and form, against notes of which a third share a name."""
+    rows = v["v_notes"].where("layer <> 'raw'").join(v["documents"].select("doc_id", "lang"), "doc_id")
+    found = graph.resolve_targets(rows.select(F.expr(_ASK).alias("target")), rows.select(F.expr(_KNOWN).alias("cid")))
+    return found.withColumn("candidates", F.array_join("candidates", " "))
+
+
 _MADE = "SELECT DISTINCT 'wiki/n' || (doc_id % 50) AS cid FROM v_names"
 _NEW = _AFTER.split("n2 AS")[1].replace("c2", "c3").replace("i2 AS", "i3 AS").replace("FROM n2", "FROM n3")
 
