@@ -49,6 +49,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(b"\n", b" \xff ").split()
 
 
+_WIDTH = {2: np.uint16, 4: np.int32}
+
+
 class _Buffer:
     """A shard in the making."""
 
@@ -66,11 +69,11 @@ class _Buffer:
         self.n += len(ids)
 
 
-SHARDS = "lang string, shard long, ids binary, words array<string>, counts array<long>"
+SHARDS = "lang string, shard long, width int, ids binary, words array<string>, counts array<long>"
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SHARD) -> DataFrame:
-    """lang, shard, ids (number of the word at each place, 0 for a break), words and counts by number, the break aside."""
+    """lang, shard, ids (number of the word at each place, 0 for a break; width bytes each), words and counts by number, the break aside."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,7 +85,8 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
             b = held.pop(name)
             ids = np.concatenate(b.parts)
             words = [w.decode() for w in list(b.number)[1:]]
-            return pa.RecordBatch.from_pydict({"lang": [name], "shard": [next(made)], "ids": [ids.tobytes()], "words": [words], "counts": [np.bincount(ids, minlength=len(words) + 1)[1:]]}, schema)
+            width = 2 if len(words) < 1 << 16 else 4
+            return pa.RecordBatch.from_pydict({"lang": [name], "shard": [next(made)], "width": [width], "ids": [ids.astype(_WIDTH[width]).tobytes()], "words": [words], "counts": [np.bincount(ids, minlength=len(words) + 1)[1:]]}, schema)
 
         for batch in slices(batches, 1):
             texts: dict[str, list[bytes]] = {}
@@ -97,7 +101,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
         for name in list(held):
             yield whole(name)
 
-    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
     return docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(build, SHARDS)
 
 
@@ -223,7 +227,7 @@ def _counts(posed: DataFrame, length: int, filters: dict[int, Filter], least: in
         known = {m: Filter(b.value) for m, b in sent.items()}
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int32)
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), _WIDTH[batch.column("width")[i].as_py()])
                 numbers, every = batch.column("numbers")[i].values.to_numpy(), batch.column("every")[i].values.to_numpy()
                 # words in the shard by their number there, then among the frequent ones
                 of = np.full(int(ids.max(initial=0)) + 1, -1, np.int32)
@@ -266,8 +270,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     sizes = sums.groupBy("lang").agg(F.sum("a").alias("n"))
     words = materialize(sums.where(F.col("a") >= least).withColumn("w", F.monotonically_increasing_id()), "phrases-frequent")
     numbers = vocabulary.join(words, ["lang", "word"]).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("number", "w"))).alias("known"))
-    posed = whole.select("shard", "ids").join(numbers.select("shard", F.col("known.number").alias("numbers"), F.col("known.w").alias("every")), "shard")
-    posed = materialize(posed, "phrases-posed").select("ids", "numbers", "every")
+    posed = whole.select("shard", "width", "ids").join(numbers.select("shard", F.col("known.number").alias("numbers"), F.col("known.w").alias("every")), "shard")
+    posed = materialize(posed, "phrases-posed").select("width", "ids", "numbers", "every")
     found = {1: words.select(F.col("w").alias("w1"), "a")}
     filters: dict[int, Filter] = {}
     for m in range(2, longest + 1):
