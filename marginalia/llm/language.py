@@ -30,7 +30,13 @@ EMBED = 8
 SAMPLE_DOCS = 1000
 SAMPLE_WINDOWS = 2
 BUCKETS = 64
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that aren't decimal digits.
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's categories L."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def windows_of(raw: bytes, width: int = WINDOW) -> np.ndarray:
@@ -155,7 +161,7 @@ def predict(model: ByteConv | None, texts: list[str | None]) -> list[tuple[str,
         rows, owner, weight, n = [], [], [], 0
         while at < len(texts) and n < 1024:  # half a MB of windows at a time, or one long text
             text = texts[at]
-            if text and LETTER.search(text):
+            if text and has_letter(text):
                 raw = text.encode("utf-8", "replace")
                 cut = windows_of(raw)
                 size = np.full(len(cut), WINDOW)
