@@ -95,7 +95,15 @@ class Lexicon:
             if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
                 continue
             (spared if weight is None else found).append((start, end, weight))
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+        # both come by their ends: the earliest start of all phrases that end there or later says whether one holds an entry
+        first, kept, k = len(text), [], len(spared)
+        for hit in reversed(found):
+            while k and spared[k - 1][1] >= hit[1]:
+                k -= 1
+                first = min(first, spared[k][0])
+            if first > hit[0]:
+                kept.append(hit)
+        return kept[::-1]
 
     def features(self, text: str | None) -> tuple[float, float]:
         text = visible(text or "")
