@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -438,6 +440,19 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
     return [spans_of(whole[k]) if k in whole else [] for k in range(len(texts))]
 
 
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that overlap none of base: of what starts before a span's end, the furthest end decides."""
+    by_start = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in by_start]
+    reach = list(accumulate((b for _, b in by_start), max))
+    kept = []
+    for s in spans:
+        k = bisect_left(starts, s[2])
+        if not k or reach[k - 1] <= s[1]:
+            kept.append(s)
+    return kept
+
+
 def find(model: Tagger | None, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) spans of each text, by kind as listed, then start; null texts have none."""
     held = [t or "" for t in texts]
@@ -445,7 +460,7 @@ def find(model: Tagger | None, texts: list[str | None]) -> list[tuple[list[Span]
     result = []
     for text, extra in zip(held, found, strict=True):
         base = base_spans(text)
-        added = [s for s in extra if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        added = apart(extra, base)
         result.append((base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))))
     return result
 
