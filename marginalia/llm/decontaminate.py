@@ -5,8 +5,9 @@ those; in every run of `WINDOW - K + 1` k-grams the smallest is kept (the last
 of equals).  A span of WINDOW words that a document shares with an item holds
 such a run, so both keep the same k-gram of it: no shared span of that length is
 missed.  Document fingerprints are joined with the items' (sorted arrays, merged
-in blocks), and each hit is extended word by word on both sides.  Items shorter
-than WINDOW words are one window, matched by the hash of all their words.
+in blocks), and each hit is extended to the windows around it, which are looked up by
+their hash and compared word by word, so that a fingerprint that repeats in an item and in
+a document costs no pairs.  Items shorter than WINDOW words are one window, matched by the hash of all their words.
 
 The benchmark's fingerprints are broadcast in blocks of bounded size, one pass
 over the documents for each block, one block held at a time; a small benchmark
@@ -128,10 +129,11 @@ def winnow(g: np.ndarray, run: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Fingerprints of a block of items: sorted hashes, and where each is."""
+    """A block of items: their fingerprints, and every window's hash with an item that has it and where."""
 
     items: list[tuple[str, Words]]
-    hash: np.ndarray
+    prints: np.ndarray  # sorted
+    window: np.ndarray  # sorted; an item's equal windows are one
     item: np.ndarray
     at: np.ndarray
     short: dict[int, dict[int, list[int]]]  # by number of words: hash, items
@@ -139,51 +141,57 @@ class Index:
     @staticmethod
     def of(rows: list[tuple[str, str | None]]) -> Index:
         items = [(i, words_of(t)) for i, t in rows]
-        hashes, owners, places, short = [], [], [], {}
+        prints, windows, owners, places, short = [], [], [], [], {}
         for k, (_, w) in enumerate(items):
             n = len(w.hash)
             if 0 < n < WINDOW:
                 short.setdefault(n, {}).setdefault(int(grams(w.hash, n)[0]), []).append(k)
             elif n:
                 g = grams(w.hash, K)
-                p = winnow(g, WINDOW - K + 1)
-                hashes.append(g[p])
-                owners.append(np.full(len(p), k))
-                places.append(p)
-        if not hashes:
+                prints.append(np.unique(g[winnow(g, WINDOW - K + 1)]))
+                own, first = np.unique(grams(w.hash, WINDOW), return_index=True)
+                windows.append(own)
+                places.append(first)
+                owners.append(np.full(len(own), k))
+        if not prints:
             none = np.zeros(0, np.int64)
-            return Index(items, none.astype(np.uint64), none, none, short)
-        h, o, p = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+            return Index(items, none.astype(np.uint64), none.astype(np.uint64), none, none, short)
+        h, o, p = np.concatenate(windows), np.concatenate(owners), np.concatenate(places)
         order = np.argsort(h, kind="stable")
-        return Index(items, h[order], o[order], p[order], short)
+        return Index(items, np.unique(np.concatenate(prints)), h[order], o[order], p[order], short)
 
     def hits(self, doc: Words) -> tuple[np.ndarray, set[int]]:
-        """Which words of a document are hit, and by which items."""
+        """Which words of a document are hit, and by which items.
+
+        Every window holds one of the document's fingerprints, and a shared one an item's too.  So around each
+        fingerprint that an item has, the windows that hold it are looked up; each is compared once.
+        """
         n = len(doc.hash)
         hit, found = np.zeros(n + 1, np.int64), set()
         g = grams(doc.hash, K)
         place = winnow(g, WINDOW - K + 1)
-        lo, hi = np.searchsorted(self.hash, g[place]), np.searchsorted(self.hash, g[place], side="right")
-        done: dict[tuple[int, int], int] = {}  # (item, difference of places): where the last span ended
-        for q in np.flatnonzero(hi > lo).tolist():
-            p = int(place[q])
-            for r in range(int(lo[q]), int(hi[q])):
-                k, at = int(self.item[r]), int(self.at[r])
-                if done.get((k, p - at), -1) >= p + K:
-                    continue
-                other = self.items[k][1]
-                a, c = p, at
-                left = min(a, c)
-                same = doc.hash[a - left : a] == other.hash[c - left : c]
-                back = left if same.all() else int(np.argmin(same[::-1]))
-                right = min(n - a, len(other.hash) - c)
-                same = doc.hash[a : a + right] == other.hash[c : c + right]
-                on = right if same.all() else int(np.argmin(same))
-                done[k, p - at] = p + on
-                if back + on >= WINDOW and doc.same(a - back, a + on, other, c - back, c + on):
-                    hit[a - back] += 1
-                    hit[a + on] -= 1
-                    found.add(k)
+        if len(place) and len(self.prints):
+            at = np.searchsorted(self.prints, g[place])
+            place = place[(at < len(self.prints)) & (self.prints[np.minimum(at, len(self.prints) - 1)] == g[place])]
+            near = np.zeros(n + 1, np.int64)
+            np.add.at(near, np.maximum(place - (WINDOW - K), 0), 1)
+            np.add.at(near, np.minimum(place, n - WINDOW) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(near)[: n - WINDOW + 1])
+            if len(starts):
+                w = grams(doc.hash, WINDOW)[starts]
+                lo, hi = np.searchsorted(self.window, w), np.searchsorted(self.window, w, side="right")
+                met: dict[int, int] = {}  # by place in the index: where a window was that an item has
+                for i in np.flatnonzero(hi > lo).tolist():
+                    p, first = int(starts[i]), int(lo[i])
+                    if first not in met or not doc.same(p, p + WINDOW, doc, met[first], met[first] + WINDOW):
+                        own = [(int(self.item[r]), int(self.at[r])) for r in range(first, int(hi[i]))]
+                        same = [k for k, c in own if doc.same(p, p + WINDOW, self.items[k][1], c, c + WINDOW)]
+                        if not same:
+                            continue
+                        found.update(same)
+                        met.setdefault(first, p)
+                    hit[p] += 1
+                    hit[p + WINDOW] -= 1
         for size, known in self.short.items():
             g = grams(doc.hash, size)
             for p in np.flatnonzero(np.isin(g, np.fromiter(known, np.uint64, len(known)))).tolist():
@@ -195,6 +203,16 @@ class Index:
         return np.cumsum(hit)[:n] > 0, found
 
 
+_HELD: list = []
+
+
+def index_of(rows: list[tuple[str, str | None]]) -> Index:
+    """A block's index, built once in each Python worker."""
+    if not _HELD or _HELD[0] is not rows:
+        _HELD[:] = [rows, Index.of(rows)]
+    return _HELD[1]
+
+
 def _blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[str, str | None]]]]:
     """How many blocks of about `chars` characters the items make, and the blocks."""
     total = items.agg(F.sum(F.length("text") + 16).alias("n")).first().n or 0
@@ -244,7 +262,7 @@ def _pass(docs: DataFrame, rows: list[tuple[str, str | None]], key: str | None =
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), *([("_row", pa.int64())] if key else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.of(shared.value)
+        index = index_of(shared.value)
         for batch in slices(batches, 1):
             out: tuple[list, ...] = ([], [], [], [])
             for text in batch.column(1).to_pylist():
@@ -298,7 +316,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index.of(shared.value)
+            index = index_of(shared.value)
             for batch in slices(batches, at):
                 yield batch.filter(pa.array([not index.hits(words_of(t))[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
