@@ -201,10 +201,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_bytes: int =
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     told = rows.select(F.size("v").alias("d"), (-squares).alias("order"), "id", "v").withColumn("stands", F.monotonically_increasing_id())
     order = ["d", "order", "id", "stands"]
-    told = told.repartitionByRange(many(rows, shard_bytes), *order).sortWithinPartitions(*order)
+    n = many(rows, shard_bytes)
+    told = told.repartitionByRange(n, *order).coalesce(n).sortWithinPartitions(*order)  # as many as asked for, also where a session deals out more
     shards = _written(told.select("id", "v"), "topk-shards", shard_bytes)
     asked = queries.select("id", "v").dropDuplicates()
-    asked = asked.repartition(many(queries, block_bytes), "id", "v").sortWithinPartitions(F.size("v"), "id")
+    n = many(queries, block_bytes)
+    asked = asked.repartition(n, "id", "v").coalesce(n).sortWithinPartitions(F.size("v"), "id")
     blocks = _written(asked, "topk-blocks", block_bytes, turned=False).select("d", F.col("part").alias("block"), F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
