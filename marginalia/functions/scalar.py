@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import casefolded
+
 #: Fixed values.
 STATUSES = ("active", "evergreen", "draft", "completed", "deprecated", "abandoned")
 RETIRED = ("deprecated", "abandoned")
@@ -106,7 +108,7 @@ def actor_name(actor: Column) -> Column:
 def canonical_aliases(aliases: Column) -> Column:
     """Without space around them, and without those that differ from an earlier one in case alone, or are empty."""
     stripped = F.filter(F.transform(aliases, lambda a: F.regexp_replace(a, r"(?U)\A\s+|\s+\z", "")), lambda a: a != "")
-    first = F.transform(stripped, lambda a, i: F.struct(a.alias("a"), (F.array_position(F.transform(stripped, F.lower), F.lower(a)) == i + 1).alias("first")))
+    first = F.transform(stripped, lambda a, i: F.struct(a.alias("a"), (F.array_position(F.transform(stripped, casefolded), casefolded(a)) == i + 1).alias("first")))
     return F.transform(F.filter(first, lambda x: x["first"]), lambda x: x["a"])
 
 

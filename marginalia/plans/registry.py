@@ -163,6 +163,16 @@ def tokenize(v: Views) -> DataFrame:
     return v["documents"].select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(t, " "), 256).alias("h"))
 
 
+#: Texts with marks of their own after letters, old forms of letters, and characters of private use.
+_ODD_TEXT = "replace(replace(replace(replace(text, 'e', 'e' || {c}(769)), 'n', 'n' || {c}(771)), 'is', 'i' || {c}(383)), 'to', {c}(57344) || 'to')"
+
+
+@query("tokenize_folded", f"SELECT doc_id, len(t)::bigint AS n, sha256(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, regexp_extract_all(replace(lower(strip_accents({_ODD_TEXT.format(c='chr')})), chr(383), 's'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS t FROM documents) x")
+def tokenize_folded(v: Views) -> DataFrame:
+    t = text.tokens(F.expr(re.sub(r"\{c\}\((\d+)\)", lambda m: f"'{chr(int(m[1]))}'", _ODD_TEXT)))
+    return v["documents"].select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(t, " "), 256).alias("h"))
+
+
 @query("term_df", f"SELECT term, count(DISTINCT cid)::bigint AS df, count(*)::bigint AS tf FROM (SELECT cid, unnest({TOKENS.format('body')}) AS term FROM notes WHERE parse_error IS NULL) x GROUP BY term")
 def term_df(v: Views) -> DataFrame:
     return search.term_statistics(v.notes)
