@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,49 +20,92 @@ def finding(code: str, message: Column, severity: str = ERROR) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("rel_path"), message.alias("message"))
 
 
+FINDING = "array<struct<code: string, severity: string, rel_path: string, message: string>>"
+
+
+def _found(*when: tuple[Column, Column]) -> Column:
+    """Findings whose condition holds, as an array."""
+    return F.filter(F.array(*[F.when(c, f) for c, f in when]), lambda x: x.isNotNull())
+
+
+def _of_each(items: Column | str, found: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(items, found))
+
+
+def _rows(rows: DataFrame, *found: Column) -> DataFrame:
+    """A row for each finding of arrays that may be null."""
+    each = [F.coalesce(x.cast(FINDING), F.array().cast(FINDING)) for x in found]
+    return rows.select(F.explode(F.concat(*each)).alias("f")).select("f.*")
+
+
 def _each(rows: DataFrame, *when: tuple[Column, Column]) -> DataFrame:
     """Findings of a row: those whose condition holds."""
-    made = F.filter(F.array(*[F.when(c, f) for c, f in when]), lambda x: x.isNotNull())
-    return rows.select(F.explode(made).alias("f")).select("f.*")
+    return _rows(rows, _found(*when))
 
 
 def parsed(notes: DataFrame) -> DataFrame:
     return notes.where("parse_error is null and layer != 'raw'")
 
 
+def _unparseable() -> Column:
+    return _found((F.col("parse_error").isNotNull(), finding("FRONTMATTER_UNPARSEABLE", F.col("parse_error"))))
+
+
 def unparseable(notes: DataFrame) -> DataFrame:
-    return _each(notes.where("layer != 'raw'"), (F.col("parse_error").isNotNull(), finding("FRONTMATTER_UNPARSEABLE", F.col("parse_error"))))
+    return _rows(notes.where("layer != 'raw'"), _unparseable())
 
 
 def _blank(c: str) -> Column:
     return F.coalesce(F.trim(c) == "", F.lit(True))
 
 
+def _fields() -> Column:
+    return _found(*[(_blank(c), finding("FIELD_MISSING", F.lit(f"Missing required field '{c}'"))) for c in REQUIRED])
+
+
 def fields(notes: DataFrame) -> DataFrame:
-    return _each(parsed(notes), *[(_blank(c), finding("FIELD_MISSING", F.lit(f"Missing required field '{c}'"))) for c in REQUIRED])
+    return _rows(parsed(notes), _fields())
+
+
+def _with_types(rows: DataFrame, types: DataFrame | None) -> DataFrame:
+    return rows.join(types.select("layer", F.col("allowed").alias("_allowed")), "layer", "left") if types is not None else rows.withColumn("_allowed", F.lit(None).cast("array<string>"))
+
+
+def _enums() -> Column:
+    bad_type = ~_blank("type") & F.col("_allowed").isNotNull() & ~F.array_contains("_allowed", F.col("type"))
+    bad_status = ~_blank("status") & ~F.col("status").isin(*STATUSES)
+    return _found((bad_type, finding("ENUM_INVALID", F.concat(F.lit("Invalid type '"), "type", F.lit("'")))), (bad_status, finding("ENUM_INVALID", F.concat(F.lit("Invalid status '"), "status", F.lit("'")))))
 
 
 def enums(notes: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """types: (layer, allowed) of the domains that restrict types; a small table of folders."""
-    rows = parsed(notes)
-    rows = rows.join(types, "layer", "left") if types is not None else rows.withColumn("allowed", F.lit(None).cast("array<string>"))
-    bad_type = ~_blank("type") & F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("type"))
-    bad_status = ~_blank("status") & ~F.col("status").isin(*STATUSES)
-    return _each(rows, (bad_type, finding("ENUM_INVALID", F.concat(F.lit("Invalid type '"), "type", F.lit("'")))), (bad_status, finding("ENUM_INVALID", F.concat(F.lit("Invalid status '"), "status", F.lit("'")))))
+    return _rows(_with_types(parsed(notes), types), _enums())
+
+
+def _tags() -> Column:
+    def of(tag: Column) -> Column:
+        spaced = tag.rlike(r"[\s\p{Z}]")
+        return _found((spaced, finding("TAG_MALFORMED", F.concat(F.lit("Tag with white space '"), tag, F.lit("'")))), (~spaced & ~tag.rlike(TAG), finding("TAG_MALFORMED", F.concat(F.lit("Non-canonical tag '"), tag, F.lit("'")), WARNING)))
+
+    return _of_each("tag_list", of)
 
 
 def tags(notes: DataFrame) -> DataFrame:
     """Over tag_list: white space breaks the joined column; other spellings are repaired by the writer."""
-    rows = parsed(notes).select("rel_path", F.explode("tag_list").alias("tag"))
-    spaced = F.col("tag").rlike(r"[\s\p{Z}]")
-    return _each(rows, (spaced, finding("TAG_MALFORMED", F.concat(F.lit("Tag with white space '"), "tag", F.lit("'")))), (~spaced & ~F.col("tag").rlike(TAG), finding("TAG_MALFORMED", F.concat(F.lit("Non-canonical tag '"), "tag", F.lit("'")), WARNING)))
+    return _rows(parsed(notes), _tags())
+
+
+def _aliases() -> Column:
+    def of(alias: Column) -> Column:
+        bad = F.coalesce(alias.rlike(r"[\n\r\t]") | (F.trim(alias) == ""), F.lit(True))
+        return _found((bad, finding("ENUM_INVALID", F.concat(F.lit("Alias that isn't one line of text '"), F.regexp_replace(F.coalesce(alias, F.lit("")), r"\s+", " "), F.lit("'")))))
+
+    return _of_each("alias_list", of)
 
 
 def aliases(notes: DataFrame) -> DataFrame:
     """Over alias_list: an alias is text on one line."""
-    rows = parsed(notes).select("rel_path", F.explode("alias_list").alias("alias"))
-    bad = F.coalesce(F.col("alias").rlike(r"[\n\r\t]") | (F.trim("alias") == ""), F.lit(True))
-    return _each(rows, (bad, finding("ENUM_INVALID", F.concat(F.lit("Alias that isn't one line of text '"), F.regexp_replace(F.coalesce("alias", F.lit("")), r"\s+", " "), F.lit("'")))))
+    return _rows(parsed(notes), _aliases())
 
 
 def manifests(domains: DataFrame) -> DataFrame:
@@ -69,30 +113,47 @@ def manifests(domains: DataFrame) -> DataFrame:
     return _each(domains.withColumn("rel_path", F.col("manifest_path")), (F.col("manifest_error").isNotNull(), finding("DOMAIN_MANIFEST_INVALID", F.col("manifest_error"))))
 
 
+def _timestamps(generated: bool) -> list[Column]:
+    bad = lambda at: F.coalesce(at != "", F.lit(False)) & ~valid_timestamp(at)
+    entry = lambda v, i: _found((bad(v["at"]), finding("TIMESTAMP_INVALID", F.concat(F.lit("verified["), i.cast("string"), F.lit("].at: '"), v["at"], F.lit("'")))))
+    found = [F.flatten(F.transform("verified", entry))]
+    return [*found, _found((bad(F.col("generated.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("generated.at: '"), "generated.at", F.lit("'")))))] if generated else found
+
+
 def timestamps(notes: DataFrame) -> DataFrame:
     """Over verified[].at, and generated.at where the notes have that column."""
-    bad = lambda at: F.coalesce(at != "", F.lit(False)) & ~valid_timestamp(at)
-    rows = parsed(notes)
-    found = _each(rows.select("rel_path", F.posexplode("verified").alias("i", "v")), (bad(F.col("v.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("verified["), F.col("i").cast("string"), F.lit("].at: '"), "v.at", F.lit("'")))))
-    if "generated" not in notes.columns:
-        return found
-    return found.unionByName(_each(rows, (bad(F.col("generated.at")), finding("TIMESTAMP_INVALID", F.concat(F.lit("generated.at: '"), "generated.at", F.lit("'"))))))
+    return _rows(parsed(notes), *_timestamps("generated" in notes.columns))
+
+
+def _nesting() -> Column:
+    return _found(((F.col("layer") == "wiki") & (F.size(F.split("rel_path", "/")) != 2), finding("WIKI_NESTING_DISALLOWED", F.lit("The wiki is flat"))))
 
 
 def nesting(notes: DataFrame) -> DataFrame:
-    return _each(parsed(notes), ((F.col("layer") == "wiki") & (F.size(F.split("rel_path", "/")) != 2), finding("WIKI_NESTING_DISALLOWED", F.lit("The wiki is flat"))))
+    return _rows(parsed(notes), _nesting())
 
 
-def verification(notes: DataFrame) -> DataFrame:
-    """Per entry: a malformed actor, a missing binding; per note: its leading stale entry, unless superseded."""
-    rows = parsed(notes)
-    entries = rows.select("rel_path", F.explode("verified").alias("v"))
-    unbound = F.coalesce(F.trim("v.of") == "", F.lit(True))
-    per_entry = _each(entries, (~valid_actor(F.col("v.by")), finding("ACTOR_MALFORMED", F.concat(F.lit("Malformed actor '"), F.coalesce("v.by", F.lit("")), F.lit("'")))), (unbound, finding("VERIFICATION_UNBOUND", F.concat(F.lit("Entry by '"), F.coalesce("v.by", F.lit("")), F.lit("' has no binding")))))
+def _verification() -> list[Column]:
+    def entry(v: Column) -> Column:
+        by, unbound = F.coalesce(v["by"], F.lit("")), F.coalesce(F.trim(v["of"]) == "", F.lit(True))
+        return _found((~valid_actor(v["by"]), finding("ACTOR_MALFORMED", F.concat(F.lit("Malformed actor '"), by, F.lit("'")))), (unbound, finding("VERIFICATION_UNBOUND", F.concat(F.lit("Entry by '"), by, F.lit("' has no binding")))))
+
     human = lambda v: v["by"].startswith("human:")
     stale = F.filter("verified", lambda v: valid_actor(v["by"]) & F.coalesce(F.trim(v["of"]) != "", F.lit(False)) & (v["of"] != F.col("body_hash")) & (F.col("trust_tier") != "human-reviewed") & ((F.col("trust_tier") != "machine-confirmed") | human(v)))
     lead = F.coalesce(F.try_element_at(F.filter(stale, human), F.lit(-1)), F.try_element_at(stale, F.lit(-1)))["by"]
-    return per_entry.unionByName(_each(rows, (lead.isNotNull(), finding("VERIFICATION_STALE", F.concat(F.lit("Entry by '"), lead, F.lit("' is stale")), WARNING))))
+    return [_of_each("verified", entry), _found((lead.isNotNull(), finding("VERIFICATION_STALE", F.concat(F.lit("Entry by '"), lead, F.lit("' is stale")), WARNING)))]
+
+
+def verification(notes: DataFrame) -> DataFrame:
+    """Per entry: a malformed actor, a missing binding; per note: its leading stale entry, unless superseded."""
+    return _rows(parsed(notes), *_verification())
+
+
+def of_notes(notes: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """All gates that look at one note alone, in one pass over the notes."""
+    fine = [_fields(), _enums(), _tags(), *_timestamps("generated" in notes.columns), _nesting(), *_verification(), *([_aliases()] if "alias_list" in notes.columns else [])]
+    found = [F.when(F.col("parse_error").isNotNull(), _unparseable()), *[F.when(F.col("parse_error").isNull(), x) for x in fine]]
+    return _rows(_with_types(notes.where("layer != 'raw'"), types), *found)
 
 
 def dead_links(notes: DataFrame, links: DataFrame) -> DataFrame:
@@ -146,9 +207,7 @@ def lint(notes: DataFrame, links: DataFrame, sources: DataFrame, types: DataFram
     anchors: what `missing_anchors` takes; raw_links: what `broken_raw_links`
     takes; domains: what `manifests` takes.
     """
-    gates = [unparseable(notes), fields(notes), enums(notes, types), tags(notes), timestamps(notes), nesting(notes), dead_links(notes, links), missing_sources(notes, sources, required), orphan(notes, links), verification(notes)]
-    if "alias_list" in notes.columns:
-        gates.append(aliases(notes))
+    gates = [of_notes(notes, types), dead_links(notes, links), missing_sources(notes, sources, required), orphan(notes, links)]
     gates += [gate(*given) for gate, given in ((missing_anchors, anchors), (broken_raw_links, raw_links)) if given]
     if domains is not None:
         gates.append(manifests(domains))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.markdown import parts
 from marginalia.functions.scalar import body_hash, trust_tier
 from marginalia.functions.text import camel_subwords
 from marginalia.operators import incremental
@@ -84,14 +85,15 @@ SELECT 'wiki/o' || o_orderkey || '.md' AS rel_path, CAST(o_orderkey AS double) A
 UNION ALL SELECT 'wiki/new' || o_orderkey || '.md', 0.5, CAST(7 AS bigint) FROM orders WHERE o_orderstatus = 'P'
 """
 
-#: Notes as Markdown, with fences, inline code, math, sections and links of each kind, and the document's whole text in a last fence.
+#: Notes as Markdown, with fences, inline code, math, sections and links of each kind, and the document's whole text, in which a common word of its language is a link; a text with dollars has none, as these enclose formulas.
 MD = """
 SELECT doc_id, cid, layer, stem, rel_path, CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END AS wanted,
   '# Note ' || doc_id || chr(10) || 'See [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || '|next]], `[[code]]`, [[d' || (doc_id + 1) || '#' || CASE WHEN doc_id % 4 = 0 THEN 'Section 9' ELSE 'section-' || ((doc_id + 1) % 3) END || ']].' || chr(10)
   || '```' || chr(10) || '## Fenced' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) || '## Section ' || (doc_id % 3) || ' ##' || chr(10)
   || 'A [file](../wiki/d' || (doc_id % 7) || '.md#Top), ![[chart.png]], [site](https://example.org/x.md) and $[[math]]$.' || chr(10) || '### Deep `x`' || chr(10)
-  || CASE WHEN doc_id % 2 = 0 THEN 'Even [source](../raw/d' || (doc_id + 1) || '.txt).' ELSE 'Odd.' END || chr(10) || '## Last' || chr(10) || repeat('word ', CAST(doc_id % 50 AS int)) || chr(10) || '~~~' || chr(10) || body || chr(10) AS md
-FROM v_notes
+  || CASE WHEN doc_id % 2 = 0 THEN 'Even [source](../raw/d' || (doc_id + 1) || '.txt).' ELSE 'Odd.' END || chr(10) || '## Last' || chr(10) || repeat('word ', CAST(doc_id % 50 AS int)) || chr(10) || CASE WHEN contains(body, '$') THEN body ELSE replace(body, ' ' || common || ' ', ' [[' || common || ']] ') END || chr(10) AS md,
+  common, CASE WHEN contains(body, '$') THEN 0 ELSE (length(body) - length(replace(body, ' ' || common || ' ', ''))) / (length(common) + 2) END AS links_in_text
+FROM (SELECT *, CASE WHEN tags LIKE 'en%' THEN 'the' WHEN tags LIKE 'de%' THEN 'der' ELSE 'de' END AS common FROM v_notes) named
 """
 
 #: Notes' headers before the documents' whole texts: one in five well formed, the others each with its own fault, on different lines.
@@ -128,19 +130,24 @@ UNION ALL SELECT p_partkey, 'projects/p' || p_partkey || '.md', 'projects/p' ||
 """
 
 VIEWS = {"v_before": BEFORE, "v_after": AFTER, "v_files": FILES, "v_blame": BLAME, "v_md": MD, "v_headers": HEADERS, "v_notes": NOTES, "v_links": LINKS, "v_part_links": PART_LINKS, "v_hub_links": HUB_LINKS, "v_sources": SOURCES, "v_raw": RAW, "v_note_links": NOTE_LINKS, "v_note_sources": NOTE_SOURCES, "v_names": NAMES, "v_old": LISTING_OLD, "v_new": LISTING_NEW}
+#: Views that several operators of one query read, with the tables that they are made of: written once, as notes are when they are read in.
+WRITTEN = {v: ("documents", "labels") for v in ("v_note_links", "v_note_sources")}
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels")
 
 
 class Views:
     """The views of one folder of tables, as frames of one session."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, inside: bool = False):
+        """inside: nothing is written, for the plan that writes a view."""
+        self.spark, self.sf_dir, self.inside = spark, sf_dir, inside
         self.made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.made:
-            if name in VIEWS:
+            if name in WRITTEN and not self.inside:
+                self.made[name] = self._written(name, WRITTEN[name], lambda: Views(self.spark, self.sf_dir, True)[name])
+            elif name in VIEWS:
                 import re
 
                 text = VIEWS[name]
@@ -154,18 +161,29 @@ class Views:
 
     @property
     def notes(self) -> DataFrame:
-        """v_notes with body_hash, verified, trust_tier and tag_list."""
+        """v_notes with body_hash, verified, trust_tier and tag_list, as they are when notes are read in: written once."""
         if "notes" not in self.made:
-            rows = self["v_notes"].withColumn("body_hash", body_hash(F.col("body")))
-            of = F.when(F.col("ver_stale") == 1, F.lit("sha256:old")).otherwise(F.col("body_hash"))
-            entry = F.struct(F.col("ver_by").alias("by"), F.col("ver_at").alias("at"), of.alias("of"))
-            rows = rows.withColumn("verified", F.when(F.col("ver_by").isNotNull(), F.array(entry)))
-            rows = rows.withColumns({"aliases": F.col("alias"), "subwords": F.array_join(camel_subwords(F.concat_ws(" ", "title", "description", "alias", "body")), " ")})
-            listed = F.when(F.col("doc_id") % 53 == 0, F.array(F.lit("two\nlines"))).when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array().cast("array<string>"))
-            rows = rows.withColumns({"alias_list": listed, "generated": F.struct(F.lit("process:import").alias("by"), F.expr("CASE WHEN doc_id % 59 = 0 THEN 'yesterday' ELSE '2024-02-29T00:00:00Z' END").alias("at"))})
-            self.made["notes"] = rows.withColumns({"trust_tier": trust_tier(F.col("verified"), F.col("body_hash")), "tag_list": F.array("tag")})
+            self.made["notes"] = self._written("notes", ("documents", "labels"), self._notes)
         return self.made["notes"]
 
+    def _notes(self) -> DataFrame:
+        rows = self["v_notes"].withColumn("body_hash", body_hash(F.col("body")))
+        of = F.when(F.col("ver_stale") == 1, F.lit("sha256:old")).otherwise(F.col("body_hash"))
+        entry = F.struct(F.col("ver_by").alias("by"), F.col("ver_at").alias("at"), of.alias("of"))
+        rows = rows.withColumn("verified", F.when(F.col("ver_by").isNotNull(), F.array(entry)))
+        rows = rows.withColumns({"aliases": F.col("alias"), "subwords": F.array_join(camel_subwords(F.concat_ws(" ", "title", "description", "alias", "body")), " ")})
+        listed = F.when(F.col("doc_id") % 53 == 0, F.array(F.lit("two\nlines"))).when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array().cast("array<string>"))
+        rows = rows.withColumns({"alias_list": listed, "generated": F.struct(F.lit("process:import").alias("by"), F.expr("CASE WHEN doc_id % 59 = 0 THEN 'yesterday' ELSE '2024-02-29T00:00:00Z' END").alias("at"))})
+        return rows.withColumns({"trust_tier": trust_tier(F.col("verified"), F.col("body_hash")), "tag_list": F.array("tag")})
+
+    @property
+    def parsed(self) -> DataFrame:
+        """v_md's notes with their links and headings, each text read by the parser once, as when notes are read in."""
+        rows = lambda: self["v_md"].withColumn("p", parts("md")).select("doc_id", "cid", "layer", "stem", "rel_path", "p.*")
+        return self._written("parsed", ("documents", "labels"), rows)
+
+    def _written(self, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame]) -> DataFrame:
+        return self.spark.read.parquet(self._once(name, tables, lambda where: rows().write.parquet(where)))
 
     def _once(self, kind: str, tables: tuple[str, ...], make: Callable[[str], object]) -> str:
         """A folder of the shared one, made once for what the tables' files are now."""

@@ -475,15 +475,15 @@ def manifests(v: Views) -> DataFrame:
 
 def anchored(v: Views) -> tuple[DataFrame, DataFrame]:
     """Resolved links with anchors, and headings by note."""
-    md = v["v_md"]
-    edges = md.select("rel_path", F.explode(markdown.edge_array("md")).alias("e")).where("e.kind = 'wiki'").select("rel_path", F.col("e.target").alias("stem"), "e.anchor")
-    return edges.join(md.select("stem", F.col("cid").alias("target_cid")), "stem"), md.select("cid", markdown.heading_array("md").alias("headings"))
+    md = v.parsed
+    edges = md.select("rel_path", F.explode("edges").alias("e")).where("e.kind = 'wiki'").select("rel_path", F.col("e.target").alias("stem"), "e.anchor")
+    return edges.join(md.select("stem", F.col("cid").alias("target_cid")), "stem"), md.select("cid", "headings")
 
 
 def into_raw(v: Views) -> tuple[DataFrame, DataFrame]:
     """Relative links, and raw files."""
-    md = v["v_md"]
-    links = md.select("rel_path", F.explode(markdown.link_array("md")).alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
+    md = v.parsed
+    links = md.select("rel_path", F.explode("links").alias("e")).where("e.kind = 'markdown'").select("rel_path", "e.target_raw")
     return links, md.where("layer = 'raw'").select(F.col("rel_path").alias("path"))
 
 
@@ -576,7 +576,8 @@ _CUTS = "SELECT *, instr(md, '## Section') AS a, instr(md, '## Last') AS b, leng
 @query(
     "links_extract",
     """SELECT doc_id, 'wiki' AS kind, 'd' || (doc_id + 1) || '#' || wanted AS target_raw, 'd' || (doc_id + 1) AS target, wanted AS anchor, 2::bigint AS occurrences FROM v_md
-    UNION ALL SELECT doc_id, 'markdown', '../wiki/d' || (doc_id % 7) || '.md#Top', '../wiki/d' || (doc_id % 7) || '.md', 'Top', 1 FROM v_md""",
+    UNION ALL SELECT doc_id, 'markdown', '../wiki/d' || (doc_id % 7) || '.md#Top', '../wiki/d' || (doc_id % 7) || '.md', 'Top', 1 FROM v_md
+    UNION ALL SELECT doc_id, 'wiki', common, common, NULL, CAST(links_in_text AS bigint) FROM v_md WHERE links_in_text > 0""",
 )
 def links_extract(v: Views) -> DataFrame:
     edges = v["v_md"].select("doc_id", F.explode(markdown.edge_array("md")).alias("e")).select("doc_id", "e.kind", "e.target_raw", "e.target", "e.anchor")
