@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.markdown import names_heading, relative_path
+from marginalia.functions.markdown import names_heading, relative_path, relative_to, spelled_path
 from marginalia.functions.scalar import STATUSES, TAG, valid_actor, valid_timestamp
 from marginalia.operators import graph, samples
 
@@ -177,14 +177,19 @@ def missing_anchors(links: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def broken_raw_links(links: DataFrame, raw: DataFrame) -> DataFrame:
-    """links: rel_path, target_raw of relative links; raw: path.  Those into a raw folder that name no file, with the file that has that name, if there is one."""
-    rows = links.withColumn("path", relative_path(F.col("rel_path"), F.col("target_raw"))).where(F.array_contains(F.split("path", "/"), "raw"))
-    rows = rows.dropDuplicates(["rel_path", "path"]).join(raw, "path", "left_anti")
-    name = F.regexp_extract("path", r"[^/]*\z", 0)
-    only = raw.groupBy(name.alias("_name")).agg(F.count("*").alias("_n"), F.min("path").alias("_there")).where("_n = 1")
-    rows = rows.withColumn("_name", name).join(only, "_name", "left")
-    hint = F.when(F.col("_there").isNotNull(), F.concat(F.lit("; did you mean "), F.col("_there"), F.lit("?"))).otherwise(F.lit(""))
-    return rows.select(finding("RAW_LINK_BROKEN", F.concat(F.lit("No raw file "), F.col("path"), hint)).alias("f")).select("f.*")
+    """links: rel_path, target_raw of relative links; raw: path.
+
+    Links whose path, as it is written, goes through a folder raw and leads to no raw file.  What stands after
+    the last `raw` may be a raw file all the same: then the path that leads there from the note is suggested.
+    """
+    rows = links.dropDuplicates(["rel_path", "target_raw"]).withColumn("path", relative_path(F.col("rel_path"), F.col("target_raw")))
+    steps = F.split(F.substring_index("target_raw", "#", 1), "/")
+    rows = rows.where(F.array_contains(steps, "raw")).join(raw.select("path"), "path", "left_anti")
+    after = F.slice(steps, F.size(steps) - F.array_position(F.reverse(steps), "raw").cast("int") + 2, F.size(steps))
+    rows = rows.withColumn("_tail", relative_path(F.lit("raw/"), F.array_join(after, "/")))
+    rows = rows.join(raw.select(F.col("path").alias("_tail"), F.col("path").alias("_there")), "_tail", "left")
+    hint = F.when(F.col("_there").isNotNull(), F.concat(F.lit("; did you mean '"), spelled_path(relative_to(F.col("rel_path"), F.col("_there")), F.lit(False)), F.lit("'?"))).otherwise(F.lit(""))
+    return _each(rows, (F.lit(True), finding("RAW_LINK_BROKEN", F.concat(F.lit("No raw file '"), F.col("target_raw"), F.lit("'"), hint))))
 
 
 def missing_sources(notes: DataFrame, sources: DataFrame, required: list[str] | None = None) -> DataFrame:

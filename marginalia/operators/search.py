@@ -9,7 +9,7 @@ are one row.  Notes and raw files are corpora of their own.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,6 +21,7 @@ from marginalia.functions.scalar import canonical_tag
 from marginalia.functions.stemming import porter, stems
 from marginalia.functions.text import cut_at_words, tokens
 from marginalia.plans import query_language as ql
+from marginalia.sources.snapshots import Snapshots
 
 #: Weights of the columns, the floor for a column that is hit, the multipliers, and BM25's constants.
 WEIGHTS = {"title": 4.0, "description": 2.0, "body": 1.0, "tags": 1.5, "aliases": 2.5, "subwords": 1.0}
@@ -63,6 +64,8 @@ def filter_only(notes: DataFrame, limit: int = 20, **by: str) -> DataFrame:
 
 
 COLUMNS = tuple(WEIGHTS)
+#: Fixed value: results of a search at most.
+MOST = 1000
 #: So many terms of a query may be named in the scan of the postings; more are joined.
 NAMED = 1000
 
@@ -224,8 +227,8 @@ def search(index: Index, query: str = "", limit: int = 20, **by: str) -> DataFra
     Adds `tier` (0, 1 or 2).  Without a query, or with filters and a query in
     which nothing can be looked for, notes are listed by multiplier.
     """
-    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
-        raise ValueError("limit must be a positive whole number")
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MOST:
+        raise ValueError(f"limit must be a whole number from 1 to {MOST}")
     parts = ql.clean(query)
     if ql.parse(parts) is None:
         if query.strip() and not any(by.values()):
@@ -242,6 +245,18 @@ def search(index: Index, query: str = "", limit: int = 20, **by: str) -> DataFra
     return ranked.orderBy("_rank").drop("_rank")
 
 
+def raw_matches(index: Index, query: str) -> bool:
+    """Whether a raw file answers a query, for a hint beside a search that found no notes: these leave raw files out."""
+    return bool(query.strip()) and not search(index, query, 1, domain="raw").isEmpty()
+
+
+def scan_and_search(store: Snapshots, listing: DataFrame, read: Callable[[DataFrame], DataFrame], query: str, limit: int = 20, **by: str) -> DataFrame:
+    """Brings the store up to a listing first, so that what the last call wrote is found."""
+    from marginalia.operators import incremental
+
+    return search(incremental.index(store, incremental.scan(store, listing, read)), query, limit, **by)
+
+
 def snippets(found: DataFrame, notes: DataFrame, query: str, size: int = 15) -> DataFrame:
     """Adds `snippet` to results (cid): of the body, `size` words with the most different words of the query, which stand in <b>.
 

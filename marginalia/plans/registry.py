@@ -215,10 +215,10 @@ def search_tiered(v: Views) -> DataFrame:
     return rounded(search.search(v.index, "thsh inea", 50), "score").select("cid", "score", "tier")
 
 
-#: More than all notes that hold the one word, so that the tier of its parts is needed.
-@query("search_camel", tiers_sql((0, [one("crashloopbackoff")], "n_0"), (1, [one(w) for w in ("crash", "loop", "back", "off")], "n_0 AND n_1 AND n_2 AND n_3"), limit=1_000_000))
+#: As many as a search may give, so that the tier of the word's parts is needed where few notes hold the word.
+@query("search_camel", tiers_sql((0, [one("crashloopbackoff")], "n_0"), (1, [one(w) for w in ("crash", "loop", "back", "off")], "n_0 AND n_1 AND n_2 AND n_3"), limit=search.MOST))
 def search_camel(v: Views) -> DataFrame:
-    return rounded(search.search(v.index, "CrashLoopBackOff", 1_000_000), "score").select("cid", "score", "tier")
+    return rounded(search.search(v.index, "CrashLoopBackOff", search.MOST), "score").select("cid", "score", "tier")
 
 
 @query("camel_subwords", f"SELECT cid, array_to_string({SUBWORDS}, ' ') AS subwords FROM notes UNION ALL SELECT p_partkey::varchar, array_to_string({subwords_sql(_MIXED)}, ' ') FROM part")
@@ -453,7 +453,7 @@ GATES = {
     "lint_manifest": "SELECT 'DOMAIN_MANIFEST_INVALID' AS code, 'error' AS severity, n_name || '/AGENTS.md' AS rel_path, CASE n_nationkey % 3 WHEN 1 THEN 'require_sources is neither true nor false; domain ''x'' isn''t the folder ''' || n_name || '''' ELSE 'its header can''t be read: tab in a header' END AS message FROM nation WHERE n_nationkey % 3 > 0",
     "lint_timestamp": f"SELECT 'TIMESTAMP_INVALID' AS code, 'error' AS severity, rel_path, 'generated.at: ''yesterday''' AS message FROM {_P} AND doc_id % 59 = 0 UNION ALL SELECT 'TIMESTAMP_INVALID' AS code, 'error' AS severity, rel_path, 'verified[0].at: ''' || ver_at || '''' AS message FROM {_P} AND ver_by IS NOT NULL AND ver_at LIKE '2024-13%'",
     "lint_anchor_missing": "SELECT 'ANCHOR_MISSING' AS code, 'warning' AS severity, s.rel_path, 'No heading ''Section 9'' in ' || t.cid AS message FROM v_md s JOIN v_md t ON t.doc_id = s.doc_id + 1 WHERE s.doc_id % 4 = 0",
-    "lint_raw_link": f"SELECT 'RAW_LINK_BROKEN' AS code, 'error' AS severity, s.rel_path, 'No raw file ' || {_RAW_PATH} || CASE WHEN u.rel_path IS NULL THEN '' ELSE '; did you mean ' || u.rel_path || '?' END AS message FROM v_md s LEFT JOIN v_md t ON t.rel_path = {_RAW_PATH} LEFT JOIN v_md u ON u.layer = 'raw' AND u.doc_id = s.doc_id + 1 WHERE s.doc_id % 2 = 0 AND t.rel_path IS NULL",
+    "lint_raw_link": f"SELECT 'RAW_LINK_BROKEN' AS code, 'error' AS severity, s.rel_path, 'No raw file ''../raw/d' || (s.doc_id + 1) || '.txt''' || CASE WHEN u.rel_path IS NULL THEN '' ELSE '; did you mean ''../../' || u.rel_path || '''?' END AS message FROM v_md s LEFT JOIN v_md t ON t.rel_path = {_RAW_PATH} LEFT JOIN v_md u ON u.layer = 'raw' AND u.doc_id = s.doc_id + 1 WHERE s.doc_id % 2 = 0 AND t.rel_path IS NULL",
     "lint_nesting": f"SELECT 'WIKI_NESTING_DISALLOWED' AS code, 'error' AS severity, rel_path, 'The wiki is flat' AS message FROM {_P} AND layer = 'wiki' AND rel_path LIKE 'wiki/deep/%'",
     "lint_link_dead": f"SELECT 'LINK_DEAD' AS code, 'error' AS severity, rel_path, 'Dead link ''' || target_raw || '''' || CASE WHEN near IS NULL THEN '' ELSE '; did you mean ' || near || '?' END AS message FROM v_note_links JOIN (SELECT cid, rel_path FROM {_P}) x ON cid = source_cid LEFT JOIN (SELECT string_split(cid, '/')[-1] AS name, array_to_string(list(cid ORDER BY cid)[1:3], ', ') AS near FROM {_P} GROUP BY 1) y ON name = string_split(target_raw, '/')[-1] WHERE target_cid IS NULL",
     "lint_source_missing": f"SELECT 'SOURCE_MISSING' AS code, 'error' AS severity, rel_path, 'No raw file ''' || raw_path || '''' AS message FROM v_note_sources JOIN (SELECT cid, rel_path FROM {_P}) x ON cid = source_cid WHERE resolved_path IS NULL UNION ALL SELECT 'SOURCE_MISSING', 'error', rel_path, 'Domain ''customers'' requires sources' FROM {_P} AND layer = 'customers' AND cid NOT IN (SELECT source_cid FROM v_note_sources)",

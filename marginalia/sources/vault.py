@@ -21,7 +21,7 @@ RESERVED = ("raw", "log")
 #: The suffixes of raw files that are read as text, and how a file is known to be unchanged.
 TEXT_SUFFIXES = (".md", ".markdown", ".txt", ".rst", ".csv")
 INTEGRITY = ("stat", "hash")
-DEFAULTS: dict[str, Any] = {"vault_name": "vault", "raw_text_extensions": list(TEXT_SUFFIXES), "integrity": "stat", "ranking": {"trust": TRUST, "status": STATUS, "domain": LAYER}, "identities": {}, "log_rotate_bytes": 1_000_000}
+DEFAULTS: dict[str, Any] = {"vault_name": "vault", "raw_text_extensions": list(TEXT_SUFFIXES), "integrity": "stat", "ranking": {"trust": TRUST, "status": STATUS, "domain": LAYER}, "identities": {}, "log_rotate_bytes": 262_144}
 
 
 class SettingsError(ValueError):

@@ -7,12 +7,14 @@ the next change detection.
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import hashlib
 import json
 import os
 import re
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
@@ -50,15 +52,26 @@ def body_hash(body: str) -> str:
     return "sha256:" + hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
-def write(path: Path, text: str, expected: str | None = None) -> None:
-    """Replaces a file at once, if it still has the expected hash."""
+def inside(root: Path, rel: str) -> Path:
+    """The file of a path that lies in the collection, also where its folders are links."""
+    path = root / rel
+    if not path.resolve().is_relative_to(root.resolve()):
+        raise Refused(f"'{rel}' lies outside the collection")
+    return path
+
+
+def write(path: Path, data: str | bytes, expected: str | None = None) -> None:
+    """Replaces a file at once, if it still has the expected hash; who may read and write it stays."""
     path.parent.mkdir(parents=True, exist_ok=True)
     if expected is not None and (file_hash(path.read_bytes()) if path.exists() else "") != expected:
         raise FileExistsError(f"{path.name} changed meanwhile")
     handle, temporary = tempfile.mkstemp(dir=path.parent, prefix=".write-")
     try:
         with os.fdopen(handle, "wb") as f:
-            f.write(text.encode())
+            mask = os.umask(0)
+            os.umask(mask)
+            os.fchmod(f.fileno(), path.stat().st_mode & 0o7777 if path.exists() else 0o666 & ~mask)
+            f.write(data if isinstance(data, bytes) else data.encode())
             f.flush()
             os.fsync(f.fileno())
         os.replace(temporary, path)
@@ -68,30 +81,50 @@ def write(path: Path, text: str, expected: str | None = None) -> None:
         raise
 
 
+@contextlib.contextmanager
+def _guard(path: Path) -> Iterator[None]:
+    """Who takes a lock file away does so alone."""
+    with open(path.with_name(".lock-guard"), "a") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        yield
+
+
+def _is_stale(path: Path, stale: float) -> bool:
+    with contextlib.suppress(FileNotFoundError, ValueError):
+        holder, age = int((path.read_text() or "0").split()[0]), time.time() - path.stat().st_mtime
+        return age > stale or bool(holder and not os.path.exists(f"/proc/{holder}") and os.path.isdir("/proc"))
+    return False
+
+
 @contextlib.contextmanager
 def lock(root: Path, wait: float = LOCK_WAIT, stale: float = LOCK_STALE) -> Iterator[None]:
-    """Holds the collection's lock file; one whose holder is gone, or that is too old, is broken."""
-    path, until = root / "log" / ".lock", time.monotonic() + wait
+    """Holds the collection's lock file; one whose holder is gone, or that is too old, is broken.
+
+    A lock is judged again before it is taken away, and its holder takes away no other's.
+    """
+    path, until, own = root / "log" / ".lock", time.monotonic() + wait, f"{os.getpid()} {uuid.uuid4().hex}"
     path.parent.mkdir(parents=True, exist_ok=True)
     while True:
         try:
-            handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o666)
             break
         except FileExistsError:
-            with contextlib.suppress(FileNotFoundError, ValueError):
-                holder, age = int(path.read_text() or 0), time.time() - path.stat().st_mtime
-                if age > stale or (holder and not os.path.exists(f"/proc/{holder}") and os.path.isdir("/proc")):
-                    path.unlink()
-                    continue
+            if _is_stale(path, stale):
+                with _guard(path):
+                    if _is_stale(path, stale):
+                        path.unlink()
+                continue
             if time.monotonic() > until:
                 raise TimeoutError("another process holds the lock") from None
             time.sleep(0.02)
     try:
-        os.write(handle, str(os.getpid()).encode())
+        os.write(handle, own.encode())
         os.close(handle)
         yield
     finally:
-        path.unlink(missing_ok=True)
+        with _guard(path), contextlib.suppress(FileNotFoundError):
+            if path.read_text() == own:
+                path.unlink()
 
 
 def record(root: Path, actor: str, what: str, limit: int = vault.DEFAULTS["log_rotate_bytes"]) -> None:
@@ -123,8 +156,11 @@ def _joined(header: dict[str, Any], body: str) -> str:
 
 def read(root: Path, cid: str) -> tuple[dict[str, Any], str, str]:
     """(header, body, hash of the file)."""
-    data = (root / f"{cid}.md").read_bytes()
-    header, body = frontmatter.split(data.decode("utf-8", "replace"))
+    data = inside(root, f"{cid}.md").read_bytes()
+    try:
+        header, body = frontmatter.split(data.decode())
+    except UnicodeDecodeError as e:  # to write it again would change bytes that nobody edits
+        raise Refused(f"'{cid}' isn't UTF-8") from e
     return frontmatter.parse(header or ""), body, file_hash(data)
 
 
@@ -149,6 +185,10 @@ def _checked(patch: dict[str, Any]) -> None:
             raise ValueError("aliases are texts of one line")
 
 
+#: Fixed value: signs that a link's target can't hold.
+NAMELESS = re.compile(r"[\[\]|#^`<>\n]")
+
+
 def place(root: Path, title: str, domain: str = "wiki", path: str | None = None, templates: str = "") -> str:
     """Where a new note goes: its domain and a name from its title, or the path, in which a last slash names a folder."""
     spelled = (path or "").replace("\\", "/").strip() or f"{domain or 'wiki'}/"
@@ -164,8 +204,10 @@ def place(root: Path, title: str, domain: str = "wiki", path: str | None = None,
         raise ValueError(f"no note can be at '{rel}'")
     if parts[0] == "wiki" and len(parts) > 2:
         raise ValueError("the wiki is flat")
-    if re.search(r"[\[\]|#^\n]", rel):
+    if NAMELESS.search(rel) or any(p != p.strip() for p in parts):
         raise ValueError(f"links couldn't name '{rel}'")
+    if "raw" in parts[1:]:
+        raise ValueError(f"links to '{rel}' would read as citations of raw files")
     return rel
 
 
@@ -191,7 +233,7 @@ def scaffold(root: Path, title: str, type: str, description: str, actor: str, do
         if takes_over and (bent := takes_over(cid)):
             raise Refused(f"links would change their meaning: {', '.join(bent)}")
         header = {"type": type, "title": title, "description": description, "status": fields.pop("status", "draft"), **fields, "generated": {"by": actor, "at": now()}}
-        write(root / rel, _joined(header, body or f"# {title}\n"), "")
+        write(inside(root, rel), _joined(header, body or f"# {title}\n"), "")
         record(root, actor, f"scaffold {cid}")
     return cid
 
@@ -278,13 +320,16 @@ def apply_move(root: Path, moves: dict[str, str], edits: dict[str, dict[str, str
         if taken or len(set(moves.values())) < len(moves):
             raise FileExistsError(f"moves would meet: {', '.join(taken) or 'one place for several notes'}")
         touched = sorted({*moves, *edits})
-        before = {c: (root / f"{c}.md").read_bytes() for c in touched}
-        after = {moves.get(c, c): rewritten(before[c].decode("utf-8", "replace"), edits.get(c, {})) for c in touched}
+        before = {c: inside(root, f"{c}.md").read_bytes() for c in touched}
+        # bytes that aren't UTF-8 pass through as they are
+        after = {moves.get(c, c): rewritten(before[c].decode("utf-8", "surrogateescape"), edits.get(c, {})).encode("utf-8", "surrogateescape") for c in touched}
+        modes = {moves.get(c, c): (root / f"{c}.md").stat().st_mode & 0o7777 for c in touched}
         done: list[Path] = []
         try:
-            for cid, text in after.items():
-                done.append(root / f"{cid}.md")
-                write(done[-1], text)
+            for cid, data in after.items():
+                done.append(inside(root, f"{cid}.md"))
+                write(done[-1], data)
+                done[-1].chmod(modes[cid])
             for cid in moves:
                 if cid not in after:
                     (root / f"{cid}.md").unlink()
@@ -293,7 +338,7 @@ def apply_move(root: Path, moves: dict[str, str], edits: dict[str, dict[str, str
                 if path.relative_to(root).as_posix().removesuffix(".md") not in before:
                     path.unlink(missing_ok=True)
             for cid, data in before.items():
-                write(root / f"{cid}.md", data.decode("utf-8", "surrogateescape"))
+                write(root / f"{cid}.md", data)
             raise
         record(root, actor, "move " + ", ".join(f"{a} to {b}" for a, b in moves.items()))
     return found

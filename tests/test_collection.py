@@ -218,3 +218,74 @@ def test_sections_keep_their_heading():
 def test_stems_of_files(spark):
     rows = spark.createDataFrame([("  Größe -- (x)_y ",), ("!!!",), ("A__B",)], "t string")
     assert [r[0] for r in rows.select(scalar.file_stem(F.col("t"))).collect()] == ["größe-x-y", "untitled", "a-b"]
+
+
+def test_writes_keep_bytes_modes_and_places(tmp_path):
+    from marginalia.sources import writer
+
+    (tmp_path / "wiki").mkdir()
+    odd = "---\ntitle: A\n---\nCaf\xe9 [[b]]\n".encode("latin-1")
+    (tmp_path / "wiki/a.md").write_bytes(odd)
+    (tmp_path / "wiki/a.md").chmod(0o664)
+    (tmp_path / "wiki/b.md").write_text("---\ntitle: B\n---\nText\n")
+    writer.apply_move(tmp_path, {"wiki/a": "wiki/c", "wiki/b": "projects/b"}, {"wiki/a": {"b": "projects/b"}}, "human:ann")
+    assert (tmp_path / "wiki/c.md").read_bytes() == odd.replace(b"[[b]]", b"[[projects/b]]")
+    assert (tmp_path / "wiki/c.md").stat().st_mode & 0o777 == 0o664
+    with pytest.raises(writer.Refused):
+        writer.update(tmp_path, "wiki/c", "human:ann", {"title": "X"})
+    outside = tmp_path.parent / f"{tmp_path.name}-outside"
+    outside.mkdir()
+    (tmp_path / "linked").symlink_to(outside)
+    with pytest.raises(writer.Refused):
+        writer.scaffold(tmp_path, "T", "note", "D", "human:ann", domain="linked")
+    assert not list(outside.iterdir())
+    for bad in ("wiki/a<b", "wiki/ a", "projects/raw/x", "projects/x`y"):
+        with pytest.raises(ValueError):
+            writer.place(tmp_path, "T", path=bad)
+
+
+def test_a_failed_move_puts_odd_bytes_back(tmp_path, monkeypatch):
+    from marginalia.sources import writer
+
+    for name in "ab":
+        (tmp_path / "wiki").mkdir(exist_ok=True)
+        (tmp_path / f"wiki/{name}.md").write_bytes(b"\xe9 [[x]]")
+    real, calls = writer.write, []
+
+    def failing(path, data, expected=None):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("disk full")
+        real(path, data, expected)
+
+    monkeypatch.setattr(writer, "write", failing)
+    with pytest.raises(OSError, match="disk full"):
+        writer.apply_move(tmp_path, {"wiki/a": "wiki/z"}, {"wiki/b": {"x": "y"}}, "human:ann")
+    assert sorted(p.name for p in (tmp_path / "wiki").iterdir()) == ["a.md", "b.md"]
+    assert (tmp_path / "wiki/a.md").read_bytes() == (tmp_path / "wiki/b.md").read_bytes() == b"\xe9 [[x]]"
+
+
+def test_a_lock_takes_no_other_away(tmp_path):
+    from marginalia.sources import writer
+
+    path = tmp_path / "log" / ".lock"
+    with writer.lock(tmp_path):
+        path.unlink()
+        path.write_text("1 another")  # another holder's, come after ours was broken
+    assert path.read_text() == "1 another"
+    path.write_text("999999999 gone")
+    with writer.lock(tmp_path, wait=1):
+        assert path.read_text() != "999999999 gone"
+    assert not path.exists()
+
+
+def test_raw_links_and_their_hints(spark):
+    links = spark.createDataFrame([("wiki/n.md", "../raw/a.txt"), ("wiki/n.md", "raw/a.txt"), ("wiki/n.md", "../../raw/x/b%20c.pdf"), ("wiki/n.md", "../raw/none.txt#p"), ("projects/p/n.md", "../raw/x/b%20c.pdf"), ("wiki/n.md", "a.md")], "rel_path string, target_raw string")
+    raw = spark.createDataFrame([("raw/a.txt",), ("raw/x/b c.pdf",)], "path string")
+    got = {(r.rel_path, r.message) for r in quality.broken_raw_links(links, raw).collect()}
+    assert got == {
+        ("wiki/n.md", "No raw file 'raw/a.txt'; did you mean '../raw/a.txt'?"),
+        ("wiki/n.md", "No raw file '../../raw/x/b%20c.pdf'; did you mean '../raw/x/b%20c.pdf'?"),
+        ("wiki/n.md", "No raw file '../raw/none.txt#p'"),
+        ("projects/p/n.md", "No raw file '../raw/x/b%20c.pdf'; did you mean '../../raw/x/b%20c.pdf'?"),
+    }
