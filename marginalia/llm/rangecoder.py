@@ -5,19 +5,20 @@ reset, and the block carries its length, its alphabet and a checksum of its ids
 and its bytes.  Three
 predictions of the next id are mixed into one distribution over the alphabet:
 
-- order 0: the ids' frequencies in the block so far, in SLOTS parts;
+- order 0: how often each id has been in the block so far;
 - order 1: the id that last followed the one before;
 - order 2: the id that last followed the two before (by a hash of them).
 
 An id's share is its part of order 0 plus, where orders 1 or 2 predict it, their
 weights.  A weight is the odds with which predictions of that order and that
-confidence (how often in a row the context was right) have come true.  Contexts
-learn with every id; frequencies and weights are renewed at fixed places of a
-block (RENEWED).  One range coder step codes an id under the mixture.
+confidence (how often in a row the context was right) have come true.  Frequencies,
+weights and contexts all learn with every id.  One range coder step codes an id
+under the mixture.
 
 Blocks are coded in lockstep, a lane for each, so that numpy works on many
-blocks at once; a block's bytes don't depend on its neighbours.  To encode, the
-mixture at every place is computed ahead, as all ids are known.
+blocks at once; a block's bytes don't depend on its neighbours.  Frequencies are sums
+in three tables of sixteen parts each: to count an id changes a row of each, and what lies below an
+id is read from three entries.
 
 A container (one row, or one file) holds documents: MAGIC, documents, blocks, a
 checksum of these and of the list that follows, each document's id and length,
@@ -38,52 +39,98 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import shared_dir, slices, table, tokenizer_of, vocab_json
 
-MAGIC = b"MTC2"
+MAGIC = b"MTC3"
 BLOCK = 4096  # at most 4096: a context's entry holds an id's place in the alphabet in 12 bits
 LANES = 2048
-AHEAD = 64  # lanes whose mixtures are computed ahead at a time: what fits in a cache
-SLOTS = 4096
+AHEAD = 64  # lanes whose contexts are looked up ahead at a time: what fits in a cache
 CONTEXTS = 12  # bits of an order 2 context
-HEAVIEST = 20_000  # SLOTS and two weights stay below 2^16
-#: Where in a block frequencies and weights are renewed.
-RENEWED = (0, 64, 128, 256, 512, 1024, 1536, 2048, 3072)
+EACH = 4  # an id's part of order 0 for every time that it has been
+HEAVIEST = 64.0  # a weight's largest odds: all shares together stay below 2^22
+NARROW, WIDE = 2.0**32, 2.0**48  # the range's span stays between; all numbers are whole and below 2^53, so exact
 NO_DOC = -(1 << 63)  # a null doc_id
 _BEFORE, _LAST = 40503, 30011  # of the context hash
 
 
-class Shares:
-    """Order 0 and the weights of orders 1 and 2 for a number of lanes, as of the last renewal."""
-
-    def __init__(self, sizes: np.ndarray):
-        self.sizes = sizes
-        self.width = int(sizes.max()) + 1
-        self.counts = np.zeros((len(sizes), self.width), np.int32)
-        self.known = (np.arange(self.width) < sizes[:, None]).astype(np.int32)  # a slot each
-        # by order, lane and confidence
-        self.hits, self.misses = np.ones((2, len(sizes), 8), np.int64), np.full((2, len(sizes), 8), 3, np.int64)
-        self.renew()
-
-    def learn(self, syms: np.ndarray, entries: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> None:
-        """What was coded since: ids and both contexts' entries by lane and place; lengths: how many of each lane count."""
-        n, span = syms.shape
-        real = np.arange(span) < lengths[:, None] if (lengths < span).any() else None
-        lane = np.arange(n)[:, None]
-        place = lane * self.width + syms
-        self.counts[:n] += np.bincount((place if real is None else place[real]).ravel(), minlength=n * self.width).reshape(n, -1).astype(np.int32)
-        for k, e in enumerate(entries):
-            at = (lane * 8 + (e & 7)) * 2 + ((e >> 3) == syms)
-            seen = np.bincount((at if real is None else at[real]).ravel(), minlength=n * 16).reshape(n, 8, 2)
-            self.misses[k, :n] += seen[:, :, 0]
-            self.hits[k, :n] += seen[:, :, 1]
-
-    def renew(self) -> None:
-        free = (SLOTS - self.sizes) / np.maximum(self.counts.sum(axis=1), 1)
-        parts = (self.counts * free[:, None]).astype(np.int32) + self.known
-        self.below = np.zeros((len(parts), self.width + 1), np.int32)
-        np.cumsum(parts, axis=1, out=self.below[:, 1:])
-        self.total = self.below[:, -1].copy()
-        self.weights = np.minimum(SLOTS * self.hits // self.misses + 1, HEAVIEST).astype(np.int32)
-        self.weights[:, :, 0] = 0  # a context never seen
+_ROW = np.dtype("V32")  # sixteen 16-bit counts, moved as one
+
+
+class Frequencies:
+    """How often each id has been, by lane, and how many ids below it."""
+
+    #: By part: one for each part after it, four 16-bit counts in a number, as counts never run over.
+    LATER = np.ascontiguousarray(np.arange(16) > np.arange(16)[:, None]).astype(np.uint16).view(np.uint64)
+
+    def __init__(self, lanes: int):
+        self.high = np.zeros((lanes, 16), np.uint16)  # below each 256 ids
+        self.mid = np.zeros((lanes * 16, 16), np.uint16)  # below each 16 of these
+        self.low = np.zeros((lanes * 256, 16), np.uint16)  # below each of these
+        self.count = np.zeros(lanes * 4096, np.uint16)
+        lane = np.arange(lanes)
+        self.by16, self.by256, self.by4096 = lane * 16, lane * 256, lane * 4096
+        self.tables = tuple(x.ravel() for x in (self.high, self.mid, self.low))
+        self.rows = tuple(x.view(_ROW).ravel() for x in (self.mid, self.low))
+
+    def below(self, ids: np.ndarray) -> np.ndarray:
+        """How many were below each lane's id; ids: (..., lanes)."""
+        n = ids.shape[-1]
+        high, mid, low = self.tables
+        found = low.take(self.by4096[:n] + ids)
+        found += mid.take(self.by256[:n] + (ids >> 4))
+        found += high.take(self.by16[:n] + (ids >> 8))
+        return found.astype(np.int64)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return self.count.take(self.by4096[: ids.shape[-1]] + ids).astype(np.int64)
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the id of each lane whose part of order 0 holds v, which has 16 bits; where that part starts)."""
+        n = len(v)
+        rest, ids = v.astype(np.uint16), np.zeros(n, np.int64)
+        for k, size in enumerate((256, 16, 1)):
+            rows = self.high[:n] if not k else self.rows[k - 1].take((self.by16 if k == 1 else self.by256)[:n] + ids).view(np.uint16).reshape(n, 16)
+            starts = rows * np.uint16(EACH)
+            starts += _STARTS[k]
+            part = np.count_nonzero(starts <= rest[:, None], axis=1) - 1
+            rest = rest - starts.ravel().take(self.by16[:n] + part)
+            ids = ids * 16 + part
+        return ids, v - rest
+
+    def add(self, ids: np.ndarray) -> None:
+        n = len(ids)
+        top = ids >> 8
+        self.high[:n].view(np.uint64)[:] += self.LATER.take(top, axis=0)
+        for rows, at, part in ((self.rows[0], self.by16[:n] + top, (ids >> 4) & 15), (self.rows[1], self.by256[:n] + (ids >> 4), ids & 15)):
+            row = rows.take(at)
+            row.view(np.uint64).reshape(n, 4)[:] += self.LATER.take(part, axis=0)
+            rows[at] = row
+        at = self.by4096[:n] + ids
+        self.count[at] = self.count.take(at) + np.uint16(1)
+
+
+_STARTS = [(np.arange(16) * size).astype(np.uint16) for size in (256, 16, 1)]
+
+
+class Weights:
+    """The odds with which each order's predictions come true, by lane and confidence."""
+
+    def __init__(self, lanes: int):
+        self.hits, self.misses = np.ones(2 * lanes * 8), np.full(2 * lanes * 8, 3.0)
+        self.first = np.stack([np.arange(lanes) * 8, (lanes + np.arange(lanes)) * 8])
+
+    def of(self, confidence: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights by order and lane, where they come from)."""
+        at = self.first[:, : confidence.shape[1]] + confidence
+        w = self.hits.take(at)
+        w /= self.misses.take(at)
+        np.minimum(w, HEAVIEST, out=w)
+        w *= total
+        np.floor(w, out=w)
+        w *= confidence > 0  # a context never seen
+        return w, at
+
+    def learn(self, at: np.ndarray, right: np.ndarray) -> None:
+        self.hits[at] += right
+        self.misses[at] += ~right
 
 
 def _entries(keys: np.ndarray, syms: np.ndarray) -> np.ndarray:
@@ -122,39 +169,14 @@ def _alphabet(block: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
     return alphabet, places[block]
 
 
-def _mixtures(syms: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(what lies below each id, its share, the sum of all shares) by place and lane."""
-    n, longest = syms.shape
-    out = tuple(np.empty((longest, n), np.uint16) for _ in range(3))
-    last = np.zeros((n, longest), np.uint16)
+def _held(syms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What both contexts hold at each place, by lane and place."""
+    last = np.zeros(syms.shape, np.uint16)
     last[:, 1:] = syms[:, :-1]
     pair = last * np.uint16(_LAST)  # modulo 2^16, of which the low bits are used
     pair[:, 1:] += last[:, :-1] * np.uint16(_BEFORE)
     pair &= (1 << CONTEXTS) - 1
-    both = (_entries(last, syms), _entries(pair, syms))
-    shares = Shares(sizes)
-    lane = np.arange(n)[:, None]
-    for a, b in zip(RENEWED, (*RENEWED[1:], BLOCK), strict=True):
-        if a >= longest:
-            break
-        sym, part = syms[:, a:b], tuple(e[:, a:b] for e in both)
-        at, below = lane * (shares.width + 1) + sym, shares.below.ravel()
-        low = below.take(at)
-        at += 1
-        own = below.take(at) - low
-        total = np.repeat(shares.total[:, None], sym.shape[1], axis=1)
-        for e, w in zip(part, shares.weights, strict=True):
-            weight = w.ravel().take(lane * 8 + (e & 7))
-            c = e >> 3
-            low += weight * (c < sym)
-            own += weight * (c == sym)
-            total += weight
-        for o, x in zip(out, (low, own, total), strict=True):
-            o[a:b] = x.astype(np.uint16).T
-        if b < longest:
-            shares.learn(sym.astype(np.int32), part, lengths - a)
-            shares.renew()
-    return out
+    return _entries(last, syms), _entries(pair, syms)
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,43 +185,59 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     lengths = np.array([len(blocks[i]) for i in order])
     n_all, longest = len(order), int(lengths[0])
     alphabets = []
-    below, own, total = (np.empty((longest, n_all), np.uint16) for _ in range(3))
+    coded, held = np.empty((longest, n_all), np.uint16), np.empty((longest, 2, n_all), np.uint16)
     places = np.zeros(1 << 17, np.int32)
     for a in range(0, n_all, AHEAD):
         some = order[a : a + AHEAD]
         syms = np.zeros((len(some), longest), np.uint16)
-        sizes = []
         for lane, i in enumerate(some):
             alphabet, inverse = _alphabet(blocks[i], places)
             alphabets.append(alphabet)
-            sizes.append(len(alphabet))
             syms[lane, : len(inverse)] = inverse
-        for whole, part in zip((below, own, total), _mixtures(syms, np.array(sizes), lengths[a : a + AHEAD]), strict=True):
-            whole[:, a : a + AHEAD] = part
-    low, span = np.zeros(n_all), np.full(n_all, 2.0**32)  # whole numbers below 2^53: exact
-    out = np.zeros((n_all, longest + 3), np.int32)
+        coded[:, a : a + AHEAD] = syms.T
+        for k, entries in enumerate(_held(syms)):
+            held[:, k, a : a + AHEAD] = entries.T
+    sizes = np.array([float(len(x)) for x in alphabets])
+    seen, weights = Frequencies(n_all), Weights(n_all)
+    low, span = np.zeros(n_all), np.full(n_all, WIDE)
+    out = np.zeros((n_all, longest * 3 // 2 + 8), np.int32)  # an id takes 22 bits at most
     flat = out.ravel()
     at = np.arange(n_all) * out.shape[1]
     active = np.searchsorted(-lengths, -np.arange(longest))  # lanes longer than t
     for t, n in enumerate(active.tolist()):
+        ids, entry = coded[t, :n].astype(np.int64), held[t, :, :n]
+        total = sizes[:n] + EACH * t
+        w, source = weights.of(entry & 7, total)
+        c = entry >> 3
+        right = c == ids
+        below = (w * (c < ids)).sum(axis=0)
+        below += ids + EACH * seen.below(ids)
+        own = (w * right).sum(axis=0)
+        own += 1 + EACH * seen.of(ids)
+        total += w[0]
+        total += w[1]
+        weights.learn(source, right)
+        seen.add(ids)
         s = span[:n]
-        unit = np.floor(s / total[t, :n])  # exact: a quotient of numbers this small isn't rounded up to a whole one
-        low[:n] += below[t, :n] * unit
-        np.multiply(unit, own[t, :n], out=s)
-        small = np.flatnonzero(s < 65536)
-        if len(small):
+        unit = np.floor(s / total)  # exact: a quotient of numbers this small isn't rounded up to a whole one
+        below *= unit
+        low[:n] += below
+        np.multiply(unit, own, out=s)
+        small = np.flatnonzero(s < NARROW)
+        while len(small):
             here, place = low[small], at[small]
-            word = np.floor(here * 2.0**-16)
+            word = np.floor(here / NARROW)
             flat[place] = word
             at[small] = place + 1
-            low[small] = (here - word * 65536) * 65536
+            low[small] = (here - word * NARROW) * 65536
             span[small] *= 65536
+            small = small[span[small] < NARROW]
     rest = low.astype(np.int64)
-    flat[at], flat[at + 1] = rest >> 16, rest & 0xFFFF
+    flat[at], flat[at + 1], flat[at + 2] = rest >> 32, rest >> 16 & 0xFFFF, rest & 0xFFFF
     while (carry := out >> 16).any():
         out &= 0xFFFF
         out[:, :-1] += carry[:, 1:]
-    ends = at + 2 - np.arange(n_all) * out.shape[1]
+    ends = at + 3 - np.arange(n_all) * out.shape[1]
     result: list = [None] * len(blocks)
     for lane, i in enumerate(order):
         result[i] = (alphabets[lane], out[lane, : ends[lane]].astype("<u2"))
@@ -210,87 +248,66 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     lengths = np.array([sizes[i] for i in order])
     n_all, longest = len(order), int(lengths[0])
-    stream = np.zeros((n_all, max(len(words[i]) for i in order) + 2), np.uint16)
+    stream = np.zeros((n_all, max(len(words[i]) for i in order) + 4), np.uint16)
     for lane, i in enumerate(order):
         stream[lane, : len(words[i])] = words[i]
-    at = np.arange(n_all) * stream.shape[1] + 2
-    code = stream[:, 0] * 65536.0 + stream[:, 1]  # whole numbers below 2^53: exact
+    at = np.arange(n_all) * stream.shape[1] + 3
+    code = stream[:, 0] * NARROW + stream[:, 1] * 65536.0 + stream[:, 2]
     stream = stream.ravel()
-    span = np.full(n_all, 2.0**32)
-    shares = Shares(np.array([len(alphabets[i]) for i in order]))
+    span = np.full(n_all, WIDE)
+    known = np.array([float(len(alphabets[i])) for i in order])
+    seen, weights = Frequencies(n_all), Weights(n_all)
     lane = np.arange(n_all)
     # one table for both orders' contexts: by order and lane
     after = np.zeros(n_all * (BLOCK + (1 << CONTEXTS)), np.uint16)
     tables = np.stack([lane * BLOCK, n_all * BLOCK + (lane << CONTEXTS)])
-    context = np.zeros((2, n_all), np.int32)
-    by_weight = np.stack([lane * 8, (n_all + lane) * 8])
-    by_slot, by_below, by_part = lane * SLOTS, lane * (shares.width + 1), lane * shares.width
-    slots = np.zeros((n_all, SLOTS), np.uint16)
+    context = np.zeros((2, n_all), np.int64)
     out = np.zeros((longest, n_all), np.uint16)
-    held = np.zeros((longest, 2, n_all), np.uint16)
     active = np.searchsorted(-lengths, -np.arange(longest)).tolist()
-    ids = np.tile(np.arange(shares.width, dtype=np.uint16), n_all)
-    for a, b in zip(RENEWED, (*RENEWED[1:], BLOCK), strict=True):
-        if a >= longest:
-            break
-        n = active[a]
-        parts = np.diff(shares.below, axis=1)
-        spread = np.repeat(ids[: n * shares.width], parts[:n].ravel())
-        slots[:n][np.arange(SLOTS) < shares.total[:n, None]] = spread
-        flat_slots, below, parts, weights, totals = slots.ravel(), shares.below.ravel(), parts.ravel(), shares.weights.ravel(), shares.total
-        ends = below - 1  # at an id's place plus one: its last slot
-        for t in range(a, min(b, longest)):
-            n = active[t]
-            at_context = tables[:, :n] + context[:, :n]
-            entry = after.take(at_context)
-            held[t, :, :n] = entry
-            k, c = entry & 7, (entry >> 3).astype(np.int32)
-            w = weights.take(by_weight[:, :n] + k)
-            base = by_below[:n]
-            end = ends.take((base + 1) + c)
-            both = w[0] + w[1]
-            s, x = span[:n], code[:n]
-            unit = s / (both + totals[:n])
-            np.floor(unit, out=unit)
-            v = (x / unit).astype(np.int32)
-            # a weight's slots stand before the last slot of its id; the lower id's are taken out first
-            first = np.where(c[0] <= c[1], w[0], w[1])
-            for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
-                past = v - edge
-                np.maximum(past, 0, out=past)
-                np.minimum(past, room, out=past)
-                v -= past
-            sym16 = flat_slots.take(by_slot[:n] + v)
-            sym = sym16.astype(np.int32)
-            low, own = below.take(base + sym), parts.take(by_part[:n] + sym)
-            right = c == sym
-            more = w * right
-            own += more[0]
-            own += more[1]
-            np.multiply(w, c < sym, out=more)
-            low += more[0]
-            low += more[1]
-            x -= low * unit
-            np.multiply(unit, own, out=s)
-            small = np.flatnonzero(s < 65536)
-            if len(small):
-                place = at[small]
-                code[small] = code[small] * 65536 + stream.take(place)
-                at[small] = place + 1
-                span[small] *= 65536
-            out[t, :n] = sym16
-            np.minimum(k, 6, out=k)
-            k *= right
-            k += (sym16 << 3) + np.uint16(1)
-            after[at_context] = k
-            hashed = context[0, :n] * _BEFORE
-            hashed += sym * _LAST
-            np.bitwise_and(hashed, (1 << CONTEXTS) - 1, out=context[1, :n])
-            context[0, :n] = sym
-        if b < longest:
-            n = active[a]
-            shares.learn(out[a:b, :n].T.astype(np.int32), tuple(held[a:b, k, :n].T.astype(np.int32) for k in range(2)), lengths[:n] - a)
-            shares.renew()
+    for t, n in enumerate(active):
+        at_context = tables[:, :n] + context[:, :n]
+        entry = after.take(at_context)
+        k, c = entry & 7, (entry >> 3).astype(np.int64)
+        total = known[:n] + EACH * t
+        w, source = weights.of(k, total)
+        end = c + EACH * (seen.below(c) + seen.of(c))  # an id's last slot in order 0
+        both = w[0] + w[1]
+        total += both
+        s, x = span[:n], code[:n]
+        unit = np.floor(s / total)
+        v = np.floor(x / unit)
+        # a weight's slots stand before the last slot of its id; the lower id's are taken out first
+        first = np.where(c[0] <= c[1], w[0], w[1])
+        for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
+            past = v - edge
+            np.maximum(past, 0, out=past)
+            np.minimum(past, room, out=past)
+            v -= past
+        sym, start = seen.find(v)
+        right = c == sym
+        own = (w * right).sum(axis=0)
+        own += 1 + EACH * seen.of(sym)
+        low = (w * (c < sym)).sum(axis=0)
+        low += start
+        weights.learn(source, right)
+        seen.add(sym)
+        x -= low * unit
+        np.multiply(unit, own, out=s)
+        small = np.flatnonzero(s < NARROW)
+        while len(small):
+            place = at[small]
+            code[small] = code[small] * 65536 + stream.take(place)
+            at[small] = place + 1
+            span[small] *= 65536
+            small = small[span[small] < NARROW]
+        out[t, :n] = sym
+        np.minimum(k, 6, out=k)
+        k *= right
+        k += (out[t, :n] << 3) + np.uint16(1)
+        after[at_context] = k
+        hashed = context[0, :n] * _BEFORE + sym * _LAST
+        np.bitwise_and(hashed, (1 << CONTEXTS) - 1, out=context[1, :n])
+        context[0, :n] = sym
     result: list = [None] * n_all
     for lane_, i in enumerate(order):
         result[i] = alphabets[i][out[: sizes[i], lane_]].astype("<u4")
@@ -408,7 +425,7 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1)
         if held:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard int, part int, n_tokens long, payload binary").write.parquet(path)
 
 
