@@ -91,13 +91,31 @@ def two_hop(links: DataFrame, cid: str, towards: bool = True) -> DataFrame:
     return far.where(F.col("cid") != cid).join(near, F.col("cid") == F.col("near"), "left_anti")
 
 
+#: A source's targets are paired in blocks of about so many.
+PAIRED = 1000
+
+
+def _pairs(e: DataFrame, block: int) -> DataFrame:
+    """(a, b) for each source and two of its targets, a < b.
+
+    A source with many targets makes a task for each two blocks of them, not one for all its pairs.
+    """
+    heavy = e.groupBy("source_cid").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("source_cid", F.ceil(F.col("_n") / block).cast("int").alias("_k"))
+    dealt = e.join(heavy, "source_cid", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("target_cid"), F.col("_k")).cast("int"))
+    left = dealt.select("source_cid", F.col("target_cid").alias("x"), F.col("_b").alias("i"), F.explode(F.sequence("_b", F.col("_k") - 1)).alias("j"))
+    right = dealt.select("source_cid", F.col("target_cid").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("i"), F.col("_b").alias("j"))
+    both = left.join(right, ["source_cid", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def co_citation(links: DataFrame, cid: str | None = None, least: int = 1) -> DataFrame:
     """(a, b, n): targets that n notes link together; of one target, or all pairs a < b."""
     e = distinct_edges(links)
-    left, right = e.select("source_cid", F.col("target_cid").alias("a")), e.select("source_cid", F.col("target_cid").alias("b"))
     if cid:
-        left = left.where(F.col("a") == cid)
-    pairs = left.join(right, "source_cid").where(F.col("a") != F.col("b") if cid else F.col("a") < F.col("b"))
+        left = e.where(F.col("target_cid") == cid).select("source_cid", F.col("target_cid").alias("a"))
+        pairs = left.join(e.select("source_cid", F.col("target_cid").alias("b")), "source_cid").where("a != b")
+    else:
+        pairs = _pairs(e, PAIRED)
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

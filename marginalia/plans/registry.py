@@ -552,6 +552,28 @@ def incremental_links(v: Views) -> DataFrame:
     return incremental.links(store, store.latest()).select("source_cid", "kind", "target", "target_cid")
 
 
+_FROM_TEXTS = (
+    _INDEX.split("q AS (")[0].replace("v_names", "v_notes WHERE layer <> 'raw'")
+    + r"""q AS (
+  SELECT cid AS source_cid, 'wiki' AS kind, 'd' || (doc_id + 1) AS target, 'next' AS alias, 2::bigint AS occurrences, 'd' || (doc_id + 1) AS name FROM v_md WHERE layer <> 'raw'
+  UNION ALL SELECT cid, 'markdown', '../wiki/d' || (doc_id % 7) || '.md', 'file', 1, CASE WHEN starts_with(cid, 'wiki/deep/') THEN 'wiki/' ELSE '' END || 'wiki/d' || (doc_id % 7) FROM v_md WHERE layer <> 'raw'
+  UNION ALL SELECT cid, 'wiki', common, NULL, CAST(links_in_text AS bigint), common FROM v_md WHERE layer <> 'raw' AND links_in_text > 0
+), found AS (
+  SELECT q.*, CASE WHEN q.kind = 'markdown' THEN p.cid ELSE coalesce(e.cid, s.cid, t.cid) END AS hit
+  FROM q LEFT JOIN i e ON e.kind = 'exact' AND e.name = q.name LEFT JOIN i s ON s.kind = 'suffix' AND s.name = q.name LEFT JOIN i t ON t.kind = 'stem' AND t.name = q.name LEFT JOIN c p ON p.cid = q.name
+) SELECT source_cid, found.kind, target, found.occurrences, CASE WHEN n.parse_error IS NULL THEN hit END AS target_cid FROM found LEFT JOIN v_notes n ON n.cid = hit"""
+).replace(", 'next' AS alias", "").replace(", 'file', 1", ", 1").replace("common, NULL, CAST", "common, CAST")
+
+
+@query("edges_resolve", _FROM_TEXTS)
+def edges_resolve(v: Views) -> DataFrame:
+    """Links of both kinds as the texts hold them, resolved in one plan; what means a note that can't be parsed is dead."""
+    rows = v.parsed.where("layer <> 'raw'").select(F.col("cid").alias("source_cid"), F.explode("edges").alias("e")).select("source_cid", "e.kind", "e.target")
+    written = rows.groupBy("source_cid", "kind", "target").agg(F.count("*").alias("occurrences"))
+    notes = v["v_notes"].where("layer <> 'raw'")
+    return resolve.edges(written, notes.select("cid"), notes.where("parse_error IS NOT NULL"))
+
+
 def _after(sql: str) -> str:
     return sql.replace("FROM notes", "FROM v_after")
 
