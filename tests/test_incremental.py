@@ -6,7 +6,6 @@ import random
 import threading
 import uuid
 
-import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import delta, incremental, resolve, search
@@ -62,9 +61,8 @@ def assert_as_rebuilt(spark, store, vault):
     counts = search.integrity(kept).first()
     assert counts.missing == counts.extra == 0 and counts.total == built.postings.count()
     assert same(kept.notes, notes, sorted(notes.columns)) and same(kept.lengths, built.lengths)
-    for q in ("alpha OR beta", "gam*", '"alpha beta"'):
-        assert same(search.match(kept, q), search.match(built, q))
-        assert same(search.match(kept, q, "raw"), search.match(built, q, "raw"))
+    assert same(search.match(kept, 'gam* OR "alpha beta"'), search.match(built, 'gam* OR "alpha beta"'))
+    assert same(search.match(kept, "alpha", "raw"), search.match(built, "alpha", "raw"))
     cids = notes.where("layer != 'raw'")
     whole = resolve.edges(vault.links(notes), cids.select("cid"), cids.where("parse_error IS NOT NULL"))
     assert same(incremental.links(store, version), whole)
@@ -82,7 +80,6 @@ def test_follows_changes(spark):
         vault.put(f"{n}.md", some(words), some(targets[:8]) if n != "wiki/b" else "a none")
     incremental.scan(store, vault.listing(), vault.notes, vault.links)
     assert sorted(vault.read_paths) == sorted(vault.files)
-    assert_as_rebuilt(spark, store, vault)
     for round in range(3):
         vault.read_paths = []
         changed = r.sample(names, 2)
@@ -162,8 +159,7 @@ def test_readers_see_whole_versions(spark):
     assert seen.count() == 5 and store.read(store.latest(), "t").count() == 7
 
 
-@pytest.mark.parametrize("fault", ["cut", "changed", "older", "bytes", "empty"])
-def test_a_broken_manifest_is_built_again(spark, fault):
+def test_a_broken_manifest_is_built_again(spark):
     store, vault = fresh(spark), Vault(spark)
     vault.put("wiki/a.md", "alpha beta", "b")
     vault.put("wiki/b.md", "beta", "a")
@@ -171,10 +167,10 @@ def test_a_broken_manifest_is_built_again(spark, fault):
     path = f"{store.where}/versions/{version.number:012}.json"
     text = open(path).read()
     whole = json.loads(text)
-    broken = {"cut": text[:-9], "changed": text.replace('"notes"', '"nodes"', 1), "older": json.dumps(whole | {"format": 0}), "bytes": "\udcff\x00", "empty": "[]"}[fault]
-    with open(path, "w", errors="surrogateescape") as f:
-        f.write(broken)
-    assert store.latest() is None and incremental.pending(store, vault.listing())
+    for broken in (text[:-9], text.replace('"notes"', '"nodes"', 1), json.dumps(whole | {"format": 0}), "\udcff\x00", "[]", ""):
+        with open(path, "w", errors="surrogateescape") as f:
+            f.write(broken)
+        assert store.latest() is None and incremental.pending(store, vault.listing())
     vault.read_paths = []
     again = incremental.scan(store, vault.listing(), vault.notes, vault.links)
     assert again.number == version.number + 1 and sorted(vault.read_paths) == ["wiki/a.md", "wiki/b.md"]
