@@ -1,5 +1,7 @@
 """Functions and the query language on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,13 @@ def test_delta_and_apply(spark):
 def test_folded_counts_overwrite(spark):
     rows = spark.createDataFrame([("wiki", None), ("wiki", None), ("wiki", "unverified")], "layer string, trust_tier string")
     assert status.folded(rows, "trust_tier", "unverified") == {"unverified": 1}
+
+
+def test_words_without_a_cut_are_passed_over(spark):
+    """The pattern takes every word that has a cut, and no plain or capitalised word; each of those was split four times."""
+    words = "Word SoA FP8 aB1c x9 9x X9y ABc Abc AB abc aBC 12ab A1 é9Bc oneTwoThree4Five HTTPServer Der iPhone9 9aB".split()
+    rows = spark.createDataFrame([(w,) for w in words] + [(" ".join(words),)], "t string")
+    taken = rows.select(F.regexp_extract_all("t", F.lit(text.MIXED), F.lit(0)).alias("w")).collect()[-1].w
+    assert {"aB1c", "SoA", "oneTwoThree4Five", "HTTPServer"} <= set(taken) and not {"Word", "Abc", "AB", "Der", "abc"} & set(taken)
+    by_hand = lambda w: len(text.camel_parts(w)) > 1 or (len(re.split(text._HUMP, w)) > 1 and any(c.islower() for c in w))
+    assert {w for w in words if w.isascii() and by_hand(w)} <= set(taken)
