@@ -51,86 +51,98 @@ NO_DOC = -(1 << 63)  # a null doc_id
 _BEFORE, _LAST = 40503, 30011  # of the context hash
 
 
-_ROW = np.dtype("V32")  # sixteen 16-bit counts, moved as one
-
-
 class Frequencies:
-    """How often each id has been, by lane, and how many ids below it."""
+    """The slots of order 0 by lane: each id has one, and EACH more for every time that it has been.
 
-    #: By part: one for each part after it, four 16-bit counts in a number, as counts never run over.
-    LATER = np.ascontiguousarray(np.arange(16) > np.arange(16)[:, None]).astype(np.uint16).view(np.uint64)
+    Where an id's slots start is what two tables of `width` parts each add up to:
+    what lies below its part of all ids, and below it in that part.
+    """
 
-    def __init__(self, lanes: int):
-        self.high = np.zeros((lanes, 16), np.uint16)  # below each 256 ids
-        self.mid = np.zeros((lanes * 16, 16), np.uint16)  # below each 16 of these
-        self.low = np.zeros((lanes * 256, 16), np.uint16)  # below each of these
-        self.count = np.zeros(lanes * 4096, np.uint16)
+    def __init__(self, lanes: int, largest: int):
+        """largest: ids in the largest alphabet of a lane."""
+        self.bits = next(b for b in (3, 4, 5, 6) if largest <= 1 << 2 * b)
+        width = self.width = 1 << self.bits
+        parts = np.arange(width)
+        self.parts = parts[:, None].astype(np.uint16)
+        self.later = ((parts > parts[:, None]) * EACH).astype(np.uint16).view(np.uint64)  # by part: for each one after it, four in a number, as slots never run over
+        self.high = np.repeat((parts * width).astype(np.uint16)[:, None], lanes, axis=1)  # by part and lane
+        self.low = np.tile(parts.astype(np.uint16), (lanes * width, 1))
+        self.own = np.ones(lanes * width * width, np.uint16)
         lane = np.arange(lanes)
-        self.by16, self.by256, self.by4096 = lane * 16, lane * 256, lane * 4096
-        self.tables = tuple(x.ravel() for x in (self.high, self.mid, self.low))
-        self.rows = tuple(x.view(_ROW).ravel() for x in (self.mid, self.low))
+        self.by_lane, self.by_part, self.by_id, self.lanes = lane, lane * width, lane * width * width, lanes
+        self.rows = self.low.view(np.dtype(f"V{2 * width}")).ravel()  # moved as one
+        self.flat_high, self.flat_low = self.high.ravel(), self.low.ravel()
 
-    def below(self, ids: np.ndarray) -> np.ndarray:
-        """How many were below each lane's id; ids: (..., lanes)."""
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each lane's id starts, how many slots it has); ids: (..., lanes)."""
         n = ids.shape[-1]
-        high, mid, low = self.tables
-        found = low.take(self.by4096[:n] + ids)
-        found += mid.take(self.by256[:n] + (ids >> 4))
-        found += high.take(self.by16[:n] + (ids >> 8))
-        return found.astype(np.int64)
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        return self.count.take(self.by4096[: ids.shape[-1]] + ids).astype(np.int64)
+        at = ids + self.by_id[:n]
+        start = self.flat_low.take(at)
+        start += self.flat_high.take((ids >> self.bits) * self.lanes + self.by_lane[:n])
+        return start, self.own.take(at)
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the id of each lane whose part of order 0 holds v, which has 16 bits; where that part starts)."""
+        """(the id of each lane that holds slot v, which has 16 bits; v's place among that id's slots)."""
         n = len(v)
-        rest, ids = v.astype(np.uint16), np.zeros(n, np.int64)
-        for k, size in enumerate((256, 16, 1)):
-            rows = self.high[:n] if not k else self.rows[k - 1].take((self.by16 if k == 1 else self.by256)[:n] + ids).view(np.uint16).reshape(n, 16)
-            starts = rows * np.uint16(EACH)
-            starts += _STARTS[k]
-            part = np.count_nonzero(starts <= rest[:, None], axis=1) - 1
-            rest = rest - starts.ravel().take(self.by16[:n] + part)
-            ids = ids * 16 + part
-        return ids, v - rest
+        rest, lane = v.astype(np.uint16), self.by_lane[:n]
+        part = np.add.reduce((self.high[:, :n] <= rest).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        part -= 1
+        rest -= self.flat_high.take(part * self.lanes + lane)
+        rows = self.rows.take(self.by_part[:n] + part).view(np.uint16).reshape(n, self.width)
+        eights = (rows <= rest[:, None]).view(np.uint64)  # a byte for each that starts at or before it
+        count = eights[:, 0].copy()
+        for k in range(1, eights.shape[1]):
+            count += eights[:, k]
+        count *= np.uint64(0x0101010101010101)  # their sum is in the highest byte
+        count >>= np.uint64(56)
+        within = count.view(np.int64)
+        within -= 1
+        rest -= rows.ravel().take(self.by_part[:n] + within)
+        part <<= self.bits
+        part += within
+        return part, rest
 
     def add(self, ids: np.ndarray) -> None:
         n = len(ids)
-        top = ids >> 8
-        self.high[:n].view(np.uint64)[:] += self.LATER.take(top, axis=0)
-        for rows, at, part in ((self.rows[0], self.by16[:n] + top, (ids >> 4) & 15), (self.rows[1], self.by256[:n] + (ids >> 4), ids & 15)):
-            row = rows.take(at)
-            row.view(np.uint64).reshape(n, 4)[:] += self.LATER.take(part, axis=0)
-            rows[at] = row
-        at = self.by4096[:n] + ids
-        self.count[at] = self.count.take(at) + np.uint16(1)
-
-
-_STARTS = [(np.arange(16) * size).astype(np.uint16) for size in (256, 16, 1)]
+        top = ids >> self.bits
+        after = (self.parts > top.astype(np.uint16)).astype(np.uint16)
+        after *= np.uint16(EACH)
+        self.high[:, :n] += after
+        at = self.by_part[:n] + top
+        row = self.rows.take(at)
+        row.view(np.uint64).reshape(n, -1)[:] += self.later.take(ids & (self.width - 1), axis=0)
+        self.rows[at] = row
+        at = self.by_id[:n] + ids
+        self.own[at] = self.own.take(at) + np.uint16(EACH)
 
 
 class Weights:
     """The odds with which each order's predictions come true, by lane and confidence."""
 
     def __init__(self, lanes: int):
-        self.hits, self.misses = np.ones(2 * lanes * 8), np.full(2 * lanes * 8, 3.0)
+        self.seen = np.full((2 * lanes, 8), 1 + 4j)  # hits, and tries as the other part: three misses at first
+        self.seen[:, 0] = complex(0, np.inf)  # a context never seen
+        self.seen = self.seen.ravel()
         self.first = np.stack([np.arange(lanes) * 8, (lanes + np.arange(lanes)) * 8])
 
-    def of(self, confidence: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights by order and lane, where they come from)."""
+    def of(self, confidence: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(weights by order and lane, what `learn` goes on from)."""
         at = self.first[:, : confidence.shape[1]] + confidence
-        w = self.hits.take(at)
-        w /= self.misses.take(at)
+        seen = self.seen.take(at)
+        w = seen.imag - seen.real
+        np.divide(seen.real, w, out=w)
         np.minimum(w, HEAVIEST, out=w)
         w *= total
         np.floor(w, out=w)
-        w *= confidence > 0  # a context never seen
-        return w, at
+        return w, (at, seen)
+
+    def learn(self, source: tuple[np.ndarray, np.ndarray], right: np.ndarray) -> None:
+        at, seen = source
+        seen += _TRIED.take(right.view(np.uint8))
+        self.seen[at] = seen
 
-    def learn(self, at: np.ndarray, right: np.ndarray) -> None:
-        self.hits[at] += right
-        self.misses[at] += ~right
+
+_TRIED = np.array([1j, 1 + 1j])
 
 
 def _entries(keys: np.ndarray, syms: np.ndarray) -> np.ndarray:
@@ -198,22 +210,25 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
         for k, entries in enumerate(_held(syms)):
             held[:, k, a : a + AHEAD] = entries.T
     sizes = np.array([float(len(x)) for x in alphabets])
-    seen, weights = Frequencies(n_all), Weights(n_all)
+    seen, weights = Frequencies(n_all, int(sizes.max())), Weights(n_all)
     low, span = np.zeros(n_all), np.full(n_all, WIDE)
     out = np.zeros((n_all, longest * 3 // 2 + 8), np.int32)  # an id takes 22 bits at most
     flat = out.ravel()
     at = np.arange(n_all) * out.shape[1]
     active = np.searchsorted(-lengths, -np.arange(longest))  # lanes longer than t
     for t, n in enumerate(active.tolist()):
-        ids, entry = coded[t, :n].astype(np.int64), held[t, :, :n]
+        sym, entry = coded[t, :n], held[t, :, :n]
+        ids = sym.astype(np.int64)
         total = sizes[:n] + EACH * t
         w, source = weights.of(entry & 7, total)
         c = entry >> 3
-        right = c == ids
-        below = (w * (c < ids)).sum(axis=0)
-        below += ids + EACH * seen.below(ids)
-        own = (w * right).sum(axis=0)
-        own += 1 + EACH * seen.of(ids)
+        right = c == sym
+        below, own = seen.of(ids)
+        lower, mine = w * (c < sym), w * right
+        below = lower[0] + below
+        below += lower[1]
+        own = mine[0] + own
+        own += mine[1]
         total += w[0]
         total += w[1]
         weights.learn(source, right)
@@ -256,11 +271,12 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
     stream = stream.ravel()
     span = np.full(n_all, WIDE)
     known = np.array([float(len(alphabets[i])) for i in order])
-    seen, weights = Frequencies(n_all), Weights(n_all)
+    most = int(known.max())
+    seen, weights = Frequencies(n_all, most), Weights(n_all)
     lane = np.arange(n_all)
     # one table for both orders' contexts: by order and lane
-    after = np.zeros(n_all * (BLOCK + (1 << CONTEXTS)), np.uint16)
-    tables = np.stack([lane * BLOCK, n_all * BLOCK + (lane << CONTEXTS)])
+    after = np.zeros(n_all * (most + (1 << CONTEXTS)), np.uint16)
+    tables = np.stack([lane * most, n_all * most + (lane << CONTEXTS)])
     context = np.zeros((2, n_all), np.int64)
     out = np.zeros((longest, n_all), np.uint16)
     active = np.searchsorted(-lengths, -np.arange(longest)).tolist()
@@ -270,7 +286,8 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         k, c = entry & 7, (entry >> 3).astype(np.int64)
         total = known[:n] + EACH * t
         w, source = weights.of(k, total)
-        end = c + EACH * (seen.below(c) + seen.of(c))  # an id's last slot in order 0
+        start, own = seen.of(c)
+        end = start + own  # past an id's last slot in order 0
         both = w[0] + w[1]
         total += both
         s, x = span[:n], code[:n]
@@ -280,15 +297,17 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         first = np.where(c[0] <= c[1], w[0], w[1])
         for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
             past = v - edge
+            past += 1
             np.maximum(past, 0, out=past)
             np.minimum(past, room, out=past)
             v -= past
-        sym, start = seen.find(v)
+        sym, inside = seen.find(v)
         right = c == sym
-        own = (w * right).sum(axis=0)
-        own += 1 + EACH * seen.of(sym)
-        low = (w * (c < sym)).sum(axis=0)
-        low += start
+        lower, mine = w * (c < sym), w * right
+        own = mine[0] + seen.own.take(seen.by_id[:n] + sym)
+        own += mine[1]
+        low = lower[0] + (v - inside)
+        low += lower[1]
         weights.learn(source, right)
         seen.add(sym)
         x -= low * unit
