@@ -63,9 +63,10 @@ class Frequencies:
         self.bits = next(b for b in (3, 4, 5, 6) if largest <= 1 << 2 * b)
         width = self.width = 1 << self.bits
         parts = np.arange(width)
-        self.parts = parts[:, None].astype(np.uint16)
+        used = parts[: (largest - 1 >> self.bits) + 1]
+        self.parts = used[:, None].astype(np.int16)
         self.later = ((parts > parts[:, None]) * EACH).astype(np.uint16).view(np.uint64)  # by part: for each one after it, four in a number, as slots never run over
-        self.high = np.repeat((parts * width).astype(np.uint16)[:, None], lanes, axis=1)  # by part and lane
+        self.high = np.repeat((used * width).astype(np.uint16)[:, None], lanes, axis=1)  # by part and lane
         self.low = np.tile(parts.astype(np.uint16), (lanes * width, 1))
         self.own = np.ones(lanes * width * width, np.uint16)
         lane = np.arange(lanes)
@@ -105,9 +106,11 @@ class Frequencies:
     def add(self, ids: np.ndarray) -> None:
         n = len(ids)
         top = ids >> self.bits
-        after = (self.parts > top.astype(np.uint16)).astype(np.uint16)
-        after *= np.uint16(EACH)
-        self.high[:, :n] += after
+        after = top.astype(np.int16) - self.parts
+        after >>= 15  # all bits where a part stands after the id's
+        after &= EACH
+        high = self.high[:, :n]
+        high += after.view(np.uint16)
         at = self.by_part[:n] + top
         row = self.rows.take(at)
         row.view(np.uint64).reshape(n, -1)[:] += self.later.take(ids & (self.width - 1), axis=0)
@@ -415,6 +418,16 @@ def _decoded(raw: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(None if d == NO_DOC else int(d), whole[e - n : e]) for d, n, e in zip(ids.tolist(), lens.tolist(), ends.tolist(), strict=True)]
 
 
+def in_order(docs: DataFrame, shards: int) -> DataFrame:
+    """doc_id, text in ascending order over partitions and within them.
+
+    Partitions are told apart by doc_id and how a text begins, which keeps the
+    order: Spark samples these keys to the driver, and texts may be long.
+    """
+    begins = F.substring("text", 1, 100)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", begins).sortWithinPartitions("doc_id", "text")
+
+
 def write(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1) -> None:
     """Writes all documents' ids, each with `end_id`, in ascending doc_id order (nulls first; ties by text).
 
@@ -444,8 +457,7 @@ def write(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1)
         if held:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, part int, n_tokens long, payload binary").write.parquet(path)
+    in_order(docs, shards).mapInArrow(run, "shard int, part int, n_tokens long, payload binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

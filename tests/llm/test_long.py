@@ -1,12 +1,13 @@
 """Texts full of hits: time grows as the text does, and results are those of the plain rules."""
 
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 
-from marginalia.llm import decontaminate, language, pii, toxicity
+from marginalia.llm import decontaminate, language, pii, rangecoder, toxicity
 
 
 def growth(work, sizes=(2_000, 16_000)) -> float:
@@ -87,3 +88,13 @@ def test_letters(text, letters):
     if not letters:
         model = language.ByteConv.__new__(language.ByteConv)
         assert language.predict(model, [text]) == [("und", 0.0)]
+
+
+def test_token_files_send_no_whole_texts_to_the_driver(spark):
+    long = "same start " * 20
+    rows = [(i % 7 if i % 3 else None, f"{'' if i % 2 else long}{i * 7919 % 1000}") for i in range(300)] + [(2, None), (2, ""), (2, long)]
+    got = rangecoder.in_order(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    keys = re.findall(r"rangepartitioning\((.*)", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any(re.search(r"\btext#\d+ ASC", k) for k in keys)  # Spark samples keys: they hold how a text begins
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())
+    assert [tuple(r) for r in got.collect()] == sorted(rows, key=order)
