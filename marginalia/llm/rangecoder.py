@@ -16,9 +16,10 @@ weights and contexts all learn with every id.  One range coder step codes an id
 under the mixture.
 
 Blocks are coded in lockstep, a lane for each, so that numpy works on many
-blocks at once; a block's bytes don't depend on its neighbours.  Frequencies are sums
-in three tables of sixteen parts each: to count an id changes a row of each, and what lies below an
-id is read from three entries.
+blocks at once; a block's bytes don't depend on its neighbours.  To encode, a block's ids are
+all known, so where an id starts in order 0 at its place is counted ahead for whole blocks.  To
+decode, frequencies are sums in two tables: to count an id changes a row of each, and what lies
+below an id is read from two entries.  Shares are whole numbers below 2^24 in single precision, so exact.
 
 A container (one row, or one file) holds documents: MAGIC, documents, blocks, a
 checksum of these and of the list that follows, each document's id and length,
@@ -39,10 +40,11 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import shared_dir, slices, table, tokenizer_of, vocab_json
 
-MAGIC = b"MTC3"
+MAGIC = b"MTC4"
 BLOCK = 4096  # at most 4096: a context's entry holds an id's place in the alphabet in 12 bits
 LANES = 2048
 AHEAD = 64  # lanes whose contexts are looked up ahead at a time: what fits in a cache
+CHUNK = 128  # places of a block that are held against each other to count what lies below an id
 CONTEXTS = 12  # bits of an order 2 context
 EACH = 4  # an id's part of order 0 for every time that it has been
 HEAVIEST = 64.0  # a weight's largest odds: all shares together stay below 2^22
@@ -63,42 +65,32 @@ class Frequencies:
         self.bits = next(b for b in (3, 4, 5, 6) if largest <= 1 << 2 * b)
         width = self.width = 1 << self.bits
         parts = np.arange(width)
-        used = parts[: (largest - 1 >> self.bits) + 1]
-        self.parts = used[:, None].astype(np.int16)
         self.later = ((parts > parts[:, None]) * EACH).astype(np.uint16).view(np.uint64)  # by part: for each one after it, four in a number, as slots never run over
-        self.high = np.repeat((used * width).astype(np.uint16)[:, None], lanes, axis=1)  # by part and lane
+        self.high = np.tile((parts * width).astype(np.uint16), (lanes, 1))  # by lane and part
         self.low = np.tile(parts.astype(np.uint16), (lanes * width, 1))
         self.own = np.ones(lanes * width * width, np.uint16)
         lane = np.arange(lanes)
-        self.by_lane, self.by_part, self.by_id, self.lanes = lane, lane * width, lane * width * width, lanes
+        self.by_part, self.by_id = lane * width, lane * width * width
         self.rows = self.low.view(np.dtype(f"V{2 * width}")).ravel()  # moved as one
-        self.flat_high, self.flat_low = self.high.ravel(), self.low.ravel()
+        self.fours, self.flat_high, self.flat_low = self.high.view(np.uint64), self.high.ravel(), self.low.ravel()
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where each lane's id starts, how many slots it has); ids: (..., lanes)."""
         n = ids.shape[-1]
         at = ids + self.by_id[:n]
         start = self.flat_low.take(at)
-        start += self.flat_high.take((ids >> self.bits) * self.lanes + self.by_lane[:n])
+        start += self.flat_high.take((ids >> self.bits) + self.by_part[:n])
         return start, self.own.take(at)
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the id of each lane that holds slot v, which has 16 bits; v's place among that id's slots)."""
         n = len(v)
-        rest, lane = v.astype(np.uint16), self.by_lane[:n]
-        part = np.add.reduce((self.high[:, :n] <= rest).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        part -= 1
-        rest -= self.flat_high.take(part * self.lanes + lane)
-        rows = self.rows.take(self.by_part[:n] + part).view(np.uint16).reshape(n, self.width)
-        eights = (rows <= rest[:, None]).view(np.uint64)  # a byte for each that starts at or before it
-        count = eights[:, 0].copy()
-        for k in range(1, eights.shape[1]):
-            count += eights[:, k]
-        count *= np.uint64(0x0101010101010101)  # their sum is in the highest byte
-        count >>= np.uint64(56)
-        within = count.view(np.int64)
-        within -= 1
-        rest -= rows.ravel().take(self.by_part[:n] + within)
+        rest, first = v.astype(np.uint16), self.by_part[:n]
+        part = _last_before(self.high[:n], rest)
+        rest -= self.flat_high.take(part + first)
+        rows = self.rows.take(part + first).view(np.uint16).reshape(n, self.width)
+        within = _last_before(rows, rest)
+        rest -= rows.ravel().take(within + first)
         part <<= self.bits
         part += within
         return part, rest
@@ -106,24 +98,34 @@ class Frequencies:
     def add(self, ids: np.ndarray) -> None:
         n = len(ids)
         top = ids >> self.bits
-        after = top.astype(np.int16) - self.parts
-        after >>= 15  # all bits where a part stands after the id's
-        after &= EACH
-        high = self.high[:, :n]
-        high += after.view(np.uint16)
-        at = self.by_part[:n] + top
-        row = self.rows.take(at)
+        fours = self.fours[:n]
+        fours += self.later.take(top, axis=0)
+        top += self.by_part[:n]
+        row = self.rows.take(top)
         row.view(np.uint64).reshape(n, -1)[:] += self.later.take(ids & (self.width - 1), axis=0)
-        self.rows[at] = row
+        self.rows[top] = row
         at = self.by_id[:n] + ids
         self.own[at] = self.own.take(at) + np.uint16(EACH)
 
 
+def _last_before(starts: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The last in each row of ascending starts that isn't past v; the first ones are 0, and at most 64 in a row."""
+    eights = (starts <= np.repeat(v, starts.shape[1]).reshape(starts.shape)).view(np.uint64)  # a byte for each that starts at or before it
+    count = eights[:, 0].copy()
+    for k in range(1, eights.shape[1]):
+        count += eights[:, k]
+    count *= np.uint64(0x0101010101010101)  # their sum is in the highest byte
+    count >>= np.uint64(56)
+    found = count.view(np.int64)
+    found -= 1
+    return found
+
+
 class Weights:
     """The odds with which each order's predictions come true, by lane and confidence."""
 
     def __init__(self, lanes: int):
-        self.seen = np.full((2 * lanes, 8), 1 + 4j)  # hits, and tries as the other part: three misses at first
+        self.seen = np.full((2 * lanes, 8), 1 + 4j, np.complex64)  # hits, and tries as the other part: three misses at first
         self.seen[:, 0] = complex(0, np.inf)  # a context never seen
         self.seen = self.seen.ravel()
         self.first = np.stack([np.arange(lanes) * 8, (lanes + np.arange(lanes)) * 8])
@@ -145,7 +147,7 @@ class Weights:
         self.seen[at] = seen
 
 
-_TRIED = np.array([1j, 1 + 1j])
+_TRIED = np.array([1j, 1 + 1j], np.complex64)
 
 
 def _entries(keys: np.ndarray, syms: np.ndarray) -> np.ndarray:
@@ -177,9 +179,8 @@ def _alphabet(block: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
     top = int(block.max()) + 1
     if top > len(places):
         return np.unique(block, return_inverse=True)
-    there = np.zeros(top, bool)
-    there[block] = True
-    alphabet = np.flatnonzero(there)
+    ordered = np.sort(block.astype(np.uint16) if top <= 1 << 16 else block, kind="stable")
+    alphabet = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])].astype(np.int64)
     places[alphabet] = np.arange(len(alphabet))
     return alphabet, places[block]
 
@@ -194,6 +195,39 @@ def _held(syms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _entries(last, syms), _entries(pair, syms)
 
 
+def _slots(syms: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What `Frequencies.of` gives for each id before it is added, by lane and place; sizes: of the lanes' alphabets."""
+    lanes, n = syms.shape
+    order = np.argsort(syms, axis=1, kind="stable")
+    order += np.arange(lanes)[:, None] * n
+    key, place = syms.ravel().take(order), np.arange(n, dtype=np.uint16)
+    first = np.zeros(key.shape, np.uint16)
+    np.multiply(place[1:], key[:, 1:] != key[:, :-1], out=first[:, 1:])
+    np.maximum.accumulate(first, axis=1, out=first)
+    own = np.empty(key.shape, np.uint16)
+    own.ravel()[order] = (place - first) * np.uint16(EACH) + np.uint16(1)
+    # ids that lie below, in the same chunk by pairs of places, and in the chunks before it by a table
+    chunks = -(-n // CHUNK)
+    whole = np.zeros((CHUNK, lanes, chunks), np.uint16)
+    padded = np.zeros((lanes, chunks * CHUNK), np.uint16)
+    padded[:, :n] = syms
+    whole[:] = padded.reshape(lanes, chunks, CHUNK).transpose(2, 0, 1)
+    near = np.zeros(whole.shape, np.uint8)
+    for apart in range(1, CHUNK):
+        near[apart:] += (whole[:-apart] < whole[apart:]).view(np.uint8)
+    start = near.transpose(1, 2, 0).reshape(lanes, -1)[:, :n].astype(np.uint16)
+    chunk = np.arange(n) // CHUNK
+    for lane, size in enumerate(sizes):
+        at = chunk * (size + 1) + syms[lane]
+        before = np.bincount(at + (size + 2), minlength=(chunks + 1) * (size + 1)).astype(np.uint16).reshape(-1, size + 1)
+        np.add.accumulate(before, axis=0, out=before)
+        np.add.accumulate(before, axis=1, out=before)
+        start[lane] += before.ravel().take(at)
+    start *= np.uint16(EACH)
+    start += syms
+    return start, own
+
+
 def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(alphabet, 16-bit words) of each block."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -201,6 +235,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     n_all, longest = len(order), int(lengths[0])
     alphabets = []
     coded, held = np.empty((longest, n_all), np.uint16), np.empty((longest, 2, n_all), np.uint16)
+    slots = np.empty((longest, 2, n_all), np.uint16)
     places = np.zeros(1 << 17, np.int32)
     for a in range(0, n_all, AHEAD):
         some = order[a : a + AHEAD]
@@ -210,10 +245,10 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
             alphabets.append(alphabet)
             syms[lane, : len(inverse)] = inverse
         coded[:, a : a + AHEAD] = syms.T
-        for k, entries in enumerate(_held(syms)):
-            held[:, k, a : a + AHEAD] = entries.T
-    sizes = np.array([float(len(x)) for x in alphabets])
-    seen, weights = Frequencies(n_all, int(sizes.max())), Weights(n_all)
+        for k, (entries, counted) in enumerate(zip(_held(syms), _slots(syms, [len(x) for x in alphabets[a:]]), strict=True)):
+            held[:, k, a : a + AHEAD], slots[:, k, a : a + AHEAD] = entries.T, counted.T
+    sizes = np.array([len(x) for x in alphabets], np.float32)
+    weights = Weights(n_all)
     low, span = np.zeros(n_all), np.full(n_all, WIDE)
     out = np.zeros((n_all, longest * 3 // 2 + 8), np.int32)  # an id takes 22 bits at most
     flat = out.ravel()
@@ -221,12 +256,11 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     active = np.searchsorted(-lengths, -np.arange(longest))  # lanes longer than t
     for t, n in enumerate(active.tolist()):
         sym, entry = coded[t, :n], held[t, :, :n]
-        ids = sym.astype(np.int64)
         total = sizes[:n] + EACH * t
         w, source = weights.of(entry & 7, total)
         c = entry >> 3
         right = c == sym
-        below, own = seen.of(ids)
+        below, own = slots[t, :, :n]
         lower, mine = w * (c < sym), w * right
         below = lower[0] + below
         below += lower[1]
@@ -235,27 +269,32 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
         total += w[0]
         total += w[1]
         weights.learn(source, right)
-        seen.add(ids)
         s = span[:n]
-        unit = np.floor(s / total)  # exact: a quotient of numbers this small isn't rounded up to a whole one
-        below *= unit
-        low[:n] += below
+        unit = s / total
+        np.floor(unit, out=unit)  # exact: a quotient of numbers this small isn't rounded up to a whole one
+        low[:n] += below * unit
         np.multiply(unit, own, out=s)
         small = np.flatnonzero(s < NARROW)
         while len(small):
-            here, place = low[small], at[small]
+            here, place = low.take(small), at.take(small)
             word = np.floor(here / NARROW)
             flat[place] = word
             at[small] = place + 1
-            low[small] = (here - word * NARROW) * 65536
-            span[small] *= 65536
-            small = small[span[small] < NARROW]
+            word *= NARROW
+            here -= word
+            here *= 65536
+            low[small] = here
+            left = s.take(small)
+            left *= 65536
+            s[small] = left
+            small = small[left < NARROW]
+    ends = at + 3 - np.arange(n_all) * out.shape[1]
     rest = low.astype(np.int64)
     flat[at], flat[at + 1], flat[at + 2] = rest >> 32, rest >> 16 & 0xFFFF, rest & 0xFFFF
+    out = out[:, : ends.max()].copy()
     while (carry := out >> 16).any():
         out &= 0xFFFF
         out[:, :-1] += carry[:, 1:]
-    ends = at + 3 - np.arange(n_all) * out.shape[1]
     result: list = [None] * len(blocks)
     for lane, i in enumerate(order):
         result[i] = (alphabets[lane], out[lane, : ends[lane]].astype("<u2"))
@@ -273,7 +312,7 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
     code = stream[:, 0] * NARROW + stream[:, 1] * 65536.0 + stream[:, 2]
     stream = stream.ravel()
     span = np.full(n_all, WIDE)
-    known = np.array([float(len(alphabets[i])) for i in order])
+    known = np.array([len(alphabets[i]) for i in order], np.float32)
     most = int(known.max())
     seen, weights = Frequencies(n_all, most), Weights(n_all)
     lane = np.arange(n_all)
@@ -290,12 +329,16 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         total = known[:n] + EACH * t
         w, source = weights.of(k, total)
         start, own = seen.of(c)
-        end = start + own  # past an id's last slot in order 0
+        start += own
+        end = start.astype(np.float32)  # past an id's last slot in order 0
         both = w[0] + w[1]
         total += both
         s, x = span[:n], code[:n]
-        unit = np.floor(s / total)
-        v = np.floor(x / unit)
+        unit = s / total
+        np.floor(unit, out=unit)
+        v = x / unit
+        np.floor(v, out=v)
+        v = v.astype(np.float32)
         # a weight's slots stand before the last slot of its id; the lower id's are taken out first
         first = np.where(c[0] <= c[1], w[0], w[1])
         for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
@@ -317,11 +360,14 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         np.multiply(unit, own, out=s)
         small = np.flatnonzero(s < NARROW)
         while len(small):
-            place = at[small]
-            code[small] = code[small] * 65536 + stream.take(place)
+            place, here, left = at.take(small), x.take(small), s.take(small)
+            here *= 65536
+            here += stream.take(place)
+            x[small] = here
             at[small] = place + 1
-            span[small] *= 65536
-            small = small[span[small] < NARROW]
+            left *= 65536
+            s[small] = left
+            small = small[left < NARROW]
         out[t, :n] = sym
         np.minimum(k, 6, out=k)
         k *= right

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from marginalia.llm.rangecoder import EACH, Frequencies
+from marginalia.llm.rangecoder import CHUNK, EACH, Frequencies, _slots, encode_container
 
 
 @pytest.mark.parametrize("largest", [1, 64, 65, 700, 1024, 1025, 4096])
@@ -31,3 +31,22 @@ def test_tables_are_as_narrow_as_the_alphabets():
         return f.high.nbytes + f.low.nbytes + f.own.nbytes
 
     assert 3 * size(700) < size(4096) and 3 * size(200) < size(700)  # once all were as wide as the largest block
+
+
+def test_slots_counted_ahead_are_those_of_the_tables():
+    rng = np.random.default_rng(3)
+    for n, sizes in ((1, [1, 1]), (CHUNK, [5, 64]), (3 * CHUNK + 7, [1, 700, 30])):
+        syms = np.stack([np.minimum(rng.zipf(1.2, n), k) - 1 for k in sizes]).astype(np.uint16)
+        start, own = _slots(syms, sizes)
+        tables = Frequencies(len(sizes), max(sizes))
+        for t in range(n):
+            ids = syms[:, t].astype(np.int64)
+            assert [start[:, t].tolist(), own[:, t].tolist()] == [x.tolist() for x in tables.of(ids)]
+            tables.add(ids)
+
+
+def test_encoding_asks_no_tables(monkeypatch):
+    docs = [(1, (np.random.default_rng(5).zipf(1.3, 9000) % 70000).astype(np.uint32))]
+    want = encode_container(docs)
+    monkeypatch.setattr(Frequencies, "add", lambda *_: 1 / 0)
+    assert encode_container(docs) == want  # what lies below an id is counted ahead, not kept for each step

@@ -23,3 +23,22 @@ def test_spaces_and_long_runs_with_a_small_memo():
         for t in ODD:
             assert next(tokens.encode([t])).tolist() == tokens.library_ids(t or "")
     assert tokens.index[""] == 0 and tokens.length[0] == 0
+
+
+def test_new_pre_tokens_go_to_the_library_many_at_a_time():
+    tokens = WordTokenizer(vocab_json())
+    words = [f"{a}{b}{c}" for a in ("ba", "é", "zu") for b in ("ren", "ço", "ly") for c in ("", "ÿn", "tion")]
+    text = ", ".join(words) + ". 2024?! it's"
+    calls, inner = [], tokens.many
+
+    class Many:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return inner.encode_batch_fast(texts, **how)
+
+    tokens.many = Many()
+    assert next(tokens.encode([text])).tolist() == tokens.library_ids(text)
+    assert calls == [1] and "baren" in tokens.index and "baren," not in tokens.index  # a word's signs are a pre-token of their own
+    tokens = WordTokenizer(vocab_json())
+    tokens.last[:] = False  # a vocabulary without marks of a pre-token's end
+    assert next(tokens.encode([text])).tolist() == tokens.library_ids(text)
