@@ -91,12 +91,13 @@ def _walk(n: Node | None) -> Iterator[Node]:
 class Counted:
     """A text whose token count is kept while it is edited."""
 
-    def __init__(self, text: str, tokens: WordTokenizer, counts: list[int] | None = None):
+    def __init__(self, text: str, tokens: WordTokenizer, counts: list[int] | None = None, parts: list[str] | None = None):
+        """counts, parts: of the text's segments, where they are known."""
         self.tokens_of, self.rng, self.encoded = tokens, random.Random(len(text)), 0
-        self.root = self._tree(segments(text), counts)
+        self.root = self._tree(segments(text) if parts is None else parts, counts)
 
     def _tree(self, parts: list[str], counts: list[int] | None = None) -> Node | None:
-        counts = count_tokens(self.tokens_of, parts) if counts is None else counts
+        counts = self.tokens_of.counts(parts) if counts is None else counts
         nodes = [Node(p, c, self.rng.random()) for p, c in zip(parts, counts, strict=True)]
         # built bottom up in one pass over the right spine
         spine: list[Node] = []
@@ -127,6 +128,10 @@ class Counted:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Puts `new` in place of the characters from start to end (clamped to the text)."""
+        edit_all([self], [(start, end, new)], self.tokens_of)
+
+    def _cut(self, start: int, end: int, new: str) -> tuple[Node | None, list[str], Node | None]:
+        """(what stays before an edit, the segments that it leaves in between, what stays after); `_join` puts them together."""
         start = min(max(0, start), self.n_chars)
         end = min(max(start, end), self.n_chars)
         # context: the segment that ends where the edit starts, and the one that starts where it ends
@@ -142,28 +147,18 @@ class Counted:
         old = "".join(n.text for n in _walk(middle))
         text = old[: start - shift] + new + old[end - shift :]
         self.encoded += len(text)
-        self.root = _merge(_merge(left, self._tree(segments(text))), right)
-
-
-def count_tokens(tokens: WordTokenizer, texts: list[str]) -> list[int]:
-    """Tokens of each text, without putting ids together."""
-    words: list[str] = []
-    ends, slow = [], {}
-    for k, t in enumerate(texts):
-        if (p := tokens.pieces(t)) is None:
-            slow[k] = len(tokens.library_ids(t))
-        else:
-            words += p
-        ends.append(len(words))
-    if not words:
-        return [slow.get(k, 0) for k in range(len(texts))]
-    rows = tokens.rows(words)
-    sums = [0, *tokens.length[rows].cumsum().tolist()]
-    out, at = [], 0
-    for k, e in enumerate(ends):
-        out.append(slow[k] if k in slow else sums[e] - sums[at])
-        at = e
-    return out
+        return left, segments(text), right
+
+    def _join(self, left: Node | None, parts: list[str], counts: list[int], right: Node | None) -> None:
+        self.root = _merge(_merge(left, self._tree(parts, counts)), right)
+
+
+def edit_all(docs: list[Counted], edits: list[tuple[int, int, str]], tokens: WordTokenizer) -> None:
+    """One edit to each text; the segments that they touch are counted together."""
+    cuts = [doc._cut(*edit) for doc, edit in zip(docs, edits, strict=True)]
+    counts = iter(tokens.counts([s for _, parts, _ in cuts for s in parts]))
+    for doc, (left, parts, right) in zip(docs, cuts, strict=True):
+        doc._join(left, parts, [next(counts) for _ in parts], right)
 
 
 def revisions(n: int) -> list[tuple[int, int, str]]:
@@ -193,14 +188,14 @@ def recount(docs: DataFrame, edits=revisions, vocab: str | None = None) -> DataF
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             parts = [segments(t) for t in texts]
-            counts = iter(count_tokens(tokens, [s for p in parts for s in p]))
-            rows: list[tuple[int, int, int, int]] = []
-            for p, text in zip(parts, texts, strict=True):
-                doc = Counted(text, tokens, [next(counts) for _ in p])
-                before = doc.n_tokens
-                for start, end, new in edits(len(text)):
-                    doc.edit(start, end, new)
-                rows.append((before, doc.n_tokens, doc.n_chars, doc.encoded))
+            counts = iter(tokens.counts([s for p in parts for s in p]))
+            held = [Counted(text, tokens, [next(counts) for _ in p], p) for p, text in zip(parts, texts, strict=True)]
+            before = [doc.n_tokens for doc in held]
+            to_do = [edits(len(text)) for text in texts]
+            for k in range(max(map(len, to_do))):
+                some = [i for i, own in enumerate(to_do) if k < len(own)]
+                edit_all([held[i] for i in some], [to_do[i][k] for i in some], tokens)
+            rows = [(n, doc.n_tokens, doc.n_chars, doc.encoded) for n, doc in zip(before, held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
