@@ -18,8 +18,8 @@ under the mixture.
 Blocks are coded in lockstep, a lane for each, so that numpy works on many
 blocks at once; a block's bytes don't depend on its neighbours.  To encode, a block's ids are
 all known, so where an id starts in order 0 at its place is counted ahead for whole blocks.  To
-decode, frequencies are sums in two tables: to count an id changes a row of each, and what lies
-below an id is read from two entries.  Shares are whole numbers below 2^24 in single precision, so exact.
+decode, frequencies are sums in three tables: to count an id changes a row of each, and what lies
+below an id is read from three entries.  Shares are whole numbers below 2^24 in single precision, so exact.
 
 A container (one row, or one file) holds documents: MAGIC, documents, blocks, a
 checksum of these and of the list that follows, each document's id and length,
@@ -56,56 +56,76 @@ _BEFORE, _LAST = 40503, 30011  # of the context hash
 class Frequencies:
     """The slots of order 0 by lane: each id has one, and EACH more for every time that it has been.
 
-    Where an id's slots start is what two tables of `width` parts each add up to:
-    what lies below its part of all ids, and below it in that part.
+    Where an id's slots start is what three tables add up to: what lies below its part of all
+    ids, below its row in that part, and below it in that row.  A row is 8 numbers, or 16.
     """
 
     def __init__(self, lanes: int, largest: int):
         """largest: ids in the largest alphabet of a lane."""
-        self.bits = next(b for b in (3, 4, 5, 6) if largest <= 1 << 2 * b)
-        width = self.width = 1 << self.bits
-        parts = np.arange(width)
-        self.later = ((parts > parts[:, None]) * EACH).astype(np.uint16).view(np.uint64)  # by part: for each one after it, four in a number, as slots never run over
-        self.high = np.tile((parts * width).astype(np.uint16), (lanes, 1))  # by lane and part
-        self.low = np.tile(parts.astype(np.uint16), (lanes * width, 1))
-        self.own = np.ones(lanes * width * width, np.uint16)
+        bits = self.bits = 3 if largest <= 1024 else 4
+        width = self.width = 1 << bits
+        parts = 1
+        while parts << 2 * bits < largest:
+            parts *= 2
+        held = max(parts, 8)  # those past the last one start after all slots
+        number = np.arange(16)
+        later = ((number > number[:, None]) * EACH).astype(np.uint16)  # by place: for each one after it, four in a number, as slots never run over
+        self.later_parts, self.later = (np.ascontiguousarray(later[:, :n]).view(np.uint64) for n in (held, width))
+        self.high = np.tile((number[:held] << 2 * bits).astype(np.uint16), (lanes, 1))  # by lane and part
+        self.middle = np.tile((number[:width] << bits).astype(np.uint16), (lanes * parts, 1))
+        self.low = np.tile(number[:width].astype(np.uint16), (lanes * parts * width, 1))
+        self.own = np.ones(lanes * parts * width * width, np.uint16)
         lane = np.arange(lanes)
-        self.by_part, self.by_id = lane * width, lane * width * width
-        self.rows = self.low.view(np.dtype(f"V{2 * width}")).ravel()  # moved as one
-        self.fours, self.flat_high, self.flat_low = self.high.view(np.uint64), self.high.ravel(), self.low.ravel()
+        self.by_high, self.by_part, self.by_row, self.by_id, self.by_width = lane * held, lane * parts, lane * parts * width, lane * parts * width * width, lane * width
+        moved = np.dtype(np.complex128 if width == 8 else "V32")  # a row is moved as one
+        self.rows = [t.view(moved).ravel() for t in (self.middle, self.low)]
+        self.fours, self.flat_high, self.flat_middle, self.flat_low = self.high.view(np.uint64), self.high.ravel(), self.middle.ravel(), self.low.ravel()
 
     def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where each lane's id starts, how many slots it has); ids: (..., lanes)."""
+        return self.start(ids), self.own.take(ids + self.by_id[: ids.shape[-1]])
+
+    def start(self, ids: np.ndarray) -> np.ndarray:
         n = ids.shape[-1]
         at = ids + self.by_id[:n]
         start = self.flat_low.take(at)
-        start += self.flat_high.take((ids >> self.bits) + self.by_part[:n])
-        return start, self.own.take(at)
+        at >>= self.bits
+        start += self.flat_middle.take(at)
+        start += self.flat_high.take((ids >> 2 * self.bits) + self.by_high[:n])
+        return start
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the id of each lane that holds slot v, which has 16 bits; v's place among that id's slots)."""
         n = len(v)
-        rest, first = v.astype(np.uint16), self.by_part[:n]
-        part = _last_before(self.high[:n], rest)
-        rest -= self.flat_high.take(part + first)
-        rows = self.rows.take(part + first).view(np.uint16).reshape(n, self.width)
-        within = _last_before(rows, rest)
-        rest -= rows.ravel().take(within + first)
-        part <<= self.bits
-        part += within
-        return part, rest
-
-    def add(self, ids: np.ndarray) -> None:
+        rest = v.astype(np.uint16)
+        at = _last_before(self.high[:n], rest)
+        rest -= self.flat_high.take(at + self.by_high[:n])
+        at += self.by_part[:n]
+        for table_ in self.rows:
+            rows = table_.take(at).view(np.uint16)
+            within = _last_before(rows.reshape(n, self.width), rest)
+            rest -= rows.take(within + self.by_width[:n])
+            at <<= self.bits
+            at += within
+        at -= self.by_id[:n]
+        return at, rest
+
+    def add(self, ids: np.ndarray) -> np.ndarray:
+        """Counts an id of each lane; how many slots it had before."""
         n = len(ids)
-        top = ids >> self.bits
-        fours = self.fours[:n]
-        fours += self.later.take(top, axis=0)
-        top += self.by_part[:n]
-        row = self.rows.take(top)
-        row.view(np.uint64).reshape(n, -1)[:] += self.later.take(ids & (self.width - 1), axis=0)
-        self.rows[top] = row
         at = self.by_id[:n] + ids
-        self.own[at] = self.own.take(at) + np.uint16(EACH)
+        own = self.own.take(at)
+        self.own[at] = own + np.uint16(EACH)
+        for table_ in self.rows[::-1]:
+            within = at & (self.width - 1)
+            at >>= self.bits
+            row = table_.take(at)
+            row.view(np.uint64).reshape(n, -1)[:] += self.later.take(within, axis=0)
+            table_[at] = row
+        at -= self.by_part[:n]
+        fours = self.fours[:n]
+        fours += self.later_parts.take(at, axis=0)
+        return own
 
 
 def _last_before(starts: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -328,9 +348,7 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         k, c = entry & 7, (entry >> 3).astype(np.int64)
         total = known[:n] + EACH * t
         w, source = weights.of(k, total)
-        start, own = seen.of(c)
-        start += own
-        end = start.astype(np.float32)  # past an id's last slot in order 0
+        start = seen.start(c).astype(np.float32)
         both = w[0] + w[1]
         total += both
         s, x = span[:n], code[:n]
@@ -339,23 +357,21 @@ def _decode_lanes(sizes: list[int], alphabets: list[np.ndarray], words: list[np.
         v = x / unit
         np.floor(v, out=v)
         v = v.astype(np.float32)
-        # a weight's slots stand before the last slot of its id; the lower id's are taken out first
+        # a weight's slots stand before those of its id in order 0; the lower id's are taken out first
         first = np.where(c[0] <= c[1], w[0], w[1])
-        for edge, room in ((np.minimum(end[0], end[1]), first), (np.maximum(end[0], end[1]), both - first)):
+        for edge, room in ((np.minimum(start[0], start[1]), first), (np.maximum(start[0], start[1]), both - first)):
             past = v - edge
-            past += 1
             np.maximum(past, 0, out=past)
             np.minimum(past, room, out=past)
             v -= past
         sym, inside = seen.find(v)
         right = c == sym
         lower, mine = w * (c < sym), w * right
-        own = mine[0] + seen.own.take(seen.by_id[:n] + sym)
+        own = mine[0] + seen.add(sym)
         own += mine[1]
         low = lower[0] + (v - inside)
         low += lower[1]
         weights.learn(source, right)
-        seen.add(sym)
         x -= low * unit
         np.multiply(unit, own, out=s)
         small = np.flatnonzero(s < NARROW)

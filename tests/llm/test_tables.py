@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from marginalia.llm.rangecoder import CHUNK, EACH, Frequencies, _slots, encode_container
+from marginalia.llm.rangecoder import CHUNK, EACH, Frequencies, _slots, decode_container, encode_container
 
 
 @pytest.mark.parametrize("largest", [1, 64, 65, 700, 1024, 1025, 4096])
@@ -50,3 +50,10 @@ def test_encoding_asks_no_tables(monkeypatch):
     want = encode_container(docs)
     monkeypatch.setattr(Frequencies, "add", lambda *_: 1 / 0)
     assert encode_container(docs) == want  # what lies below an id is counted ahead, not kept for each step
+
+
+def test_decoding_asks_only_where_predicted_ids_start(monkeypatch):
+    docs = [(1, (np.random.default_rng(5).zipf(1.3, 9000) % 70000).astype(np.uint32)), (2, np.arange(5000, dtype=np.uint32) % 7)]
+    raw = encode_container(docs)
+    monkeypatch.setattr(Frequencies, "of", lambda *_: 1 / 0)
+    assert [(d, ids.tolist()) for d, ids in decode_container(raw)] == [(d, ids.tolist()) for d, ids in docs]
