@@ -44,10 +44,10 @@ def test_no_pairs(spark):
         assert graph.hub_overlap(graph.hubs(n), e).count() == 0 and graph.hub_overview(n, e).collect() == []
 
 
-def test_no_pair_is_shuffled_for_the_overview(spark):
+def test_no_pair_is_shuffled(spark):
     """Pairs, all different where hubs link at random, were shuffled to be counted, and to be named and sized."""
     notes, links, _ = some(spark, 2)
-    plan = graph._hub_pairs(graph.hubs(notes), links)[0]._jdf.queryExecution().executedPlan().toString()
+    plan = graph.hub_overlap(graph.hubs(notes), links)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
     assert len(dealt) == 1 and "hashpartitioning(block" in dealt[0]
 
